@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear classifier over the presence of hashed words is fitted in numpy from confirmed toxic texts and unlabelled
+A linear classifier over the presence of hashed words and five-byte windows is fitted in numpy from confirmed toxic texts and unlabelled
 texts. The risk is ``prior * R+(P) + max(0, R-(U) - prior * R-(P))`` with the logistic loss; where the corrected
 negative part falls below zero its gradient is reversed. Labels of non-toxic rows are never used as negatives; they
 only enter the class prior, together with the positives.
@@ -23,6 +23,8 @@ from .samples import remainder
 from .textarrays import ALNUM, LOWER, Texts, passes
 
 BITS = 20
+WINDOW = 5
+FLAT = np.where(ALNUM, LOWER, 32).astype(np.uint8)
 
 
 @dataclass
@@ -39,15 +41,23 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(f, -30, 30)))
 
 
-def word_keys(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Text index and hashed word of every word of letters and digits, ASCII case folded."""
+def feature_keys(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Text index and hash of every word and of every window of ``WINDOW`` bytes, ASCII case folded.
+
+    Words are runs of letters and digits; in windows every other byte counts as a space, so they see word starts.
+    """
     s, e, doc = texts.words(ALNUM)
-    return doc, (texts.hashes(s, e, LOWER) >> np.uint64(64 - BITS)).astype(np.int64)
+    flat = Texts(FLAT[texts.buf], texts.offsets)
+    at = np.arange(max(len(flat.buf) - WINDOW + 1, 0))
+    owner = np.repeat(np.arange(len(texts)), np.diff(texts.offsets))
+    at = at[owner[: len(at)] == owner[WINDOW - 1 :][: len(at)]] if len(at) else at
+    h = np.concatenate([texts.hashes(s, e, LOWER), flat.hashes(at, at + WINDOW) ^ np.uint64(0x5BD1E9955BD1E995)])
+    return np.concatenate([doc, owner[at] if len(at) else at]), (h >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def presence(texts: Texts, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text index, position in ``keys``) of the known words."""
-    doc, h = word_keys(texts)
+    """Distinct (text index, position in ``keys``) of the known features."""
+    doc, h = feature_keys(texts)
     if not len(keys) or not len(h):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     at = np.full(1 << BITS, -1, np.int32)
@@ -58,7 +68,7 @@ def presence(texts: Texts, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pair // len(keys), pair % len(keys)
 
 
-def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4, beta: float = 0.0) -> tuple[np.ndarray, float]:
+def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 500, rate: float = 0.05, decay: float = 1e-4, beta: float = 0.0) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk over dense rows ``p`` (positive) and ``u`` (unlabelled)."""
     d = p.shape[1]
     w, b = np.zeros(d), float(np.log(prior / (1 - prior)))
@@ -83,7 +93,7 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, max_positive: int =
     """Fit on at most ``max_positive`` confirmed toxic and ``max_unlabelled`` unlabelled training texts.
 
     Both bounds are on ids in the order of their hash; rows whose crc32 remainder is ``hold`` are never read.
-    ``words`` hashed words that differ most between the two samples become features.
+    ``words`` hashed features that differ most between the two samples become features.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", mod) != hold))
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
@@ -96,29 +106,35 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, max_positive: int =
     ids = pos.unionByName(unl).groupBy("doc_id").agg(F.max("y").alias("pos"), F.min("y").alias("unl"))
     rows = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id")
     table = rows.select("text", "pos", "unl").toArrow()
-    text, is_p, is_u = table["text"].combine_chunks(), table["pos"].to_numpy() == 1, table["unl"].to_numpy() == 0
+    text, is_p, is_u = table["text"], table["pos"].to_numpy() == 1, table["unl"].to_numpy() == 0
     none = ToxicityModel(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))))
     if not is_p.any() or not is_u.any():
         return none
-    texts = Texts.of(text if isinstance(text, pa.Array) else pa.array(text.to_pylist(), pa.string()))
-    doc, h = word_keys(texts)
-    pair = np.unique((doc << BITS) | h)
-    doc, h = pair >> BITS, pair & ((1 << BITS) - 1)
     size = 1 << BITS
+    cp, cu = np.zeros(size), np.zeros(size)
+    batches = lambda: passes(iter(pa.table({"text": text}).to_batches()))
+    at = 0
+    for _, part in batches():
+        doc, h = feature_keys(part)
+        pair = np.unique((doc << BITS) | h)
+        doc, h = (pair >> BITS) + at, pair & (size - 1)
+        cp += np.bincount(h[is_p[doc]], minlength=size)
+        cu += np.bincount(h[is_u[doc]], minlength=size)
+        at += len(part)
     np_, nu = int(is_p.sum()), int(is_u.sum())
-    cp, cu = np.bincount(h[is_p[doc]], minlength=size) / np_, np.bincount(h[is_u[doc]], minlength=size) / nu
-    mean = (cp * np_ + cu * nu) / (np_ + nu)
-    z = np.abs(cp - cu) / np.sqrt(np.maximum(mean * (1 - mean), 1e-9) * (1 / np_ + 1 / nu))
+    mean = (cp + cu) / (np_ + nu)
+    z = np.abs(cp / np_ - cu / nu) / np.sqrt(np.maximum(mean * (1 - mean), 1e-9) * (1 / np_ + 1 / nu))
     z[mean * (np_ + nu) < 3] = 0
     keys = np.sort(np.argsort(-z, kind="stable")[:words])
     keys = keys[z[keys] > 0]
     if not len(keys):
         return none
-    at = np.full(size, -1)
-    at[keys] = np.arange(len(keys))
-    x = np.zeros((len(texts), len(keys)), np.float32)
-    on = at[h] >= 0
-    x[doc[on], at[h[on]]] = 1
+    x = np.zeros((len(text), len(keys)), np.float32)
+    at = 0
+    for _, part in batches():
+        doc, key = presence(part, keys)
+        x[doc + at, key] = 1
+        at += len(part)
     w, b = fit_nnpu(x[is_p], x[is_u], prior)
     return ToxicityModel(keys, w, b)
 
