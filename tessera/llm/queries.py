@@ -7,14 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, quality, toxicity
+from . import audio, egojoin, mixing, pii, quality, toxicity, warc
 from .samples import remainder
+from .shared import scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op1_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return egojoin.near_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), 0.9)
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    return mixing.mix(docs, [3.0, 1.0, 2.0], 1.5, 2.0).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    found = pii.detect_pii(docs, pii.train_pii(docs))
+    order = F.array(*(F.lit(k) for k in pii.KINDS))
+
+    def joined(spans):
+        ranked = F.array_sort(F.transform(spans, lambda s: F.struct(F.array_position(order, s["kind"]).alias("k"), s["start"].alias("s"), s["end"].alias("e"), s["kind"].alias("n"))))
+        return F.array_join(F.transform(ranked, lambda s: F.concat_ws(":", s["n"], s["s"].cast("string"), s["e"].cast("string"))), ",")
+
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "more")).alias("spans"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     model = toxicity.train_toxicity(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
@@ -22,6 +45,42 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def base32_of_hex(digest):
+    """Upper-case base32 of 40 hexadecimal digits: five of them make four digits of base 32."""
+    parts = [F.lpad(F.conv(F.substring(digest, 1 + 5 * i, 5), 16, 32), 4, "0") for i in range(8)]
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages are written as WARC records and read back; of equal payloads all rows with the smallest page_id are responses."""
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    kind = pages.schema["page_id"].dataType
+    pages = pages.withColumn("payload", F.coalesce("html", F.lit("")).cast("binary")).withColumn("sha1", F.sha1("payload"))
+    first = pages.groupBy("sha1").agg(F.min("page_id").alias("first"))
+    rows = pages.select("page_id", "url", "payload", "sha1").join(first, "sha1")
+    revisit = F.col("page_id").isNotNull() & (F.col("page_id") > F.col("first"))
+    urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("")))
+    records = rows.select(
+        F.when(revisit, "revisit").otherwise("response").alias("record_type"),
+        urn(F.col("page_id")).alias("record_id"),
+        F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "").alias("target_uri"),
+        F.lit("2024-01-01T00:00:00Z").alias("warc_date"),
+        base32_of_hex(F.col("sha1")).alias("payload_digest"),
+        F.when(revisit, urn(F.col("first"))).alias("refers_to"),
+        F.octet_length("payload").cast("long").alias("http_length"),
+        F.when(~revisit, F.col("payload")).alias("payload"),
+    )
+    warc.register(spark)
+    at = scratch(spark, "warc")
+    records.write.format("warc").mode("append").save(at)
+    page_id = lambda c: F.nullif(F.substring_index(c, ":", -1), F.lit("")).cast(kind)
+    got = spark.read.format("warc").load(at).where("record_type = 'response'")
+    got = got.select(page_id(F.col("record_id")).alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), base32_of_hex(F.sha1("payload")).alias("payload_digest"), "record_type", F.lit(None).cast(kind).alias("refers_to"))
+    again = spark.read.format("warc").option("payloads", "false").load(at).where("record_type = 'revisit'")
+    again = again.select(page_id(F.col("record_id")).alias("page_id"), F.col("http_length").alias("payload_bytes"), "payload_digest", "record_type", page_id(F.col("refers_to")).alias("refers_to"))
+    return got.unionByName(again)
+
+
 def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     out = audio.media_features(audio.encode_texts(docs))
@@ -40,4 +99,43 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mixing": MIXING_SQL, "op6_warc": WARC_SQL}
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+h AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS hex FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first_id FROM h)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST((CAST(('0x' || substr(hex, CAST(1 + 5 * (i // 4) AS INTEGER), 5)) AS BIGINT) >> CAST(5 * (3 - i % 4) AS BIGINT)) & 31 AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+MIXING_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    0.1 + coalesce(length(regexp_replace(text, '[^\p{Ll}]', '', 'g')) / CAST(greatest(length(text), 1) AS DOUBLE), 0.0) AS w,
+    (CAST(('0x' || substr(md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0 AS u
+  FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+o AS (SELECT source, source_size, [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM s),
+fill AS (
+  SELECT 0 AS round, source, source_size, weight, false AS capped,
+    1.5 * sum(source_size) OVER () * weight / sum(weight) OVER () AS share FROM o
+  UNION ALL
+  SELECT round + 1, source, source_size, weight, capped OR share > 2.0 * source_size,
+    CASE WHEN capped OR share > 2.0 * source_size THEN 2.0 * source_size
+      ELSE (1.5 * sum(source_size) OVER () - sum(CASE WHEN capped OR share > 2.0 * source_size THEN 2.0 * source_size ELSE 0 END) OVER ())
+        * weight / nullif(sum(CASE WHEN capped OR share > 2.0 * source_size THEN 0 ELSE weight END) OVER (), 0) END
+  FROM fill WHERE round < 60),
+t AS (SELECT source, source_size, CAST(share AS DOUBLE) AS target FROM fill WHERE round = 60),
+e AS (SELECT source, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE CAST(floor(target / source_size) AS BIGINT) END AS epochs FROM t),
+r AS (SELECT d.doc_id, d.size, e.source_size, e.target, e.epochs,
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY -ln(d.u) / d.w, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS upto,
+    e.target - e.epochs * e.source_size AS rest
+  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target, CAST(size * (epochs + CASE WHEN upto - size / 2.0 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
+"""
