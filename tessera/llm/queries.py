@@ -34,7 +34,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         ranked = F.array_sort(F.transform(spans, lambda s: F.struct(F.array_position(order, s["kind"]).alias("k"), s["start"].alias("s"), s["end"].alias("e"), s["kind"].alias("n"))))
         return F.array_join(F.transform(ranked, lambda s: F.concat_ws(":", s["n"], s["s"].cast("string"), s["e"].cast("string"))), ",")
 
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    def counted(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [counted(k) for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "more")).alias("spans"))
 
 
@@ -107,7 +110,7 @@ WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
 h AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS hex FROM p),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first_id FROM h)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
-  array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     1 + CAST((CAST(('0x' || substr(hex, CAST(1 + 5 * (i // 4) AS INTEGER), 5)) AS BIGINT) >> CAST(5 * (3 - i % 4) AS BIGINT)) & 31 AS INTEGER), 1)), '') AS payload_digest,
   CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id > first_id THEN first_id END AS refers_to
