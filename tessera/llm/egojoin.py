@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .jaccard import spanning_pairs
 from .shared import connected_components, written
 
 LEAD = 8
@@ -66,27 +67,6 @@ def join_intervals(x: np.ndarray, px: np.ndarray, y: np.ndarray, py: np.ndarray,
             todo += [(a, b, c, m), (a, b, m, d)]
 
 
-def spanning(hit: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (node, smallest node of its component) that connect the same nodes as all pairs in ``hit``."""
-    i, j = np.nonzero(hit)
-    if not len(i):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    nodes, at = np.unique(np.concatenate([ids_a[i], ids_b[j]]), return_inverse=True)
-    u, v = at[: len(i)], at[len(i) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[u], label[v])
-        new = label.copy()
-        np.minimum.at(new, u, low)
-        np.minimum.at(new, v, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    on = label != np.arange(len(nodes))
-    return nodes[on], nodes[label[on]]
-
-
 def near_vectors(embeddings: DataFrame, least: float = 0.9, sample: int = 2000) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``embeddings`` (vec_id, embedding).
 
@@ -196,7 +176,8 @@ def near_vectors(embeddings: DataFrame, least: float = 0.9, sample: int = 2000)
                     near_a, near_b = hit @ mult.astype(np.float64), x[1].astype(np.float64) @ hit
                     who, links = np.concatenate([x[0], ids]), np.concatenate([near_a, near_b]).astype(np.int64)
                     on = links > 0
-                    s, t = spanning(hit, x[0], ids)
+                    i, j = np.nonzero(hit)
+                    s, t = spanning_pairs(x[0][i], ids[j])
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([who[on], s])), pa.array(np.concatenate([links[on], np.zeros(len(s), np.int64)])), pa.array(np.concatenate([np.full(int(on.sum()), -1), t]), from_pandas=False, mask=np.concatenate([np.ones(int(on.sum()), bool), np.zeros(len(s), bool)]))], names=["id", "links", "root"])
 
     found = written(tasks.mapInArrow(link, "id long, links long, root long"), "egolinks")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, egojoin, mixing, pii, quality, toxicity, warc
+from . import audio, egojoin, jaccard, mixing, pii, quality, toxicity, warc
 from .samples import remainder
 from .shared import scratch
 
@@ -25,6 +25,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, [3.0, 1.0, 2.0], 1.5, 2.0).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_documents(table(spark, sf_dir, "documents", "doc_id", "text"), 0.8)
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     found = pii.detect_pii(docs, pii.train_pii(docs))
