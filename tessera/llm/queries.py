@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, egojoin, jaccard, mixing, packing, pii, quality, tokens, toxicity, warc
+from . import audio, egojoin, jaccard, lmscore, mixing, packing, pii, quality, tokens, toxicity, warc
 from .samples import remainder
 from .shared import scratch
 
@@ -105,6 +105,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), tokens.vocabulary())
 
 
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    path = tokens.vocabulary()
+    return lmscore.score_documents(docs, lmscore.train_lm(docs, path), path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
