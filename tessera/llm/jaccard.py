@@ -2,9 +2,9 @@
 
 A document is the set of its five-word shingles (ASCII case folded; fewer words form one shingle). Sets are split
 recursively on sampled shared tokens: in each run a set follows every token whose hash under the path so far is below
-``1 / (threshold * size)``, so two similar sets share a path with a probability that does not depend on the corpus.
-Paths depend on the set alone, so all levels are found in one pass over the texts; a bucket is then the first level at
-which few enough sets share a path, and buckets that stay large at the last level are compared in blocks, in full.
+``1 / (threshold * size)``, so two similar sets share a path with a probability that does not depend on the corpus. A bucket is the first level at which few enough sets share a path; sets in larger buckets are
+split further in a second pass over their texts, and buckets that stay large at the last level are compared in blocks,
+in full.
 Runs are repeated until the target recall. Pairs in a bucket are screened by a min-hash sketch with a wide margin and
 joined into candidate components; within each component all pairs are compared exactly on the whole shingle sets.
 
@@ -31,7 +31,7 @@ WORDS = 5
 LEVELS = 3
 SKETCH = 64
 SCREEN = 0.2  # candidates have an estimated similarity of at least threshold - SCREEN: four standard errors
-SMALL = 50
+SMALL = 400
 BLOCK = 1024
 EXACT_BLOCK = 512
 #: Above so many ids they are joined by a shuffle instead of a broadcast (16 MB of ids).
@@ -300,33 +300,44 @@ def near_documents(documents: DataFrame, threshold: float = 0.8, recall: float =
             f1, f2 = fingerprints(tokens, bounds)
             tight = np.append(bounds[:-1][some], bounds[-1])
             rows = sketches(tokens, tight) if len(some) else np.zeros((0, SKETCH), np.uint16)
-            who, level, parent, node = paths(tokens, tight, threshold, runs)
+            who, _, _, node = paths(tokens, tight, threshold, runs, 1)
             order = np.argsort(who, kind="stable")
-            node_t = pa.StructArray.from_arrays([pa.array(x[order]) for x in (level, parent.astype(np.int64), node.astype(np.int64))], names=["level", "parent", "node"])
             per = np.zeros(len(size) + 1, np.int64)
             per[1 + some] = np.bincount(who, minlength=len(some))
             wide = np.concatenate(([0], np.cumsum((size > 0) * 2 * SKETCH))).astype(np.int32)
             sketch = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(wide), pa.py_buffer(np.ascontiguousarray(rows))])
-            nodes = pa.ListArray.from_arrays(pa.array(np.cumsum(per).astype(np.int32)), node_t)
+            nodes = pa.ListArray.from_arrays(pa.array(np.cumsum(per).astype(np.int32)), pa.array(node[order].astype(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size.astype(np.int32)), pa.array(f1), pa.array(f2), sketch, nodes], names=["id", "n", "f1", "f2", "sketch", "nodes"])
 
-    base = written(docs.mapInArrow(describe, "id long, n int, f1 long, f2 long, sketch binary, nodes array<struct<level:tinyint,parent:long,node:long>>"), "jaccard")
+    base = written(docs.mapInArrow(describe, "id long, n int, f1 long, f2 long, sketch binary, nodes array<long>"), "jaccard")
     full = base.where("n > 0")
     reps = written(full.groupBy("f1", "f2", "n").agg(F.min("id").alias("id"), F.count("*").alias("mult"), F.any_value("sketch").alias("sketch"), F.any_value("nodes").alias("nodes")), "jaccardsets")
     # One id may stand for several sets where rows repeat an id with other texts; sets are told apart by fingerprint.
     reps = reps.withColumn("key", F.xxhash64("f1", "f2", "n"))
 
-    steps = reps.select("key", F.explode("nodes").alias("s")).select("key", "s.*")
-    leaves, above = [], None
+    def deeper(batches):
+        for batch, texts in small_passes(batches):
+            tokens, bounds = shingle_sets(texts, words)
+            f1, f2 = fingerprints(tokens, bounds)
+            some = np.flatnonzero(np.diff(bounds))
+            who, level, parent, node = paths(tokens, np.append(bounds[:-1][some], bounds[-1]), threshold, runs)
+            who, parent, node, level = (x[level > 1] for x in (some[who], parent, node, level))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), pa.array(f1[who]), pa.array(f2[who]), pa.array(level), pa.array(parent.astype(np.int64)), pa.array(node.astype(np.int64))], names=["id", "f1", "f2", "level", "parent", "node"])
+
+    here = reps.select("key", F.explode("nodes").alias("node"))
+    leaves = []
     for level in range(1, LEVELS + 1):
-        here = steps.where(F.col("level") == level).select("key", "parent", "node")
-        if above is not None:
-            here = here.join(above.select(F.col("node").alias("parent")), "parent", "left_semi")
-        counts = here.groupBy("node").agg(F.count("*").alias("c")).where("c > 1")
-        counts = written(counts, f"jaccardlevel{level}")
-        above = counts.where(F.col("c") > SMALL)
-        done = counts if level == LEVELS else counts.where(F.col("c") <= SMALL)
-        leaves.append(here.select("key", "node").join(done, "node"))
+        counts = written(here.groupBy("node").agg(F.count("*").alias("c")).where("c > 1"), f"jaccardlevel{level}")
+        leaves.append(here.join(counts if level == LEVELS else counts.where(F.col("c") <= SMALL), "node").select("key", "node", "c"))
+        above = counts.where(F.col("c") > SMALL).select(F.col("node").alias("parent"))
+        if level == LEVELS or above.isEmpty():
+            break
+        if level == 1:  # only sets in large buckets are split further, in a second pass over their texts
+            large = here.join(above.withColumnRenamed("parent", "node"), "node", "left_semi").select("key").distinct()
+            large = reps.join(large, "key", "left_semi").select("id", "f1", "f2", "key")
+            deep = join_ids(docs, large.select("id").distinct(), "id", "left_semi").mapInArrow(deeper, "id long, f1 long, f2 long, level byte, parent long, node long")
+            deep = written(deep.join(large, ["id", "f1", "f2"]).select("key", "level", "parent", "node").distinct(), "jaccarddeep")
+        here = deep.where(F.col("level") == level + 1).join(above, "parent", "left_semi").select("key", "node")
     leaf = leaves[0]
     for x in leaves[1:]:
         leaf = leaf.unionByName(x)
