@@ -186,8 +186,8 @@ def arranged(df: DataFrame, parts: int) -> DataFrame:
     return df.repartition(parts, "g").sortWithinPartitions("g", "side")
 
 
-def join_ids(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
-    """Join with a table of ids: broadcast where its counted size is bounded, a shuffle join beyond."""
+def join_ids(df: DataFrame, ids: DataFrame, on: str | list[str], how: str) -> DataFrame:
+    """Join with a narrow table of ids or hashes: broadcast where its counted size is bounded, a shuffle join beyond."""
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
 
 
@@ -324,25 +324,26 @@ def near_documents(documents: DataFrame, threshold: float = 0.8, recall: float =
             who, parent, node, level = (x[level > 1] for x in (some[who], parent, node, level))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), pa.array(f1[who]), pa.array(f2[who]), pa.array(level), pa.array(parent.astype(np.int64)), pa.array(node.astype(np.int64))], names=["id", "f1", "f2", "level", "parent", "node"])
 
-    here = reps.select("key", F.explode("nodes").alias("node"))
+    light = reps.select("key", "n", "sketch")
+    here = reps.select("key", "n", "sketch", F.explode("nodes").alias("node"))
     leaves = []
     for level in range(1, LEVELS + 1):
         counts = written(here.groupBy("node").agg(F.count("*").alias("c")).where("c > 1"), f"jaccardlevel{level}")
-        leaves.append(here.join(counts if level == LEVELS else counts.where(F.col("c") <= SMALL), "node").select("key", "node", "c"))
+        leaf = join_ids(here, counts if level == LEVELS else counts.where(F.col("c") <= SMALL), "node", "inner")
+        leaves.append((leaf if level == 1 else leaf.join(light, "key")).select("key", "n", "sketch", "node", "c"))
         above = counts.where(F.col("c") > SMALL).select(F.col("node").alias("parent"))
         if level == LEVELS or above.isEmpty():
             break
         if level == 1:  # only sets in large buckets are split further, in a second pass over their texts
-            large = here.join(above.withColumnRenamed("parent", "node"), "node", "left_semi").select("key").distinct()
-            large = reps.join(large, "key", "left_semi").select("id", "f1", "f2", "key")
+            large = join_ids(here.select("key", "node"), above.withColumnRenamed("parent", "node"), "node", "left_semi").select("key").distinct()
+            large = written(join_ids(reps, large, "key", "left_semi").select("id", "f1", "f2", "key"), "jaccardlarge")
             deep = join_ids(docs, large.select("id").distinct(), "id", "left_semi").mapInArrow(deeper, "id long, f1 long, f2 long, level byte, parent long, node long")
-            deep = written(deep.join(large, ["id", "f1", "f2"]).select("key", "level", "parent", "node").distinct(), "jaccarddeep")
-        here = deep.where(F.col("level") == level + 1).join(above, "parent", "left_semi").select("key", "node")
+            deep = written(join_ids(deep, large, ["id", "f1", "f2"], "inner").select("key", "level", "parent", "node"), "jaccarddeep")
+        here = written(join_ids(deep.where(F.col("level") == level + 1), above, "parent", "left_semi").select("key", "node"), "jaccardhere")
     leaf = leaves[0]
     for x in leaves[1:]:
         leaf = leaf.unionByName(x)
-    light = reps.select("key", "n", "sketch")
-    cand = blocked(leaf, F.col("node"), F.col("c"), BLOCK, F.col("key")).select("g", "side", "key").join(light, "key").select("g", "side", "key", "n", "sketch")
+    cand = blocked(leaf, F.col("node"), F.col("c"), BLOCK, F.col("key")).select("g", "side", "key", "n", "sketch")
     edges = arranged(cand, parts).mapInArrow(screen(threshold), "a long, b long")
     members = connected_components(edges).select(F.col("node").alias("key"), F.col("component").alias("comp"))
     sizes = members.groupBy("comp").agg(F.count("*").alias("c"))
@@ -359,7 +360,7 @@ def near_documents(documents: DataFrame, threshold: float = 0.8, recall: float =
 
     tokens = join_ids(docs, wanted, "id", "left_semi").mapInArrow(sets, "id long, f1 long, f2 long, tokens binary")
     known = members.select("id", "f1", "f2", "key", "mult", "comp", "c")
-    tokens = tokens.join(known, ["id", "f1", "f2"])
+    tokens = join_ids(tokens, known, ["id", "f1", "f2"], "inner")
     pairs = blocked(tokens, F.col("comp"), F.col("c"), EXACT_BLOCK, F.col("key")).select("g", "side", "key", "mult", "tokens")
     found = written(arranged(pairs, 4 * parts).mapInArrow(verify(threshold), "id long, links long, root long"), "jaccardlinks")
     links = found.where("root is null").groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "key")
