@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from . import audio, egojoin, jaccard, lmscore, mixing, packing, pii, quality, tokens, toxicity, warc
 from .samples import remainder
-from .shared import scratch
+from .shared import bound_batches, scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 

@@ -6,6 +6,7 @@ array, so no Python object is made per word. Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -112,6 +113,15 @@ def ngrams(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, n
     return mix(out[whole]), owner[:m][whole]
 
 
+def release() -> None:
+    """Give freed memory of this worker back to the system; idle workers then hold little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not a GNU C library
+        pass
+
+
 def passes(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = PASS_BYTES) -> Iterator[tuple[pa.RecordBatch, Texts]]:
     """Cut record batches into passes of about ``size`` bytes of text each; no text is cut."""
     for batch in batches:
@@ -125,6 +135,8 @@ def passes(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             lo, hi = texts.offsets[at], texts.offsets[to]
             yield batch.slice(at, to - at), Texts(texts.buf[lo:hi], texts.offsets[at : to + 1] - lo)
             at = to
+        del batch, texts
+    release()
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
