@@ -124,10 +124,12 @@ def char_ngrams(c: Column, low: int = 3, high: int = 5) -> Column:
     """All n-grams of each word padded by one space on both sides; a word no longer than n gives itself once."""
     padded = F.transform(F.filter(F.split(normalize_for_matching(c), " "), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
+    def of(w: Column, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(n)))
+
     def grams(w: Column) -> Column:
-        parts = [F.when(F.lit(n) == low, True).otherwise(F.length(w) >= n) for n in range(low, high + 1)]
-        per = [F.when(ok, F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i, n=n: F.substring(w, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n, ok in zip(range(low, high + 1), parts, strict=True)]
-        return F.concat(*per)
+        none = F.array().cast("array<string>")
+        return F.concat(*(of(w, n) if n == low else F.when(F.length(w) >= n, of(w, n)).otherwise(none) for n in range(low, high + 1)))
 
     return F.flatten(F.transform(padded, grams))
 

@@ -24,9 +24,14 @@ def unit(a: Column) -> Column:
 
 def trigram_buckets(text: Column) -> Column:
     """Bucket (last byte of the md5) of each character trigram of the padded, normalised text."""
-    t = F.concat(F.lit(" "), normalize_for_matching(text), F.lit(" "))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3)))
-    return F.transform(grams, lambda g: F.conv(F.substring(F.md5(g.cast("binary")), 31, 2), 16, 10).cast("int"))
+    padded = F.concat(F.lit(" "), normalize_for_matching(text), F.lit(" "))
+
+    def bucket(t: Column, i: Column) -> Column:
+        return F.conv(F.substring(F.md5(F.substring(t, i, F.lit(3)).cast("binary")), 31, 2), 16, 10).cast("int")
+
+    # Bound as a lambda variable, the normalised text is evaluated once and not for every trigram.
+    each = F.transform(F.array(padded), lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: bucket(t, i)))
+    return F.flatten(each)
 
 
 def trigram_encoder(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -52,7 +52,8 @@ def unit_rows(rows: DataFrame, key: str) -> DataFrame:
 
 def vocabulary(texts: DataFrame, text: str = "embed_text") -> DataFrame:
     """Distinct words and light stems of two letters or more, with ln((N+1)/(df+1)) + 1 over the texts."""
-    each = texts.select(F.monotonically_increasing_id().alias("i"), F.explode(F.array_distinct(words(F.col(text)))).alias("w"))
+    numbered = texts.select(F.monotonically_increasing_id().alias("i"), F.array_distinct(words(F.col(text))).alias("ws"))
+    each = numbered.select("i", F.explode("ws").alias("w"))
     each = each.select("i", F.explode(F.array_distinct(F.array("w", light_stem(F.col("w"))))).alias("word")).where(F.length("word") >= 2).distinct()
     n = texts.agg(F.count("*").alias("n"))
     return each.groupBy("word").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("word", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
