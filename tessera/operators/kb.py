@@ -72,21 +72,21 @@ def greedy_first_wins(rows: DataFrame, order: str, key_a: str, key_b: str, name:
     drops the rows that share a key with a kept one; undecided rows shrink every round. Keys meet by shuffle, so no
     group has to fit one task.
     """
-    todo = cut(rows.select(F.col(order).alias("o"), F.col(key_a).alias("a"), F.col(key_b).alias("b"), F.col(name).alias("n")))
-    decided = None
+    start = cut(rows.select(F.col(order).alias("o"), F.col(key_a).alias("a"), F.col(key_b).alias("b"), F.col(name).cast("string").alias("n")))
+    todo, won = start, start.where("false")
     while not todo.isEmpty():
         first_a = todo.groupBy("a").agg(F.min("o").alias("fa"))
         first_b = todo.groupBy("b").agg(F.min("o").alias("fb"))
         ranked = todo.join(first_a, "a").join(first_b, "b")
         kept = cut(ranked.where((F.col("o") == F.col("fa")) & (F.col("o") == F.col("fb"))).select("o", "a", "b", "n"))
-        rest = todo.join(kept.select("o"), "o", "left_anti")
-        by_a, by_b = kept.select("a", F.col("n").alias("na")), kept.select("b", F.col("n").alias("nb"))
-        met = cut(rest.join(by_a, "a", "left").join(by_b, "b", "left").select("o", "a", "b", "n", F.coalesce("na", "nb").alias("by")))
-        new = kept.select("o", F.lit(None).cast("string").alias("by")).unionByName(met.where("by is not null").select("o", F.col("by").cast("string").alias("by")))
-        decided = new if decided is None else decided.unionByName(new)
-        todo = met.where("by is null").select("o", "a", "b", "n")
-    if decided is None:
-        return rows.withColumn("kept_by", F.lit(None).cast("string"))
+        won = won.unionByName(kept)
+        todo = cut(todo.join(kept.select("a"), "a", "left_anti").join(kept.select("b"), "b", "left_anti").select("o", "a", "b", "n"))
+    # The row that dropped another one is named once all are decided: kept, earlier, and at most one for each key.
+    won = cut(won)
+    rest = start.join(won.select("o"), "o", "left_anti")
+    earlier = lambda key: won.select(F.col(key).alias(f"k{key}"), F.col("o").alias(f"o{key}"), F.col("n").alias(f"n{key}"))
+    named = rest.join(earlier("a"), (F.col("a") == F.col("ka")) & (F.col("oa") < F.col("o")), "left").join(earlier("b"), (F.col("b") == F.col("kb")) & (F.col("ob") < F.col("o")), "left")
+    decided = named.select("o", F.coalesce("na", "nb").alias("by")).unionByName(won.select("o", F.lit(None).cast("string").alias("by")))
     return rows.join(decided.select(F.col("o").alias(order), F.col("by").alias("kept_by")), order)
 
 
