@@ -24,6 +24,10 @@ from .textarrays import ALNUM, LOWER, Texts, passes
 
 BITS = 20
 WINDOW = 5
+#: Bytes of text in one pass: each byte starts a window, so passes are small.
+PASS = 1 << 19
+#: Least z-score of a feature between the confirmed and the unlabelled texts.
+LEAST_Z = 4.0
 FLAT = np.where(ALNUM, LOWER, 32).astype(np.uint8)
 
 
@@ -68,7 +72,7 @@ def presence(texts: Texts, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pair // len(keys), pair % len(keys)
 
 
-def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 500, rate: float = 0.05, decay: float = 1e-4, beta: float = 0.0) -> tuple[np.ndarray, float]:
+def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 500, rate: float = 0.05, decay: float = 1e-3, beta: float = 0.0) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk over dense rows ``p`` (positive) and ``u`` (unlabelled)."""
     d = p.shape[1]
     w, b = np.zeros(d), float(np.log(prior / (1 - prior)))
@@ -93,7 +97,7 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, max_positive: int =
     """Fit on at most ``max_positive`` confirmed toxic and ``max_unlabelled`` unlabelled training texts.
 
     Both bounds are on ids in the order of their hash; rows whose crc32 remainder is ``hold`` are never read.
-    ``words`` hashed features that differ most between the two samples become features.
+    At most ``words`` hashed features that differ most between the two samples, and surely, are used.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", mod) != hold))
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
@@ -124,7 +128,7 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, max_positive: int =
     np_, nu = int(is_p.sum()), int(is_u.sum())
     mean = (cp + cu) / (np_ + nu)
     z = np.abs(cp / np_ - cu / nu) / np.sqrt(np.maximum(mean * (1 - mean), 1e-9) * (1 / np_ + 1 / nu))
-    z[mean * (np_ + nu) < 3] = 0
+    z[(mean * (np_ + nu) < 3) | (z < LEAST_Z)] = 0
     keys = np.sort(np.argsort(-z, kind="stable")[:words])
     keys = keys[z[keys] > 0]
     if not len(keys):
@@ -144,7 +148,7 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel, score: str = "sco
     schema = documents.schema if drop_from is not None else documents.select("*", F.lit(0.0).alias(score)).schema
 
     def run(batches):
-        for batch, texts in passes(batches):
+        for batch, texts in passes(batches, size=PASS):
             s = model.scores(texts)
             if drop_from is None:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*batch.schema.names, score])
