@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text that one pass holds at once; longer single texts form a pass of their own.
-PASS_BYTES = 1 << 21
+PASS_BYTES = 1 << 20
 
 
 def _table(inside) -> np.ndarray:
