@@ -47,17 +47,17 @@ def close(lo_a, hi_a, lo_b, hi_b, eps2: float) -> bool:
     return float(gap @ gap) <= eps2
 
 
-def join_intervals(x: np.ndarray, px: np.ndarray, y: np.ndarray, py: np.ndarray, least: float, same: bool, hit: np.ndarray) -> None:
+def join_intervals(x: np.ndarray, px: np.ndarray, y: np.ndarray, py: np.ndarray, least: float, same: bool, hit: np.ndarray, leaf: int = LEAF) -> None:
     """Mark in ``hit`` all pairs of rows of ``x`` and ``y`` with cosine >= ``least``; ``px``, ``py`` are leading coordinates."""
     eps2 = 2 - 2 * least + 1e-9
     todo = [(0, len(x), 0, len(y))]
     while todo:
         a, b, c, d = todo.pop()
-        if same and c >= b or a >= b or c >= d:
+        if same and d <= a or a >= b or c >= d:
             continue
         if not close(px[a:b].min(0), px[a:b].max(0), py[c:d].min(0), py[c:d].max(0), eps2):
             continue
-        if b - a <= LEAF and d - c <= LEAF:
+        if b - a <= leaf and d - c <= leaf:
             hit[a:b, c:d] = x[a:b] @ y[c:d].T >= least
         elif b - a >= d - c:
             m = (a + b) // 2
@@ -67,13 +67,16 @@ def join_intervals(x: np.ndarray, px: np.ndarray, y: np.ndarray, py: np.ndarray,
             todo += [(a, b, c, m), (a, b, m, d)]
 
 
-def near_vectors(embeddings: DataFrame, least: float = 0.9, sample: int = 2000) -> DataFrame:
+def near_vectors(embeddings: DataFrame, least: float = 0.9, sample: int = 2000, block: int = BLOCK, leaf: int = LEAF) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``embeddings`` (vec_id, embedding).
 
-    ``sample`` bounds the vectors that fit the principal directions; all rows are joined.
+    ``sample`` bounds the vectors that fit the principal directions; all rows are joined. Blocks hold ``block`` rows,
+    intervals of at most ``leaf`` rows are compared in full.
     """
     spark = embeddings.sparkSession
-    rows = embeddings.select("vec_id", "embedding")
+    single = embeddings.schema["embedding"].dataType.simpleString() == "array<float>"
+    rows = embeddings.select("vec_id", F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"))
+    stored = np.float32 if single else np.float64  # blocks carry the values as they are; cosines are double all the same
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
     valid = F.coalesce(fine, F.lit(False)) & F.col("vec_id").isNotNull()
     good = rows.where(valid)
@@ -104,7 +107,7 @@ def near_vectors(embeddings: DataFrame, least: float = 0.9, sample: int = 2000)
     vtype = reps.schema["embedding"].dataType.simpleString()
     order = ["d", *(f"c{k}" for k in range(GRID)), "id"]
     laid = reps.mapInArrow(cells, f"embedding {vtype}, id long, mult long, d int, " + ", ".join(f"c{k} long" for k in range(GRID)))
-    laid = laid.repartitionByRange(max(1, n // (4 * BLOCK)), *order).sortWithinPartitions(*order)
+    laid = laid.repartitionByRange(max(1, n // (4 * block)), *order).sortWithinPartitions(*order)
 
     def blocks(batches):
         part, serial = TaskContext.get().partitionId(), 0
@@ -114,7 +117,7 @@ def near_vectors(embeddings: DataFrame, least: float = 0.9, sample: int = 2000)
         def flush():
             nonlocal held, serial
             ids, mult, x = (np.concatenate(c) for c in zip(*held, strict=True))
-            p = project(x)
+            p = project(unit(x.astype(float)))
             grid = np.unique(np.floor(p[:, :2] / eps).astype(np.int64), axis=0)
             out = {"block": [part << 24 | serial], "d": [width], "lo": [p.min(0).tolist()], "hi": [p.max(0).tolist()], "cells": [[f"{a},{b}" for a, b in grid.tolist()]], "ids": [ids.tobytes()], "mult": [mult.tobytes()], "vectors": [x.tobytes()]}
             held, serial = [], serial + 1
@@ -128,12 +131,12 @@ def near_vectors(embeddings: DataFrame, least: float = 0.9, sample: int = 2000)
                     yield flush()
                 width = int(size[at])
                 run = int(np.argmax(size[at:] != width)) if (size[at:] != width).any() else batch.num_rows - at
-                take = min(run, BLOCK - sum(len(h[0]) for h in held))
+                take = min(run, block - sum(len(h[0]) for h in held))
                 piece = batch.slice(at, take)
-                x = unit(np.array(piece.column(0).flatten(), float).reshape(-1, width))
+                x = np.array(piece.column(0).flatten(), stored).reshape(-1, width)
                 held.append((np.array(piece.column(1)), np.array(piece.column(2)), x))
                 at += take
-                if sum(len(h[0]) for h in held) >= BLOCK:
+                if sum(len(h[0]) for h in held) >= block:
                     yield flush()
         if held:
             yield flush()
@@ -164,12 +167,12 @@ def near_vectors(embeddings: DataFrame, least: float = 0.9, sample: int = 2000)
             for r in range(batch.num_rows):
                 a, b, d = batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), batch.column(2)[r].as_py()
                 ids, mult = (np.frombuffer(batch.column(c)[r].as_py(), np.int64) for c in (3, 4))
-                v = np.frombuffer(batch.column(5)[r].as_py(), float).reshape(-1, d)
+                v = unit(np.frombuffer(batch.column(5)[r].as_py(), stored).reshape(-1, d).astype(float))
                 if b < 0:
                     x = (ids, mult, v, project(v))
                     continue
                 hit = np.zeros((len(x[0]), len(ids)), bool)
-                join_intervals(x[2], x[3], v, project(v), least, a == b, hit)
+                join_intervals(x[2], x[3], v, project(v), least, a == b, hit, leaf)
                 if a == b:
                     hit = np.triu(hit, 1)
                 if hit.any():

@@ -23,16 +23,14 @@ def brute(rows, least=0.9):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block, leaf", [(2048, 256), (16, 4)])
-def test_against_brute_force(spark, monkeypatch, block, leaf):
-    monkeypatch.setattr(egojoin, "BLOCK", block)
-    monkeypatch.setattr(egojoin, "LEAF", leaf)
+@pytest.mark.parametrize("block, leaf", [(2048, 256), (2048, 4), (16, 4)])
+def test_against_brute_force(spark, block, leaf):
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((12, 8))
     rows = [(int(i), (centres[rng.integers(12)] + 0.25 * rng.standard_normal(8)).astype(np.float32).tolist()) for i in range(150)]
     rows += [(200 + k, rows[0][1]) for k in range(20)] + [(230, [0.0] * 8), (231, None), (232, [float("nan")] + [1.0] * 7), (233, [None] + [1.0] * 7), (234, [1.0, 2.0]), (235, [2.0, 4.0]), (236, []), (200, rows[0][1]), (240, [float("inf")] + [0.0] * 7)]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, n_links string")
-    got = sorted(map(tuple, egojoin.near_vectors(df).collect()))
+    got = sorted(map(tuple, egojoin.near_vectors(df, block=block, leaf=leaf).collect()))
     assert got == brute(rows)
 
 
