@@ -60,3 +60,22 @@ def response_mode(status: Column, related: Column, answerable: Column, in_scope:
     """Mode after downgrades: out of scope or unanswerable proposals fall back, partial ones are marked."""
     base = F.when(status == "answered", "grounded_answer").when(status == "tentative", "possible_match").when(related, "related_services").otherwise("insufficient_evidence")
     return F.when(~in_scope, "insufficient_evidence").when(answerable == "none", F.when(related, "related_services").otherwise("insufficient_evidence")).when(answerable == "partial", "partial_answer").otherwise(base)
+
+
+REPLY = "answerable string, direct_answer struct<text:string,evidence:array<string>>, sections array<struct<key:string,points:array<struct<text:string,evidence:array<string>>>>>, not_verified array<string>, follow_ups array<string>"
+
+
+def parse_reply(raw: Column) -> Column:
+    """The object in a model's reply, with or without a code fence or prose around it; null where there is none."""
+    body = F.regexp_extract(F.coalesce(raw, F.lit("")), r"(?s)\{.*\}", 0)
+    return F.when(F.try_parse_json(body).isNotNull() & (body != ""), F.from_json(body, REPLY))
+
+
+def claims_of_replies(replies: DataFrame) -> DataFrame:
+    """(query_id, claim_id, section, text, evidence) of replies (query_id, reply): direct answers and known sections' points."""
+    r = replies.select("query_id", parse_reply(F.col("reply")).alias("r")).where("r is not null")
+    direct = F.array(F.struct(F.lit("direct").alias("section"), F.col("r.direct_answer.text").alias("text"), F.col("r.direct_answer.evidence").alias("evidence")))
+    known = F.filter(F.coalesce("r.sections", F.array().cast("array<struct<key:string,points:array<struct<text:string,evidence:array<string>>>>>")), lambda s: s["key"].isin(*fixed.CLAIM_SECTIONS))
+    points = F.flatten(F.transform(known, lambda s: F.transform(s["points"], lambda p: F.struct(s["key"].alias("section"), p["text"].alias("text"), p["evidence"].alias("evidence")))))
+    rows = r.select("query_id", F.posexplode(F.concat(F.when(F.col("r.direct_answer").isNotNull(), direct).otherwise(F.slice(direct, 1, 0)), points)).alias("pos", "c"))
+    return rows.select("query_id", F.concat_ws("-", F.col("query_id").cast("string"), F.col("pos").cast("string")).alias("claim_id"), "c.*")

@@ -168,3 +168,17 @@ def select_config(summaries: DataFrame, *tie_break: Column) -> DataFrame:
 def changed_answers(a: DataFrame, b: DataFrame) -> DataFrame:
     """(query_id, before, after) where two runs put different services first."""
     return a.select("query_id", F.col("top1_service_id").alias("before")).join(b.select("query_id", F.col("top1_service_id").alias("after")), "query_id").where("before <> after")
+
+
+def benchmark_rows(families: DataFrame, unsupported: DataFrame, cycle: tuple[str, ...] = ("dev", "val", "test", "test", "dev"), prefix: str = "v2q") -> DataFrame:
+    """Flat benchmark of supported families and unsupported questions, numbered ``v2q001`` on in input order.
+
+    ``families`` is (ord, family, split, expected_source, expected_title, acceptable, questions array of struct(language,
+    style, query)); all wordings of a family share its split. ``unsupported`` is (ord, language, style, query); splits
+    go round by ``cycle``.
+    """
+    sup = families.select("ord", "family", "split", "expected_source", "expected_title", "acceptable", F.posexplode("questions").alias("pos", "q")).select(F.lit(0).alias("part"), "ord", "pos", "family", "split", F.col("q.query").alias("query"), F.col("q.language").alias("language"), F.col("q.style").alias("style"), F.lit(1).alias("supported"), "expected_source", "expected_title", "acceptable")
+    i = F.row_number().over(Window.orderBy("ord")) - 1  # a benchmark's questions: hundreds
+    uns = unsupported.withColumn("i", i).select(F.lit(1).alias("part"), "ord", F.lit(0).alias("pos"), F.concat(F.lit("unsupported-"), F.lpad(F.col("i").cast("string"), 2, "0")).alias("family"), F.element_at(F.array(*(F.lit(c) for c in cycle)), F.col("i") % len(cycle) + 1).alias("split"), "query", "language", "style", F.lit(0).alias("supported"), *(F.lit("").alias(c) for c in ("expected_source", "expected_title", "acceptable")))
+    n = F.row_number().over(Window.orderBy("part", "ord", "pos"))
+    return sup.unionByName(uns).withColumn("query_id", F.concat(F.lit(prefix), F.lpad(n.cast("string"), 3, "0"))).drop("part", "ord", "pos")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import char_ngrams, light_stem, tokenize, words
+from ..functions.vectors import unit
 
 
 def term_counts(texts: DataFrame, key: str, terms) -> DataFrame:
@@ -71,3 +72,29 @@ def static_encode(texts: DataFrame, table: DataFrame, key: str, text: str) -> Da
     dims = hit.select(key, F.col("e.idf").alias("idf"), F.posexplode("e.vec").alias("dim", "x")).groupBy(key, "dim").agg(F.sum(F.col("idf") * F.col("x")).alias("v"))
     length = dims.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("l"))
     return dims.join(length, key).select(key, "dim", F.when(F.col("l") > 0, F.col("v") / F.col("l")).otherwise(0.0).alias("v"))
+
+
+def remove_common(table: DataFrame, k: int = 1, sample: int = 20_000) -> DataFrame:
+    """``table`` (word, vec) centred, without its ``k`` leading common directions, as unit vectors.
+
+    Mean and directions are fitted on at most ``sample`` words in order; the projection is a native expression.
+    """
+    import numpy as np
+
+    dims = table.select(F.posexplode("vec").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").collect()  # one row per dimension
+    mean = np.array([r.m for r in dims])
+    v = np.array([r.vec for r in table.orderBy("word").limit(sample).select("vec").collect()]) - mean
+    u = np.linalg.svd(v, full_matrices=False)[2][:k]
+    lit = lambda row: F.array(*(F.lit(float(x)) for x in row))
+    out = F.zip_with("vec", lit(mean), lambda a, b: a.cast("double") - b)
+    rows = table.withColumn("vec", out)
+    for row in u:
+        d = F.aggregate(F.zip_with("vec", lit(row), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+        rows = rows.withColumn("_d", d).withColumn("vec", F.zip_with("vec", F.transform(lit(row), lambda x: x * F.col("_d")), lambda a, b: a - b)).drop("_d")
+    return rows.withColumn("vec", unit(F.col("vec")))
+
+
+def lexicon_words(spark) -> DataFrame:
+    """Distinct words of the expansion rules, to be united with a corpus vocabulary."""
+    rows = [(t.replace("|", " "),) for pair in (*fixed.EXPAND_EN, *fixed.EXPAND_AR) for t in pair]
+    return spark.createDataFrame(rows, "t string").select(F.explode(words(F.col("t"))).alias("word")).distinct()
