@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 A linear classifier over the presence of hashed words and five-byte windows is fitted in numpy from confirmed toxic texts and unlabelled
-texts. The risk is ``prior * R+(P) + max(0, R-(U) - prior * R-(P))`` with the logistic loss; where the corrected
+texts. The risk is ``prior * R+(P) + max(0, R-(U) - prior * R-(P))`` with the sigmoid loss; where the corrected
 negative part falls below zero its gradient is reversed. Labels of non-toxic rows are never used as negatives; they
 only enter the class prior, together with the positives.
 
@@ -26,8 +26,6 @@ BITS = 20
 WINDOW = 5
 #: Bytes of text in one pass: each byte starts a window, so passes are small.
 PASS = 1 << 19
-#: Least z-score of a feature between the confirmed and the unlabelled texts.
-LEAST_Z = 4.0
 FLAT = np.where(ALNUM, LOWER, 32).astype(np.uint8)
 
 
@@ -42,7 +40,7 @@ class ToxicityModel:
     def scores(self, texts: Texts) -> np.ndarray:
         doc, key = presence(texts, self.keys)
         f = self.bias + np.bincount(doc, weights=self.weights[key], minlength=len(texts))[: len(texts)]
-        return 1 / (1 + np.exp(-np.clip(f, -30, 30)))
+        return logistic(f)
 
 
 def feature_keys(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -72,24 +70,33 @@ def presence(texts: Texts, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pair // len(keys), pair % len(keys)
 
 
-def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 500, rate: float = 0.05, decay: float = 1e-3, beta: float = 0.0) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk over dense rows ``p`` (positive) and ``u`` (unlabelled)."""
+def logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 500, rate: float = 0.05, decay: float = 1e-4, beta: float = 0.0) -> tuple[np.ndarray, float]:
+    """Weights that minimise the non-negative risk over dense rows ``p`` (positive) and ``u`` (unlabelled), and the bias.
+
+    The bias is set last, so that the mean score of the unlabelled rows is the prior.
+    """
     d = p.shape[1]
     w, b = np.zeros(d), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(d + 1), np.zeros(d + 1)
-    sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
     for t in range(1, steps + 1):
-        fp, fu = p @ w + b, u @ w + b
-        neg = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        gp, gu = sig(fp) / len(p), sig(fu) / len(u)  # d loss(-1) / d f
-        if neg >= -beta:
-            cp, cu = prior * (sig(fp) - 1) / len(p) - prior * gp, gu
+        sp, su = logistic(p @ w + b), logistic(u @ w + b)
+        gp, gu = sp * (1 - sp) / len(p), su * (1 - su) / len(u)  # of the losses of predicting positive
+        if su.mean() - prior * sp.mean() >= -beta:
+            cp, cu = -2 * prior * gp, gu
         else:
             cp, cu = prior * gp, -gu
         g = np.append(cp @ p + cu @ u + decay * w, cp.sum() + cu.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
+    f, low, high = u @ w, -60.0, 60.0
+    for _ in range(80):
+        b = (low + high) / 2
+        low, high = (low, b) if logistic(f + b).mean() > prior else (b, high)
     return w, float(b)
 
 
@@ -97,7 +104,7 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, max_positive: int =
     """Fit on at most ``max_positive`` confirmed toxic and ``max_unlabelled`` unlabelled training texts.
 
     Both bounds are on ids in the order of their hash; rows whose crc32 remainder is ``hold`` are never read.
-    At most ``words`` hashed features that differ most between the two samples, and surely, are used.
+    At most ``words`` hashed features that differ most between the two samples are used.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", mod) != hold))
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
@@ -128,7 +135,7 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, max_positive: int =
     np_, nu = int(is_p.sum()), int(is_u.sum())
     mean = (cp + cu) / (np_ + nu)
     z = np.abs(cp / np_ - cu / nu) / np.sqrt(np.maximum(mean * (1 - mean), 1e-9) * (1 / np_ + 1 / nu))
-    z[(mean * (np_ + nu) < 3) | (z < LEAST_Z)] = 0
+    z[mean * (np_ + nu) < 3] = 0
     keys = np.sort(np.argsort(-z, kind="stable")[:words])
     keys = keys[z[keys] > 0]
     if not len(keys):
