@@ -10,16 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import jaccard, mixing, packing, pii, tokens, toxicity
-from tessera.llm.shared import bound_batches, written
+from tessera.llm.shared import bound_batches, clear, written
 
 TOXIC_FROM = 0.3
 SIMILAR = 0.8
 WEIGHTS = [3.0, 1.0, 2.0]
 
 
+def _begin(spark: SparkSession) -> None:
+    """A stage begins once the result of the one before is written: what that one wrote on its way can go."""
+    clear(spark)
+    bound_batches(spark)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below the threshold by the model that learns from the labels."""
-    bound_batches(spark)
+    _begin(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     return toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, labels), drop_from=TOXIC_FROM)
 
@@ -29,7 +35,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Documents without words or without an id link with nothing and stay.
     """
-    bound_batches(spark)
+    _begin(spark)
     found = jaccard.near_documents(docs.select("doc_id", "text"), SIMILAR)
     gone = written(found.where("not kept").select("doc_id").distinct(), "gone")
     twice = written(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")
@@ -41,13 +47,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with personal data replaced by its kind."""
-    bound_batches(spark)
+    _begin(spark)
     return pii.redact_pii(docs, pii.train_pii(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    bound_batches(spark)
+    _begin(spark)
     rows = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("row"))
     mixed = mixing.mix(rows, WEIGHTS, keep=["row"]).where("copies > 0")
     return mixed.select(F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"), "row").select("row.*")
@@ -55,7 +61,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence and offset."""
-    bound_batches(spark)
+    _begin(spark)
     return packing.pack_documents(docs, tokens.vocabulary())
 
 
@@ -68,5 +74,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, docs, sf_dir), name, keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)

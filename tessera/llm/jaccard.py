@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, written
+from .shared import connected_components, erase, written
 from .textarrays import LOWER, SOLID, Texts, mix, ngrams, passes, ragged
 
 WORDS = 5
@@ -326,9 +326,10 @@ def near_documents(documents: DataFrame, threshold: float = 0.8, recall: float =
 
     light = reps.select("key", "n", "sketch")
     here = reps.select("key", "n", "sketch", F.explode("nodes").alias("node"))
-    leaves = []
+    leaves, spent = [], []
     for level in range(1, LEVELS + 1):
         counts = written(here.groupBy("node").agg(F.count("*").alias("c")).where("c > 1"), f"jaccardlevel{level}")
+        spent.append(counts)
         leaf = join_ids(here, counts if level == LEVELS else counts.where(F.col("c") <= SMALL), "node", "inner")
         leaves.append((leaf if level == 1 else leaf.join(light, "key")).select("key", "n", "sketch", "node", "c"))
         above = counts.where(F.col("c") > SMALL).select(F.col("node").alias("parent"))
@@ -339,7 +340,9 @@ def near_documents(documents: DataFrame, threshold: float = 0.8, recall: float =
             large = written(join_ids(reps, large, "key", "left_semi").select("id", "f1", "f2", "key"), "jaccardlarge")
             deep = join_ids(docs, large.select("id").distinct(), "id", "left_semi").mapInArrow(deeper, "id long, f1 long, f2 long, level byte, parent long, node long")
             deep = written(join_ids(deep, large, ["id", "f1", "f2"], "inner").select("key", "level", "parent", "node"), "jaccarddeep")
+            spent += [large, deep]
         here = written(join_ids(deep.where(F.col("level") == level + 1), above, "parent", "left_semi").select("key", "node"), "jaccardhere")
+        spent.append(here)
     leaf = leaves[0]
     for x in leaves[1:]:
         leaf = leaf.unionByName(x)
@@ -363,6 +366,7 @@ def near_documents(documents: DataFrame, threshold: float = 0.8, recall: float =
     tokens = join_ids(tokens, known, ["id", "f1", "f2"], "inner")
     pairs = blocked(tokens, F.col("comp"), F.col("c"), EXACT_BLOCK, F.col("key")).select("g", "side", "key", "mult", "tokens")
     found = written(arranged(pairs, 4 * parts).mapInArrow(verify(threshold), "id long, links long, root long"), "jaccardlinks")
+    erase(*spent, members)
     links = found.where("root is null").groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "key")
     comp = connected_components(found.where("root is not null").select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "key")
     joined = reps.select("key", "f1", "f2", "n", "id", "mult").join(links, "key", "left").join(comp, "key", "left")

@@ -23,21 +23,48 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder, removed when the application ends."""
+#: Written tables of this process that may go when a pipeline's next stage begins.
+_written: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def scratch(spark: SparkSession, label: str, keep: bool = False) -> str:
+    """A new path below the shared folder, removed when the application ends, or by ``clear`` unless ``keep``."""
     path = f"{shared_dir(spark)}/tessera-{label}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     jpath = jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    if not keep:
+        _written.append(path)
     return path
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: lineage ends there, executors may be lost."""
     spark = df.sparkSession
-    path = scratch(spark, label)
+    path = scratch(spark, label, keep)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
+    return out
+
+
+def erase(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that no plan reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t._tessera_path)
+        if t._tessera_path in _written:
+            _written.remove(t._tessera_path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all written tables but kept ones; only when every result that reads them has been written itself."""
+    while _written:
+        _delete(spark, _written.pop())
 
 
 def bound_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:

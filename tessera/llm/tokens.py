@@ -15,7 +15,7 @@ import numpy as np
 from .textarrays import SOLID, Texts, ragged
 
 SEPARATOR = "\x01"
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_200_000
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:

@@ -15,19 +15,19 @@ def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    calm = written(cp.drop_toxic(spark, docs, SF), "t")
+    calm = written(cp.drop_toxic(spark, docs, SF), "t", keep=True)
     assert calm.columns == columns
     kept = {r.doc_id for r in calm.collect()}
     clean = [i for i, t in labels.items() if t == 0]
     assert sum(i in kept for i in clean) >= 0.7 * len(clean)
     twice = calm.unionByName(calm.limit(3))
-    one = written(cp.drop_near_copies(spark, twice, SF), "n")
+    one = written(cp.drop_near_copies(spark, twice, SF), "n", keep=True)
     want = {r[0] for r in brute([(r.doc_id, r.text) for r in calm.collect()]) if r[3]}
     got = [r.doc_id for r in one.collect()]
     assert one.columns == columns and sorted(got) == sorted(want)
-    safe = written(cp.redact(spark, one, SF), "p")
+    safe = written(cp.redact(spark, one, SF), "p", keep=True)
     assert safe.columns == columns and safe.where("text rlike '[a-z0-9]@[a-z0-9-]+[.]'").count() == 0 and safe.count() == one.count()
-    mixed = written(cp.mix_sources(spark, safe, SF), "m")
+    mixed = written(cp.mix_sources(spark, safe, SF), "m", keep=True)
     per = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
     assert mixed.columns == columns and max(per.values()) <= 2 and set(per) <= set(got)
     packs = cp.pack(spark, mixed, SF)
