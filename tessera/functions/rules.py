@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import normalize_arabic, normalize_for_matching
+from .text import normalize_arabic, normalize_for_matching, once
 
 _FOLD = str.maketrans("أإآٱىةؤئ", "اااايهءء")
 
@@ -34,21 +34,22 @@ def expansion_rules() -> list[tuple[str, str]]:
 
 def expansions(q: Column) -> Column:
     """Official terms to append, in rule order, each once."""
-    t = F.lower(normalize_arabic(q))
-    return F.array_distinct(F.array_compact(F.array(*(F.when(F.rlike(t, F.lit(p)), F.lit(a)) for p, a in expansion_rules()))))
+    rules = expansion_rules()
+    return once(F.lower(normalize_arabic(q)), lambda t: F.array_distinct(F.array_compact(F.array(*(F.when(F.rlike(t, F.lit(p)), F.lit(a)) for p, a in rules)))))
 
 
 def expand_query(q: Column) -> Column:
-    adds = expansions(q)
-    return F.when(F.size(adds) > 0, F.concat(q, F.lit(" "), F.array_join(adds, " "))).otherwise(q)
+    return once(expansions(q), lambda adds: F.when(F.size(adds) > 0, F.concat(q, F.lit(" "), F.array_join(adds, " "))).otherwise(q))
 
 
 def detect_intent(q: Column) -> Column:
-    t = normalize_for_matching(q)
-    out = F.when(F.lit(False), "")
-    for name, p in fixed.INTENTS:
-        out = out.when(F.rlike(t, F.lit(p)), F.lit(name))
-    return out.otherwise("general")
+    def first(t: Column) -> Column:
+        out = F.when(F.lit(False), "")
+        for name, p in fixed.INTENTS:
+            out = out.when(F.rlike(t, F.lit(p)), F.lit(name))
+        return out.otherwise("general")
+
+    return once(normalize_for_matching(q), first)
 
 
 def looks_like_followup(q: Column) -> Column:
@@ -66,20 +67,20 @@ def _matching(t: Column, table: list[tuple[str, str]]) -> Column:
 
 def query_actions(q: Column) -> Column:
     """struct(actions, strong): weak cues count only without a strong one."""
-    strong = _matching(_padded(q), fixed.ACTIONS_STRONG)
-    found = F.size(strong) > 0
-    return F.struct(F.when(found, strong).otherwise(_matching(_padded(q), fixed.ACTIONS_WEAK)).alias("actions"), found.alias("strong"))
+    def both(t: Column) -> Column:
+        weak = _matching(t, fixed.ACTIONS_WEAK)
+        return once(_matching(t, fixed.ACTIONS_STRONG), lambda s: F.struct(F.when(F.size(s) > 0, s).otherwise(weak).alias("actions"), (F.size(s) > 0).alias("strong")))
+
+    return once(_padded(q), both)
 
 
 def title_action(title: Column) -> Column:
     """The action whose cue starts first in a title, strong cues before weak ones; null without any."""
-    t = _padded(title)
-
-    def first(table: list[tuple[str, str]]) -> Column:
+    def first(t: Column, table: list[tuple[str, str]]) -> Column:
         hits = [F.when(F.rlike(t, F.lit(p)), F.struct(F.length(F.split(t, p, 2)[0]).alias("at"), F.lit(k).alias("k"), F.lit(a).alias("a"))) for k, (a, p) in enumerate(table)]
         return F.array_min(F.array_compact(F.array(*hits)))["a"]
 
-    return F.coalesce(first(fixed.ACTIONS_STRONG), first(fixed.ACTIONS_WEAK))
+    return once(_padded(title), lambda t: F.coalesce(first(t, fixed.ACTIONS_STRONG), first(t, fixed.ACTIONS_WEAK)))
 
 
 def service_actions(title_en: Column, title_ar: Column) -> Column:

@@ -7,6 +7,7 @@ as empty in counting ones.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -29,6 +30,11 @@ def nfc(c: Column) -> Column:
     return compose(c)
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(c)`` with ``c`` evaluated once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
 def clean_unicode(c: Column) -> Column:
     """Without zero-width and direction marks; no-break spaces become spaces."""
     c = F.regexp_replace(F.coalesce(c, F.lit("")), "[\\u200B-\\u200F\\uFEFF]", "")
