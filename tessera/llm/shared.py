@@ -73,6 +73,10 @@ def bound_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> No
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+#: Links in one file of a round's checkpoint.
+LINKS_A_FILE = 100_000
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Rows (node, component): the smallest node reachable over undirected ``edges``; nodes without edges are absent.
 
@@ -82,7 +86,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """
     shared_dir(edges.sparkSession)
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct().checkpoint()
-    seen = None
+    seen, parts = None, None
     for _ in range(max_rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
@@ -95,11 +99,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
             .where("u <> v")
             .distinct()
         )
-        e = small.checkpoint()
+        # Counted links go to as few files as they need.
+        e = (small if parts is None else small.coalesce(parts)).checkpoint()
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == seen:
             break
-        seen = tuple(now)
+        seen, parts = tuple(now), max(1, now[0] // LINKS_A_FILE)
     else:
         raise RuntimeError("connected components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
