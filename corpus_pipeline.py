@@ -31,17 +31,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id; rows that repeat an id are one.
+    """One document of each group of near copies: one with the smallest id.
 
-    Documents without words or without an id link with nothing and stay.
+    Where an id repeats, its rows are told apart by their shingle sets: rows of one group are one, rows of other groups
+    stay. Documents without words or without an id link with nothing and stay; without words, rows of one id are one.
     """
     _begin(spark)
-    found = jaccard.near_documents(docs.select("doc_id", "text"), SIMILAR)
+    found = jaccard.near_documents(docs.select("doc_id", "text"), SIMILAR, sets=True)
     gone = written(found.where("not kept").select("doc_id").distinct(), "gone")
-    twice = written(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")
-    kept = jaccard.join_ids(docs, gone, "doc_id", "left_anti")
-    once = jaccard.join_ids(kept, twice, "doc_id", "left_anti")
-    again = jaccard.join_ids(kept, twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    twice = written(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "twice")
+    if twice.isEmpty():
+        return jaccard.join_ids(docs, gone, "doc_id", "left_anti")
+    once = jaccard.join_ids(jaccard.join_ids(docs, twice, "doc_id", "left_anti"), gone, "doc_id", "left_anti")
+    rows = jaccard.with_sets(jaccard.join_ids(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")), twice, "doc_id", "left_semi"))
+    kept = jaccard.join_ids(found.where("kept"), twice, "doc_id", "left_semi").select("doc_id", "f1", "f2", "n", "component").distinct()
+    again = rows.join(kept, ["doc_id", "f1", "f2", "n"]).dropDuplicates(["doc_id", "component"]).select("row.*")
     return once.unionByName(again)
 
 

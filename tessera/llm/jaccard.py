@@ -280,11 +280,26 @@ def verify(threshold: float):
     return run
 
 
-def near_documents(documents: DataFrame, threshold: float = 0.8, recall: float = 0.995, words: int = WORDS) -> DataFrame:
+def with_sets(documents: DataFrame, words: int = WORDS) -> DataFrame:
+    """Every row of ``documents`` (doc_id, text, row) as (doc_id, f1, f2, n, row) with the fingerprints of its shingle set."""
+
+    def run(batches):
+        for batch, texts in small_passes(batches):
+            tokens, bounds = shingle_sets(texts, words)
+            f1, f2 = fingerprints(tokens, bounds)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f1), pa.array(f2), pa.array(np.diff(bounds).astype(np.int32)), batch.column(2)], names=["doc_id", "f1", "f2", "n", "row"])
+
+    kinds = {c: documents.schema[c].dataType.simpleString() for c in ("doc_id", "row")}
+    return documents.select("doc_id", "text", "row").mapInArrow(run, f"doc_id {kinds['doc_id']}, f1 long, f2 long, n int, row {kinds['row']}")
+
+
+def near_documents(documents: DataFrame, threshold: float = 0.8, recall: float = 0.995, words: int = WORDS, sets: bool = False) -> DataFrame:
     """(doc_id, n_links, class_id, set_id, kept) of every row of ``documents`` (doc_id integer, text).
 
     ``class_id`` is the smallest doc_id reachable by links, ``set_id`` the smallest doc_id with an equal shingle set,
     ``n_links`` the number of other rows linked directly, ``kept`` whether doc_id is class_id.
+    With ``sets`` also the row's shingle set (f1, f2, n) and its group of linked sets (component, null without words),
+    which tell apart rows and groups that share an id.
     """
     spark = documents.sparkSession
     runs = runs_for(recall)
@@ -372,8 +387,9 @@ def near_documents(documents: DataFrame, threshold: float = 0.8, recall: float =
     joined = reps.select("key", "f1", "f2", "n", "id", "mult").join(links, "key", "left").join(comp, "key", "left")
     joined = joined.withColumn("component", F.coalesce("component", "key"))
     least = joined.groupBy("component").agg(F.min("id").alias("class"))
-    classes = joined.join(least, "component").select("f1", "f2", "n", F.col("id").alias("set_id"), F.col("class").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
-    out = full.select("id", "f1", "f2", "n").join(classes, ["f1", "f2", "n"]).select("id", "n_links", "class_id", "set_id")
-    alone = lambda df, c: df.select(F.col(c).cast("long").alias("id"), F.lit(0).cast("long").alias("n_links"), F.col(c).cast("long").alias("class_id"), F.col(c).cast("long").alias("set_id"))
+    more = ["f1", "f2", "n", "component"] if sets else []
+    classes = joined.join(least, "component").select("f1", "f2", "n", *more[3:], F.col("id").alias("set_id"), F.col("class").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
+    out = full.select("id", "f1", "f2", "n").join(classes, ["f1", "f2", "n"]).select("id", "n_links", "class_id", "set_id", *more)
+    alone = lambda df, c: df.select(F.col(c).cast("long").alias("id"), F.lit(0).cast("long").alias("n_links"), F.col(c).cast("long").alias("class_id"), F.col(c).cast("long").alias("set_id"), *([F.lit(0).cast("long").alias("f1"), F.lit(0).cast("long").alias("f2"), F.lit(0).alias("n"), F.lit(None).cast("long").alias("component")] if sets else []))
     out = out.unionByName(alone(base.where("n = 0"), "id")).unionByName(alone(documents.where("doc_id is null"), "doc_id"))
-    return out.select(F.col("id").cast(idt).alias("doc_id"), "n_links", F.col("class_id").cast(idt).alias("class_id"), F.col("set_id").cast(idt).alias("set_id"), F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return out.select(F.col("id").cast(idt).alias("doc_id"), "n_links", F.col("class_id").cast(idt).alias("class_id"), F.col("set_id").cast(idt).alias("set_id"), F.col("id").eqNullSafe(F.col("class_id")).alias("kept"), *more)

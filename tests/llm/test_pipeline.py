@@ -56,3 +56,14 @@ def test_rest_stands_without_this_part():
 
     root = pathlib.Path(__file__).parents[2] / "tessera"
     assert not [f for f in root.rglob("*.py") if "llm" not in f.parts and re.search(r"\bllm\b", f.read_text())]
+
+
+def test_near_copies_keep_one_row_of_each_group_where_ids_repeat(spark):
+    import corpus_pipeline as cp
+
+    a, b, c = (" ".join(f"{name}{k}" for k in range(60)) for name in ("ant", "bee", "cow"))
+    # (7, a) leads its group, (7, b) is a near copy of document 3, (7, c) stands for itself, twice.
+    rows = [(3, b), (7, a), (7, b + " more"), (9, a + " more"), (7, c), (7, c + " more"), (8, ""), (8, None), (8, a), (5, "five words that are alone"), (None, a), (None, None)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, f1 int")
+    got = sorted((str(r.doc_id), (r.text or "")[:3]) for r in cp.drop_near_copies(spark, docs, "").select(*docs.columns).collect())
+    assert got == sorted([("3", "bee"), ("7", "ant"), ("7", "cow"), ("8", ""), ("5", "fiv"), ("None", "ant"), ("None", "")])
