@@ -59,3 +59,30 @@ def test_redaction_and_empty(spark):
     assert got == {1: ("hé [email] and [ip]", 19), 2: (None, None), 3: ("clean", 5)}
     assert pii.detect_pii(df.limit(0), pii.train_pii(df.limit(0))).count() == 0
     assert pii.merged([(0, 0, 5), (1, 3, 8)], [(2, 9, 10)]) == [(0, 0, 8), (2, 9, 10)]
+
+
+def test_messages_reach_every_repeat_of_a_word():
+    import numpy as np
+
+    from tessera.llm import pii
+
+    n, L = 60, len(pii.LABELS)
+    seen = np.full(n, -1)
+    seen[0] = 4  # the first of 60 equal words is observed
+    links = np.array([(k, k + 1, 1) for k in range(n - 1)])
+    rng = np.random.default_rng(3)
+    model = pii.SkipChainModel(rng.normal(0, 0.02, (pii.N_FEATURES, L)), np.zeros((L, L)), 6.0 * np.eye(L))
+    g = pii.Graph(np.zeros(n, np.int64), np.arange(n), np.arange(n) + 1, [[0]] * n, seen, links, [[]])
+    got = model.marginals(g)
+    u = np.tile(model.unary[0], (n, 1))
+    left, right = np.zeros((n, L)), np.zeros((n, L))  # exact on a chain: forward and backward sums
+    u[0] = -60.0
+    u[0, 4] = 0.0
+    for k in range(1, n):
+        left[k] = np.log(np.exp(left[k - 1] + u[k - 1]) @ np.exp(model.skip))
+        left[k] -= left[k].max()
+    for k in range(n - 2, -1, -1):
+        right[k] = np.log(np.exp(model.skip) @ np.exp(right[k + 1] + u[k + 1]))
+        right[k] -= right[k].max()
+    want = np.exp(u + left + right)
+    assert np.abs(got - want / want.sum(1, keepdims=True)).max() < 5e-3
