@@ -2,17 +2,21 @@
 
 A document is the set of its five-word shingles (ASCII case folded; fewer words form one shingle). Sets are split
 recursively on sampled shared tokens: in each run a set follows every token whose hash under the path so far is below
-``1 / (threshold * size)``, so two similar sets share a path with a probability that does not depend on the corpus. A bucket is the first level at which few enough sets share a path; sets in larger buckets are
-split further in a second pass over their texts, and buckets that stay large at the last level are compared in blocks,
-in full.
-Runs are repeated until the target recall. Pairs in a bucket are screened by a min-hash sketch with a wide margin and
-joined into candidate components; within each component all pairs are compared exactly on the whole shingle sets.
+``1 / (threshold * size)``, for ``LEVELS`` levels, so two similar sets share a path with a probability that does not
+depend on the corpus, and a set has as many paths in a corpus of any size. Runs are repeated until the target recall.
+
+Sets that share a path are a bucket. Pairs in a bucket are screened by a min-hash sketch with a wide margin and joined
+into candidate components; within each component all pairs are compared exactly on the whole shingle sets. Buckets of
+more than ``BLOCK`` sets are screened block by block first. Near copies then mostly stand in one component, in which
+no pair needs another look; what is outside of it is compared with all the others of its bucket, in pairs of blocks.
 
 No list of pairs is ever formed: tasks return link counts and spanning links. Equal sets are one set with a
-multiplicity. Large components and buckets are cut into blocks, and each pair of blocks is a task of its own.
+multiplicity. Large components are cut into blocks by sets and bytes, and each pair of blocks is a group of its own.
 
-Cases: a null or blank text has no shingles and links with nothing; a null doc_id links with nothing; repeated rows
-are documents of their own that share an id; extra columns are ignored; an empty table gives no rows.
+Cases: a null or blank text has no shingles and links with nothing; a null doc_id links with nothing; a doc_id must be
+an integer (``TypeError`` otherwise); repeated rows are documents of their own that share an id; of equal sets the
+smallest id stands for all; very long texts are taken whole, a pass may hold one text alone; extra columns are ignored;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .shared import connected_components, erase, written
 from .textarrays import LOWER, SOLID, Texts, mix, ngrams, passes, ragged
@@ -31,11 +36,16 @@ WORDS = 5
 LEVELS = 3
 SKETCH = 64
 SCREEN = 0.2  # candidates have an estimated similarity of at least threshold - SCREEN: four standard errors
-SMALL = 400
+#: Sets of one block of a bucket, and sets and bytes of shingles of one block of a component.
 BLOCK = 1024
-EXACT_BLOCK = 512
-#: Above so many ids they are joined by a shuffle instead of a broadcast (16 MB of ids).
-BROADCAST_IDS = 1_000_000
+EXACT_BLOCK = 2048
+EXACT_BYTES = 8 << 20
+#: A counted table of ids or hashes up to so many bytes is broadcast; beyond that it is joined by a shuffle.
+BROADCAST_BYTES = 4 << 20
+#: Rows that one task of a block comparison takes on average.
+ROWS_A_TASK = 200_000
+#: Hashes that one step of the path search holds.
+STEP = 1 << 20
 U64 = np.uint64
 _LOW = U64((1 << 51) - 1)
 
@@ -95,24 +105,32 @@ def sketches(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return (mix(out.astype(U64)) & U64(0xFFFF)).astype(np.uint16)
 
 
-def paths(tokens: np.ndarray, bounds: np.ndarray, threshold: float, runs: int, levels: int = LEVELS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(set, level, parent path, path) of every path that each set follows in every run."""
+def stir(x: np.ndarray) -> np.ndarray:
+    """Hash of uint64 values in place, good in its high bits."""
+    x *= U64(0xBF58476D1CE4E5B9)
+    x ^= x >> U64(32)
+    x *= U64(0x94D049BB133111EB)
+    return x
+
+
+def paths(tokens: np.ndarray, bounds: np.ndarray, threshold: float, runs: int, levels: int = LEVELS) -> tuple[np.ndarray, np.ndarray]:
+    """(set, path) of every path of ``levels`` tokens that each set follows in every run; sets must not be empty."""
     size = np.diff(bounds)
-    limit = np.minimum(1 / (threshold * np.maximum(size, 1)), 1.0)
-    cut = (limit * float(1 << 53)).astype(np.int64)
-    out = []
-    for run in range(runs):
-        who, parent = np.arange(len(size)), np.full(len(size), mix(np.array([run + 1], U64) * U64(0x9E3779B97F4A7C15))[0])
-        for level in range(1, levels + 1):
-            n = size[who]
-            at = ragged(bounds[:-1][who], n)
-            row = np.repeat(np.arange(len(who)), n)
-            h = mix(tokens[at] ^ parent[row])
-            on = (h >> U64(11)).astype(np.int64) < cut[who[row]]
-            row, node = row[on], mix(h[on] + U64(level))
-            out.append((who[row], np.full(len(row), level, np.int8), parent[row], node))
-            who, parent = who[row], node
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+    cut = (np.minimum(1 / (threshold * np.maximum(size, 1)), 1.0) * float(1 << 53)).astype(U64)
+    who, node = np.repeat(np.arange(len(size)), runs), np.tile(mix(np.arange(1, runs + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)), len(size))
+    for level in range(1, levels + 1):
+        got = []
+        upto = np.cumsum(size[who])
+        at = 0
+        while at < len(who):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + STEP, side="right")))
+            mine, n = who[at:to], size[who[at:to]]
+            h = stir(np.repeat(node[at:to], n) ^ tokens[ragged(bounds[:-1][mine], n)])
+            on = np.flatnonzero((h >> U64(11)) < np.repeat(cut[mine], n))
+            got.append((np.repeat(mine, n)[on], mix(h[on] + U64(level))))
+            at = to
+        who, node = (np.concatenate(c) for c in zip(*got, strict=True)) if got else (who[:0], node[:0])
+    return who, node
 
 
 def small_passes(batches, column="text"):
@@ -173,71 +191,140 @@ def pair_ranges(group: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.nda
     return first, np.where(side == 2, 0, end - first)
 
 
-def blocked(df: DataFrame, key: Column, count: Column, block: int, member: Column) -> DataFrame:
-    """``df`` with group ``g`` and ``side``: groups of up to ``block`` rows whole, larger ones once for each pair of blocks."""
-    n = F.ceil(count / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64(member, F.lit(17)), n).cast("int")
+def blocked(df: DataFrame, key: Column, blocks: Column, member: Column) -> DataFrame:
+    """``df`` with group ``g`` and ``side``: groups of one block whole, others once for each pair of their blocks."""
+    own = F.pmod(F.xxhash64(member, F.lit(17)), blocks).cast("int")
     one = F.array(F.struct(key.alias("g"), F.lit(0).cast("byte").alias("side")))
-    other = F.transform(F.sequence(F.lit(0), n - 1), lambda x: F.struct(F.xxhash64(key, F.least(own, x), F.greatest(own, x)).alias("g"), F.when(own == x, 0).when(own < x, 1).otherwise(2).cast("byte").alias("side")))
-    return df.withColumn("gs", F.explode(F.when(n <= 1, one).otherwise(other))).withColumn("g", F.col("gs.g")).withColumn("side", F.col("gs.side")).drop("gs")
+    other = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct(F.xxhash64(key, F.least(own, x), F.greatest(own, x)).alias("g"), F.when(own == x, 0).when(own < x, 1).otherwise(2).cast("byte").alias("side")))
+    return exploded(df, F.when(blocks <= 1, one).otherwise(other))
+
 
+def exploded(df: DataFrame, groups: Column) -> DataFrame:
+    return df.withColumn("gs", F.explode(groups)).withColumn("g", F.col("gs.g")).withColumn("side", F.col("gs.side")).drop("gs")
 
-def arranged(df: DataFrame, parts: int) -> DataFrame:
-    return df.repartition(parts, "g").sortWithinPartitions("g", "side")
+
+def arranged(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with whole groups in tasks, as many as the expected number of rows asks for."""
+    least = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return df.repartition(max(least, rows // ROWS_A_TASK), "g").sortWithinPartitions("g", "side")
 
 
 def join_ids(df: DataFrame, ids: DataFrame, on: str | list[str], how: str) -> DataFrame:
     """Join with a narrow table of ids or hashes: broadcast where its counted size is bounded, a shuffle join beyond."""
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
+    return df.join(F.broadcast(ids) if ids.count() * (16 + 8 * len(ids.columns)) <= BROADCAST_BYTES else ids, on, how)
+
 
+def screen(threshold: float, leaders: int | None = None):
+    """Spanning links (a, b) of the pairs whose sketches and sizes allow the threshold.
 
-def screen(threshold: float):
-    """Spanning links of the pairs whose sketches and sizes allow the threshold."""
+    A whole group (side 0) is compared with its first row, then the rows that this one does not reach with all others:
+    the others need no second way to each other. With ``leaders``, the rows of a block, also one row of each
+    group's largest component where its bucket has further blocks, as (a, null, node, n, sketch).
+    """
     need = math.ceil((threshold - SCREEN) * SKETCH)
 
     def run(batches):
         for t in groups_of(batches):
             g, side, ids, n = (t.column(c).to_numpy() for c in range(4))
             sk = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint16).reshape(-1, SKETCH)
-            first, many = pair_ranges(g, side)
+            cuts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+            got, first = [], []
+
+            def near(i, j):
+                ok = np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9
+                i, j = i[ok], j[ok]
+                ok = (sk[i] == sk[j]).sum(1) >= need
+                return i[ok], j[ok]
+
+            def product(left, right, later):
+                """Near pairs of ``left`` and ``right``; those of ``later`` once only."""
+                step = max(1, 100_000 // max(len(right), 1))
+                for a in range(0, len(left), step):
+                    i, j = np.repeat(left[a : a + step], len(right)), np.tile(right, len(left[a : a + step]))
+                    on = i < j if later is None else (i != j) & ((i < j) | ~later[j - lo])
+                    i, j = near(i[on], j[on])
+                    if len(i):
+                        got.append(spanning_pairs(ids[i], ids[j]))
+
+            # Small groups meet in one sweep; larger ones one by one.
+            ends = np.append(cuts[1:], len(g))
+            wide = ends - cuts > 32
+            small = np.repeat(~wide, ends - cuts)
+            first_j, many = pair_ranges(g, side)
+            many = np.where(small, many, 0)
             upto = np.cumsum(many)
             at = 0
-            got = []
             while at < len(g):
                 base = upto[at - 1] if at else 0
                 to = max(at + 1, int(np.searchsorted(upto, base + 200_000, side="right")))
-                i, j = np.repeat(np.arange(at, to), many[at:to]), ragged(first[at:to], many[at:to])
+                i, j = near(np.repeat(np.arange(at, to), many[at:to]), ragged(first_j[at:to], many[at:to]))
                 at = to
-                ok = np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9
-                i, j = i[ok], j[ok]
-                ok = (sk[i] == sk[j]).sum(1) >= need
-                if ok.any():
-                    got.append(spanning_pairs(ids[i[ok]], ids[j[ok]]))
-            if got:
-                a, b = spanning_pairs(np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got]))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                if len(i):
+                    got.append(spanning_pairs(ids[i], ids[j]))
+            for lo, hi in zip(cuts[wide].tolist(), ends[wide].tolist(), strict=True):
+                rows = np.arange(lo, hi)
+                if side[lo] != 0:
+                    product(rows[side[lo:hi] == 1], rows[side[lo:hi] == 2], np.zeros(hi - lo, bool))
+                    continue
+                i, j = near(np.full(hi - lo - 1, lo), rows[1:])
+                if len(i):
+                    got.append(spanning_pairs(ids[i], ids[j]))
+                rest = np.ones(hi - lo, bool)
+                rest[j - lo] = rest[0] = False
+                product(rows[rest], rows, rest)
+            a, b = spanning_pairs(np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])) if got else (ids[:0], ids[:0])
+            if leaders is None:
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                continue
+            c = t.column(6).to_numpy()
+            roots, links = np.unique(b, return_counts=True)
+            for lo, hi in zip(cuts.tolist(), ends.tolist(), strict=True):
+                if c[lo] > leaders:
+                    at = np.minimum(np.searchsorted(roots, ids[lo:hi]), max(len(roots) - 1, 0))
+                    first.append(lo + int(np.argmax(np.where(roots[at] == ids[lo:hi], links[at], 0))) if len(roots) else lo)
+            node = t.column(5).to_numpy()
+            m = len(a)
+            if m or first:
+                first = np.array(first, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([a, ids[first]])), pa.array(np.concatenate([b, ids[first]]), mask=np.arange(m + len(first)) >= m), pa.array(np.concatenate([a, node[first]]), mask=np.arange(m + len(first)) < m),
+                        pa.array(np.concatenate([np.zeros(m, np.int32), n[first]])), pa.array([None] * m + [sk[k].tobytes() for k in first.tolist()], pa.binary()),
+                    ],
+                    names=["a", "b", "node", "n", "sketch"],
+                )
 
     return run
 
 
-def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections, by products over slices of the tokens that two or more sets hold."""
+def dense(sets: list[np.ndarray], known: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """0/1 rows over the tokens ``known[lo:hi]`` (sorted)."""
+    out = np.zeros((len(sets), hi - lo), np.float32)
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     token = np.concatenate(sets)
-    order = np.argsort(token, kind="stable")
-    token, row = token[order], row[order]
-    new = np.concatenate(([True], token[1:] != token[:-1]))
-    col = np.cumsum(new) - 1
-    df = np.bincount(col)
-    keep = df[col] > 1
-    row, col = row[keep], (np.cumsum(df > 1) - 1)[col[keep]]
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    width = max(256, min(8192, (4 << 20) // max(len(sets), 1)))
-    for a in range(0, int(col[-1]) + 1 if len(col) else 0, width):
-        lo, hi = np.searchsorted(col, (a, a + width))
-        x = np.zeros((len(sets), width), np.float32)
-        x[row[lo:hi], col[lo:hi] - a] = 1
-        out += x @ x.T
+    at = np.searchsorted(known[lo:hi], token)
+    on = known[lo:hi][np.minimum(at, hi - lo - 1)] == token
+    out[row[on], at[on]] = 1
+    return out
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
+    """Sizes of the intersections of ``left`` and ``right`` sets (of all ``left`` sets where ``right`` is None).
+
+    Products over slices of the tokens that can be shared.
+    """
+    if right is None:
+        token, times = np.unique(np.concatenate(left), return_counts=True)
+        token = token[times > 1]
+    else:
+        token = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    out = np.zeros((len(left), len(left if right is None else right)), np.float32)
+    width = max(256, min(4096, (4 << 20) // max(out.shape)))
+    for a in range(0, len(token), width):
+        b = min(a + width, len(token))
+        x = dense(left, token, a, b)
+        out += x @ (x if right is None else dense(right, token, a, b)).T
     return out
 
 
@@ -253,27 +340,33 @@ def verify(threshold: float):
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 _, once = np.unique(ids[lo:hi], return_index=True)
                 at = lo + np.sort(once)
-                if len(at) < 2:
-                    continue
-                sets = [np.frombuffer(t.column(4)[k].as_py(), U64) for k in at.tolist()]
-                size = np.array([len(s) for s in sets], float)
-                both = shared_counts(sets).astype(float)
-                ok = both / (size[:, None] + size[None, :] - both) >= threshold
-                s = side[at]
-                ok &= np.where((s == 0)[:, None], np.triu(np.ones_like(ok), 1), (s == 1)[:, None] & (s == 2)[None, :])
-                i, j = np.nonzero(ok)
-                if not len(i):
+                x = at if side[lo] == 0 else at[side[at] == 1]
+                y = at if side[lo] == 0 else at[side[at] == 2]
+                if not len(x) or not len(y) or len(at) < 2:
                     continue
-                m = mult[at].astype(float)
-                total = (ok @ m + m @ ok).astype(np.int64)
-                on = total > 0
-                who.append(ids[at][on])
-                links.append(total[on])
-                a, b = spanning_pairs(ids[at][i], ids[at][j])
-                src.append(a)
-                dst.append(b)
-            if who:
-                w, n, a, b = (np.concatenate(x) for x in (who, links, src, dst))
+                sets = {k: np.frombuffer(t.column(4)[k].as_py(), U64) for k in at.tolist()}
+                a, b = [sets[k] for k in x.tolist()], None if side[lo] == 0 else [sets[k] for k in y.tolist()]
+                both = shared_counts(a, b)
+                n, m = np.array([len(s) for s in a], float), np.array([len(sets[k]) for k in y.tolist()], float)
+                count_x, count_y = np.zeros(len(x)), np.zeros(len(y))
+                for r in range(0, len(x), 256):  # in double, a few rows at a time
+                    some = both[r : r + 256].astype(float)
+                    ok = some / (n[r : r + 256, None] + m[None] - some) >= threshold
+                    if b is None:
+                        ok &= np.arange(len(y))[None] > np.arange(r, r + len(ok))[:, None]
+                    i, j = np.nonzero(ok)
+                    if len(i):
+                        count_x[r : r + 256] += ok @ mult[y].astype(float)
+                        count_y += mult[x[r : r + 256]].astype(float) @ ok
+                        p, q = spanning_pairs(ids[x[r + i]], ids[y[j]])
+                        src.append(p)
+                        dst.append(q)
+                for z, count in ((x, count_x), (y, count_y)):
+                    who.append(ids[z[count > 0]])
+                    links.append(count[count > 0].astype(np.int64))
+            if src:
+                w, n = np.concatenate(who), np.concatenate(links)
+                a, b = spanning_pairs(np.concatenate(src), np.concatenate(dst))
                 null = np.concatenate([np.ones(len(w), bool), np.zeros(len(a), bool)])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([w, a])), pa.array(np.concatenate([n, np.zeros(len(a), np.int64)])), pa.array(np.concatenate([w, b]), mask=null)], names=["id", "links", "root"])
 
@@ -293,6 +386,53 @@ def with_sets(documents: DataFrame, words: int = WORDS) -> DataFrame:
     return documents.select("doc_id", "text", "row").mapInArrow(run, f"doc_id {kinds['doc_id']}, f1 long, f2 long, n int, row {kinds['row']}")
 
 
+def candidates(reps: DataFrame, threshold: float) -> DataFrame:
+    """(key, comp): components of the sets (key, n, sketch, nodes) whose sketches allow the threshold in some bucket."""
+    here = reps.select("key", "n", "sketch", F.explode("nodes").alias("node"))
+    counts = written(here.groupBy("node").agg(F.count("*").alias("c")).where("c > 1"), "jaccardbuckets")
+    rows = counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    leaf = join_ids(here, counts, "node", "inner")
+    shape = "a long, b long, node long, n int, sketch binary"
+
+    def split(df, count):
+        """Groups of at most about BLOCK rows of each bucket, every row in one."""
+        n = F.ceil(count / F.lit(BLOCK))
+        g = F.when(n <= 1, F.col("node")).otherwise(F.xxhash64("node", F.pmod(F.xxhash64("key", F.lit(17)), n)))
+        return df.select(g.alias("g"), F.lit(0).cast("byte").alias("side"), "key", "n", "sketch", "node", count.alias("c"))
+
+    one = written(arranged(split(leaf, F.col("c")), rows).mapInArrow(screen(threshold, BLOCK), shape), "jaccardscreened")
+    edges = one.where("node is null").select("a", "b")
+    large = counts.where(F.col("c") > BLOCK)
+    if large.isEmpty():
+        comps = connected_components(edges)
+        erase(counts, one)
+        return comps.select(F.col("node").alias("key"), F.col("component").alias("comp"))
+    heads = one.where("node is not null").select(F.col("a").alias("key"), "n", "sketch", "node")
+    heads = heads.join(heads.groupBy("node").agg(F.count("*").alias("c")), "node")
+    two = written(arranged(split(heads, F.col("c")).select("g", "side", "key", "n", "sketch"), rows // BLOCK).mapInArrow(screen(threshold), "a long, b long"), "jaccardheads")
+    comps = connected_components(edges.unionByName(two)).select(F.col("node").alias("key"), F.col("component").alias("comp"))
+    inside = join_ids(here, large, "node", "inner").select("key", "n", "sketch", "node")
+    inside = inside.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    per = inside.groupBy("node", "comp").agg(F.count("*").alias("m"))
+    rest = per.groupBy("node").agg(F.max_by("comp", F.struct("m", "comp")).alias("top"), F.max("m").alias("d"), (F.sum("m") - F.max("m")).alias("o")).where("o > 0")
+    rest = written(rest, "jaccardrest")
+    left = rest.agg(F.coalesce(F.sum((F.ceil(F.col("o") / BLOCK) * F.col("d") + F.ceil((F.col("d") + F.col("o")) / BLOCK) * F.col("o")).cast("long")), F.lit(0))).first()[0]
+    if left:
+        # Of each large bucket, all that is outside of its largest component meets all else of the bucket.
+        n_o, n_d = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("o", "d"))
+        out = F.col("comp") != F.col("top")
+        own = F.pmod(F.xxhash64("key", F.lit(17)), F.when(out, n_o).otherwise(n_d)).cast("int")
+        group = lambda kind, i, j, side: F.struct(F.xxhash64("node", F.lit(kind), i, j).alias("g"), side.cast("byte").alias("side"))
+        across = F.transform(F.sequence(F.lit(0), F.when(out, n_d).otherwise(n_o) - 1), lambda x: group("across", F.when(out, x).otherwise(own), F.when(out, own).otherwise(x), F.when(out, 2).otherwise(1)))
+        among = F.transform(F.sequence(F.lit(0), n_o - 1), lambda x: group("among", F.least(own, x), F.greatest(own, x), F.when(own == x, 0).when(own < x, 1).otherwise(2)))
+        met = exploded(join_ids(inside, rest.select("node", "top", "d", "o"), "node", "inner"), F.when(out, F.concat(across, among)).otherwise(across))
+        three = written(arranged(met.select("g", "side", "key", "n", "sketch"), left).mapInArrow(screen(threshold), "a long, b long"), "jaccardrests")
+        comps = connected_components(comps.select(F.col("key").alias("a"), F.col("comp").alias("b")).unionByName(three)).select(F.col("node").alias("key"), F.col("component").alias("comp"))
+        erase(three)
+    erase(counts, one, two, rest)
+    return comps
+
+
 def near_documents(documents: DataFrame, threshold: float = 0.8, recall: float = 0.995, words: int = WORDS, sets: bool = False) -> DataFrame:
     """(doc_id, n_links, class_id, set_id, kept) of every row of ``documents`` (doc_id integer, text).
 
@@ -301,11 +441,11 @@ def near_documents(documents: DataFrame, threshold: float = 0.8, recall: float =
     With ``sets`` also the row's shingle set (f1, f2, n) and its group of linked sets (component, null without words),
     which tell apart rows and groups that share an id.
     """
-    spark = documents.sparkSession
-    runs = runs_for(recall)
     idt = documents.schema["doc_id"].dataType
+    if not isinstance(idt, IntegralType):
+        raise TypeError(f"doc_id must be an integer, not {idt.simpleString()}")
+    runs = runs_for(recall)
     docs = documents.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def describe(batches):
         for batch, texts in small_passes(batches):
@@ -315,7 +455,7 @@ def near_documents(documents: DataFrame, threshold: float = 0.8, recall: float =
             f1, f2 = fingerprints(tokens, bounds)
             tight = np.append(bounds[:-1][some], bounds[-1])
             rows = sketches(tokens, tight) if len(some) else np.zeros((0, SKETCH), np.uint16)
-            who, _, _, node = paths(tokens, tight, threshold, runs, 1)
+            who, node = paths(tokens, tight, threshold, runs)
             order = np.argsort(who, kind="stable")
             per = np.zeros(len(size) + 1, np.int64)
             per[1 + some] = np.bincount(who, minlength=len(some))
@@ -326,62 +466,38 @@ def near_documents(documents: DataFrame, threshold: float = 0.8, recall: float =
 
     base = written(docs.mapInArrow(describe, "id long, n int, f1 long, f2 long, sketch binary, nodes array<long>"), "jaccard")
     full = base.where("n > 0")
-    reps = written(full.groupBy("f1", "f2", "n").agg(F.min("id").alias("id"), F.count("*").alias("mult"), F.any_value("sketch").alias("sketch"), F.any_value("nodes").alias("nodes")), "jaccardsets")
     # One id may stand for several sets where rows repeat an id with other texts; sets are told apart by fingerprint.
-    reps = reps.withColumn("key", F.xxhash64("f1", "f2", "n"))
-
-    def deeper(batches):
-        for batch, texts in small_passes(batches):
-            tokens, bounds = shingle_sets(texts, words)
-            f1, f2 = fingerprints(tokens, bounds)
-            some = np.flatnonzero(np.diff(bounds))
-            who, level, parent, node = paths(tokens, np.append(bounds[:-1][some], bounds[-1]), threshold, runs)
-            who, parent, node, level = (x[level > 1] for x in (some[who], parent, node, level))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), pa.array(f1[who]), pa.array(f2[who]), pa.array(level), pa.array(parent.astype(np.int64)), pa.array(node.astype(np.int64))], names=["id", "f1", "f2", "level", "parent", "node"])
-
-    light = reps.select("key", "n", "sketch")
-    here = reps.select("key", "n", "sketch", F.explode("nodes").alias("node"))
-    leaves, spent = [], []
-    for level in range(1, LEVELS + 1):
-        counts = written(here.groupBy("node").agg(F.count("*").alias("c")).where("c > 1"), f"jaccardlevel{level}")
-        spent.append(counts)
-        leaf = join_ids(here, counts if level == LEVELS else counts.where(F.col("c") <= SMALL), "node", "inner")
-        leaves.append((leaf if level == 1 else leaf.join(light, "key")).select("key", "n", "sketch", "node", "c"))
-        above = counts.where(F.col("c") > SMALL).select(F.col("node").alias("parent"))
-        if level == LEVELS or above.isEmpty():
-            break
-        if level == 1:  # only sets in large buckets are split further, in a second pass over their texts
-            large = join_ids(here.select("key", "node"), above.withColumnRenamed("parent", "node"), "node", "left_semi").select("key").distinct()
-            large = written(join_ids(reps, large, "key", "left_semi").select("id", "f1", "f2", "key"), "jaccardlarge")
-            deep = join_ids(docs, large.select("id").distinct(), "id", "left_semi").mapInArrow(deeper, "id long, f1 long, f2 long, level byte, parent long, node long")
-            deep = written(join_ids(deep, large, ["id", "f1", "f2"], "inner").select("key", "level", "parent", "node"), "jaccarddeep")
-            spent += [large, deep]
-        here = written(join_ids(deep.where(F.col("level") == level + 1), above, "parent", "left_semi").select("key", "node"), "jaccardhere")
-        spent.append(here)
-    leaf = leaves[0]
-    for x in leaves[1:]:
-        leaf = leaf.unionByName(x)
-    cand = blocked(leaf, F.col("node"), F.col("c"), BLOCK, F.col("key")).select("g", "side", "key", "n", "sketch")
-    edges = arranged(cand, parts).mapInArrow(screen(threshold), "a long, b long")
-    members = connected_components(edges).select(F.col("node").alias("key"), F.col("component").alias("comp"))
-    sizes = members.groupBy("comp").agg(F.count("*").alias("c"))
-    members = written(members.join(sizes, "comp").join(reps.select("key", "id", "mult", "f1", "f2"), "key"), "jaccardmembers")
-
-    wanted = members.select("id").distinct()
-
-    def sets(batches):
+    reps = full.groupBy("f1", "f2", "n").agg(F.min("id").alias("id"), F.count("*").alias("mult"), F.any_value("sketch").alias("sketch"), F.any_value("nodes").alias("nodes"))
+    reps = written(reps.withColumn("key", F.xxhash64("f1", "f2", "n")), "jaccardsets")
+    members = candidates(reps, threshold).join(reps.select("key", "id", "mult", "f1", "f2", "n"), "key")
+    members = written(members, "jaccardmembers")
+    # Components of more than one block are few: their number of blocks is counted, all others have one.
+    sizes = members.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / EXACT_BLOCK), F.ceil(F.sum(F.col("n").cast("long")) * 8 / EXACT_BYTES)).cast("int").alias("blocks"), F.count("*").alias("c"))
+    large = written(sizes.where("blocks > 1"), "jaccardlarge")
+    rows = members.count() + large.agg(F.coalesce(F.sum(F.col("c") * (F.col("blocks") - 1)), F.lit(0))).first()[0]
+
+    def tokenised(batches):
+        seen: set[tuple[int, int, int]] = set()
         for batch, texts in small_passes(batches):
             tokens, bounds = shingle_sets(texts, words)
             f1, f2 = fingerprints(tokens, bounds)
-            raw = [tokens[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f1), pa.array(f2), pa.array(raw, pa.binary())], names=["id", "f1", "f2", "tokens"])
-
-    tokens = join_ids(docs, wanted, "id", "left_semi").mapInArrow(sets, "id long, f1 long, f2 long, tokens binary")
-    known = members.select("id", "f1", "f2", "key", "mult", "comp", "c")
-    tokens = join_ids(tokens, known, ["id", "f1", "f2"], "inner")
-    pairs = blocked(tokens, F.col("comp"), F.col("c"), EXACT_BLOCK, F.col("key")).select("g", "side", "key", "mult", "tokens")
-    found = written(arranged(pairs, 4 * parts).mapInArrow(verify(threshold), "id long, links long, root long"), "jaccardlinks")
-    erase(*spent, members)
+            # Rows that repeat an id and its text are one set: a task sends them once, or again after a long while.
+            fresh = []
+            for k, t in enumerate(zip(batch.column(0).to_pylist(), f1.tolist(), f2.tolist(), strict=True)):
+                if t not in seen:
+                    seen.add(t)
+                    fresh.append(k)
+            if len(seen) > 100_000:
+                seen.clear()
+            raw = [tokens[bounds[k] : bounds[k + 1]].tobytes() for k in fresh]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(fresh, pa.int64())), pa.array(f1[fresh]), pa.array(f2[fresh]), pa.array(raw, pa.binary())], names=["id", "f1", "f2", "tokens"])
+
+    tokens = join_ids(docs, members.select("id").distinct(), "id", "left_semi").mapInArrow(tokenised, "id long, f1 long, f2 long, tokens binary")
+    tokens = join_ids(tokens, members.select("id", "f1", "f2", "key", "mult", "comp"), ["id", "f1", "f2"], "inner")
+    tokens = join_ids(tokens, large.select("comp", "blocks"), "comp", "left")
+    pairs = blocked(tokens, F.col("comp"), F.coalesce("blocks", F.lit(1)), F.col("key")).select("g", "side", "key", "mult", "tokens")
+    found = written(arranged(pairs, 20 * rows).mapInArrow(verify(threshold), "id long, links long, root long"), "jaccardlinks")
+    erase(members, large)
     links = found.where("root is null").groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "key")
     comp = connected_components(found.where("root is not null").select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "key")
     joined = reps.select("key", "f1", "f2", "n", "id", "mult").join(links, "key", "left").join(comp, "key", "left")
@@ -390,6 +506,7 @@ def near_documents(documents: DataFrame, threshold: float = 0.8, recall: float =
     more = ["f1", "f2", "n", "component"] if sets else []
     classes = joined.join(least, "component").select("f1", "f2", "n", *more[3:], F.col("id").alias("set_id"), F.col("class").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
     out = full.select("id", "f1", "f2", "n").join(classes, ["f1", "f2", "n"]).select("id", "n_links", "class_id", "set_id", *more)
-    alone = lambda df, c: df.select(F.col(c).cast("long").alias("id"), F.lit(0).cast("long").alias("n_links"), F.col(c).cast("long").alias("class_id"), F.col(c).cast("long").alias("set_id"), *([F.lit(0).cast("long").alias("f1"), F.lit(0).cast("long").alias("f2"), F.lit(0).alias("n"), F.lit(None).cast("long").alias("component")] if sets else []))
+    empty = [F.lit(0).cast("long").alias("f1"), F.lit(0).cast("long").alias("f2"), F.lit(0).alias("n"), F.lit(None).cast("long").alias("component")] if sets else []
+    alone = lambda df, c: df.select(F.col(c).cast("long").alias("id"), F.lit(0).cast("long").alias("n_links"), F.col(c).cast("long").alias("class_id"), F.col(c).cast("long").alias("set_id"), *empty)
     out = out.unionByName(alone(base.where("n = 0"), "id")).unionByName(alone(documents.where("doc_id is null"), "doc_id"))
     return out.select(F.col("id").cast(idt).alias("doc_id"), "n_links", F.col("class_id").cast(idt).alias("class_id"), F.col("set_id").cast(idt).alias("set_id"), F.col("id").eqNullSafe(F.col("class_id")).alias("kept"), *more)

@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textarrays import release
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; set here only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local session without one gets its own."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not at:
         at = sc.getCheckpointDir()
         if not at:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tessera-"))
             at = sc.getCheckpointDir()
     elif not sc.getCheckpointDir():
@@ -23,8 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-#: Written tables of this process that may go when a pipeline's next stage begins.
-_written: list[str] = []
+#: The list that the paths of written tables are noted in, where one is being kept.
+_noted: ContextVar[list[str] | None] = ContextVar("noted", default=None)
+
+
+@contextmanager
+def noting(paths: list[str]):
+    """Within the block, paths of written tables are appended to ``paths``; ``remove`` deletes them."""
+    token = _noted.set(paths)
+    try:
+        yield paths
+    finally:
+        _noted.reset(token)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -32,21 +49,26 @@ def _delete(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def scratch(spark: SparkSession, label: str, keep: bool = False) -> str:
-    """A new path below the shared folder, removed when the application ends, or by ``clear`` unless ``keep``."""
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete the tables at ``paths`` and empty the list; every result that reads them must have been written itself."""
+    while paths:
+        _delete(spark, paths.pop())
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path below the shared folder, removed when the application ends at the latest."""
     path = f"{shared_dir(spark)}/tessera-{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    if not keep:
-        _written.append(path)
+    if (paths := _noted.get()) is not None:
+        paths.append(path)
     return path
 
 
-def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: lineage ends there, executors may be lost."""
     spark = df.sparkSession
-    path = scratch(spark, label, keep)
+    path = scratch(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
@@ -57,20 +79,21 @@ def erase(*tables: DataFrame) -> None:
     """Delete tables made by ``written`` that no plan reads any more."""
     for t in tables:
         _delete(t.sparkSession, t._tessera_path)
-        if t._tessera_path in _written:
-            _written.remove(t._tessera_path)
+        if (paths := _noted.get()) and t._tessera_path in paths:
+            paths.remove(t._tessera_path)
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete all written tables but kept ones; only when every result that reads them has been written itself."""
-    while _written:
-        _delete(spark, _written.pop())
+def bound_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+    """Arrow batches hold at most so many rows and bytes, unless the session says otherwise: long texts must not pile up."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-def bound_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
-    """Arrow batches of this session hold at most so many rows and bytes: long texts must not pile up in workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+def release_driver() -> None:
+    """Give memory that a finished step freed in the driver back to the system."""
+    gc.collect()
+    release()
 
 
 #: Links in one file of a round's checkpoint.
@@ -82,10 +105,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
     Alternates large-star and small-star steps on an edge table that never grows: each round keeps one row per
     remaining link, so a hub of any size costs its own rows only. Joins against the hub's minimum are plain shuffle
-    joins, which adaptive execution splits where a hub is hot. Every round is cut with ``checkpoint()``.
+    joins, which adaptive execution splits where a hub is hot. Every round is written to the shared folder, and the one
+    before it deleted.
     """
-    shared_dir(edges.sparkSession)
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct().checkpoint()
+    links = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
+    e = written(links, "links")
     seen, parts = None, None
     for _ in range(max_rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -100,7 +124,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
             .distinct()
         )
         # Counted links go to as few files as they need.
-        e = (small if parts is None else small.coalesce(parts)).checkpoint()
+        before, e = e, written(small if parts is None else small.coalesce(parts), "links")
+        erase(before)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == seen:
             break

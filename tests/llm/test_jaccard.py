@@ -49,9 +49,9 @@ def corpus(seed=2):
     return out + [out[0], (None, "one two")]
 
 
-@pytest.mark.parametrize("small, block, exact", [(400, 1024, 512), (3, 8, 4)])
-def test_against_brute_force(spark, monkeypatch, small, block, exact):
-    for name, v in (("SMALL", small), ("BLOCK", block), ("EXACT_BLOCK", exact)):
+@pytest.mark.parametrize("block, exact, size, broadcast", [(1024, 2048, 8 << 20, 4 << 20), (8, 4, 8 << 20, 0), (2, 2048, 2000, 4 << 20)])
+def test_against_brute_force(spark, monkeypatch, block, exact, size, broadcast):
+    for name, v in (("BLOCK", block), ("EXACT_BLOCK", exact), ("EXACT_BYTES", size), ("BROADCAST_BYTES", broadcast)):
         monkeypatch.setattr(jaccard, name, v)
     rows = corpus()
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n int")
@@ -70,9 +70,8 @@ def test_runs_reach_the_recall():
         shared = rng.integers(0, 1 << 50, 178).astype(np.uint64)  # Jaccard 178 / 222 = 0.80
         a, b = (np.sort(np.concatenate([shared, rng.integers(0, 1 << 50, 22).astype(np.uint64)])) for _ in range(2))
         tokens, bounds = np.concatenate([a, b]), np.array([0, n, 2 * n])
-        who, level, _, node = jaccard.paths(tokens, bounds, 0.8, runs)
-        last = level == jaccard.LEVELS
-        met += bool(set(node[last & (who == 0)].tolist()) & set(node[last & (who == 1)].tolist()))
+        who, node = jaccard.paths(tokens, bounds, 0.8, runs)
+        met += bool(set(node[who == 0].tolist()) & set(node[who == 1].tolist()))
     assert met / 120 >= 0.85
 
 

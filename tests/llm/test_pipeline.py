@@ -7,7 +7,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are
 
 
 def test_stages(spark):
-    import corpus_pipeline as cp
+    from tessera.llm import pipeline as cp
     from test_jaccard import brute
 
     from tessera.llm.shared import written
@@ -15,19 +15,19 @@ def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    calm = written(cp.drop_toxic(spark, docs, SF), "t", keep=True)
+    calm = written(cp.drop_toxic(spark, docs, SF), "t")
     assert calm.columns == columns
     kept = {r.doc_id for r in calm.collect()}
     clean = [i for i, t in labels.items() if t == 0]
     assert sum(i in kept for i in clean) >= 0.7 * len(clean)
     twice = calm.unionByName(calm.limit(3))
-    one = written(cp.drop_near_copies(spark, twice, SF), "n", keep=True)
+    one = written(cp.drop_near_copies(spark, twice, SF), "n")
     want = {r[0] for r in brute([(r.doc_id, r.text) for r in calm.collect()]) if r[3]}
     got = [r.doc_id for r in one.collect()]
     assert one.columns == columns and sorted(got) == sorted(want)
-    safe = written(cp.redact(spark, one, SF), "p", keep=True)
+    safe = written(cp.redact(spark, one, SF), "p")
     assert safe.columns == columns and safe.where("text rlike '[a-z0-9]@[a-z0-9-]+[.]'").count() == 0 and safe.count() == one.count()
-    mixed = written(cp.mix_sources(spark, safe, SF), "m", keep=True)
+    mixed = written(cp.mix_sources(spark, safe, SF), "m")
     per = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
     assert mixed.columns == columns and max(per.values()) <= 2 and set(per) <= set(got)
     packs = cp.pack(spark, mixed, SF)
@@ -35,7 +35,7 @@ def test_stages(spark):
 
 
 def test_empty_and_extra_columns(spark, tmp_path):
-    import corpus_pipeline as cp
+    from tessera.llm import pipeline as cp
 
     schema = "doc_id long, text string, lang string, source string, n_chars long, size long, score double, `row` int"
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -49,6 +49,17 @@ def test_empty_and_extra_columns(spark, tmp_path):
         assert cp.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
 
 
+def test_a_stage_deletes_only_tables_of_the_stage_before(spark):
+    from tessera.llm import mixing
+    from tessera.llm import pipeline as cp
+
+    docs = spark.createDataFrame([(k, f"w{k} x y", "a", 5) for k in range(20)], "doc_id long, text string, source string, n_chars int")
+    other = mixing.mix(docs, [1.0])
+    cp.mix_sources(spark, docs, "")
+    cp.redact(spark, docs, "")
+    assert other.count() == 20
+
+
 def test_rest_stands_without_this_part():
     """Imports of the library that reach this subpackage are only in the driver's entry."""
     import pathlib
@@ -59,7 +70,7 @@ def test_rest_stands_without_this_part():
 
 
 def test_near_copies_keep_one_row_of_each_group_where_ids_repeat(spark):
-    import corpus_pipeline as cp
+    from tessera.llm import pipeline as cp
 
     a, b, c = (" ".join(f"{name}{k}" for k in range(60)) for name in ("ant", "bee", "cow"))
     # (7, a) leads its group, (7, b) is a near copy of document 3, (7, c) stands for itself, twice.
