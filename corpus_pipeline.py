@@ -1,82 +1,5 @@
-"""A training-data pipeline over ``documents`` of five stages, each an operator of ``tessera.llm``.
+"""The training-data pipeline over ``documents``; its stages are in ``tessera.llm.pipeline``."""
 
-Each stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet and read again as the next
-stage's documents; all but the last keep the columns of ``documents``.
-"""
+from tessera.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tessera.llm import jaccard, mixing, packing, pii, tokens, toxicity
-from tessera.llm.shared import bound_batches, clear, written
-
-TOXIC_FROM = 0.3
-SIMILAR = 0.8
-WEIGHTS = [3.0, 1.0, 2.0]
-
-
-def _begin(spark: SparkSession) -> None:
-    """A stage begins once the result of the one before is written: what that one wrote on its way can go."""
-    clear(spark)
-    bound_batches(spark)
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below the threshold by the model that learns from the labels."""
-    _begin(spark)
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    return toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, labels), drop_from=TOXIC_FROM)
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: one with the smallest id.
-
-    Where an id repeats, its rows are told apart by their shingle sets: rows of one group are one, rows of other groups
-    stay. Documents without words or without an id link with nothing and stay; without words, rows of one id are one.
-    """
-    _begin(spark)
-    found = jaccard.near_documents(docs.select("doc_id", "text"), SIMILAR, sets=True)
-    gone = written(found.where("not kept").select("doc_id").distinct(), "gone")
-    twice = written(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "twice")
-    if twice.isEmpty():
-        return jaccard.join_ids(docs, gone, "doc_id", "left_anti")
-    once = jaccard.join_ids(jaccard.join_ids(docs, twice, "doc_id", "left_anti"), gone, "doc_id", "left_anti")
-    rows = jaccard.with_sets(jaccard.join_ids(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")), twice, "doc_id", "left_semi"))
-    kept = jaccard.join_ids(found.where("kept"), twice, "doc_id", "left_semi").select("doc_id", "f1", "f2", "n", "component").distinct()
-    again = rows.join(kept, ["doc_id", "f1", "f2", "n"]).dropDuplicates(["doc_id", "component"]).select("row.*")
-    return once.unionByName(again)
-
-
-def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with personal data replaced by its kind."""
-    _begin(spark)
-    return pii.redact_pii(docs, pii.train_pii(docs))
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    _begin(spark)
-    rows = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("row"))
-    mixed = mixing.mix(rows, WEIGHTS, keep=["row"]).where("copies > 0")
-    return mixed.select(F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"), "row").select("row.*")
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its sequence and offset."""
-    _begin(spark)
-    return packing.pack_documents(docs, tokens.vocabulary())
-
-
-STAGES = [("toxicity", drop_toxic), ("near_copies", drop_near_copies), ("pii", redact), ("mixing", mix_sources), ("packing", pack)]
-
-#: Classifiers, the chosen-path join and the tokenizer are beyond SQL; tests hold the stages against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name, keep=True)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
