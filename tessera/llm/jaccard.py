@@ -388,10 +388,11 @@ def with_sets(documents: DataFrame, words: int = WORDS) -> DataFrame:
 
 def candidates(reps: DataFrame, threshold: float) -> DataFrame:
     """(key, comp): components of the sets (key, n, sketch, nodes) whose sketches allow the threshold in some bucket."""
-    here = reps.select("key", "n", "sketch", F.explode("nodes").alias("node"))
+    here, light = reps.select("key", F.explode("nodes").alias("node")), reps.select("key", "n", "sketch")
     counts = written(here.groupBy("node").agg(F.count("*").alias("c")).where("c > 1"), "jaccardbuckets")
     rows = counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    leaf = join_ids(here, counts, "node", "inner")
+    # Paths travel as two numbers each; only those that meet others get their sketch.
+    leaf = here.join(counts, "node").join(light, "key")
     shape = "a long, b long, node long, n int, sketch binary"
 
     def split(df, count):
@@ -411,8 +412,7 @@ def candidates(reps: DataFrame, threshold: float) -> DataFrame:
     heads = heads.join(heads.groupBy("node").agg(F.count("*").alias("c")), "node")
     two = written(arranged(split(heads, F.col("c")).select("g", "side", "key", "n", "sketch"), rows // BLOCK).mapInArrow(screen(threshold), "a long, b long"), "jaccardheads")
     comps = connected_components(edges.unionByName(two)).select(F.col("node").alias("key"), F.col("component").alias("comp"))
-    inside = join_ids(here, large, "node", "inner").select("key", "n", "sketch", "node")
-    inside = inside.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    inside = join_ids(here, large, "node", "left_semi").join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     per = inside.groupBy("node", "comp").agg(F.count("*").alias("m"))
     rest = per.groupBy("node").agg(F.max_by("comp", F.struct("m", "comp")).alias("top"), F.max("m").alias("d"), (F.sum("m") - F.max("m")).alias("o")).where("o > 0")
     rest = written(rest, "jaccardrest")
@@ -425,7 +425,7 @@ def candidates(reps: DataFrame, threshold: float) -> DataFrame:
         group = lambda kind, i, j, side: F.struct(F.xxhash64("node", F.lit(kind), i, j).alias("g"), side.cast("byte").alias("side"))
         across = F.transform(F.sequence(F.lit(0), F.when(out, n_d).otherwise(n_o) - 1), lambda x: group("across", F.when(out, x).otherwise(own), F.when(out, own).otherwise(x), F.when(out, 2).otherwise(1)))
         among = F.transform(F.sequence(F.lit(0), n_o - 1), lambda x: group("among", F.least(own, x), F.greatest(own, x), F.when(own == x, 0).when(own < x, 1).otherwise(2)))
-        met = exploded(join_ids(inside, rest.select("node", "top", "d", "o"), "node", "inner"), F.when(out, F.concat(across, among)).otherwise(across))
+        met = exploded(join_ids(inside, rest.select("node", "top", "d", "o"), "node", "inner").join(light, "key"), F.when(out, F.concat(across, among)).otherwise(across))
         three = written(arranged(met.select("g", "side", "key", "n", "sketch"), left).mapInArrow(screen(threshold), "a long, b long"), "jaccardrests")
         comps = connected_components(comps.select(F.col("key").alias("a"), F.col("comp").alias("b")).unionByName(three)).select(F.col("node").alias("key"), F.col("component").alias("comp"))
         erase(three)
