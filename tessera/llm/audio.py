@@ -6,8 +6,10 @@ one silent MPEG-1 layer III mono frame (48 kHz, 80 kbit/s, checksum) per 192 pay
 ``parse`` resynchronises on frame headers, reads ID3v1/ID3v2 tags and Xing/Info/VBRI tables, verifies the checksums
 of all frames and gives the exact duration (samples over rate) and each frame's seek offset.
 
-Cases: a null text counts as empty and is stored as one block of padding; bytes that belong to no frame are counted
-as skipped; a stream without frames parses to zero frames and duration 0; equal texts give equal media.
+Cases: a null text counts as empty and is stored as one block of padding; a very long text is one stream, held whole
+by one task; bytes that belong to no frame are counted as skipped; a stream without frames parses to zero frames and
+duration 0; streams that ``encode`` did not mark have no payload; equal texts give equal media, repeated rows each
+their own row; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from pyspark.sql import DataFrame
 from .textarrays import passes
 
 BLOCK = 192
+#: Name of the tag that ``encode`` keeps the unpadded length in.
+MARK = "bytes"
 # Fixed values of the MPEG audio frame header: bit rates (kbit/s), sampling rates (Hz) and samples a frame.
 KBITS = {
     (1, 1): [32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448],
@@ -124,7 +128,7 @@ def encode(payload: bytes, n_bytes: int) -> bytes:
     blocks = np.frombuffer(payload, np.uint8).reshape(-1, BLOCK)
     frames = np.tile(_FRAME, (len(blocks) + 1, 1))
     frames[1:, _DATA : _DATA + BLOCK] = blocks
-    text = b"\x00bytes\x00" + str(n_bytes).encode()
+    text = b"\x00" + MARK.encode() + b"\x00" + str(n_bytes).encode()
     tag = b"TXXX" + _synchsafe(len(text)) + b"\x00\x00" + text
     toc = bytes(k * 256 // 100 for k in range(100))
     info = b"Info" + struct.pack(">III", 7, len(blocks), frames.size) + toc
@@ -146,8 +150,8 @@ class Audio:
     data_at: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
 
-def _tags(raw: bytes) -> tuple[int, int, dict[str, str]]:
-    start, end, tags = 0, len(raw), {}
+def _tags(raw: bytes) -> tuple[int, dict[str, str]]:
+    start, tags = 0, {}
     while raw[start : start + 3] == b"ID3" and len(raw) - start >= 10:
         major, (a, b, c, d) = raw[start + 3], raw[start + 6 : start + 10]
         size = a << 21 | b << 14 | c << 7 | d
@@ -161,10 +165,14 @@ def _tags(raw: bytes) -> tuple[int, int, dict[str, str]]:
                 tags[key] = value.rstrip("\0")
             at += 10 + n
         start = start + 10 + size
-    if end - start >= 128 and raw[end - 128 : end - 125] == b"TAG":
-        end -= 128
-        tags |= {k: v for k, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93)) if (v := raw[end + a : end + b].rstrip(b"\0 ").decode("latin-1"))}
-    return start, end, tags
+    return start, tags
+
+
+def _closing_tag(raw: bytes, at: int) -> dict[str, str] | None:
+    """The ID3v1 tag that ends the stream at ``at``, if there is one."""
+    if len(raw) - at != 128 or raw[at : at + 3] != b"TAG":
+        return None
+    return {k: v for k, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93)) if (v := raw[at + a : at + b].rstrip(b"\0 ").decode("latin-1"))}
 
 
 def _vbr(raw: bytes, at: int, h: Header) -> dict[str, object]:
@@ -179,20 +187,29 @@ def _vbr(raw: bytes, at: int, h: Header) -> dict[str, object]:
         return out
     x = at + 36
     if raw[x : x + 4] == b"VBRI":
-        return {"kind": "VBRI", "bytes": int.from_bytes(raw[x + 10 : x + 14]), "frames": int.from_bytes(raw[x + 14 : x + 18])}
+        entries, scale, width, each = (int.from_bytes(raw[x + k : x + k + 2]) for k in (18, 20, 22, 24))
+        steps = [int.from_bytes(raw[x + 26 + width * k : x + 26 + width * (k + 1)]) * scale for k in range(entries)]
+        return {"kind": "VBRI", "bytes": int.from_bytes(raw[x + 10 : x + 14]), "frames": int.from_bytes(raw[x + 14 : x + 18]), "frames_an_entry": each, "toc": steps}
     return {}
 
 
 def parse(raw: bytes) -> Audio:
     """Tags, tables, checksums, exact duration and seek offsets of a stream."""
-    at, end, tags = _tags(raw)
+    (at, tags), end = _tags(raw), len(raw)
     out, buf = Audio(tags=tags), np.frombuffer(raw, np.uint8)
     runs: list[tuple[np.ndarray, int, int]] = []
     first = True
     while at + 4 <= end:
         h = header(raw[at : at + 4])
         follows = at + h.size if h else 0
-        if not h or follows > end or (follows + 4 <= end and header(raw[follows : follows + 4]) is None) or (out.rate and h.rate != out.rate):
+        tail = _closing_tag(raw, at)
+        if tail is not None:
+            # Frames come first: a tag stands where no frame is left, never inside of one.
+            out.tags |= tail
+            at = end
+            break
+        last = follows + 4 > end or _closing_tag(raw, follows) is not None
+        if not h or follows > end or (not last and header(raw[follows : follows + 4]) is None) or (out.rate and h.rate != out.rate):
             nxt = raw.find(b"\xff", at + 1, end)
             nxt = end if nxt < 0 else nxt
             out.skipped, at = out.skipped + nxt - at, nxt
@@ -224,9 +241,11 @@ def parse(raw: bytes) -> Audio:
 
 
 def decode(raw: bytes, audio: Audio) -> bytes:
-    """The payload blocks that ``encode`` stored, read from the frames' main data."""
-    buf = np.frombuffer(raw, np.uint8)
-    return buf[audio.data_at[:, None] + np.arange(BLOCK)].tobytes() if len(audio.data_at) else b""
+    """The payload blocks that ``encode`` stored, read from the frames' main data; none of other streams."""
+    room = audio.offsets + audio.sizes - audio.data_at >= BLOCK
+    if MARK not in audio.tags or not room.any():
+        return b""
+    return np.frombuffer(raw, np.uint8)[audio.data_at[room][:, None] + np.arange(BLOCK)].tobytes()
 
 
 def encode_texts(documents: DataFrame, text: str = "text") -> DataFrame:

@@ -92,7 +92,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     out = audio.media_features(audio.encode_texts(docs))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "n_samples", "sample_rate", "seek_offsets")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

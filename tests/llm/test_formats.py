@@ -89,6 +89,39 @@ def test_audio_resynchronises():
     assert audio.parse(b"").samples == 0 and audio.parse(b"no audio here").skipped == 13
 
 
+@pytest.mark.parametrize("word", [b"TAG", b"ID3", b"Info", b"VBRI", b"Xing", b"\xff\xfa\x64\xc0", b"\xff\xfb\x92\x04"])
+def test_audio_payload_may_hold_marks_at_any_place(word):
+    for at in range(0, 192, 3 if word != b"TAG" else 1):
+        for n in (192, 384):
+            p = (b"x" * (n - 192) + b" " * at + word).ljust(n)[:n]
+            raw = audio.encode(p, n)
+            got = audio.parse(raw)
+            assert audio.decode(raw, got) == p and got.skipped == 0 and got.tags == {"bytes": str(n)}
+            tagged = raw + b"TAG" + b"name".ljust(125, b"\0")
+            got = audio.parse(tagged)
+            assert audio.decode(tagged, got) == p and got.skipped == 0 and got.tags["title"] == "name"
+
+
+def test_audio_other_streams_have_no_payload(spark):
+    small = bytes([0xFF, 0xFB, 0x10, 0xC0]).ljust(audio.header(bytes([0xFF, 0xFB, 0x10, 0xC0])).size, b"\0")
+    got = audio.parse(small * 5)
+    assert len(got.offsets) == 5 and audio.decode(small * 5, got) == b""
+    df = spark.createDataFrame([(1, 0, bytearray(small * 5)), (2, 0, None)], "doc_id long, n_bytes long, media binary")
+    rows = {r.doc_id: r for r in audio.media_features(df).collect()}
+    assert (rows[1].payload_bytes, rows[1].n_frames, rows[2].n_frames) == (0, 5, 0)
+    vbri = bytearray(audio.encode(b" " * 192, 1))
+    first = audio.header(audio.HEAD)
+    start = vbri.index(audio.HEAD)
+    vbri[start + 23 : start + first.size] = bytes(first.size - 23)
+    vbri[start + 36 : start + 36 + 30] = b"VBRI" + bytes(6) + (999).to_bytes(4, "big") + (7).to_bytes(4, "big") + (2).to_bytes(2, "big") + (3).to_bytes(2, "big") + (2).to_bytes(2, "big") + (1).to_bytes(2, "big") + (5).to_bytes(2, "big") + (6).to_bytes(2, "big")
+    assert audio.parse(bytes(vbri)).table == {"kind": "VBRI", "bytes": 999, "frames": 7, "frames_an_entry": 1, "toc": [15, 18]}
+
+
+def test_audio_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id int, text string, media string")
+    assert audio.media_features(audio.encode_texts(docs)).count() == 0
+
+
 def test_audio_headers():
     h = audio.header(bytes([0xFF, 0xFB, 0x92, 0x04]))  # MPEG-1 layer III, 128 kbit/s, 44.1 kHz, padded, joint stereo
     assert (h.version, h.layer, h.kbits, h.rate, h.size, h.samples, h.side, h.checked) == (1, 3, 128, 44100, 418, 1152, 32, False)
