@@ -3,12 +3,18 @@
 Unit vectors are rotated onto their principal directions (fitted on a bounded sample), laid on a grid of width
 epsilon over the leading dimensions and sorted by cell. The sorted sequence is cut into blocks; only block pairs whose
 bounding boxes are within epsilon are joined, and a block pair is joined recursively on halves of its intervals, down
-to small leaves that are compared in full by cosine in double precision. Equal vectors are one vector with a
-multiplicity first, so a vector that is very common costs one row.
+to leaves. In a leaf, pairs whose leading coordinates prove them distant (the rest of two vectors adds no more than the
+product of its lengths) are skipped too; the others are compared by cosine in double precision. Equal vectors are one
+vector with a multiplicity first, so a vector that is very common costs one row.
+
+Vectors without structure in their leading directions leave few blocks to skip: their work grows with the square of
+the distinct vectors. A block goes to a task once for each block that it meets; blocks are as large as memory allows,
+so that few copies travel.
 
 Cases: vectors that are null, zero or hold null or non-finite components link with nothing and are components of their
 own; vectors of different lengths never link; each row is a vector of its own, so repeated rows link with each other
-and share an id; rows with a null id link with nothing; an empty table gives no rows; extra columns are ignored.
+and share an id, and rows that share an id but not a vector are told apart; rows with a null id link with nothing; an
+empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +30,12 @@ from .shared import connected_components, written
 
 LEAD = 8
 GRID = 4
-BLOCK = 2048
-LEAF = 256
+#: Leading directions that the bound of a pair uses.
+BOUND = 24
+#: Vectors and bytes of a block.
+BLOCK = 8192
+BLOCK_BYTES = 4 << 20
+LEAF = 512
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -33,7 +43,7 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(1, keepdims=True))
 
 
-def principal(sample: np.ndarray, lead: int = LEAD) -> np.ndarray:
+def principal(sample: np.ndarray, lead: int = BOUND) -> np.ndarray:
     """Orthonormal columns: the leading directions of the sample about its mean, at most ``lead``."""
     d = sample.shape[1]
     c = sample - sample.mean(0)
@@ -47,9 +57,14 @@ def close(lo_a, hi_a, lo_b, hi_b, eps2: float) -> bool:
     return float(gap @ gap) <= eps2
 
 
-def join_intervals(x: np.ndarray, px: np.ndarray, y: np.ndarray, py: np.ndarray, least: float, same: bool, hit: np.ndarray, leaf: int = LEAF) -> None:
-    """Mark in ``hit`` all pairs of rows of ``x`` and ``y`` with cosine >= ``least``; ``px``, ``py`` are leading coordinates."""
+def join_intervals(x: np.ndarray, px: np.ndarray, y: np.ndarray, py: np.ndarray, least: float, same: bool, leaf: int = LEAF):
+    """Index pairs (i, j) of rows of ``x`` and ``y`` with cosine >= ``least``, a leaf at a time; once each if ``same``.
+
+    ``px`` and ``py`` are leading coordinates of the unit vectors on orthonormal directions.
+    """
     eps2 = 2 - 2 * least + 1e-9
+    rest = lambda p: np.sqrt(np.maximum(0, 1 - (p * p).sum(1))).astype(np.float32)[:, None]
+    ax, ay = (np.concatenate([p.astype(np.float32), rest(p)], axis=1) for p in (px, py))
     todo = [(0, len(x), 0, len(y))]
     while todo:
         a, b, c, d = todo.pop()
@@ -58,7 +73,15 @@ def join_intervals(x: np.ndarray, px: np.ndarray, y: np.ndarray, py: np.ndarray,
         if not close(px[a:b].min(0), px[a:b].max(0), py[c:d].min(0), py[c:d].max(0), eps2):
             continue
         if b - a <= leaf and d - c <= leaf:
-            hit[a:b, c:d] = x[a:b] @ y[c:d].T >= least
+            i, j = np.nonzero(ax[a:b] @ ay[c:d].T >= np.float32(least - 1e-4))
+            i, j = i + a, j + c
+            if same:
+                i, j = i[i < j], j[i < j]
+            for k in range(0, len(i), 1 << 16):
+                p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+                on = np.einsum("rd,rd->r", x[p], y[q]) >= least
+                if on.any():
+                    yield p[on], q[on]
         elif b - a >= d - c:
             m = (a + b) // 2
             todo += [(a, m, c, d), (m, b, c, d)]
@@ -70,26 +93,32 @@ def join_intervals(x: np.ndarray, px: np.ndarray, y: np.ndarray, py: np.ndarray,
 def near_vectors(embeddings: DataFrame, least: float = 0.9, sample: int = 2000, block: int = BLOCK, leaf: int = LEAF) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``embeddings`` (vec_id, embedding).
 
-    ``sample`` bounds the vectors that fit the principal directions; all rows are joined. Blocks hold ``block`` rows,
-    intervals of at most ``leaf`` rows are compared in full.
+    ``sample`` bounds the vectors that fit the principal directions; all rows are joined. Blocks hold at most ``block``
+    rows and ``BLOCK_BYTES``, intervals of at most ``leaf`` rows are compared pair by pair.
     """
     spark = embeddings.sparkSession
     single = embeddings.schema["embedding"].dataType.simpleString() == "array<float>"
-    rows = embeddings.select("vec_id", F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"))
+    kind = "float" if single else "double"
+    # Both zeros are one value; rows meet by the hash of their vector, vectors travel once.
+    vector = F.transform(F.col("embedding").cast(f"array<{kind}>"), lambda x: x + F.lit(0).cast(kind))
+    rows = embeddings.select("vec_id", vector.alias("embedding"))
     stored = np.float32 if single else np.float64  # blocks carry the values as they are; cosines are double all the same
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
     valid = F.coalesce(fine, F.lit(False)) & F.col("vec_id").isNotNull()
-    good = rows.where(valid)
-    reps = written(good.groupBy("embedding").agg(F.min("vec_id").cast("long").alias("id"), F.count("*").alias("mult")), "egoreps")
-    n = reps.count()
+    rows = rows.withColumn("key", F.when(valid, F.xxhash64("embedding"))).withColumn("more", F.when(valid, F.hash("embedding")))
+    good = rows.where("key is not null")
+    reps = good.groupBy("key", "more").agg(F.min("vec_id").cast("long").alias("id"), F.count("*").alias("mult"), F.any_value("embedding").alias("embedding"))
+    reps = written(reps, "egoreps")
+    n, width = reps.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
+    block = max(2, min(block, BLOCK_BYTES // (width * stored().itemsize)))
     fit: dict[int, np.ndarray] = {}
-    for r in reps.orderBy(F.xxhash64("id"), "id").limit(sample).groupBy(F.size("embedding").alias("d")).agg(F.collect_list("embedding").alias("v")).toLocalIterator():
+    for r in reps.orderBy(F.xxhash64("key"), "key").limit(sample).groupBy(F.size("embedding").alias("d")).agg(F.collect_list("embedding").alias("v")).toLocalIterator():
         fit[r.d] = principal(unit(np.array(r.v, float)))
 
     def project(x: np.ndarray) -> np.ndarray:
         d = x.shape[1]
-        p = x @ fit.get(d, np.eye(d)[:, :LEAD])
-        return np.pad(p, ((0, 0), (0, LEAD - p.shape[1])))
+        p = x @ fit.get(d, np.eye(d)[:, :BOUND])
+        return np.pad(p, ((0, 0), (0, max(0, LEAD - p.shape[1]))))
 
     eps = (2 - 2 * least) ** 0.5
 
@@ -104,9 +133,8 @@ def near_vectors(embeddings: DataFrame, least: float = 0.9, sample: int = 2000,
                 grid[at] = np.floor(project(unit(x))[:, :GRID] / eps)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size, pa.int32()), *(pa.array(grid[:, k]) for k in range(GRID))], names=[*batch.schema.names, "d", *(f"c{k}" for k in range(GRID))])
 
-    vtype = reps.schema["embedding"].dataType.simpleString()
-    order = ["d", *(f"c{k}" for k in range(GRID)), "id"]
-    laid = reps.mapInArrow(cells, f"embedding {vtype}, id long, mult long, d int, " + ", ".join(f"c{k} long" for k in range(GRID)))
+    order = ["d", *(f"c{k}" for k in range(GRID)), "key"]
+    laid = reps.select("embedding", "key", "mult").mapInArrow(cells, f"embedding array<{kind}>, key long, mult long, d int, " + ", ".join(f"c{k} long" for k in range(GRID)))
     laid = laid.repartitionByRange(max(1, n // (4 * block)), *order).sortWithinPartitions(*order)
 
     def blocks(batches):
@@ -116,10 +144,10 @@ def near_vectors(embeddings: DataFrame, least: float = 0.9, sample: int = 2000,
 
         def flush():
             nonlocal held, serial
-            ids, mult, x = (np.concatenate(c) for c in zip(*held, strict=True))
-            p = project(unit(x.astype(float)))
+            keys, mult, x = (np.concatenate(c) for c in zip(*held, strict=True))
+            p = project(unit(x.astype(float)))[:, :LEAD]
             grid = np.unique(np.floor(p[:, :2] / eps).astype(np.int64), axis=0)
-            out = {"block": [part << 24 | serial], "d": [width], "lo": [p.min(0).tolist()], "hi": [p.max(0).tolist()], "cells": [[f"{a},{b}" for a, b in grid.tolist()]], "ids": [ids.tobytes()], "mult": [mult.tobytes()], "vectors": [x.tobytes()]}
+            out = {"block": [part << 24 | serial], "d": [width], "lo": [p.min(0).tolist()], "hi": [p.max(0).tolist()], "cells": [[f"{a},{b}" for a, b in grid.tolist()]], "keys": [keys.tobytes()], "mult": [mult.tobytes()], "vectors": [x.tobytes()]}
             held, serial = [], serial + 1
             return pa.RecordBatch.from_pydict(out, schema=block_schema)
 
@@ -141,8 +169,8 @@ def near_vectors(embeddings: DataFrame, least: float = 0.9, sample: int = 2000,
         if held:
             yield flush()
 
-    block_schema = pa.schema([("block", pa.int64()), ("d", pa.int32()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("cells", pa.list_(pa.string())), ("ids", pa.binary()), ("mult", pa.binary()), ("vectors", pa.binary())])
-    spec = "block long, d int, lo array<double>, hi array<double>, cells array<string>, ids binary, mult binary, vectors binary"
+    block_schema = pa.schema([("block", pa.int64()), ("d", pa.int32()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("cells", pa.list_(pa.string())), ("keys", pa.binary()), ("mult", pa.binary()), ("vectors", pa.binary())])
+    spec = "block long, d int, lo array<double>, hi array<double>, cells array<string>, keys binary, mult binary, vectors binary"
     cut = written(laid.mapInArrow(blocks, spec), "egoblocks")
 
     meta = cut.select("block", "d", "lo", "hi", "cells")
@@ -155,41 +183,45 @@ def near_vectors(embeddings: DataFrame, least: float = 0.9, sample: int = 2000,
     dist = F.aggregate(gaps, F.lit(0.0), lambda acc, x: acc + x * x)
     pairs = left.join(right, "cell").where((F.col("a") <= F.col("b")) & (F.col("da") == F.col("db"))).where(dist <= eps * eps + 1e-9).select("a", "b").distinct()
 
-    payload = cut.select(F.col("block").alias("b"), "d", "ids", "mult", "vectors")
-    own = payload.select(F.col("b").alias("a"), F.lit(-1).cast("long").alias("b"), "d", "ids", "mult", "vectors")
-    others = pairs.join(payload, "b").select("a", "b", "d", "ids", "mult", "vectors")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    tasks = own.unionByName(others).repartition(parts, "a").sortWithinPartitions("a", "b")
+    pairs = written(pairs, "egopairs")
+    sides = pairs.select("a", "b", F.explode(F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))).alias("block"))
+    # Each pair of blocks is a group of its own, so no block is a hot key; a pair is more work than it is bytes.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pairs.count() // 4, 1)
+    tasks = sides.join(cut.select("block", "d", "keys", "mult", "vectors"), "block").select("a", "b", "block", "d", "keys", "mult", "vectors")
+    tasks = tasks.repartition(parts, "a", "b").sortWithinPartitions("a", "b", "block")
 
     def link(batches):
-        x = None
+        first = None
         for batch in batches:
             for r in range(batch.num_rows):
-                a, b, d = batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), batch.column(2)[r].as_py()
-                ids, mult = (np.frombuffer(batch.column(c)[r].as_py(), np.int64) for c in (3, 4))
-                v = unit(np.frombuffer(batch.column(5)[r].as_py(), stored).reshape(-1, d).astype(float))
-                if b < 0:
-                    x = (ids, mult, v, project(v))
+                a, b, at, d = (batch.column(c)[r].as_py() for c in range(4))
+                keys, mult = (np.frombuffer(batch.column(c)[r].as_py(), np.int64) for c in (4, 5))
+                v = unit(np.frombuffer(batch.column(6)[r].as_py(), stored).reshape(-1, d).astype(float))
+                y = (keys, mult.astype(float), v, project(v))
+                if a != b and at == a:
+                    first = y
                     continue
-                hit = np.zeros((len(x[0]), len(ids)), bool)
-                join_intervals(x[2], x[3], v, project(v), least, a == b, hit, leaf)
-                if a == b:
-                    hit = np.triu(hit, 1)
-                if hit.any():
-                    near_a, near_b = hit @ mult.astype(np.float64), x[1].astype(np.float64) @ hit
-                    who, links = np.concatenate([x[0], ids]), np.concatenate([near_a, near_b]).astype(np.int64)
+                x = y if a == b else first
+                near_x, near_y = np.zeros(len(x[0])), np.zeros(len(keys))
+                ends = []
+                for i, j in join_intervals(x[2], x[3], y[2], y[3], least, a == b, leaf):
+                    near_x += np.bincount(i, weights=y[1][j], minlength=len(near_x))
+                    near_y += np.bincount(j, weights=x[1][i], minlength=len(near_y))
+                    ends.append(spanning_pairs(x[0][i], keys[j]))
+                if ends:
+                    who, links = np.concatenate([x[0], keys]), np.concatenate([near_x, near_y]).astype(np.int64)
                     on = links > 0
-                    i, j = np.nonzero(hit)
-                    s, t = spanning_pairs(x[0][i], ids[j])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([who[on], s])), pa.array(np.concatenate([links[on], np.zeros(len(s), np.int64)])), pa.array(np.concatenate([np.full(int(on.sum()), -1), t]), from_pandas=False, mask=np.concatenate([np.ones(int(on.sum()), bool), np.zeros(len(s), bool)]))], names=["id", "links", "root"])
-
-    found = written(tasks.mapInArrow(link, "id long, links long, root long"), "egolinks")
-    links = found.where("root is null").groupBy("id").agg(F.sum("links").alias("links"))
-    comp = connected_components(found.where("root is not null").select(F.col("id").alias("a"), F.col("root").alias("b")))
-    classes = reps.join(links, "id", "left").join(comp.withColumnRenamed("node", "id"), "id", "left")
-    classes = classes.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+                    s, t = spanning_pairs(np.concatenate([e[0] for e in ends]), np.concatenate([e[1] for e in ends]))
+                    null = np.concatenate([np.ones(int(on.sum()), bool), np.zeros(len(s), bool)])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([who[on], s])), pa.array(np.concatenate([links[on], np.zeros(len(s), np.int64)])), pa.array(np.concatenate([who[on], t]), mask=null)], names=["key", "links", "root"])
+
+    found = written(tasks.mapInArrow(link, "key long, links long, root long"), "egolinks")
+    links = found.where("root is null").groupBy("key").agg(F.sum("links").alias("links"))
+    comp = connected_components(found.where("root is not null").select(F.col("key").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "key")
+    joined = reps.select("key", "more", "id", "mult").join(links, "key", "left").join(comp, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    least_id = joined.groupBy("component").agg(F.min("id").alias("component_id"))
+    classes = joined.join(least_id, "component").select("key", "more", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), "component_id")
     idt = embeddings.schema["vec_id"].dataType
-    out = good.join(classes, "embedding").select("vec_id", "n_links", F.col("component_id").cast(idt).alias("component_id"))
-    rest = rows.where(~valid).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    out = out.unionByName(rest)
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    out = good.select("vec_id", "key", "more").join(classes, ["key", "more"]).select("vec_id", "n_links", F.col("component_id").cast(idt).alias("component_id"))
+    alone = rows.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return out.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

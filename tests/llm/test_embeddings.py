@@ -18,7 +18,7 @@ def brute(rows, least=0.9):
                 if j not in seen:
                     seen.add(j)
                     todo.append(j)
-        c = min(rows[j][0] for j in seen)
+        c = min(rows[j][0] for j in seen)  # smallest id of the component
         out.append((i, len(links.get(k, [])), c, i == c))
     return sorted(out)
 
@@ -29,6 +29,7 @@ def test_against_brute_force(spark, block, leaf):
     centres = rng.standard_normal((12, 8))
     rows = [(int(i), (centres[rng.integers(12)] + 0.25 * rng.standard_normal(8)).astype(np.float32).tolist()) for i in range(150)]
     rows += [(200 + k, rows[0][1]) for k in range(20)] + [(230, [0.0] * 8), (231, None), (232, [float("nan")] + [1.0] * 7), (233, [None] + [1.0] * 7), (234, [1.0, 2.0]), (235, [2.0, 4.0]), (236, []), (200, rows[0][1]), (240, [float("inf")] + [0.0] * 7)]
+    rows += [(250, rows[3][1]), (250, [0.0] * 7 + [1.0]), (251, [-0.0] * 7 + [1.0]), (250, [5.0, 4.0, -3.0, 2.0, -1.0, 0.5, 3.0, -7.0])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, n_links string")
     got = sorted(map(tuple, egojoin.near_vectors(df, block=block, leaf=leaf).collect()))
     assert got == brute(rows)
@@ -43,6 +44,4 @@ def test_empty_and_null_ids(spark):
 
 def test_provably_distant_blocks_are_skipped():
     x = np.eye(4)
-    hit = np.zeros((1, 1), bool)
-    egojoin.join_intervals(x[:1], x[:1], x[1:2], x[1:2], 0.9, False, hit)
-    assert not hit.any() and not egojoin.close(np.zeros(2), np.zeros(2), np.ones(2), np.ones(2), 0.2)
+    assert not list(egojoin.join_intervals(x[:1], x[:1], x[1:2], x[1:2], 0.9, False)) and not egojoin.close(np.zeros(2), np.zeros(2), np.ones(2), np.ones(2), 0.2)
