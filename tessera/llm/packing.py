@@ -2,14 +2,17 @@
 
 A configuration says how many pieces of each length share a sequence. The program over the length histogram (minimise
 sequences, cover every length) is solved by multiplicative weights: each round prices a configuration by a bounded
-knapsack over the capacity, gives it its share of the sequences, and lowers the weights of the lengths it covers. The
-fractional counts are rounded down and applied; what is left is solved again until few pieces remain, which go to the
-fullest sequence that still fits them, longest first. The solver sees only the histogram (at most ``size`` rows) and
-returns runs of equal sequences, so its work does not grow with the corpus; pieces find their place by their rank
-within their length.
-
-Cases: a null text counts as empty and is the end id alone; repeated rows are pieces of their own; only documents
-longer than a sequence are cut; an empty table gives no rows; extra columns are ignored.
+knapsack over the capacity, gives it its share of the sequences, and lowers the weights of the lengths it covers. Each
+round's weights also prove a lower bound. The fractional counts are rounded down and applied; what is left goes, longest
+first, to the fullest sequence that still fits it, which may be one of the configurations. Where plain best fit over
+the whole histogram needs fewer sequences than that, its plan is taken. All of it works on runs of equal sequences, at
+any size alike, so its work depends on the histogram's lengths (at most ``size``) and not on the corpus; pieces find
+their place by their rank within their length.
+
+Cases: a null text counts as empty and is the end id alone; a null doc_id is an id like any other; a very long text is
+tokenised whole and cut into full sequences but for its last piece; repeated rows are pieces of their own, and pieces
+that agree in all they carry are interchangeable; only documents longer than a sequence are cut; an empty table gives
+no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +30,6 @@ from .textarrays import passes
 from .tokens import word_tokenizer
 
 SIZE = 2048
-FEW = 4000
 
 
 def price(lengths: np.ndarray, values: np.ndarray, most: np.ndarray, size: int) -> np.ndarray:
@@ -58,9 +60,8 @@ def price(lengths: np.ndarray, values: np.ndarray, most: np.ndarray, size: int)
 
 
 def solve_lp(lengths: np.ndarray, need: np.ndarray, size: int, rounds: int, rate: float = 0.5) -> tuple[list[tuple[np.ndarray, float]], float]:
-    """Configurations with fractional counts, and the best lower bound from the weights met on the way."""
-    total = float(lengths @ need)
-    bins = total / size
+    """Configurations with fractional counts, and the best lower bound that the weights met on the way prove."""
+    bins = float(lengths @ need) / size
     y = lengths / size
     covered = np.zeros(len(lengths))
     out, bound = [], bins
@@ -68,14 +69,92 @@ def solve_lp(lengths: np.ndarray, need: np.ndarray, size: int, rounds: int, rate
         # No more of a length in one configuration than its share of all sequences calls for, and one at least.
         most = np.maximum(1, np.ceil(2 * need / max(bins, 1))).astype(np.int64)
         counts = price(lengths, y, np.minimum(most, need), size)
+        if t % 8 == 0:
+            # Weights over the value of the best configuration of all are a solution of the dual program.
+            best = price(lengths, y, np.minimum(need, size // lengths), size)
+            bound = max(bound, float(y @ need) / float(y @ best))
         x = bins / rounds
         out.append((counts, x))
-        gain = counts * x / need
-        covered += gain
+        covered += counts * x / need
         y = lengths / size * np.exp(np.clip(rate * ((t + 1) / rounds - covered) * rounds / 8, -2.0, 2.0))
     return out, bound
 
 
+Sequences = dict[tuple[tuple[int, int], ...], int]
+
+
+def with_pieces(config: tuple[tuple[int, int], ...], length: int, many: int) -> tuple[tuple[int, int], ...]:
+    """``config``, pieces of each length (descending) with their number, with more pieces of its shortest length or a shorter one."""
+    return tuple(sorted((dict(config) | {length: dict(config).get(length, 0) + many}).items(), reverse=True))
+
+
+def best_fit(left: dict[int, int], size: int, opened: Sequences | None = None) -> Sequences:
+    """Sequences by best fit, longest pieces first, into those of ``opened`` and new ones; equal ones move together."""
+    spaces: list[Sequences] = [{} for _ in range(size + 1)]
+    for config, times in (opened or {}).items():
+        spaces[size - sum(n * c for n, c in config)][config] = times
+    for n in sorted(left, reverse=True):
+        rest = left[n]
+        s = n
+        while rest > 0:
+            while s <= size and not spaces[s]:
+                s += 1
+            # A sequence that takes a piece of this length is the best fit for the next ones until it is full.
+            if s <= size:
+                config, times = next(iter(spaces[s].items()))
+                space = s
+                del spaces[s][config]
+            else:
+                config, times, space = (), rest, size
+            each = space // n
+            full = min(times, rest // each)
+            steps = [(full, each)] if full else []
+            if full < times and rest > full * each:
+                steps.append((1, rest - full * each))
+            for many, pieces in steps:
+                key, to = with_pieces(config, n, pieces), space - n * pieces
+                spaces[to][key] = spaces[to].get(key, 0) + many
+                rest -= many * pieces
+                times -= many
+            if times and config:
+                spaces[space][config] = spaces[space].get(config, 0) + times
+    out: Sequences = {}
+    for some in spaces:
+        for config, times in some.items():
+            out[config] = out.get(config, 0) + times
+    return out
+
+
+def by_program(histogram: dict[int, int], size: int, rounds: int, gap: float) -> tuple[Sequences, float]:
+    """Sequences from the rounded program and best fit for the rest, and a lower bound.
+
+    Rounds double from 32 to ``rounds`` until the sequences are within ``gap`` of the bound. Less of each configuration
+    leaves more short pieces for the gaps; of three shares the best one stands.
+    """
+    lengths = np.array(sorted(histogram, reverse=True))
+    need = np.array([histogram[n] for n in lengths.tolist()])
+    best, bound, many = None, 0.0, 32
+    while True:
+        configs, proved = solve_lp(lengths, need, size, many)
+        bound = max(bound, proved)
+        for share in (1.0, 0.9, 0.6):
+            opened: Sequences = {}
+            rest = need.copy()
+            for counts, x in configs:
+                on = counts > 0
+                times = min(int(share * x), int((rest[on] // counts[on]).min())) if on.any() else 0
+                if times > 0:
+                    key = tuple((int(n), int(c)) for n, c in zip(lengths[on], counts[on], strict=True))
+                    opened[key] = opened.get(key, 0) + times
+                    rest = rest - times * counts
+            found = best_fit({int(n): int(c) for n, c in zip(lengths, rest, strict=True) if c > 0}, size, opened)
+            if best is None or sum(found.values()) < sum(best.values()):
+                best = found
+        if many >= rounds or sum(best.values()) <= np.ceil((1 + gap) * bound):
+            return best, bound
+        many *= 2
+
+
 @dataclass
 class Run:
     """``times`` equal sequences from ``first`` on: pieces of each length (descending) with their number in a sequence."""
@@ -85,50 +164,31 @@ class Run:
     parts: list[tuple[int, int]]
 
 
-def plan(histogram: dict[int, int], size: int = SIZE, rounds: int = 80, few: int = FEW) -> list[Run]:
+@dataclass
+class Plan:
+    """Runs of sequences, how many they are, the lower bound that the program proves, and whose sequences they are."""
+
+    runs: list[Run]
+    sequences: int
+    bound: float
+    method: str
+
+
+def plan(histogram: dict[int, int], size: int = SIZE, rounds: int = 128, gap: float = 0.0) -> Plan:
     """Runs of sequences that hold exactly the pieces of the histogram."""
     left = {n: c for n, c in histogram.items() if c > 0}
-    runs: list[Run] = []
-    at = 0
-    if left.get(size):
-        runs.append(Run(0, left.pop(size), [(size, 1)]))
-        at = runs[-1].times
-    while sum(left.values()) > few:
-        lengths = np.array(sorted(left, reverse=True))
-        need = np.array([left[n] for n in lengths.tolist()])
-        rest, done = need.copy(), 0
-        configs, _ = solve_lp(lengths, need, size, rounds)
-        for counts, x in configs:
-            on = counts > 0
-            times = min(int(x), int((rest[on] // counts[on]).min())) if on.any() else 0
-            if times > 0:
-                runs.append(Run(at, times, [(int(n), int(c)) for n, c in zip(lengths[on], counts[on], strict=True)]))
-                at, done = at + times, done + times
-                rest = rest - times * counts
-        left = {int(n): int(c) for n, c in zip(lengths, rest, strict=True) if c > 0}
-        if done < 1:
-            break
-    # Best fit, longest first: spaces of open sequences by size.
-    spaces: list[list[int]] = [[] for _ in range(size + 1)]
-    contents: list[dict[int, int]] = []
-    for n in sorted(left, reverse=True):
-        for _ in range(left[n]):
-            fit = next((s for s in range(n, size + 1) if spaces[s]), None)
-            if fit is None:
-                contents.append({n: 1})
-                spaces[size - n].append(len(contents) - 1)
-            else:
-                b = spaces[fit].pop()
-                contents[b][n] = contents[b].get(n, 0) + 1
-                spaces[fit - n].append(b)
-    same: dict[tuple, int] = {}
-    for c in contents:
-        key = tuple(sorted(c.items(), reverse=True))
-        same[key] = same.get(key, 0) + 1
-    for key, times in same.items():
-        runs.append(Run(at, times, list(key)))
+    full = left.pop(size, 0)
+    found, bound, method = {}, 0.0, "program"
+    if left:
+        found, bound = by_program(left, size, rounds, gap)
+        plain = best_fit(left, size)
+        if sum(plain.values()) < sum(found.values()):
+            found, method = plain, "best fit"
+    runs, at = [], 0
+    for config, times in [*([(((size, 1),), full)] if full else []), *found.items()]:
+        runs.append(Run(at, times, list(config)))
         at += times
-    return runs
+    return Plan(runs, at, full + bound, method)
 
 
 @dataclass
@@ -194,12 +254,14 @@ def pack(found: DataFrame, size: int = SIZE) -> DataFrame:
     salts = max(16, min(1024, n // 1_000_000))
     salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(salts)).cast("int"))
     counts = np.zeros((size + 1, salts), np.int64)
-    for r in salted.groupBy("length", "salt").agg(F.count("*").alias("c")).collect():  # at most size x salts rows
-        counts[r.length, r.salt] = r.c
-    places = Places.of(plan({k: int(v) for k, v in enumerate(counts.sum(1).tolist()) if v}, size))
+    seen = salted.groupBy("length", "salt").agg(F.count("*").alias("c")).toArrow()  # at most size x salts rows of numbers
+    counts[seen["length"].to_numpy(), seen["salt"].to_numpy()] = seen["c"].to_numpy()
+    places = Places.of(plan({k: int(v) for k, v in enumerate(counts.sum(1).tolist()) if v}, size).runs)
     before = np.cumsum(counts, axis=1) - counts
     held = found.sparkSession.sparkContext.broadcast((places, before))
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")).cast("long"))
+    # Rows that are equal in all of these differ in nothing that is packed, so a task that runs again places them alike.
+    rank = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
+    ranked = salted.withColumn("rank", F.row_number().over(rank).cast("long"))
     fields = found.schema.names
 
     def run(batches):

@@ -4,12 +4,20 @@ Base matches (email, ip, card, phone) come from fixed patterns. Every word that
 one of five labels (none or a kind); base words are observed. Neighbouring nodes share a chain potential; words with
 the same key anywhere in the document (same folded form, same last seven digits, same local part of an address) share
 a skip potential, each occurrence with the next one, so a word that repeats n times costs n - 1 links. Loopy message
-passing runs over all documents of a pass at once; a free word whose label is sure enough becomes a further span.
-The potentials are trained piecewise in numpy on a bounded sample: a maximum-entropy unary model of word shape, and
-label co-occurrence of linked words with a documented prior for agreement.
-
-Cases: a null text counts as empty and has no spans; repeated rows each get their spans; spans of different kinds may
-overlap, further spans never touch a base span; offsets are code points, end exclusive; extra columns are ignored.
+passing runs over all documents of a pass at once. Neighbouring free words of one sure label become a further span, if
+it has as many digits as that kind asks for.
+
+The potentials are trained piecewise in numpy: a maximum-entropy unary model of word shape on a bounded sample, and
+label co-occurrence of linked words over all documents with a documented prior for agreement. The labels are the base
+matches; so that the model does not merely repeat the patterns, each match also trains with the features hidden that
+its pattern asks for, and words in doubt train nothing: those that a skip link ties to a match, and those of a phone
+pattern that ran on over too many digits. On a part of the sample that trains nothing, every second match is hidden whole; the least
+probability at which what is then found is precise enough is the one from which words count as sure.
+
+Cases: a null text counts as empty and has no spans; very long texts are searched whole; repeated rows each get their
+spans, and of several texts of one id the smallest one trains; spans of different kinds may overlap, further spans
+never touch a base span; offsets are code points, end exclusive; extra columns are ignored; an empty table trains a
+model that adds nothing and gives no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .samples import sampled, training_ids
 from .textarrays import SOLID, Texts, passes
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -88,12 +97,17 @@ def features(word: bytes, before: bytes, after: bytes) -> list[int]:
     on = [
         True, at, at and b"." in core.partition(b"@")[2], n == 0, 1 <= n <= 3, 4 <= n <= 7, 8 <= n <= 15, 16 <= n <= 19, n > 19, letters,
         dots == 3 and not letters, dots == 3 and not letters and all(p.isdigit() and int(p) < 256 for p in core.split(b".") if len(p) < 5), core[:1] == b"+", word[:1] == b"(" or b")" in word,
-        b"-" in core and not letters, before[-1:].isdigit() or before[-1:] == b")", after[:1].isdigit() or after[:1] == b"(", before[:1] == b"+", after[:1] == b"(", 16 <= n <= 19 and not letters and luhn(d), b"=" in word or b'"' in word,
+        b"-" in core and not letters, before[-1:].isdigit() or before[-1:] == b")", after[:1].isdigit() or after[:1] == b"(", before[:1] == b"+", after[:1] == b"(", 16 <= n <= 19 and luhn(d), b"=" in word or b'"' in word, 16 <= n <= 19 and not luhn(d),
     ]
     return [k for k, v in enumerate(on) if v]
 
 
-N_FEATURES = 21
+N_FEATURES = 22
+#: Features that the base patterns ask for beyond a word's form: a domain, octets, a plus, a plus before, the check digit.
+DECISIVE = (2, 11, 12, 17, 19)
+#: Least and most digits of a further span of a kind, and whether it may span several words.
+SHAPES = {"email": (0, 99, False), "ip": (4, 12, False), "card": (12, 19, True), "phone": (7, 15, True)}
+THRESHOLDS = (0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99)
 
 
 def link_keys(word: bytes) -> list[bytes]:
@@ -121,6 +135,7 @@ class Graph:
     seen: np.ndarray
     links: np.ndarray
     base: list[list[tuple[int, int, int]]]
+    doubt: np.ndarray | None = None  # free words that may be personal data for all the patterns know
 
 
 def build(texts: Texts) -> Graph:
@@ -131,7 +146,7 @@ def build(texts: Texts) -> Graph:
     hit = np.flatnonzero(total[e] > total[s]) if len(s) else np.zeros(0, np.int64)
     base: list[list[tuple[int, int, int]]] = [[] for _ in range(n)]
     links, feats = [], []
-    seen = np.full(len(hit), -1)
+    seen, doubt = np.full(len(hit), -1), np.zeros(len(hit), bool)
     cuts = np.searchsorted(owner[hit], np.arange(n + 1))
     for i in np.unique(owner[hit]).tolist() if len(hit) else []:
         lo = int(texts.offsets[i])
@@ -142,6 +157,10 @@ def build(texts: Texts) -> Graph:
         for kind, a, b in reversed(base[i]):
             x, y = int(np.searchsorted(ends, a, side="right")), int(np.searchsorted(starts, b, side="left"))
             seen[k0 + x : k0 + y] = kind + 1
+        for m in _PHONE.finditer(raw) if b"+" in raw else ():
+            if len(m[0].translate(None, _NOT_DIGIT)) > 15:
+                x, y = int(np.searchsorted(ends, m.start(), side="right")), int(np.searchsorted(starts, m.end(), side="left"))
+                doubt[k0 + x : k0 + y] = True
         last: dict[bytes, int] = {}
         for k in range(k0, k1):
             w = int(hit[k])
@@ -155,8 +174,10 @@ def build(texts: Texts) -> Graph:
                 if last.get(key, k) != k:
                     links.append((last[key], k, 1))
                 last[key] = k
-    h = hit
-    return Graph(owner[h], s[h], e[h], feats, seen, np.array(sorted(set(links)), np.int64).reshape(-1, 3), base)
+    h, links = hit, np.array(sorted(set(links)), np.int64).reshape(-1, 3)
+    a, b = links[links[:, 2] == 1, :2].T
+    doubt[a[seen[b] > 0]] = doubt[b[seen[a] > 0]] = True
+    return Graph(owner[h], s[h], e[h], feats, seen, links, base, doubt & (seen < 0))
 
 
 @dataclass
@@ -164,6 +185,9 @@ class SkipChainModel:
     unary: np.ndarray  # features x labels
     chain: np.ndarray  # labels x labels
     skip: np.ndarray
+    sure: float = 0.9
+    precision: float = 1.0  # of words found on the part of the sample that sets ``sure``, and their share of all hidden
+    recall: float = 0.0
 
     def marginals(self, g: Graph, rounds: int = 12, damp: float = 0.5, settled: float = 1e-4) -> np.ndarray:
         """Label probabilities of all nodes by loopy message passing; observed nodes are fixed.
@@ -211,70 +235,139 @@ class SkipChainModel:
         return p / p.sum(1, keepdims=True)
 
 
-def train_pii(documents: DataFrame, limit: int = 3000, steps: int = 400, agree: float = 4.0) -> SkipChainModel:
-    """Piecewise training on at most ``limit`` documents (ids in the order of their hash), labels from base matches.
+def hidden(g: Graph) -> tuple[Graph, np.ndarray]:
+    """``g`` with every second base match hidden, its words without their decisive features; which words that are."""
+    gone = np.zeros(len(g.seen), bool)
+    new = np.concatenate(([True], (g.seen[1:] != g.seen[:-1]) | (g.doc[1:] != g.doc[:-1]))) if len(g.seen) else np.zeros(0, bool)
+    match = np.cumsum(new & (g.seen > 0))
+    gone[(g.seen > 0) & (match % 2 == 1)] = True
+    feats = [[k for k in f if k not in DECISIVE] if h else f for f, h in zip(g.feats, gone.tolist(), strict=True)]
+    return Graph(g.doc, g.start, g.end, feats, np.where(gone, -1, g.seen), g.links, g.base, g.doubt), gone
+
+
+def fit_unary(feats: list[list[int]], labels: np.ndarray, weights: np.ndarray, steps: int) -> np.ndarray:
+    """Maximum-entropy weights (features x labels) of weighted words."""
+    w = np.zeros((N_FEATURES, len(LABELS)))
+    w[0, 0] = 3.0
+    if not len(labels):
+        return w
+    dense = np.zeros((len(labels), N_FEATURES), np.float32)
+    dense[np.repeat(np.arange(len(feats)), [len(f) for f in feats]), np.concatenate([np.array(f) for f in feats])] = 1
+    goal = np.eye(len(LABELS), dtype=np.float32)[labels]
+    share = (weights / weights.sum()).astype(np.float32)[:, None]
+    m = v = np.zeros_like(w)
+    for t in range(1, steps + 1):
+        f = dense @ w.astype(np.float32)
+        p = np.exp(f - f.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        g = dense.T @ ((p - goal) * share) + 1e-4 * w
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return w
+
+
+def link_counts(documents: DataFrame) -> np.ndarray:
+    """Counts (chain or skip, label, label) of linked words over all documents, labels from base matches."""
+    L = len(LABELS)
 
-    ``agree`` is the prior count for each pair of equal labels on a skip link.
+    def run(batches):
+        counts = np.zeros(2 * L * L, np.int64)
+        for _, texts in passes(batches):
+            g = build(texts)
+            label = np.maximum(g.seen, 0)
+            a, b, kind = g.links[~(g.doubt[g.links[:, :2]].any(1))].T
+            counts += np.bincount((kind * L + label[a]) * L + label[b], minlength=2 * L * L)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["cell", "n"])
+
+    out = np.zeros(2 * L * L)
+    for r in documents.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # 50 cells
+        out[r.cell] = r.n
+    return out.reshape(2, L, L)
+
+
+def train_pii(documents: DataFrame, limit: int = 3000, steps: int = 400, agree: float = 16.0, masked: float = 0.5, precise: float = 0.98) -> SkipChainModel:
+    """Piecewise training; the unary model and ``sure`` on at most ``limit`` documents (ids in the order of their hash).
+
+    ``agree`` is the prior count for each pair of equal labels on a skip link, ``masked`` the weight of a match with its
+    decisive features hidden, ``precise`` the precision asked for on the fourth of the sample that trains nothing.
     """
-    ids = documents.where(F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).distinct()
-    rows = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id").select("text").toArrow()
+    ids = training_ids(documents.select("doc_id").distinct(), limit, 1, -1)
+    rows = sampled(documents, ids).select("text").toArrow()
     L = len(LABELS)
-    x, y, chain, skip = [], [], np.full((L, L), 0.5), np.full((L, L), 0.5) + agree * np.eye(L)
-    skip[0, 0] = 0.5
-    for _, texts in passes(iter(rows.to_batches())):
+    feats, labels, weights, held = [], [], [], []
+    for part, (_, texts) in enumerate(p for at in range(0, rows.num_rows, 50) for p in passes(iter(rows.slice(at, 50).to_batches()))):
         g = build(texts)
-        label = np.maximum(g.seen, 0)
-        x += g.feats
-        y.append(label)
-        for a, b, kind in g.links:
-            (skip if kind else chain)[label[a], label[b]] += 1
-    y = np.concatenate(y) if y else np.zeros(0, np.int64)
-    w = np.zeros((N_FEATURES, L))
-    w[0, 0] = 3.0
-    if len(y):
-        dense = np.zeros((len(y), N_FEATURES))
-        for k, f in enumerate(x):
-            dense[k, f] = 1
-        goal = np.eye(L)[y]
-        m = v = np.zeros_like(w)
-        for t in range(1, steps + 1):
-            f = dense @ w
-            p = np.exp(f - f.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            g = dense.T @ (p - goal) / len(y) + 1e-4 * w
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    skip = skip + skip.T
+        if part % 4 == 3:
+            held.append(g)
+            continue
+        for hide in (False, True):
+            on = np.flatnonzero(g.seen > 0 if hide else ~g.doubt)
+            feats += [[k for k in g.feats[n] if not hide or k not in DECISIVE] for n in on.tolist()]
+            labels.append(np.maximum(g.seen[on], 0))
+            weights.append(np.full(len(on), masked if hide else 1.0))
+    unary = fit_unary(feats, np.concatenate(labels) if labels else np.zeros(0, np.int64), np.concatenate(weights) if weights else np.zeros(0), steps)
+    chain, skip = link_counts(documents)
+    chain, skip = chain + 0.5, skip + skip.T + 1.0 + 2 * agree * np.diag([0] + [1] * (L - 1))
 
     def pmi(c: np.ndarray) -> np.ndarray:
         p = c / c.sum()
         return np.clip(np.log(p / (p.sum(1, keepdims=True) * p.sum(0, keepdims=True))), -3, 3)
 
-    return SkipChainModel(w, pmi(chain), pmi(skip))
-
-
-def find(texts: Texts, model: SkipChainModel, sure: float = 0.9) -> tuple[list[list[tuple[int, int, int]]], list[list[tuple[int, int, int]]]]:
+    # A skip link prefers no label, only equal ones: each pair of labels against the agreement of both.
+    same = np.log(np.diag(skip)) / 2
+    model = SkipChainModel(unary, pmi(chain), np.clip(np.log(skip) - same[:, None] - same[None], -4, 0))
+    got = []
+    for g in held:
+        h, gone = hidden(g)
+        p = model.marginals(h)
+        free = np.flatnonzero((h.seen < 0) & ~g.doubt)
+        best = p[free, 1:].argmax(1) + 1 if len(free) else free
+        got.append(np.stack([p[free, best], best == np.where(gone, g.seen, 0)[free], gone[free]]))
+    got = np.concatenate(got, axis=1) if got else np.zeros((3, 0))
+    if got[2].any():
+        model.sure = THRESHOLDS[-1]
+        for least in reversed(THRESHOLDS):
+            on = got[0] >= least
+            right = got[1][on].mean() if on.any() else 1.0
+            if right < precise and least < THRESHOLDS[-1]:
+                break
+            model.sure, model.precision, model.recall = least, float(right), float((got[1] * on).sum() / got[2].sum())
+    return model
+
+
+def find(texts: Texts, model: SkipChainModel, sure: float | None = None) -> tuple[list[list[tuple[int, int, int]]], list[list[tuple[int, int, int]]]]:
     """Base and further spans (kind index, start, end) of each text, in bytes from its start."""
+    sure = model.sure if sure is None else sure
     g = build(texts)
     more: list[list[tuple[int, int, int]]] = [[] for _ in range(len(texts))]
     free = np.flatnonzero(g.seen < 0)
     if len(free):
         p = model.marginals(g)
         label = p.argmax(1)
+        follows = set((g.links[g.links[:, 2] == 0, 1]).tolist())
+        runs: list[list[int]] = []
         for k in free[(label[free] > 0) & (p[free, label[free]] >= sure)].tolist():
-            i = int(g.doc[k])
+            if runs and runs[-1][-1] == k - 1 and k in follows and label[k] == label[k - 1] and SHAPES[KINDS[label[k] - 1]][2]:
+                runs[-1].append(k)
+            else:
+                runs.append([k])
+        for run in runs:
+            i, kind = int(g.doc[run[0]]), int(label[run[0]]) - 1
             lo = int(texts.offsets[i])
-            a, b, kind = int(g.start[k]) - lo, int(g.end[k]) - lo, int(label[k]) - 1
-            word = texts.buf[lo + a : lo + b].tobytes()
-            core = _SEP.sub(b"", word)
-            a += max(word.find(core), 0)
+            a, b = int(g.start[run[0]]) - lo, int(g.end[run[-1]]) - lo
+            raw = texts.buf[lo + a : lo + b].tobytes()
+            core = _SEP.sub(b"", raw)
+            a += max(raw.find(core), 0)
             b = a + len(core)
-            if core and not any(s < b and a < e for _, s, e in g.base[i]):
+            least, most, _ = SHAPES[KINDS[kind]]
+            digits = len(core.translate(None, _NOT_DIGIT))
+            if core and least <= digits <= most and not any(s < b and a < e for _, s, e in g.base[i]):
                 more[i].append((kind, a, b))
     return g.base, [sorted(x) for x in more]
 
 
-def detect_pii(documents: DataFrame, model: SkipChainModel, sure: float = 0.9) -> DataFrame:
+def detect_pii(documents: DataFrame, model: SkipChainModel, sure: float | None = None) -> DataFrame:
     """(doc_id, base, more): arrays of (kind, start, end) in code points, by kind in the order of KINDS, then start."""
     spans = "array<struct<kind:string,start:long,end:long>>"
     kind_t = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -307,7 +400,7 @@ def merged(base: list[tuple[int, int, int]], more: list[tuple[int, int, int]]) -
     return [tuple(x) for x in out]
 
 
-def redact_pii(documents: DataFrame, model: SkipChainModel, sure: float = 0.9) -> DataFrame:
+def redact_pii(documents: DataFrame, model: SkipChainModel, sure: float | None = None) -> DataFrame:
     """All columns of ``documents``; every span of ``text`` is replaced by its kind in brackets, ``n_chars`` follows."""
     fields = documents.schema.names
     at, counted = fields.index("text"), fields.index("n_chars") if "n_chars" in fields else None

@@ -4,8 +4,10 @@ Features are the one- and two-word grams of a text's words and of their shapes (
 runs collapsed), hashed to one index space; a feature's value is its share of the text's words times a constant. A
 score is the sparse dot product with the weights, through the logistic function.
 
-Cases: a null text counts as empty; an empty text has no features and gets the score of the bias; repeated rows each
-get their score; without labelled rows the model scores 0.5 everywhere; extra columns are ignored.
+Cases: a null text counts as empty; an empty text has no features and gets the score of the bias; very long texts are
+scored whole; repeated rows each get their score, and of several texts of one id the smallest one trains; without
+labelled rows the model scores 0.5 everywhere; an empty table gives no rows; extra columns stay, but a column that has
+the name of the score is replaced by it.
 """
 
 from __future__ import annotations
@@ -80,7 +82,7 @@ def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int
 
 def train_quality(documents: DataFrame, labels: DataFrame, limit: int = 4000, mod: int = 4, hold: int = 2) -> QualityModel:
     """Fit on at most ``limit`` labelled training texts; rows whose crc32 remainder is ``hold`` are never read."""
-    table = labelled(documents, labels, "quality", limit, mod, hold).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
+    table = labelled(documents, labels, "quality", limit, mod, hold).toArrow()
     if not table.num_rows:
         return QualityModel(np.zeros(1 << BITS, np.float32), 0.0)
     rows: list[tuple[np.ndarray, np.ndarray]] = []
@@ -98,7 +100,8 @@ def train_quality(documents: DataFrame, labels: DataFrame, limit: int = 4000, mo
 
 
 def score_quality(documents: DataFrame, model: QualityModel, score: str = "score") -> DataFrame:
-    """``documents`` with a column ``score`` (0 to 1) appended."""
+    """``documents`` with a column ``score`` (0 to 1) appended, in place of one of that name."""
+    documents = documents.drop(score)
     schema = documents.select("*", F.lit(0.0).alias(score)).schema
     held = documents.sparkSession.sparkContext.broadcast(model)
 

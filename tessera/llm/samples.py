@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bytes of whole texts that a sample holds at most, whatever its number of rows.
+SAMPLE_BYTES = 64 << 20
+
 
 def remainder(doc_id: str | Column, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; a null id counts as empty text."""
@@ -12,23 +15,26 @@ def remainder(doc_id: str | Column, mod: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % mod
 
 
-def labelled(documents: DataFrame, labels: DataFrame, label: str, limit: int, mod: int = 4, hold: int = 2, value: int | None = None) -> DataFrame:
-    """At most ``limit`` labelled training rows (text, y): ids in the order of their hash, repeated ids once.
+def training_ids(rows: DataFrame, limit: int, mod: int, hold: int) -> DataFrame:
+    """At most ``limit`` distinct ids of ``rows`` that are not held out, in the order of their hash, with all columns."""
+    own = rows.where(F.col("doc_id").isNotNull() & (remainder("doc_id", mod) != hold))
+    return own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+
+
+def sampled(documents: DataFrame, ids: DataFrame, max_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(doc_id, text, the other columns of ``ids``), one row for each id, ids in the order of their hash.
 
-    Only ids are ordered and limited; the bounded id list is then broadcast against the documents.
+    ``ids`` is bounded and holds each id once. Of the rows of an id the smallest text is taken. Whole texts are taken
+    until the next one would exceed ``max_bytes``; longer texts than that are never part of a sample.
     """
-    ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", mod) != hold))
-    ids = ids.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
-    if value is not None:
-        ids = ids.where(F.col("y") == value)
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id")
-    return rows.dropDuplicates(["doc_id"]).select("doc_id", "text", "y")
-
-
-def unlabelled(documents: DataFrame, limit: int, mod: int = 4, hold: int = 2) -> DataFrame:
-    """At most ``limit`` training documents (doc_id, text), whatever their labels, in the order of their id's hash."""
-    ids = documents.where(F.col("doc_id").isNotNull() & (remainder("doc_id", mod) != hold)).select("doc_id")
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).distinct()
-    rows = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id")
-    return rows.dropDuplicates(["doc_id"])
+    rows = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids.select("doc_id")), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"))
+    upto = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    rows = rows.where(F.octet_length("text") <= max_bytes).withColumn("__upto", upto).where(F.col("__upto") <= max_bytes).drop("__upto")
+    return rows.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id")
+
+
+def labelled(documents: DataFrame, labels: DataFrame, label: str, limit: int, mod: int = 4, hold: int = 2) -> DataFrame:
+    """At most ``limit`` labelled training rows (doc_id, text, y); of several labels of an id the largest holds."""
+    ids = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
+    return sampled(documents, training_ids(ids, limit, mod, hold))

@@ -5,9 +5,10 @@ texts. The risk is ``prior * R+(P) + max(0, R-(U) - prior * R-(P))`` with the si
 negative part falls below zero its gradient is reversed. Labels of non-toxic rows are never used as negatives; they
 only enter the class prior, together with the positives.
 
-Cases: a null text counts as empty; an empty text has no words and gets the score of the bias alone; repeated rows
-each get their score; without any confirmed positive or any unlabelled text the model is the prior alone; extra
-columns are ignored by the score.
+Cases: a null text counts as empty; an empty text has no words and gets the score of the bias alone; very long texts
+are scored whole; repeated rows each get their score, and of several texts of one id the smallest one trains; without
+any confirmed positive or any unlabelled text the model is the prior alone; an empty table gives no rows; extra columns
+stay, but a column that has the name of the score is replaced by it.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .samples import remainder
+from .samples import remainder, sampled, training_ids
 from .textarrays import ALNUM, LOWER, Texts, passes
 
 BITS = 20
@@ -80,7 +81,7 @@ def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 500, rate:
     The bias is set last, so that the mean score of the unlabelled rows is the prior.
     """
     d = p.shape[1]
-    w, b = np.zeros(d), float(np.log(prior / (1 - prior)))
+    w, b = np.zeros(d, np.float32), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(d + 1), np.zeros(d + 1)
     for t in range(1, steps + 1):
         sp, su = logistic(p @ w + b), logistic(u @ w + b)
@@ -89,33 +90,33 @@ def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 500, rate:
             cp, cu = -2 * prior * gp, gu
         else:
             cp, cu = prior * gp, -gu
-        g = np.append(cp @ p + cu @ u + decay * w, cp.sum() + cu.sum())
+        # Rows and weights are single precision throughout: no copy of the rows is made in a step.
+        g = np.append(cp.astype(np.float32) @ p + cu.astype(np.float32) @ u + np.float32(decay) * w, cp.sum() + cu.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
+        w, b = w - step[:-1].astype(np.float32), b - step[-1]
     f, low, high = u @ w, -60.0, 60.0
     for _ in range(80):
         b = (low + high) / 2
         low, high = (low, b) if logistic(f + b).mean() > prior else (b, high)
-    return w, float(b)
+    return w.astype(float), float(b)
 
 
 def train_toxicity(documents: DataFrame, labels: DataFrame, max_positive: int = 2500, max_unlabelled: int = 5000, words: int = 1024, mod: int = 4, hold: int = 2) -> ToxicityModel:
     """Fit on at most ``max_positive`` confirmed toxic and ``max_unlabelled`` unlabelled training texts.
 
-    Both bounds are on ids in the order of their hash; rows whose crc32 remainder is ``hold`` are never read.
+    Both bounds are on ids in the order of their hash, and ``samples.SAMPLE_BYTES`` on their texts; rows whose crc32
+    remainder is ``hold`` are never read.
     At most ``words`` hashed features that differ most between the two samples are used.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", mod) != hold))
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
     n, n_pos = known.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     prior = min(max(n_pos / n, 0.001), 0.9) if n else 0.001
-    rank = lambda df, most: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    pos = rank(known.where("y = 1").select("doc_id"), max_positive).select("doc_id", F.lit(1).alias("y"))
-    unl = documents.where(F.col("doc_id").isNotNull() & (remainder("doc_id", mod) != hold)).select("doc_id")
-    unl = rank(unl, max_unlabelled).distinct().select("doc_id", F.lit(0).alias("y"))
+    pos = training_ids(known.where("y = 1").select("doc_id"), max_positive, mod, hold).select("doc_id", F.lit(1).alias("y"))
+    unl = training_ids(documents.select("doc_id").distinct(), max_unlabelled, mod, hold).select("doc_id", F.lit(0).alias("y"))
     ids = pos.unionByName(unl).groupBy("doc_id").agg(F.max("y").alias("pos"), F.min("y").alias("unl"))
-    rows = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id")
+    rows = sampled(documents, ids)
     table = rows.select("text", "pos", "unl").toArrow()
     text, is_p, is_u = table["text"], table["pos"].to_numpy() == 1, table["unl"].to_numpy() == 0
     none = ToxicityModel(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))))
@@ -146,12 +147,16 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, max_positive: int =
         doc, key = presence(part, keys)
         x[doc + at, key] = 1
         at += len(part)
-    w, b = fit_nnpu(x[is_p], x[is_u], prior)
+    p, u = x[is_p], x[is_u]
+    del x, table, text
+    w, b = fit_nnpu(p, u, prior)
     return ToxicityModel(keys, w, b)
 
 
 def score_toxicity(documents: DataFrame, model: ToxicityModel, score: str = "score", drop_from: float | None = None) -> DataFrame:
-    """``documents`` with a column ``score`` (0 to 1) appended; with ``drop_from``, only rows scored below it, without it."""
+    """``documents`` with a column ``score`` (0 to 1) in place of one of that name; with ``drop_from``, only rows scored below it, as they are."""
+    if drop_from is None:
+        documents = documents.drop(score)
     schema = documents.schema if drop_from is not None else documents.select("*", F.lit(0.0).alias(score)).schema
 
     def run(batches):

@@ -1,8 +1,10 @@
 import random
+import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.llm import quality, toxicity
+from tessera.llm import quality, queries, samples, toxicity
 
 BAD = "scum moron trash".split()
 
@@ -58,6 +60,37 @@ def test_cases(spark, tables):
     assert toxicity.score_toxicity(docs.limit(0), t).count() == quality.score_quality(docs.limit(0), q).count() == 0
 
 
+def test_queries_on_held_out_rows(spark, tables, tmp_path):
+    """The queries themselves: rows, flags, the threshold, and accuracy on rows whose labels they may not read."""
+    docs, labels = tables
+    docs.withColumn("score", F.lit(7.0)).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    known = {r.doc_id: r for r in labels.collect()}
+    for query, label, least in ((queries.op5_toxicity, "toxic", 0.3), (queries.op8_quality, "quality", 0.7)):
+        rows = query(spark, str(tmp_path)).collect()
+        assert len(rows) == docs.count() and rows[0].__fields__ == ["doc_id", "held_out", "score", "predicted"]
+        assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == (r.score >= least) for r in rows)
+        held = [(r, known[r.doc_id][label]) for r in rows if r.held_out and r.doc_id in known]
+        assert sum(r.predicted == y for r, y in held) >= 0.95 * len(held)
+        assert auc([(r.score, y) for r, y in held]) > 0.97
+
+
+def test_score_replaces_a_column_of_its_name(spark, tables):
+    docs, labels = tables
+    odd = spark.createDataFrame([(1, "scum", 5.0)], "doc_id long, text string, score double")
+    for out in (toxicity.score_toxicity(odd, toxicity.train_toxicity(docs, labels)), quality.score_quality(odd, quality.train_quality(docs, labels))):
+        assert out.columns == ["doc_id", "text", "score"] and 0 <= out.first().score <= 1
+    kept = toxicity.score_toxicity(odd, toxicity.train_toxicity(docs.limit(0), labels.limit(0)), drop_from=0.3)
+    assert kept.first().score == 5.0
+
+
+def test_samples_are_bounded_and_repeatable(spark):
+    docs = spark.createDataFrame([(1, "b" * 40), (1, "a" * 30), (2, "c" * 500), (3, None), (4, "d" * 60), (5, "e" * 60)], "doc_id long, text string")
+    ids = samples.training_ids(docs.select("doc_id").distinct(), 10, 1, -1)
+    got = {r.doc_id: r.text for r in samples.sampled(docs, ids, 100).collect()}
+    assert set(got) <= {1, 4, 5} and sum(map(len, got.values())) <= 100 and got.get(1, "a" * 30) == "a" * 30
+
+
 def test_held_out_labels_are_not_read(spark, tables):
     docs, labels = tables
     flipped = labels.selectExpr("doc_id", "quality", "if(crc32(cast(doc_id as string)) % 4 = 2, 1 - toxic, toxic) as toxic")

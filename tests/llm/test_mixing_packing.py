@@ -59,18 +59,33 @@ def check(hist, size, runs):
     return seqs
 
 
-@settings(max_examples=30, deadline=None)
-@given(st.dictionaries(st.integers(1, 64), st.integers(0, 400), max_size=20), st.sampled_from([0, 50]))
-def test_plan(hist, few):
-    seqs = check(hist, 64, packing.plan(hist, 64, rounds=12, few=few))
-    assert seqs <= 2 * -(-sum(n * c for n, c in hist.items()) // 64) + 1
-
-
-def test_plan_is_near_the_bound():
+@settings(max_examples=40, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(0, 400), max_size=20))
+def test_plan(hist):
+    got = packing.plan(hist, 64, rounds=32)
+    left = {n: c for n, c in hist.items() if c and n < 64}
+    plain = sum(packing.best_fit(left, 64).values()) + hist.get(64, 0)
+    assert check(hist, 64, got.runs) == got.sequences <= plain and got.bound <= got.sequences + 1e-9
+    # Piece by piece, longest first, to the fullest sequence that fits: as many sequences.
+    spaces = []
+    for n in sorted((n for n, c in left.items() for _ in range(c)), reverse=True):
+        fits = [s for s in spaces if s >= n]
+        if fits:
+            spaces.remove(min(fits))
+        spaces.append((min(fits) if fits else 64) - n)
+    assert len(spaces) == plain - hist.get(64, 0)
+
+
+def test_program_beats_best_fit_and_meets_the_bound():
+    hist = {700: 5000, 650: 5000, 690: 3000, 1000: 4000, 1030: 2000, 24: 10}
+    got = packing.plan(hist)
+    assert check(hist, 2048, got.runs) == got.sequences and got.method == "program"
+    assert got.sequences < sum(packing.best_fit(hist, 2048).values())
     rng = np.random.default_rng(0)
     lengths, counts = np.unique(np.clip(rng.lognormal(5.8, 0.9, 40_000).astype(int), 3, 2048), return_counts=True)
     hist = dict(zip(lengths.tolist(), counts.tolist(), strict=True))
-    assert check(hist, 2048, packing.plan(hist)) <= 1.004 * (lengths @ counts) / 2048
+    got = packing.plan(hist)
+    assert check(hist, 2048, got.runs) <= 1.001 * got.bound and got.method == "program"
 
 
 def test_price_is_the_best_knapsack():
