@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import audio, egojoin, jaccard, lmscore, mixing, packing, pii, quality, tokens, toxicity, warc
 from .samples import remainder
-from .shared import bound_batches, scratch
+from .shared import bound_batches, scratch, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -64,9 +64,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
     kind = pages.schema["page_id"].dataType
     pages = pages.withColumn("payload", F.coalesce("html", F.lit("")).cast("binary")).withColumn("sha1", F.sha1("payload"))
-    first = pages.groupBy("sha1").agg(F.min("page_id").alias("first"))
-    rows = pages.select("page_id", "url", "payload", "sha1").join(first, "sha1")
-    revisit = F.col("page_id").isNotNull() & (F.col("page_id") > F.col("first"))
+    # Who revisits whom is told by digests and ids alone; payloads meet only the few rows of that table.
+    light = pages.select("page_id", "sha1").where("page_id is not null")
+    first = light.groupBy("sha1").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("last > first").select("sha1", "first")
+    again = written(light.join(first, "sha1").where("page_id > first").distinct(), "revisits")
+    rows = jaccard.join_ids(pages, again, ["page_id", "sha1"], "left")
+    revisit = F.col("first").isNotNull()
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("")))
     records = rows.select(
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),

@@ -2,7 +2,6 @@ import gzip
 import hashlib
 import random
 import zlib
-from urllib.parse import urlparse
 
 import pytest
 
@@ -36,14 +35,56 @@ def test_predicates_reach_the_reader():
     assert [type(f) for f in left] == [GreaterThan] and r.where == [("record_type", ("response",))]
 
 
+def raw_records():
+    """Records of another writer: a warcinfo, a response, one without an HTTP length, a folded header, and odd payloads."""
+    def rec(kind, k, block, extra=""):
+        return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:{k}>\r\nWARC-Target-URI: http://x/{k}\r\n{extra}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n"
+    big = random.Random(2).randbytes(400_000)
+    return [
+        rec("warcinfo", 0, b"software: x\r\n", "X-Long: one\r\n two\r\n"), rec("response", 1, http + b"Content-Length: 5\r\n\r\nhello"), rec("response", 2, http + b"\r\n" + big), rec("request", 3, b"GET / HTTP/1.1\r\n\r\n"),
+        rec("response", 4, http + b"\r\nWARC/1.0\r\n\r\n\r\n\r\nWARC/1.1"), rec("response", 5, http + b"\r\n"),
+    ], big
+
+
+@pytest.mark.parametrize("form", ["plain", "members", "one", "mixed"])
+def test_warc_files_of_other_writers(spark, tmp_path, form):
+    warc.register(spark)
+    records, big = raw_records()
+    if form == "plain":
+        (tmp_path / "a.warc").write_bytes(b"".join(records))
+    elif form == "members":
+        (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    elif form == "one":
+        (tmp_path / "a.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    else:
+        (tmp_path / "a.warc.gz").write_bytes(warc.member(records[0]) + gzip.compress(records[1]) + gzip.compress(records[2] + records[3]) + warc.member(records[4]) + gzip.compress(records[5]))
+    read = spark.read.format("warc").load(f"file://{tmp_path}")
+    got = {r.record_id: r for r in read.collect()}
+    assert [got[f"urn:{k}"].record_type for k in range(6)] == ["warcinfo", "response", "response", "request", "response", "response"]
+    assert [bytes(got[f"urn:{k}"].payload) for k in (0, 1, 2, 4, 5)] == [b"software: x\r\n", b"hello", big, b"WARC/1.0\r\n\r\n\r\n\r\nWARC/1.1", b""]
+    assert [got[f"urn:{k}"].http_length for k in (1, 2, 5)] == [5, len(big), 0]
+    assert {r.record_id for r in read.where("record_type = 'response' and target_uri <> 'http://x/4'").collect()} == {"urn:1", "urn:2", "urn:5"}
+    light = spark.read.format("warc").option("payloads", "false").load(f"file://{tmp_path}").where("record_type = 'response'").collect()
+    assert len(light) == 4 and all(r.payload is None for r in light)
+
+
 def test_warc_bad_files(spark, tmp_path):
-    (tmp_path / "a").mkdir()
     warc.register(spark)
-    assert spark.read.format("warc").load(f"file://{tmp_path}/a").count() == 0
-    m = warc.member(b"WARC/1.1\r\nContent-Length: 0\r\n\r\n\r\n\r\n")
-    (tmp_path / "a/x.warc.gz").write_bytes(m[:-3])
-    with pytest.raises(Exception, match="truncated"):
-        spark.read.format("warc").load(f"file://{tmp_path}/a").count()
+    (tmp_path / "none").mkdir()
+    assert spark.read.format("warc").load(f"file://{tmp_path}/none").count() == 0
+    records, _ = raw_records()
+    m = warc.member(records[1])
+    broken = bytearray(m)
+    broken[-6] ^= 1
+    zipped = bytearray(gzip.compress(records[1]))
+    zipped[-6] ^= 1
+    for k, (raw, said) in enumerate([(m[:-3], "truncated"), (bytes(broken), "checksum"), (bytes(zipped), "damaged"), (gzip.compress(records[2])[:-9], "truncated"), (gzip.compress(b"no record\r\n\r\n"), "no record"), (b"".join(records)[:-300], "truncated")]):
+        (tmp_path / str(k)).mkdir()
+        (tmp_path / str(k) / ("x.warc" if k == 5 else "x.warc.gz")).write_bytes(raw)
+        with pytest.raises(Exception, match=said):
+            spark.read.format("warc").load(f"file://{tmp_path}/{k}").collect()
 
 
 def test_op6_against_brute_force(spark, tmp_path):
@@ -54,7 +95,9 @@ def test_op6_against_brute_force(spark, tmp_path):
         first[h or ""] = min(i, first.get(h or "", i))
     want = [(i, len(h or ""), warc.base32_sha1((h or "").encode()), "revisit" if i > first[h or ""] else "response", first[h or ""] if i > first[h or ""] else None) for i, _, h in rows]
     assert sorted(map(str, map(tuple, queries.op6_warc(spark, str(tmp_path)).collect()))) == sorted(map(str, want))
-    assert urlparse(f"file://{tmp_path}").path == str(tmp_path)
+    empty = tmp_path / "empty"
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{empty}/pages.parquet")
+    assert queries.op6_warc(spark, str(empty)).count() == 0
 
 
 def payload(t):
