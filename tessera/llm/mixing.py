@@ -5,10 +5,12 @@ reshared. A source takes its documents in complete epochs first; the rest of its
 order of exponential keys ``-ln(u) / quality`` whose prefix sums stay within the rest.
 
 Prefix sums never put a whole source into one task: keys fall into buckets that keep their order, bucket sums are
-summed first, and only the one bucket of each source in which the target ends is sorted.
+summed first, and the one bucket of each source in which the target ends is cut again at the quantiles of its own keys;
+only the one part in which the target ends is sorted.
 
 Cases: a null text counts as empty (size 0); a null source is a source of its own, last in order; a null doc_id hashes
-as empty text; repeated rows are rows of their own with equal keys; ties go by doc_id, then size; an empty table gives
+as empty text; repeated rows are rows of their own with equal keys and so in one part; very long texts count whole;
+ties go by doc_id, then size; an empty table gives
 no rows; a document counts as taken where the middle of its words lies within the target, so a target is met to half
 a document; extra columns are kept by ``mix`` only when asked for.
 """
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from .shared import written
 
 BUCKETS = 1024
+PARTS = 64
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Above so many sources the limits are joined by a shuffle instead of a broadcast.
 BROADCAST_SOURCES = 10_000
@@ -31,8 +34,8 @@ def words_in(text: Column) -> Column:
 
 
 def quality_weight(text: Column) -> Column:
-    """0.1 to 1.1: the share of lower-case letters in the text."""
-    return F.lit(0.1) + F.coalesce(F.regexp_count(text, F.lit(r"\p{Ll}")) / F.greatest(F.char_length(text), F.lit(1)), F.lit(0.0))
+    """0.1 to 1.1: the share of letters of any script in the text."""
+    return F.lit(0.1) + F.coalesce(F.regexp_count(text, F.lit(r"\p{L}")) / F.greatest(F.char_length(text), F.lit(1)), F.lit(0.0))
 
 
 def exponential_key(doc_id: Column, weight: Column, seed: str) -> Column:
@@ -83,9 +86,20 @@ def mix(documents: DataFrame, weights: list[float], share: float = 1.5, cap: flo
     limits = goal.join(edge, F.col("__s").eqNullSafe(F.col("__e")), "left").select("__s", "source_size", "target", "epochs", "rest", F.coalesce("b", F.lit(BUCKETS)).alias("b"), F.coalesce("before", F.lit(0)).alias("before"))
     rows = base.join(fit(limits), F.col("__source").eqNullSafe(F.col("__s")))
     plain = rows.where("__bucket <> b").withColumn("more", (F.col("__bucket") < F.col("b")).cast("long"))
+    # The edge bucket of a source may be large: quantiles of its keys cut it into parts of like size.
+    edge = rows.where("__bucket = b")
+    cuts = edge.groupBy("__s").agg(F.percentile_approx("__key", [k / PARTS for k in range(1, PARTS)], 100 * PARTS).alias("cuts"))
+    cuts = cuts.select(F.col("__s").alias("__c"), "cuts")
+    edge = edge.join(fit(cuts), F.col("__s").eqNullSafe(F.col("__c"))).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("__key")))).drop("__c", "cuts")
+    inner = edge.groupBy("__s", "part").agg(F.sum("__size").alias("n"), F.first("before").alias("base"), F.first("rest").alias("until"))
+    inner = written(inner.withColumn("upto", F.col("base") + F.sum("n").over(Window.partitionBy("__s").orderBy("part"))), "mixparts")
+    last = inner.where("upto > until").groupBy("__s").agg(F.min_by(F.struct("part", (F.col("upto") - F.col("n")).alias("start")), "part").alias("e"))
+    last = last.select(F.col("__s").alias("__l"), F.col("e.part").alias("cut"), F.col("e.start").alias("start"))
+    edge = edge.join(fit(last), F.col("__s").eqNullSafe(F.col("__l")), "left").drop("__l")
+    sure = edge.where("cut is null or part <> cut").withColumn("more", F.coalesce(F.col("part") < F.col("cut"), F.lit(True)).cast("long")).drop("part", "cut", "start")
     ranked = Window.partitionBy("__source").orderBy("__key", "__id", "__size").rowsBetween(Window.unboundedPreceding, 0)
-    last = rows.where("__bucket = b").withColumn("upto", F.sum("__size").over(ranked))
-    last = last.withColumn("more", (F.col("before") + F.col("upto") - F.col("__size") / 2 <= F.col("rest")).cast("long")).drop("upto")
-    out = plain.unionByName(last)
+    end = edge.where("part = cut").withColumn("upto", F.sum("__size").over(ranked))
+    end = end.withColumn("more", (F.col("start") + F.col("upto") - F.col("__size") / 2 <= F.col("rest")).cast("long")).drop("upto", "part", "cut", "start")
+    out = plain.unionByName(sure).unionByName(end)
     copies = F.col("epochs") + F.col("more")
     return out.select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target", copies.alias("copies"), (copies * F.col("__size")).alias("taken"), *keep)

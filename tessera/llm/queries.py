@@ -115,13 +115,101 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score_documents(docs, lmscore.train_lm(docs, path), path)
 
 
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of operator 4 that SQL can express: counts and digest of the base spans."""
+    return op4_pii(spark, sf_dir).drop("spans")
+
+
+def audio_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of operator 7 that SQL can express: lengths and digest of the payload that was read back."""
+    return op7_audio(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of operator 10 that SQL can express: counts and the unigram base."""
+    out = op10_lm(spark, sf_dir).drop("score")
+    return out.withColumn("base_score", F.round("base_score", 4))
+
+
+def near_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 3 over the benchmark passages, which SQL can join in full."""
+    items = table(spark, sf_dir, "benchmark", "item_id", "text").select(F.col("item_id").cast("long").alias("doc_id"), "text")
+    return jaccard.near_documents(items, 0.8).select("doc_id", "n_links", "class_id", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op")}
+    own = {k: f for k, f in globals().items() if k.startswith("op")}
+    return own | {f.__name__: f for f in (pii_base, audio_payload, lm_base, near_sets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": MIXING_SQL, "op6_warc": WARC_SQL}
+    return {"op1_ego_join": EGO_SQL, "op2_mixing": MIXING_SQL, "op6_warc": WARC_SQL, "pii_base": PII_SQL, "audio_payload": AUDIO_SQL, "lm_base": LM_SQL, "near_sets": SETS_SQL}
+
+
+EGO_SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+ok AS (SELECT rid, e, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE vec_id IS NOT NULL AND e IS NOT NULL
+  AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.rid AS a, b.rid AS b FROM ok a JOIN ok b ON a.rid <> b.rid AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.9),
+reach AS (SELECT rid AS a, rid AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_links, min(w.vec_id) AS component_id, v.vec_id IS NOT DISTINCT FROM min(w.vec_id) AS kept
+FROM v JOIN reach ON reach.a = v.rid JOIN v w ON w.rid = reach.b LEFT JOIN n ON n.a = v.rid GROUP BY v.rid, v.vec_id
+"""
+
+# Matches of each pattern with their places: the gaps between them and they themselves, one after another.
+PII_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+p AS (SELECT * FROM (VALUES (1, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'), (2, 'ip', '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'),
+  (3, 'card', '[0-9]([ -]?[0-9])+'), (4, 'phone', '\+[0-9][ ().0-9-]+[0-9]')) AS x(k, kind, pattern)),
+m AS (SELECT rid, k, kind, regexp_extract_all(t, pattern, 0) AS hits, string_split_regex(t, pattern) AS gaps FROM d, p),
+u AS (SELECT rid, k, kind, hits[i] AS hit,
+    CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS start
+  FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM m)),
+g AS (SELECT *, regexp_replace(hit, '[^0-9]', '', 'g') AS digits FROM u),
+ok AS (SELECT * FROM g WHERE CASE kind WHEN 'email' THEN true
+  WHEN 'ip' THEN len(list_filter(string_split(hit, '.'), lambda x: CAST(x AS HUGEINT) > 255)) = 0
+  WHEN 'card' THEN length(digits) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda i:
+    CASE WHEN (length(digits) - i) % 2 = 1 THEN 2 * CAST(digits[i] AS INTEGER) - CASE WHEN CAST(digits[i] AS INTEGER) > 4 THEN 9 ELSE 0 END ELSE CAST(digits[i] AS INTEGER) END)) % 10 = 0
+  ELSE length(digits) BETWEEN 8 AND 15 END)
+SELECT any_value(d.doc_id) AS doc_id, count_if(coalesce(kind = 'email', false)) AS n_email, count_if(coalesce(kind = 'ip', false)) AS n_ip, count_if(coalesce(kind = 'card', false)) AS n_card, count_if(coalesce(kind = 'phone', false)) AS n_phone,
+  sha256(coalesce(string_agg(kind || ':' || start || ':' || (start + length(hit)), ',' ORDER BY k, start), '')) AS base_sha256
+FROM d LEFT JOIN ok USING (rid) GROUP BY rid
+"""
+
+AUDIO_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents)
+SELECT doc_id, n AS n_bytes, n + pad AS payload_bytes, sha256(t || repeat(' ', pad)) AS payload_sha256
+FROM (SELECT *, CAST(CASE WHEN n = 0 THEN 192 ELSE (192 - n % 192) % 192 END AS BIGINT) AS pad FROM d)
+"""
+
+# crc32 as SQL: a bit at a time over the id's digits.
+LM_SQL = r"""
+WITH ids AS (SELECT DISTINCT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS s FROM documents),
+crc AS (SELECT doc_id, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(s, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda h, c: list_reduce(list_prepend(xor(h, c), CAST(range(8) AS BIGINT[])), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END)) AS h FROM ids),
+held AS (SELECT doc_id, xor(h, CAST(4294967295 AS BIGINT)) % 10 = 0 AS held_out FROM crc),
+d AS (SELECT row_number() OVER () AS rid, f.doc_id, held_out, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents f JOIN held ON f.doc_id IS NOT DISTINCT FROM held.doc_id),
+w AS (SELECT rid, held_out, unnest(regexp_extract_all(t, '[^\x20\x09-\x0D]+') || ['']) AS word FROM d),
+c AS (SELECT word, count(*) AS c FROM w WHERE NOT held_out GROUP BY word),
+n AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM c)
+SELECT any_value(d.doc_id) AS doc_id, any_value(d.held_out) AS held_out, count(*) AS n_tokens, count(c.c) AS n_known, any_value(coalesce(n.n, 0)) AS train_tokens,
+  round(sum(log10((coalesce(c.c, 0) + 0.1) / (coalesce(n.n, 0) + 0.1 * (n.v + 1)))), 4) AS base_score
+FROM w JOIN d USING (rid) LEFT JOIN c USING (word), n GROUP BY w.rid
+"""
 
+SETS_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, CAST(item_id AS BIGINT) AS doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+s AS (SELECT rid, doc_id, list_distinct(CASE WHEN len(w) BETWEEN 1 AND 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM d),
+t AS (SELECT rid, len(s) AS n, unnest(s) AS g FROM s WHERE doc_id IS NOT NULL),
+links AS (SELECT a.rid AS a, b.rid AS b FROM t a JOIN t b ON a.g = b.g AND a.rid <> b.rid GROUP BY a.rid, b.rid HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.8),
+reach AS (SELECT rid AS a, rid AS b FROM s UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT s.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_links, min(x.doc_id) AS class_id, s.doc_id IS NOT DISTINCT FROM min(x.doc_id) AS kept
+FROM s JOIN reach ON reach.a = s.rid JOIN s x ON x.rid = reach.b LEFT JOIN n ON n.a = s.rid GROUP BY s.rid, s.doc_id
+"""
 
 WARC_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
@@ -138,7 +226,7 @@ FROM f
 MIXING_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    0.1 + coalesce(length(regexp_replace(text, '[^\p{Ll}]', '', 'g')) / CAST(greatest(length(text), 1) AS DOUBLE), 0.0) AS w,
+    0.1 + coalesce(length(regexp_replace(text, '[^\p{L}]', '', 'g')) / CAST(greatest(length(text), 1) AS DOUBLE), 0.0) AS w,
     (CAST(('0x' || substr(md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0 AS u
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),

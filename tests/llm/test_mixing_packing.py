@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessera.llm import mixing, packing, queries
 from tessera.llm.textarrays import Texts
@@ -48,6 +49,21 @@ def test_mix_prefers_quality(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string"), [1.0]).count() == 0
 
 
+def test_mix_takes_what_a_plain_sort_takes(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKETS", 4)  # so that an edge bucket holds a quarter of its source and more
+    monkeypatch.setattr(mixing, "PARTS", 8)
+    rows = [(k, "字 " * (k % 7 + 1) if k % 2 else "日本語 ABC " * (k % 5 + 1), f"s{k % 2}") for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.copies for r in mixing.mix(df, [3.0, 1.0], share=0.8, cap=1.5).collect()}
+    keyed = df.select("doc_id", "source", mixing.words_in(F.col("text")).alias("n"), mixing.exponential_key(F.col("doc_id"), mixing.quality_weight(F.col("text")), "mix").alias("key")).collect()
+    sizes = {s: sum(r.n for r in keyed if r.source == s) for s in ("s0", "s1")}
+    for s, target in mixing.targets(sizes, [3.0, 1.0], 0.8, 1.5).items():
+        epochs, at = int(target // sizes[s]), 0
+        for r in sorted((r for r in keyed if r.source == s), key=lambda r: (r.key, r.doc_id)):
+            at += r.n
+            assert got[r.doc_id] == epochs + (at - r.n / 2 <= target - epochs * sizes[s])
+
+
 def check(hist, size, runs):
     used, seqs = {}, 0
     for r in runs:

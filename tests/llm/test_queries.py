@@ -1,0 +1,29 @@
+import os
+
+import pytest
+
+from tessera.llm import queries
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    import duckdb
+
+    c = duckdb.connect()
+    for f in os.listdir(SF):
+        c.execute(f"CREATE VIEW {f[:-8]} AS SELECT * FROM '{SF}/{f}'")
+    return c
+
+
+def rows(pdf):
+    return sorted(map(repr, pdf.astype(object).where(pdf.notna(), None).itertuples(index=False, name=None)))
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_against_sql(spark, duck, name):
+    df = queries.queries()[name](spark, SF)
+    cols = sorted(df.columns)
+    assert rows(df.select(*cols).toPandas()) == rows(duck.sql(f"SELECT {', '.join(cols)} FROM ({queries.oracle_sql()[name]})").df())
