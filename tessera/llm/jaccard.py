@@ -427,7 +427,8 @@ def candidates(reps: DataFrame, threshold: float) -> DataFrame:
         among = F.transform(F.sequence(F.lit(0), n_o - 1), lambda x: group("among", F.least(own, x), F.greatest(own, x), F.when(own == x, 0).when(own < x, 1).otherwise(2)))
         met = exploded(join_ids(inside, rest.select("node", "top", "d", "o"), "node", "inner").join(light, "key"), F.when(out, F.concat(across, among)).otherwise(across))
         three = written(arranged(met.select("g", "side", "key", "n", "sketch"), left).mapInArrow(screen(threshold), "a long, b long"), "jaccardrests")
-        comps = connected_components(comps.select(F.col("key").alias("a"), F.col("comp").alias("b")).unionByName(three)).select(F.col("node").alias("key"), F.col("component").alias("comp"))
+        if not three.isEmpty():
+            comps = connected_components(comps.select(F.col("key").alias("a"), F.col("comp").alias("b")).unionByName(three)).select(F.col("node").alias("key"), F.col("component").alias("comp"))
         erase(three)
     erase(counts, one, two, rest)
     return comps

@@ -64,7 +64,7 @@ def targets(sizes: dict[str | None, int], weights: list[float], share: float, ca
 def mix(documents: DataFrame, weights: list[float], share: float = 1.5, cap: float = 2.0, seed: str = "mix", keep: list[str] | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, copies, taken) of every document, and the columns named in ``keep``.
 
-    One row per source is collected to the driver to set the targets; nothing else is.
+    A few rows per source are collected to the driver to set the targets and their edges; nothing else is.
     """
     keep = keep or []
     key = exponential_key(F.col("doc_id"), quality_weight(F.col("text")), seed)
@@ -73,33 +73,39 @@ def mix(documents: DataFrame, weights: list[float], share: float = 1.5, cap: flo
     base = written(base, "mix")
     sums = written(base.groupBy("__source", "__bucket").agg(F.sum("__size").alias("n")), "mixsums")
     sizes = {r[0]: int(r[1]) for r in sums.groupBy("__source").agg(F.sum("n")).collect()}
-    rows = []
+    goals = []
     for s, t in targets(sizes, weights, share, cap).items():
         epochs = int(t // sizes[s]) if sizes[s] else 0
-        rows.append((s, sizes[s], float(t), epochs, float(t - epochs * sizes[s])))
-    goal = documents.sparkSession.createDataFrame(rows, "__s string, source_size long, target double, epochs long, rest double")
-    fit = (lambda d: F.broadcast(d)) if len(rows) <= BROADCAST_SOURCES else (lambda d: d)
-    upto = F.sum("n").over(Window.partitionBy("__source").orderBy("__bucket"))
-    edge = sums.withColumn("upto", upto).join(fit(goal), F.col("__source").eqNullSafe(F.col("__s"))).where("upto > rest")
-    edge = edge.groupBy("__s").agg(F.min_by(F.struct(F.col("__bucket").alias("b"), (F.col("upto") - F.col("n")).alias("before")), "__bucket").alias("e"))
-    edge = edge.select(F.col("__s").alias("__e"), "e.*")
-    limits = goal.join(edge, F.col("__s").eqNullSafe(F.col("__e")), "left").select("__s", "source_size", "target", "epochs", "rest", F.coalesce("b", F.lit(BUCKETS)).alias("b"), F.coalesce("before", F.lit(0)).alias("before"))
-    rows = base.join(fit(limits), F.col("__source").eqNullSafe(F.col("__s")))
-    plain = rows.where("__bucket <> b").withColumn("more", (F.col("__bucket") < F.col("b")).cast("long"))
+        goals.append((s, sizes[s], float(t), epochs, float(t - epochs * sizes[s])))
+    spark = documents.sparkSession
+    fit = (lambda d: F.broadcast(d)) if len(goals) <= BROADCAST_SOURCES else (lambda d: d)
+    mine = F.col("__source").eqNullSafe(F.col("__s"))
+
+    def edges(sums: DataFrame, by: str, goal: DataFrame) -> dict[str | None, tuple[int, int]]:
+        """Of each source, the group in which the prefix sum of words passes its limit, and the sum before it."""
+        upto = F.col("base") + F.sum("n").over(Window.partitionBy("__source").orderBy(by))
+        over = sums.join(fit(goal), mine).withColumn("upto", upto).where("upto > rest")
+        return {r[0]: (r.e[0], r.e[1]) for r in over.groupBy("__source").agg(F.min_by(F.struct(by, F.col("upto") - F.col("n")), by).alias("e")).collect()}
+
+    limit = spark.createDataFrame([(g[0], g[4], 0) for g in goals], "__s string, rest double, base long")
+    edge = edges(sums, "__bucket", limit)
     # The edge bucket of a source may be large: quantiles of its keys cut it into parts of like size.
-    edge = rows.where("__bucket = b")
-    cuts = edge.groupBy("__s").agg(F.percentile_approx("__key", [k / PARTS for k in range(1, PARTS)], 100 * PARTS).alias("cuts"))
-    cuts = cuts.select(F.col("__s").alias("__c"), "cuts")
-    edge = edge.join(fit(cuts), F.col("__s").eqNullSafe(F.col("__c"))).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("__key")))).drop("__c", "cuts")
-    inner = edge.groupBy("__s", "part").agg(F.sum("__size").alias("n"), F.first("before").alias("base"), F.first("rest").alias("until"))
-    inner = written(inner.withColumn("upto", F.col("base") + F.sum("n").over(Window.partitionBy("__s").orderBy("part"))), "mixparts")
-    last = inner.where("upto > until").groupBy("__s").agg(F.min_by(F.struct("part", (F.col("upto") - F.col("n")).alias("start")), "part").alias("e"))
-    last = last.select(F.col("__s").alias("__l"), F.col("e.part").alias("cut"), F.col("e.start").alias("start"))
-    edge = edge.join(fit(last), F.col("__s").eqNullSafe(F.col("__l")), "left").drop("__l")
-    sure = edge.where("cut is null or part <> cut").withColumn("more", F.coalesce(F.col("part") < F.col("cut"), F.lit(True)).cast("long")).drop("part", "cut", "start")
+    limit = spark.createDataFrame([(g[0], g[4], *edge[g[0]]) for g in goals if g[0] in edge], "__s string, rest double, b int, base long")
+    inside = base.join(fit(limit), mine).where("__bucket = b")
+    cuts = {r[0]: r[1] for r in inside.groupBy("__source").agg(F.percentile_approx("__key", [k / PARTS for k in range(1, PARTS)], 100 * PARTS)).collect()}
+    part = F.size(F.filter("cuts", lambda c: c < F.col("__key"))).alias("part")
+    limit = spark.createDataFrame([(g[0], g[4], *edge[g[0]], cuts[g[0]]) for g in goals if g[0] in edge], "__s string, rest double, b int, base long, cuts array<double>")
+    parts = base.join(fit(limit), mine).where("__bucket = b").groupBy("__source", part).agg(F.sum("__size").alias("n"))
+    last = edges(parts, "part", limit)
+    none = (BUCKETS, 0)
+    limit = [(*g, edge.get(g[0], none)[0], cuts.get(g[0], []), *last.get(g[0], (PARTS, 0))) for g in goals]
+    limit = spark.createDataFrame(limit, "__s string, source_size long, target double, epochs long, rest double, b int, cuts array<double>, cut int, start long")
+    rows = base.join(fit(limit), mine).withColumn("part", F.when(F.col("__bucket") == F.col("b"), part))
+    place = F.when(F.col("__bucket") != F.col("b"), F.col("__bucket") < F.col("b")).when(F.col("part") != F.col("cut"), F.col("part") < F.col("cut"))
+    rows = rows.withColumn("more", place.cast("long"))
     ranked = Window.partitionBy("__source").orderBy("__key", "__id", "__size").rowsBetween(Window.unboundedPreceding, 0)
-    end = edge.where("part = cut").withColumn("upto", F.sum("__size").over(ranked))
-    end = end.withColumn("more", (F.col("start") + F.col("upto") - F.col("__size") / 2 <= F.col("rest")).cast("long")).drop("upto", "part", "cut", "start")
-    out = plain.unionByName(sure).unionByName(end)
+    end = rows.where("more is null").withColumn("upto", F.sum("__size").over(ranked))
+    end = end.withColumn("more", (F.col("start") + F.col("upto") - F.col("__size") / 2 <= F.col("rest")).cast("long")).drop("upto")
+    out = rows.where("more is not null").unionByName(end)
     copies = F.col("epochs") + F.col("more")
     return out.select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target", copies.alias("copies"), (copies * F.col("__size")).alias("taken"), *keep)

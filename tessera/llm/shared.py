@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -65,11 +66,30 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
+#: Seconds between two collections of the driver's garbage.
+COLLECT_EVERY = 5.0
+_collected = [0.0]
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Let Spark's cleaner see, now and then, what no plan refers to any more.
+
+    Shuffle files and broadcasts of a finished step stay until the driver collects its garbage, which a driver with
+    room to spare puts off; steps that follow one another would pile them up.
+    """
+    now = time.monotonic()
+    if now - _collected[0] >= COLLECT_EVERY:
+        _collected[0] = now
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: lineage ends there, executors may be lost."""
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
+    collect_garbage(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out

@@ -124,7 +124,7 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, max_positive: int =
         return none
     size = 1 << BITS
     cp, cu = np.zeros(size), np.zeros(size)
-    batches = lambda: passes(iter(pa.table({"text": text}).to_batches()))
+    batches = lambda: passes(iter(pa.table({"text": text}).to_batches()), size=PASS // 2)
     at = 0
     for _, part in batches():
         doc, h = feature_keys(part)
