@@ -32,9 +32,6 @@ class Node:
     def first(self, *tags: str) -> Node | None:
         return next((n for n in self.walk() if n.tag in tags), None)
 
-    def by_id(self, name: str) -> Node | None:
-        return next((n for n in self.walk() if n.attrs.get("id") == name), None)
-
     def strings(self):
         stack: list[Node | str] = list(reversed(self.children))
         while stack:
@@ -52,20 +49,6 @@ class Node:
             self.parent.children = [c for c in self.parent.children if c is not self]
             self.parent = None
 
-    def unwrap(self) -> None:
-        p = self.parent
-        if p is not None:
-            at = next(k for k, c in enumerate(p.children) if c is self)
-            for c in self.children:
-                if isinstance(c, Node):
-                    c.parent = p
-            p.children[at : at + 1] = self.children
-            self.parent = None
-
-    @property
-    def css(self) -> str:
-        return self.attrs.get("class", "") or ""
-
 
 class _Builder(HTMLParser):
     def __init__(self):
@@ -132,21 +115,3 @@ def title_and_text(c: Column) -> Column:
         return pd.DataFrame([page_title_and_text(x) if x is not None else (None, None) for x in s], columns=["title", "text"])
 
     return run(c)
-
-
-def block_text(node: Node, skip: frozenset[str] = frozenset({"script", "style", "noscript", "svg", "button"})) -> str:
-    """Text with a line per block; list items start with a dash."""
-    out: list[str] = []
-
-    def visit(n: Node | str) -> None:
-        if isinstance(n, str):
-            out.append(n)
-        elif n.tag not in skip:
-            edge = "\n" if n.tag in BLOCKS else ""
-            out.append(edge + "- " * (n.tag == "li"))
-            for c in n.children:
-                visit(c)
-            out.append(edge)
-
-    visit(node)
-    return clean("".join(out)) or ""

@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -24,6 +25,40 @@ def test_labelled_page():
     assert p["description"].startswith("This service lets")
 
 
+@pytest.mark.parametrize("tab", ['<a role="tab" href="#p">{}</a>', '<button data-toggle="pill" data-target="#p">{}</button>', '<a data-bs-toggle="tab" data-bs-target="#p">{}</a>', '<div role="tab" aria-controls="p">{}</div>', '<a href="#p">{}</a>'])
+def test_tabs(tab):
+    page = f"<main><h1>Permit</h1>{tab.format('Service Steps')}<div id='p'><h4>Service Steps</h4><ul><li>One</li><li>Two</li></ul></div><div role='tabpanel'><h3>Fees</h3><p>9</p></div></main>"
+    p = pages.parse_labelled_page(page)
+    assert p["steps"] == "- One\n- Two" and "fees" not in p
+
+
+def test_fixed_tabs_escaped_text_and_forms():
+    page = "<form><h1>Permit</h1><div id='steps'>&lt;ol&gt;&lt;li&gt;Go&lt;/li&gt;&lt;li&gt;Pay&lt;/li&gt;&lt;/ol&gt;</div><div id='terms'>None</div><dl><dt>Duration</dt><dd>2 | 4</dd><dt>Fees</dt><dd>Free</dd><dd>for all</dd></dl></form>"
+    p = pages.parse_labelled_page(page)
+    assert p["steps"] == "- Go\n- Pay" and p["fees"] == "Free\nfor all" and not {"requirements", "processing_time"} & set(p)
+
+
+def test_description_of_another_service_is_not_taken():
+    long = "This is a text about the service of more than thirty letters."
+    card = f"<div class='card'><div class='service-description'>{long} Other.</div></div>"
+    assert pages.parse_labelled_page(f"<main><h1>A</h1>{card}<div class='service-description'>{long}</div></main>")["description"] == long
+    assert pages.parse_labelled_page(f"<main><h1>A</h1>{card}<p>{long} Own.</p></main>")["description"] == long + " Own."
+    assert pages.parse_labelled_page(f"<main><h1>A</h1><a><p>{long}</p></a><p>Short</p><div>{long} Leaf.</div></main>")["description"] == long + " Leaf."
+
+
+def test_hidden_and_foreign_parts_are_left_out():
+    page = "<main><div class='breadcrumb'>Home</div><h1>T</h1><h3>Fees</h3><p>5 riyals<span style='display: none'>hidden</span></p><div class='share-box'>Share</div><div class='rating'>Stars</div><script>x</script><p>Similar Services</p><h3>Conditions</h3><p>Of another one</p></main>"
+    p = pages.parse_labelled_page(page)
+    assert p["fees"] == "5 riyals" and "requirements" not in p
+    assert pages.parse_labelled_page("", "Renewal - Ministry")["title"] == "Renewal" and pages.parse_labelled_page(None)["title"] is None
+
+
+def test_bold_leads_and_repeated_headings():
+    page = "<main><h1>T</h1><p><b>Fees:</b> 10 riyals</p><p>each</p><p><b>Duration</b></p><p>1 day</p><h3>Required Documents</h3><p>Required Documents</p><p>Card</p><h4>Attachments</h4><p>Photo</p><p>x <b>Notes</b> none of these</p></main>"
+    p = pages.parse_labelled_page(page)
+    assert p["fees"] == "10 riyals\neach" and p["processing_time"] == "1 day" and p["required_documents"] == "Card\nPhoto\nx Notes none of these" and "notes" not in p
+
+
 def test_label_field_column(apply):
     labels = ["Service Steps", "Required documents:", "Fees", "FAQ", "المستندات المطلوبة", "x" * 70, ""]
     assert apply(pages.label_field_column, labels) == [pages.label_field(x) for x in labels] == ["steps", "required_documents", "fees", None, "required_documents", None, None]
@@ -50,7 +85,7 @@ def test_capture_with_supplement(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps({"source": "hrsd", "records": [page("A", "en", 200, TABS), page("B", "en", 500, ""), page("C", "en", 200, "<h1>404 not found</h1>"), page("D", "ar", 200, TABS)]}))
     (tmp_path / "s.json").write_text(json.dumps({"records": [page("b", "en", 200, TABS.replace("licence", "permit")), page("a", "en", 200, "<h1>never</h1>")]}))
     got = pages.read_labelled_capture(spark, f"{tmp_path}/c.json", "hrsd", {"en": "HR", "ar": "م"}, "hrsd.gov.sa", "Online", f"{tmp_path}/s.json").orderBy("title_en").collect()
-    assert [r.title_en for r in got] == ["Renewal of a licence", "Renewal of a permit"] and got[0].service_id == "hrsd-" + pages.short_hash("a") and got[0].agency_en == "HR"
+    assert [r.title_en for r in got] == ["Renewal of a licence", "Renewal of a permit"] and got[0].service_id == "hrsd-" + hashlib.sha1(b"a").hexdigest()[:10] and got[0].agency_en == "HR"
 
 
 def test_readers(spark, tmp_path):
