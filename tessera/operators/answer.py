@@ -61,10 +61,25 @@ def _ui(key: str) -> Column:
     return F.when(F.col("ui_lang") == "ar", fixed.UI["ar"][key]).otherwise(fixed.UI["en"][key])
 
 
-def points(cited: DataFrame) -> DataFrame:
+def best_sentences(cited: DataFrame, query_vectors: DataFrame, encode, most: int = 2) -> DataFrame:
+    """(query_id, best): of the first cited service, the ``most`` sentences nearest to the question, in their order.
+
+    ``query_vectors`` are sparse unit vectors (query_id, bucket, w); ``encode(df, key, text)`` makes the same of the
+    sentences. Sentences without any common bucket score 0; ties go to the earlier sentence.
+    """
+    rows = cited.where("n = 1").select("query_id", F.posexplode(split_items(_pick("description"))).alias("pos", "text"))
+    rows = rows.withColumn("key", F.struct("query_id", "pos"))
+    near = encode(rows, "key", "text").withColumnRenamed("w", "sw").withColumn("query_id", F.col("key.query_id"))
+    score = near.join(query_vectors, ["query_id", "bucket"]).groupBy("key").agg(F.round(F.sum(F.col("w") * F.col("sw")), 9).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.coalesce("score", F.lit(0.0))), "pos")
+    kept = rows.join(score, "key", "left").withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
+    return kept.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias("best"))
+
+
+def points(cited: DataFrame, best: DataFrame | None = None) -> DataFrame:
     """(query_id, section, section_rank, cite, pos, text, label): verbatim items of all sections, in display order.
 
-    Steps come from the first service alone where several are cited and it has any; at most three audiences are shown.
+    The direct answer is the ``best`` sentences (see ``best_sentences``), the first two where none are given. Steps come from the first service alone where several are cited and it has any; at most three audiences are shown.
     """
     many = F.max("n").over(Window.partitionBy("query_id"))
 
@@ -73,9 +88,11 @@ def points(cited: DataFrame) -> DataFrame:
         return F.transform(arr, lambda x: F.struct(F.lit(key).alias("section"), x.alias("text"), (label if label is not None else F.lit(None).cast("string")).alias("label")))
 
     only_first = F.col("n") == 1
+    lead = lambda x: F.struct(F.lit("direct").alias("section"), x.alias("text"), F.lit(None).cast("string").alias("label"))
+    cited = cited.withColumn("best", F.lit(None).cast("array<string>")) if best is None else cited.join(best, "query_id", "left")
     nothing = F.array().cast("array<struct<section:string,text:string,label:string>>")
     all_items = F.concat(
-        F.when(only_first, F.slice(items("direct", _pick("description")), 1, 2)).otherwise(nothing),
+        F.when(only_first, F.coalesce(F.transform("best", lead), F.slice(items("direct", _pick("description")), 1, 2))).otherwise(nothing),
         items("need", _pick("eligibility")), items("need", _pick("requirements")), items("docs", _pick("required_documents")), items("steps", _pick("steps")),
         items("fees", _pick("fees"), _ui("fees"), True), items("fees", _pick("processing_time"), _ui("time"), True), items("fees", _pick("service_languages"), _ui("langs"), True),
         items("who", _pick("target_audience"), None, True), items("notes", _pick("notes")),
@@ -100,8 +117,11 @@ def fee_conflicts(cited: DataFrame) -> DataFrame:
     return cited.groupBy("query_id").agg(((F.count_distinct(F.when(~missing(fee), normalize_for_matching(fee))) > 1) & (F.count_distinct(agency) > 1)).alias("conflict"))
 
 
-def answers(queries: DataFrame, hits: DataFrame, records: DataFrame, config: dict) -> DataFrame:
-    """One row per question: status, lead, sections, citations, notes, related links."""
+def answers(queries: DataFrame, hits: DataFrame, records: DataFrame, config: dict, query_vectors: DataFrame | None = None, encode=None) -> DataFrame:
+    """One row per question: status, lead, sections, citations, notes, related links.
+
+    With ``query_vectors`` and ``encode`` the direct answer holds the sentences nearest to the question.
+    """
     decided = decisions(queries, hits, config)
     used = support(decided, hits, min(config["t_tentative"], config["t_answer"]))
     cited = citations(used, records, decided)
@@ -110,7 +130,8 @@ def answers(queries: DataFrame, hits: DataFrame, records: DataFrame, config: dic
     name = F.when(F.col("lang") == "ar", _ui("name_ar")).otherwise(_ui("name_en"))
     note = F.when(F.col("lang") != F.col("ui_lang"), F.replace(F.replace(_ui("lang_note"), F.lit("{n}"), F.col("n").cast("string")), F.lit("{lang}"), name))
     head = cited.groupBy("query_id").agg(F.sort_array(F.collect_list(cite)).alias("citations"), F.max(F.when(F.col("n") == 1, lead)).alias("lead"), F.transform(F.sort_array(F.collect_list(F.when(note.isNotNull(), F.struct("n", note.alias("note"))))), lambda x: x["note"]).alias("lang_notes"))
-    shown = points(cited).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("section_rank", "nth", "section", "text", "cite", "label"))), lambda p: p.dropFields("section_rank", "nth")).alias("points"))
+    best = best_sentences(cited, query_vectors, encode) if encode is not None else None
+    shown = points(cited, best).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("section_rank", "nth", "section", "text", "cite", "label"))), lambda p: p.dropFields("section_rank", "nth")).alias("points"))
     links = related_links(decided, hits, config.get("t_related")).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "service_id"))), lambda x: x["service_id"]).alias("related"))
     out = decided.join(head, "query_id", "left").join(shown, "query_id", "left").join(fee_conflicts(cited), "query_id", "left").join(links, "query_id", "left")
     conflict = F.when(F.coalesce("conflict", F.lit(False)), F.array(_ui("conflict"))).otherwise(F.array().cast("array<string>"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import ascii_digits, missing, numbers
+from ..functions.text import arabic_ratio, ascii_digits, missing, numbers
 
 
 def evidence_package(used: DataFrame, chars: int = 900) -> DataFrame:
@@ -79,3 +79,47 @@ def claims_of_replies(replies: DataFrame) -> DataFrame:
     points = F.flatten(F.transform(known, lambda s: F.transform(s["points"], lambda p: F.struct(s["key"].alias("section"), p["text"].alias("text"), p["evidence"].alias("evidence")))))
     rows = r.select("query_id", F.posexplode(F.concat(F.when(F.col("r.direct_answer").isNotNull(), direct).otherwise(F.slice(direct, 1, 0)), points)).alias("pos", "c"))
     return rows.select("query_id", F.concat_ws("-", F.col("query_id").cast("string"), F.col("pos").cast("string")).alias("claim_id"), "c.*")
+
+
+def check_replies(replies: DataFrame, package: DataFrame, languages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What stands of replies (query_id, reply) to questions with ``languages`` (query_id, ui_lang).
+
+    First the claims with ``ids`` and ``reason``, then one row for each reply: answerable (full, partial or none; null
+    where nothing stands), proposed and rejected counts, reason, not_verified and follow_ups. A reply whose first
+    standing claim is in the other language falls as a whole (``wrong_language``); one that says itself that the
+    evidence does not answer is ``none``. Notes with numbers and texts with addresses are dropped.
+    """
+    claims = claims_of_replies(replies)
+    checked = validate_claims(claims, package)
+    pos = F.substring_index("claim_id", "-", -1).cast("int")
+    first = checked.where("reason is null").groupBy("query_id").agg(F.min_by("text", pos).alias("sample"), F.count("*").alias("kept"))
+    r = replies.select("query_id", parse_reply(F.col("reply")).alias("r")).join(languages.select("query_id", "ui_lang"), "query_id").join(first, "query_id", "left")
+    points = lambda s: F.size(F.filter(F.coalesce(s["points"], F.array().cast("array<struct<text:string,evidence:array<string>>>")), lambda p: p.isNotNull()))
+    proposed = F.lit(1) + F.aggregate(F.coalesce("r.sections", F.array().cast("array<struct<key:string,points:array<struct<text:string,evidence:array<string>>>>>")), F.lit(0), lambda n, s: n + points(s))
+    none = F.col("r.answerable") == "none"
+    wrong = (F.col("ui_lang") == "ar") != (arabic_ratio(F.col("sample")) >= 0.3)
+    reason = F.when(F.col("r").isNull(), "no_reply").when(F.coalesce(none, F.lit(False)), None).when(F.col("sample").isNull(), "nothing_grounded").when(wrong, "wrong_language")
+    stands = F.when(reason.isNull(), F.when(F.col("r.answerable").isin("full", "partial", "none"), F.col("r.answerable")).otherwise("partial"))
+
+    def notes(c: Column, most: int, keep) -> Column:
+        texts = F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: x.isNotNull() & (F.trim(x) != "") & ~F.rlike(x, F.lit(fixed.URL_IN_TEXT)))
+        return F.filter(F.slice(F.transform(texts, lambda x: F.left(F.trim(x), F.lit(200))), 1, most), keep)
+
+    kept = F.coalesce("kept", F.lit(0)).cast("int")
+    out = r.select(
+        "query_id", stands.alias("answerable"), proposed.alias("proposed"), (proposed - kept).alias("rejected"), reason.alias("reason"),
+        notes(F.col("r.not_verified"), 5, lambda x: F.size(numbers(x)) == 0).alias("not_verified"), notes(F.col("r.follow_ups"), 4, lambda x: F.lit(True)).alias("follow_ups"),
+    )
+    return checked, out
+
+
+def cited_sources(checked: DataFrame, package: DataFrame, chars: int = 500) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of standing claims: (query_id, sid, n) services in order of citation, (query_id, n, field, text) their evidence cut
+    to ``chars``, and (query_id, verified_fields) what is backed by evidence, titles and agencies aside."""
+    ids = checked.where("reason is null").select("query_id", F.substring_index("claim_id", "-", -1).cast("int").alias("claim"), F.posexplode("ids").alias("pos", "id"))
+    ids = ids.select("query_id", "claim", "pos", F.substring_index("id", ".", 1).alias("sid"), F.substring_index("id", ".", -1).alias("field"))
+    seen = ids.groupBy("query_id", "sid").agg(F.min(F.struct("claim", "pos")).alias("at"))
+    sources = seen.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("at", "sid"))).drop("at")
+    shown = package.where(~F.col("field").isin("title", "agency")).join(sources, ["query_id", "sid"]).select("query_id", "n", "field", F.left("text", F.lit(chars)).alias("text"))
+    fields = ids.where(~F.col("field").isin("title", "agency")).groupBy("query_id").agg(F.array_sort(F.collect_set("field")).alias("verified_fields"))
+    return sources, shown, fields

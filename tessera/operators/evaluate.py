@@ -10,6 +10,10 @@ def _rank() -> Column:
     return F.col("rank")
 
 
+def _score(c: Column) -> Column:
+    """A question without any hit scores 0: it is refused, not left out."""
+    return F.coalesce(c.cast("double"), F.lit(0.0))
+
 
 def relevant_ids(bench: DataFrame, separator: str = ";") -> DataFrame:
     """(query_id, service_id): the expected id and the acceptable ones, blanks dropped."""
@@ -47,7 +51,7 @@ def breakdowns(rows: DataFrame, *dims: str) -> DataFrame:
 
 def refusal_columns(score: Column, supported: Column, correct: Column, t: Column) -> list[Column]:
     """Answer/refuse metrics at threshold ``t``; refusing is the positive class."""
-    refuse = score < t
+    refuse = _score(score) < t
     n = lambda c: F.sum(c.cast("double"))
     tp, fp, fn = n(refuse & ~supported), n(refuse & supported), n(~refuse & ~supported)
     p = F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0)
@@ -63,6 +67,7 @@ def refusal_columns(score: Column, supported: Column, correct: Column, t: Column
 
 def decision_columns(score: Column, supported: Column, rank: Column, t_answer: float, t_tentative: float) -> list[Column]:
     """Three-way decision metrics; null where a denominator is empty."""
+    score = _score(score)
     shown, sure = score >= min(t_answer, t_tentative), score >= t_answer
     one, three = F.coalesce(rank == 1, F.lit(False)), F.coalesce(rank <= 3, F.lit(False))
     rate = lambda c, of: F.avg(F.when(of, c.cast("double")))
@@ -80,7 +85,7 @@ def decision_columns(score: Column, supported: Column, rank: Column, t_answer: f
 
 def candidate_thresholds(scores: DataFrame, score: str = "top_score") -> DataFrame:
     """(t, gap): midpoints between consecutive distinct scores, and one threshold beyond either end."""
-    d = scores.select(F.col(score).alias("s")).where("s is not null").distinct()
+    d = scores.select(_score(F.col(score)).alias("s")).distinct()
     order = Window.orderBy("s")  # distinct scores of an evaluation set: as many as it has questions
     mids = d.withColumn("next", F.lead("s").over(order)).where("next is not null").select(((F.col("s") + F.col("next")) / 2).alias("t"), (F.col("next") - F.col("s")).alias("gap"))
     ends = d.agg(F.min("s").alias("lo"), F.max("s").alias("hi")).select(F.explode(F.array(F.col("lo") - 1e-3, F.col("hi") + 1e-3)).alias("t"), F.lit(0.0).alias("gap")).where("t is not null")
@@ -93,7 +98,7 @@ def cumulative(rows: DataFrame, score: str = "top_score") -> DataFrame:
     One sort with running sums instead of a pass for each candidate.
     """
     sup, good = F.col("supported") == 1, (F.col("supported") == 1) & F.coalesce(_rank() == 1, F.lit(False))
-    facts = rows.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("at")).agg(F.count("*").alias("n"), F.count_if(sup).alias("sup"), F.count_if(good).alias("good"))
+    facts = rows.groupBy(_score(F.col(score)).alias("at")).agg(F.count("*").alias("n"), F.count_if(sup).alias("sup"), F.count_if(good).alias("good"))
     cands = candidate_thresholds(rows, score)
     both = facts.select("at", "n", "sup", "good", F.lit(None).cast("double").alias("gap")).unionByName(cands.select(F.col("t").alias("at"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("sup"), F.lit(0).cast("long").alias("good"), "gap"))
     above = Window.orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, 0)
@@ -182,3 +187,57 @@ def benchmark_rows(families: DataFrame, unsupported: DataFrame, cycle: tuple[str
     uns = unsupported.withColumn("i", i).select(F.lit(1).alias("part"), "ord", F.lit(0).alias("pos"), F.concat(F.lit("unsupported-"), F.lpad(F.col("i").cast("string"), 2, "0")).alias("family"), F.element_at(F.array(*(F.lit(c) for c in cycle)), F.col("i") % len(cycle) + 1).alias("split"), "query", "language", "style", F.lit(0).alias("supported"), *(F.lit("").alias(c) for c in ("expected_source", "expected_title", "acceptable")))
     n = F.row_number().over(Window.orderBy("part", "ord", "pos"))
     return sup.unionByName(uns).withColumn("query_id", F.concat(F.lit(prefix), F.lpad(n.cast("string"), 3, "0"))).drop("part", "ord", "pos")
+
+
+def in_splits(rows: DataFrame, *splits: str) -> DataFrame:
+    return rows.where(F.col("split").isin(*splits))
+
+
+def split_counts(bench: DataFrame) -> DataFrame:
+    """(split, kind, n): answerable and unanswerable questions of each split."""
+    kind = F.when(F.col("supported") == 1, "answerable").otherwise("unanswerable")
+    return bench.groupBy("split", kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+def unknown_services(bench: DataFrame, records: DataFrame) -> DataFrame:
+    """(query_id, service_id): relevant services of a benchmark that the knowledge base does not hold."""
+    return relevant_ids(bench).join(records.select("service_id"), "service_id", "left_anti").select("query_id", "service_id")
+
+
+def related_block(rows: DataFrame, t_answer: float, t_tentative: float, t_related: float) -> DataFrame:
+    """One row: what declined questions get to see when links are shown from ``t_related`` on."""
+    score = _score(F.col("top_score"))
+    declined, shown, asked = score < min(t_answer, t_tentative), score >= t_related, F.col("supported") == 1
+    near = F.coalesce(_rank() <= 3, F.lit(False))
+    return rows.where(declined).agg(
+        F.count_if(asked).alias("declined_answerable"), F.count_if(asked & shown).alias("declined_answerable_shown"), F.count_if(asked & shown & near).alias("declined_answerable_right"),
+        F.count_if(~asked).alias("declined_unanswerable"), F.count_if(~asked & shown).alias("declined_unanswerable_shown"), F.count_if((F.col("style") == "out_of_domain") & shown).alias("out_of_domain_shown"),
+    )
+
+
+def decision_view(rows: DataFrame, t_answer: float, t_tentative: float, style: str = "user_reported") -> DataFrame:
+    """(query_id, query, top1_service_id, rank, top_score, decision) of the questions of one style."""
+    score = _score(F.col("top_score"))
+    decision = F.when(score >= t_answer, "confident").when(score >= min(t_answer, t_tentative), "tentative").otherwise("declined")
+    return rows.where(F.col("style") == style).select("query_id", "query", "top1_service_id", "rank", "top_score", decision.alias("decision"))
+
+
+def per_query_view(rows: DataFrame, split: str = "test") -> DataFrame:
+    """The columns that a reader of one split's results looks at."""
+    return in_splits(rows, split).select("query_id", "query", "language", "style", "supported", "expected_service_id", "top1_service_id", "rank", "top_score")
+
+
+def best_per_variant(summaries: DataFrame, variant: str = "variant") -> DataFrame:
+    """The configuration of each variant with the best reciprocal rank, then top-1 rate, then name."""
+    order = Window.partitionBy(variant).orderBy(F.desc("mrr"), F.desc("top1"), "config_id")
+    return summaries.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+
+
+def selection_history(dev: DataFrame, val: DataFrame, baseline: str, most: int = 8) -> DataFrame:
+    """(config_id, dev_mrr, val_mrr, role): the ``most`` best on the first split, and the baseline; the best on the second is chosen."""
+    top = dev.orderBy(F.desc("mrr"), F.desc("top1"), "config_id").limit(most).select("config_id", F.col("mrr").alias("dev_mrr"))
+    base = dev.where(F.col("config_id") == baseline).select("config_id", F.col("mrr").alias("dev_mrr"))
+    rows = top.unionByName(base).distinct().join(val.select("config_id", F.col("mrr").alias("val_mrr")), "config_id")
+    first = F.row_number().over(Window.orderBy(F.desc("val_mrr"), F.desc("dev_mrr"), "config_id"))  # at most nine rows
+    rows = rows.withColumn("_r", first)
+    return rows.select("config_id", "dev_mrr", "val_mrr", F.when(F.col("_r") == 1, "chosen").when(F.col("config_id") == baseline, "baseline").otherwise("candidate").alias("role"))

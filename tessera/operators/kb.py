@@ -126,3 +126,14 @@ def build_report(loaded: DataFrame, validated: DataFrame, unique: DataFrame, dro
     rest = validated.agg(F.count_if(F.size("errors") > 0).alias("quarantined"))
     gone = dropped.agg((F.count("*") + previous_duplicates).alias("duplicates_removed"))
     return main.crossJoin(rest).crossJoin(gone).crossJoin(sources)  # one row each
+
+
+def tag_histogram(records: DataFrame, lang: str = "en") -> DataFrame:
+    """(tag, n) of the page tags that ``extra`` keeps as JSON text ``{"page_tags": {lang: [...]}}``."""
+    tags = F.from_json(F.get_json_object("extra", f"$.page_tags.{lang}"), "array<string>")
+    return records.select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+def fallback_titles(chunks: DataFrame) -> DataFrame:
+    """(service_id, lang, title): the title of the first chunk of each service and language."""
+    return chunks.groupBy("service_id", "lang").agg(F.min_by("title", "chunk_id").alias("title"))

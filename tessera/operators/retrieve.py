@@ -13,6 +13,7 @@ from ..functions import fixed
 from ..functions.rules import action_adjustment, expand_query, looks_like_followup, query_actions
 from ..functions.text import missing, tokenize
 from ..functions.vectors import dot
+from ..storage import small
 from .index import tfidf_queries
 
 #: Bytes of query vectors up to which they are broadcast; beyond, they are dealt in blocks.
@@ -22,13 +23,13 @@ BROADCAST_BYTES = 16 << 20
 def bm25_scores(queries: DataFrame, postings: DataFrame, text: str = "query", key: str = "chunk_id") -> DataFrame:
     """(query_id, key, score): sums over the distinct query terms that the index knows."""
     terms = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col(text)))).alias("term"))
-    return terms.join(postings, "term").groupBy("query_id", key).agg(F.sum("w").alias("score"))
+    return postings.join(small(terms), "term").groupBy("query_id", key).agg(F.sum("w").alias("score"))
 
 
 def sparse_scores(query_rows: DataFrame, postings: DataFrame, on: str = "term", key: str = "chunk_id") -> DataFrame:
     """(query_id, key, score): sparse dot products of (query_id, term, w) and (key, term, w)."""
     right = postings.withColumnRenamed("w", "pw")
-    return query_rows.join(right, on).groupBy("query_id", key).agg(F.sum(F.col("w") * F.col("pw")).alias("score"))
+    return right.join(small(query_rows), on).groupBy("query_id", key).agg(F.sum(F.col("w") * F.col("pw")).alias("score"))
 
 
 def char_scores(queries: DataFrame, postings: DataFrame, idf: DataFrame, text: str = "query", key: str = "chunk_id") -> DataFrame:
@@ -90,7 +91,8 @@ def title_coverage(queries: DataFrame, titles: DataFrame, text: str = "query", s
 
     ``titles`` is (service, title), one row per variant. An equi-join on tokens; services without overlap are absent.
     """
-    toks = titles.select(service, F.monotonically_increasing_id().alias("_v"), F.array_distinct(tokenize(F.col("title"))).alias("t")).where(F.size("t") > 0)
+    toks = titles.select(service, F.array_sort(F.array_distinct(tokenize(F.col("title")))).alias("t")).where(F.size("t") > 0).distinct()
+    toks = toks.withColumn("_v", F.array_join("t", " "))
     each = toks.select(service, "_v", F.size("t").alias("n"), F.explode("t").alias("term"))
     q = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col(text)))).alias("term"))
     share = q.join(each, "term").groupBy("query_id", service, "_v").agg((F.count("*") / F.first("n")).alias("share"))
@@ -174,6 +176,23 @@ def rerank(hits: DataFrame, services: DataFrame, queries: DataFrame, bonus: floa
     return rows.withColumn("new_rank", F.row_number().over(order)).drop("qa")
 
 
+def search_variants(variants: DataFrame, index: dict[str, DataFrame], config: dict, services: DataFrame | None = None, encode=None, per_variant: int = 8, k: int = 10) -> DataFrame:
+    """Hits (query_id, service_id, score, rank) of questions asked in several wordings (query_id, variant from 0, query).
+
+    Every wording is searched for ``per_variant`` services, all of them in one plan; the hits are merged, and reranked by
+    the action of the first wording where ``services`` (service_id, actions) are given. ``encode`` makes the rows of
+    ``query_trigrams`` from (query_id, query) where the index holds trigram vectors.
+    """
+    each = variants.select(F.struct("query_id", "variant").alias("query_id"), "query")
+    have = index | ({"query_trigrams": encode(each)} if encode is not None else {})
+    found = search(each, have, config, per_variant).select("query_id.query_id", "query_id.variant", "service_id", "score", "rank")
+    merged = merge_variants(found, k=k)
+    if services is None:
+        return merged
+    asked = variants.where("variant = 0").select("query_id", "query")
+    return rerank(merged, services, asked).select("query_id", "service_id", "score", F.col("new_rank").alias("rank"))
+
+
 def with_context(queries: DataFrame, titles: DataFrame, short_words: int | None = None) -> DataFrame:
     """Follow-ups get the title of the service in context appended.
 

@@ -45,4 +45,4 @@ def ask(questions: DataFrame, built: dict[str, DataFrame], records: DataFrame, c
     if rerank:
         services = records.select("service_id", service_actions(F.col("title_en"), F.col("title_ar")).alias("actions"))
         hits = retrieve.rerank(hits, services, questions).select("query_id", "service_id", "score", F.col("new_rank").alias("rank"))
-    return answer.answers(questions, hits, records, config)
+    return answer.answers(questions, hits, records, config, index_["query_trigrams"], trigram_encoder)

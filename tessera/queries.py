@@ -17,6 +17,7 @@ from .operators import answer, catalog, chunks, claims, evaluate, index, kb, ret
 from .sources import pages as page_sources
 from .sources.html import title_and_text
 from .sources.records import FIELDS
+from .storage import built
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -121,7 +122,8 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 def doc_scores(spark: SparkSession, d: str) -> DataFrame:
     """(query_id, doc_id, source, score) of all questions against all documents by BM25."""
     docs = table(spark, d, "documents").select("doc_id", "text", "source")
-    scored = retrieve.bm25_scores(questions(spark, d), index.bm25_postings(docs, "doc_id", "text"), key="doc_id")
+    postings = built(spark, d, "documents-bm25", lambda: index.bm25_postings(docs, "doc_id", "text").sortWithinPartitions("term"))
+    scored = retrieve.bm25_scores(questions(spark, d), postings, key="doc_id")
     return scored.withColumn("score", F.round("score", 6)).join(docs.select("doc_id", "source"), "doc_id")
 
 
@@ -144,13 +146,21 @@ def chunk_rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("chunk_id"), F.col("conv_id").alias("service_id"), "turn", "role", "text")
 
 
-def chunk_signals(spark: SparkSession, d: str) -> DataFrame:
-    c, q = chunk_rows(spark, d), questions(spark, d)
+def chunk_index(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Postings, idf and trigram vectors of the chunks, built once for a session's queries."""
+    c = chunk_rows(spark, d)
     postings, idf = index.tfidf_model(c, "chunk_id", "text")
-    char = retrieve.char_scores(q, postings, idf)
-    bm25 = retrieve.bm25_scores(q, index.bm25_postings(c, "chunk_id", "text"))
+    make = {"tfidf": lambda: postings, "idf": lambda: idf, "bm25": lambda: index.bm25_postings(c, "chunk_id", "text"), "trigrams": lambda: trigram_encoder(c, "chunk_id", "text")}
+    return {name: built(spark, d, f"chunks-{name}", f) for name, f in make.items()}
+
+
+def chunk_signals(spark: SparkSession, d: str) -> DataFrame:
+    q = questions(spark, d)
+    have = chunk_index(spark, d)
+    char = retrieve.char_scores(q, have["tfidf"], have["idf"])
+    bm25 = retrieve.bm25_scores(q, have["bm25"])
     tq = trigram_encoder(q, "query_id", "query")
-    dense = retrieve.sparse_scores(tq, trigram_encoder(c, "chunk_id", "text"), on="bucket")
+    dense = retrieve.sparse_scores(tq, have["trigrams"], on="bucket")
     out = retrieve.signals(dense, char, bm25)
     return out.select("query_id", "chunk_id", *(F.round(x, 6).alias(x) for x in ("dense", "char", "bm25")))
 
@@ -317,7 +327,7 @@ def html_title_text(spark, d):
 def page_fields(spark, d):
     """Fields of every page by the labelled-page parser (tested on fixtures)."""
     p = page_sources.parser_udf("labelled")(F.col("html"), F.lit(None).cast("string"))
-    return table(spark, d, "pages").select("page_id", p.alias("p")).select("page_id", *(F.md5(F.col(f"p.{f}").cast("binary")).alias(f) for f in page_sources.PAGE_FIELDS[:10]))
+    return table(spark, d, "pages").select("page_id", p.alias("p")).select("page_id", *(F.md5(F.col(f"p.{f}").cast("binary")).alias(f) for f in page_sources.PAGE_FIELDS))
 
 
 @query("SELECT page_id, 'pg-' || left(sha1(url), 10) AS service_id, sha256(html) AS source_sha256 FROM pages")
@@ -668,7 +678,7 @@ def _sql_refusal(t: str, frm: str, by: str = "") -> str:
     sums = f"""SELECT {by} CAST(sum(CASE WHEN refuse AND NOT sup THEN 1 ELSE 0 END) AS DOUBLE) AS tp, CAST(sum(CASE WHEN refuse AND sup THEN 1 ELSE 0 END) AS DOUBLE) AS fp, CAST(sum(CASE WHEN NOT refuse AND NOT sup THEN 1 ELSE 0 END) AS DOUBLE) AS fn,
       avg(CASE WHEN NOT sup THEN CASE WHEN refuse THEN 1.0 ELSE 0.0 END END) AS unsupported_refused, avg(CASE WHEN sup THEN CASE WHEN NOT refuse THEN 1.0 ELSE 0.0 END END) AS supported_answered,
       avg(CASE WHEN sup THEN CASE WHEN NOT refuse AND good THEN 1.0 ELSE 0.0 END END) AS supported_answered_correct, avg(CASE WHEN (sup AND NOT refuse AND good) OR (NOT sup AND refuse) THEN 1.0 ELSE 0.0 END) AS end_to_end_accuracy
-      FROM (SELECT *, top_score < {t} AS refuse, supported = 1 AS sup, coalesce(rank = 1, false) AS good FROM {frm}) GROUP BY ALL"""
+      FROM (SELECT *, coalesce(top_score, 0) < {t} AS refuse, supported = 1 AS sup, coalesce(rank = 1, false) AS good FROM {frm}) GROUP BY ALL"""
     return f"""SELECT {by} round(p, 9) AS refusal_precision, round(r, 9) AS refusal_recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 9) AS refusal_f1, round(unsupported_refused, 9) AS unsupported_refused, round(supported_answered, 9) AS supported_answered,
       round(supported_answered_correct, 9) AS supported_answered_correct, round(end_to_end_accuracy, 9) AS end_to_end_accuracy, round(0.5 * (supported_answered_correct + unsupported_refused), 9) AS balanced_accuracy FROM (SELECT *, {_REFUSAL.replace("tp, fp, fn, ", "")} FROM ({sums}))"""
 
@@ -683,7 +693,7 @@ def threshold_curve(spark, d):
     return _rounded(evaluate.threshold_curve(eval_rows(spark, d)))
 
 
-@query(f"""WITH {EVAL}, b AS (SELECT *, top_score >= 0.85 AS sure, top_score >= 0.7 AS shown, supported = 1 AS sup, coalesce(rank = 1, false) AS one, coalesce(rank <= 3, false) AS three FROM ev),
+@query(f"""WITH {EVAL}, b AS (SELECT *, coalesce(top_score, 0) >= 0.85 AS sure, coalesce(top_score, 0) >= 0.7 AS shown, supported = 1 AS sup, coalesce(rank = 1, false) AS one, coalesce(rank <= 3, false) AS three FROM ev),
 s AS (SELECT count(*) FILTER (sup) AS n_answerable, count(*) FILTER (NOT sup) AS n_unanswerable, avg(CASE WHEN shown AND one THEN 1.0 ELSE 0.0 END) FILTER (sup) AS success_top1, avg(CASE WHEN shown AND three THEN 1.0 ELSE 0.0 END) FILTER (sup) AS success_top3,
   avg(CASE WHEN shown THEN 0.0 ELSE 1.0 END) FILTER (sup) AS false_refusal_rate, avg(CASE WHEN sure THEN 1.0 ELSE 0.0 END) FILTER (sup) AS confident_rate, avg(CASE WHEN one THEN 1.0 ELSE 0.0 END) FILTER (sup AND sure) AS confident_precision,
   avg(CASE WHEN shown THEN 0.0 ELSE 1.0 END) FILTER (NOT sup) AS unsupported_refusal_rate, avg(CASE WHEN sure THEN 1.0 ELSE 0.0 END) FILTER (NOT sup) AS unsupported_confident_rate,
@@ -695,8 +705,8 @@ def decision_metrics(spark, d):
     return _rounded(eval_rows(spark, d).agg(*evaluate.decision_columns(F.col("top_score"), F.col("supported") == 1, F.col("rank"), 0.85, 0.7)))
 
 
-_CANDS = """ds AS (SELECT DISTINCT top_score AS s FROM ev WHERE top_score IS NOT NULL), cands AS (SELECT (s + nx) / 2 AS t, nx - s AS gap FROM (SELECT s, lead(s) OVER (ORDER BY s) AS nx FROM ds) WHERE nx IS NOT NULL UNION ALL SELECT min(s) - 0.001, 0.0 FROM ds UNION ALL SELECT max(s) + 0.001, 0.0 FROM ds),
-cs AS (SELECT t, gap, avg(CASE WHEN top_score < t THEN 1.0 ELSE 0.0 END) FILTER (supported = 0) AS refused, avg(CASE WHEN top_score >= t AND coalesce(rank = 1, false) THEN 1.0 ELSE 0.0 END) FILTER (supported = 1) AS good, count(*) FILTER (top_score >= t) AS conf, count(*) FILTER (top_score >= t AND supported = 1 AND coalesce(rank = 1, false)) AS right_ FROM ev, cands GROUP BY t, gap)"""
+_CANDS = """ds AS (SELECT DISTINCT coalesce(top_score, 0) AS s FROM ev), cands AS (SELECT (s + nx) / 2 AS t, nx - s AS gap FROM (SELECT s, lead(s) OVER (ORDER BY s) AS nx FROM ds) WHERE nx IS NOT NULL UNION ALL SELECT min(s) - 0.001, 0.0 FROM ds UNION ALL SELECT max(s) + 0.001, 0.0 FROM ds),
+cs AS (SELECT t, gap, avg(CASE WHEN coalesce(top_score, 0) < t THEN 1.0 ELSE 0.0 END) FILTER (supported = 0) AS refused, avg(CASE WHEN coalesce(top_score, 0) >= t AND coalesce(rank = 1, false) THEN 1.0 ELSE 0.0 END) FILTER (supported = 1) AS good, count(*) FILTER (coalesce(top_score, 0) >= t) AS conf, count(*) FILTER (coalesce(top_score, 0) >= t AND supported = 1 AND coalesce(rank = 1, false)) AS right_ FROM ev, cands GROUP BY t, gap)"""
 
 
 @query(f"WITH {EVAL}, {_CANDS} SELECT round(t, 9) AS t, round(0.5 * (good + refused), 9) AS balanced_accuracy FROM cs ORDER BY round(0.5 * (good + refused), 9) DESC, round(gap, 9) DESC, t LIMIT 1")

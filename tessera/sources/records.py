@@ -148,3 +148,31 @@ def load_all(spark: SparkSession, inputs: list[tuple[str, str]]) -> DataFrame:
         df = df.withColumn("_order", F.struct(F.lit(k).alias("input"), F.col("_order").cast("long").alias("row")))
         out = df if out is None else out.unionByName(df)
     return out
+
+
+def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
+    """Benchmark questions from CSV: all columns as text, blanks kept, ``supported`` and ``fresh`` as numbers."""
+    df = _csv(spark, path)
+    df = df.select(*(F.coalesce(c, F.lit("")).alias(c) for c in df.columns))
+    out = df.withColumn("supported", F.col("supported").cast("int"))
+    return out.withColumn("fresh", F.coalesce(F.nullif("fresh", F.lit("")), F.lit("0")).cast("int")) if "fresh" in df.columns else out
+
+
+#: Where a raw folder keeps what each loader reads, in loading order.
+PLACES = [
+    ("catalogue", "official/*/*_services_capture.json"), ("labelled_pages", "official/v2/*.json"), ("guide", "official/*/*_guide_capture.json"),
+    ("saved_pages", "manual"), ("open_data", "open_data"), ("seed_csv", "seed/services_seed_v0.csv"),
+]
+
+
+def discover(spark: SparkSession, raw: str, places: list[tuple[str, str]] = PLACES) -> list[tuple[str, str]]:
+    """(loader, path) of what lies below ``raw``. A file named like another one with ``_tag`` added supplements that one
+    and is left to its loader."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for loader, place in places:
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{raw.rstrip('/')}/{place}")
+        found = sorted(str(x.getPath().toString()) for x in pattern.getFileSystem(conf).globStatus(pattern) or [])
+        stems = [path.removesuffix(".json") + "_" for path in found]
+        out += [(loader, path) for path in found if not any(path.startswith(s) for s in stems if path != s[:-1] + ".json")]
+    return out

@@ -3,16 +3,65 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed to ``spark.checkpoint.dir``; a folder is set here only where the session names none."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local[") and sc.master != "local":
+#: Rows up to which a counted table is broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def _shared(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a folder of its own only for a local session that names none."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="tessera-"))
+        named = "file://" + tempfile.mkdtemp(prefix="tessera-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed to the shared folder."""
+    _shared(df.sparkSession)
     return df.checkpoint()
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path below the shared folder, removed when the application ends."""
+    path = f"{_shared(spark)}/tessera-{label}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+_built: dict[tuple[str, str, str], str] = {}
+
+
+def built(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is made from ``source`` once in a session and read by every later plan, such as an index.
+
+    The source must not change meanwhile; ``forget`` drops what was made from it.
+    """
+    key = (spark._jsparkSession.sessionUUID(), source, name)
+    if key not in _built:
+        path = scratch(spark, name)
+        make().write.parquet(path)
+        _built[key] = path
+    return spark.read.parquet(_built[key])
+
+
+def forget(source: str) -> None:
+    for key in [k for k in _built if k[1] == source]:
+        del _built[key]
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint where its counted rows are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

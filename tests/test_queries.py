@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from tessera import queries
+from tessera import queries, queries_flow  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
