@@ -71,15 +71,15 @@ COLLECT_EVERY = 5.0
 _collected = [0.0]
 
 
-def collect_garbage(spark: SparkSession) -> None:
-    """Let Spark's cleaner see, now and then, what no plan refers to any more.
+def collect_garbage(spark: SparkSession, now: bool = False) -> None:
+    """Let Spark's cleaner see, now and then or at once, what no plan refers to any more.
 
     Shuffle files and broadcasts of a finished step stay until the driver collects its garbage, which a driver with
     room to spare puts off; steps that follow one another would pile them up.
     """
-    now = time.monotonic()
-    if now - _collected[0] >= COLLECT_EVERY:
-        _collected[0] = now
+    at = time.monotonic()
+    if now or at - _collected[0] >= COLLECT_EVERY:
+        _collected[0] = at
         gc.collect()
         spark.sparkContext._jvm.System.gc()
 
