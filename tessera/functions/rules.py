@@ -19,9 +19,8 @@ def fold(s: str) -> str:
     return unicodedata.normalize("NFC", s).translate(_FOLD)
 
 
-def _bounded(alternatives: str, arabic: bool) -> str:
-    words = alternatives.split("|")
-    words = [fold(w) for w in words] if arabic else words
+def _bounded(alternatives: list[str], arabic: bool) -> str:
+    words = [fold(w) for w in alternatives] if arabic else alternatives
     longest = "|".join(re.escape(w).replace("\\ ", " ").replace("\\-", "-").replace("\\'", "'") for w in sorted(words, key=len, reverse=True))
     edge = r"[\p{L}\p{N}_؀-ۿ]"
     return f"(?<!{edge})(?:{longest})(?!{edge})"

@@ -96,5 +96,5 @@ def remove_common(table: DataFrame, k: int = 1, sample: int = 20_000) -> DataFra
 
 def lexicon_words(spark) -> DataFrame:
     """Distinct words of the expansion rules, to be united with a corpus vocabulary."""
-    rows = [(t.replace("|", " "),) for pair in (*fixed.EXPAND_EN, *fixed.EXPAND_AR) for t in pair]
+    rows = [(t,) for phrases, official in (*fixed.EXPAND_EN, *fixed.EXPAND_AR) for t in (*phrases, official)]
     return spark.createDataFrame(rows, "t string").select(F.explode(words(F.col("t"))).alias("word")).distinct()
