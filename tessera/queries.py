@@ -17,7 +17,7 @@ from .operators import answer, catalog, chunks, claims, evaluate, index, kb, ret
 from .sources import pages as page_sources
 from .sources.html import title_and_text
 from .sources.records import FIELDS
-from .storage import built
+from .storage import built, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,8 +33,13 @@ def query(sql: str | None = None):
     return register
 
 
+#: Tables of texts: most of their queries' work is per row, so a single small file is dealt out first.
+TEXTS = {"documents", "pages", "conversations"}
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(df) if name in TEXTS else df
 
 
 # --- SQL blocks ------------------------------------------------------------------------------------------------------------
@@ -440,7 +445,8 @@ def bm25_topk(spark, d):
 
 @query(f"WITH {TFIDF} SELECT query_id, chunk_id, s AS score, rank FROM (SELECT query_id, chunk_id, round(score, 6) AS s, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM chars) WHERE rank <= 5")
 def char_tfidf_topk(spark, d):
-    postings, idf = index.tfidf_model(chunk_rows(spark, d), "chunk_id", "text")
+    have = chunk_index(spark, d)
+    postings, idf = have["tfidf"], have["idf"]
     s = retrieve.char_scores(questions(spark, d), postings, idf).withColumn("score", F.round("score", 6))
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")).cast("long")).where("rank <= 5")
 

@@ -65,3 +65,12 @@ def forget(source: str) -> None:
 def small(df: DataFrame) -> DataFrame:
     """``df`` with a broadcast hint where its counted rows are few."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it comes in fewer parts than there are cores, as one small file does.
+
+    Large inputs come in many parts and stay as they are: nothing is shuffled for them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
