@@ -173,7 +173,7 @@ ok AS (SELECT * FROM g WHERE CASE kind WHEN 'email' THEN true
   WHEN 'card' THEN length(digits) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda i:
     CASE WHEN (length(digits) - i) % 2 = 1 THEN 2 * CAST(digits[i] AS INTEGER) - CASE WHEN CAST(digits[i] AS INTEGER) > 4 THEN 9 ELSE 0 END ELSE CAST(digits[i] AS INTEGER) END)) % 10 = 0
   ELSE length(digits) BETWEEN 8 AND 15 END)
-SELECT any_value(d.doc_id) AS doc_id, count_if(coalesce(kind = 'email', false)) AS n_email, count_if(coalesce(kind = 'ip', false)) AS n_ip, count_if(coalesce(kind = 'card', false)) AS n_card, count_if(coalesce(kind = 'phone', false)) AS n_phone,
+SELECT any_value(d.doc_id) AS doc_id, count(*) FILTER (coalesce(kind = 'email', false)) AS n_email, count(*) FILTER (coalesce(kind = 'ip', false)) AS n_ip, count(*) FILTER (coalesce(kind = 'card', false)) AS n_card, count(*) FILTER (coalesce(kind = 'phone', false)) AS n_phone,
   sha256(coalesce(string_agg(kind || ':' || start || ':' || (start + length(hit)), ',' ORDER BY k, start), '')) AS base_sha256
 FROM d LEFT JOIN ok USING (rid) GROUP BY rid
 """
