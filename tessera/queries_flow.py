@@ -140,7 +140,7 @@ def capture_merge(spark, d):
     return page_sources.with_supplement(*_capture(spark, d)).select("id", "lang", "url", "ok", F.col("filled").alias("filled"))
 
 
-@query(f"WITH {_CAPTURE} SELECT count(*) AS pages, count_if(good OR again) AS pages_http_200, count_if(NOT (good OR again)) AS pages_failed_http, count_if(again) AS pages_filled_by_supplement FROM p")
+@query(f"WITH {_CAPTURE} SELECT count(*) AS pages, count(*) FILTER (good OR again) AS pages_http_200, count(*) FILTER (NOT (good OR again)) AS pages_failed_http, count(*) FILTER (again) AS pages_filled_by_supplement FROM p")
 def capture_stats(spark, d):
     return page_sources.page_stats(page_sources.with_supplement(*_capture(spark, d)))
 
@@ -225,7 +225,7 @@ def split_counts(spark, d):
 
 
 @query(f"""WITH {_STYLED}, de AS (SELECT *, coalesce(top_score, 0) >= 0.5 AS shown, supported = 1 AS asked, coalesce(rank <= 3, false) AS near FROM st WHERE coalesce(top_score, 0) < 0.7)
-SELECT count_if(asked) AS declined_answerable, count_if(asked AND shown) AS declined_answerable_shown, count_if(asked AND shown AND near) AS declined_answerable_right, count_if(NOT asked) AS declined_unanswerable, count_if(NOT asked AND shown) AS declined_unanswerable_shown, count_if(kind = 'out_of_domain' AND shown) AS out_of_domain_shown FROM de""")
+SELECT count(*) FILTER (asked) AS declined_answerable, count(*) FILTER (asked AND shown) AS declined_answerable_shown, count(*) FILTER (asked AND shown AND near) AS declined_answerable_right, count(*) FILTER (NOT asked) AS declined_unanswerable, count(*) FILTER (NOT asked AND shown) AS declined_unanswerable_shown, count(*) FILTER (kind = 'out_of_domain' AND shown) AS out_of_domain_shown FROM de""")
 def related_block(spark, d):
     return evaluate.related_block(_styled(spark, d), 0.85, 0.7, 0.5)
 
@@ -334,7 +334,7 @@ def cited_sources(spark, d):
     return sources.join(shown, ["query_id", "n"]).join(fields, "query_id").withColumn("verified_fields", F.array_join("verified_fields", "|"))
 
 
-@query(f"{_REPLIES} SELECT reason, n FROM (SELECT 'no_valid_evidence_id' AS reason, 3 * count_if(ungrounded) AS n FROM r UNION ALL SELECT 'number_not_in_evidence', count_if(NOT ungrounded) FROM r) WHERE n > 0")
+@query(f"{_REPLIES} SELECT reason, n FROM (SELECT 'no_valid_evidence_id' AS reason, 3 * count(*) FILTER (ungrounded) AS n FROM r UNION ALL SELECT 'number_not_in_evidence', count(*) FILTER (NOT ungrounded) FROM r) WHERE n > 0")
 def rejection_summary(spark, d):
     return claims.rejection_summary(claims.check_replies(*_replies(spark, d))[0])
 
