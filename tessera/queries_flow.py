@@ -230,14 +230,14 @@ def related_block(spark, d):
     return evaluate.related_block(_styled(spark, d), 0.85, 0.7, 0.5)
 
 
-@query(f"WITH {_STYLED} SELECT query_id, md5(query) AS query, top1 AS top1_service_id, rank, top_score, CASE WHEN coalesce(top_score, 0) >= 0.85 THEN 'confident' WHEN coalesce(top_score, 0) >= 0.7 THEN 'tentative' ELSE 'declined' END AS decision FROM st WHERE kind = 'user_reported'")
+@query(f"WITH {_STYLED} SELECT query_id, md5(query) AS query, top1 AS top1_service_id, coalesce(rank, 0) AS rank, top_score, CASE WHEN coalesce(top_score, 0) >= 0.85 THEN 'confident' WHEN coalesce(top_score, 0) >= 0.7 THEN 'tentative' ELSE 'declined' END AS decision FROM st WHERE kind = 'user_reported'")
 def reported_questions(spark, d):
-    return evaluate.decision_view(_styled(spark, d), 0.85, 0.7).withColumn("query", F.md5(F.col("query").cast("binary"))).withColumn("rank", F.col("rank").cast("long"))
+    return evaluate.decision_view(_styled(spark, d), 0.85, 0.7).withColumn("query", F.md5(F.col("query").cast("binary"))).withColumn("rank", F.coalesce(F.col("rank").cast("long"), F.lit(0)))
 
 
-@query(f"WITH {_STYLED} SELECT query_id, md5(query) AS query, 'en' AS language, kind AS style, supported, 'src' || (query_id % 20) AS expected_service_id, top1 AS top1_service_id, rank, top_score FROM st WHERE split = 'test'")
+@query(f"WITH {_STYLED} SELECT query_id, md5(query) AS query, 'en' AS language, kind AS style, supported, 'src' || (query_id % 20) AS expected_service_id, top1 AS top1_service_id, coalesce(rank, 0) AS rank, top_score FROM st WHERE split = 'test'")
 def test_split_view(spark, d):
-    return evaluate.per_query_view(_styled(spark, d)).withColumn("query", F.md5(F.col("query").cast("binary"))).withColumn("rank", F.col("rank").cast("long"))
+    return evaluate.per_query_view(_styled(spark, d)).withColumn("query", F.md5(F.col("query").cast("binary"))).withColumn("rank", F.coalesce(F.col("rank").cast("long"), F.lit(0)))
 
 
 @query(f"WITH {_STYLED} SELECT count(*) AS n FROM st WHERE split IN ('dev', 'val')")
