@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, egojoin, jaccard, lmscore, mixing, packing, pii, quality, tokens, toxicity, warc
+from ..storage import spread
+from . import audio, egojoin, jaccard, lexical, licenses, lmscore, mixing, packing, pii, quality, tokens, toxicity, warc
 from .samples import remainder
 from .shared import bound_batches, scratch, written
 
@@ -115,6 +116,24 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score_documents(docs, lmscore.train_lm(docs, path), path)
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item, from an index of all documents."""
+    index = lexical.build_index(spread(table(spark, sf_dir, "documents", "doc_id", "text")))
+    return lexical.search(index, table(spark, sf_dir, "benchmark", "item_id", "text"), 50)
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases and labels of every document; the score is the largest share of a template found, 1 where a phrase stands."""
+    out = licenses.scan_licenses(table(spark, sf_dir, "documents", "doc_id", "text"))
+    starts, names = F.transform("base", lambda x: x["start"]), F.transform("base", lambda x: x["label"])
+    joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
+    share = F.array_max(F.transform("found", lambda x: x["shared"] / x["n"]))
+    return out.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        joined(names).alias("base_labels"), joined(F.concat(names, F.transform("found", lambda x: x["label"]))).alias("labels"), F.when(F.size("base") > 0, 1.0).otherwise(F.coalesce(share, F.lit(0.0))).alias("score"),
+    )
+
+
 def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of operator 4 that SQL can express: counts and digest of the base spans."""
     return op4_pii(spark, sf_dir).drop("spans")
@@ -143,7 +162,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ego_join": EGO_SQL, "op2_mixing": MIXING_SQL, "op6_warc": WARC_SQL, "pii_base": PII_SQL, "audio_payload": AUDIO_SQL, "lm_base": LM_SQL, "near_sets": SETS_SQL}
+    return {"op1_ego_join": EGO_SQL, "op2_mixing": MIXING_SQL, "op6_warc": WARC_SQL, "op11_lexical": LEXICAL_SQL, "op12_licenses": LICENSES_SQL, "pii_base": PII_SQL, "audio_payload": AUDIO_SQL, "lm_base": LM_SQL, "near_sets": SETS_SQL}
 
 
 EGO_SQL = """
@@ -248,3 +267,42 @@ r AS (SELECT d.doc_id, d.size, e.source_size, e.target, e.epochs,
   FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
 SELECT doc_id, size, source_size, target, CAST(size * (epochs + CASE WHEN upto - size / 2.0 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
 """
+
+LEXICAL_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+g AS (SELECT CAST(count(*) FILTER (len(w) > 0) AS BIGINT) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d),
+tf AS (SELECT rid, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf FROM (SELECT rid, doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS term FROM d) GROUP BY rid, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+i AS (SELECT row_number() OVER () AS qid, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+q AS (SELECT qid, item_id, unnest(list_distinct(w)) AS term FROM i),
+s AS (SELECT qid, any_value(q.item_id) AS item_id, tf.rid, any_value(tf.doc_id) AS doc_id,
+    CAST(sum(CAST(floor(1000 * ln((2 * g.n + 2) / CAST(2 * df.df + 1 AS DOUBLE))) AS BIGINT) * ((1000000000 * tf.tf) // (1000 * tf.tf + 20 * (50 + (50 * tf.n * g.n) // g.l)))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN df USING (term), g GROUP BY qid, tf.rid),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
+
+def _licenses_sql() -> str:
+    """All blocks of all documents against all templates."""
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    phrases = " UNION ALL ".join(f"SELECT {quoted(licenses.template_words(p))} AS p, '{label}' AS label" for p, label in licenses.PHRASES)
+    split = [(label, licenses.template_words(text)) for label, text in licenses.TEMPLATES]
+    templates = " UNION ALL ".join(f"SELECT '{label}' AS label, {quoted(sorted(set(w)))} AS words, {licenses.needed(len(set(w)), 0.9)} AS need, {1 << (len(w) - 1).bit_length()} AS step" for label, w in split)
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
+ph AS ({phrases}), t AS ({templates}),
+base AS (SELECT rid, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1 : i + len(p)] = p)) AS start FROM d, ph),
+b AS (SELECT rid, count(*) AS n, min(start) AS lo, max(start) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY rid),
+blocks AS (SELECT rid, w, step, unnest(range(0, len(w), step)) AS start FROM d, (SELECT DISTINCT step FROM t)),
+f AS (SELECT rid, label, len(words) AS n, len(list_intersect(words, list_distinct(w[start + 1 : start + 2 * t.step]))) AS shared, need FROM blocks JOIN t USING (step)),
+m AS (SELECT rid, label, shared / CAST(n AS DOUBLE) AS share FROM f WHERE shared >= need),
+a AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM base UNION ALL SELECT rid, label FROM m) GROUP BY rid),
+s AS (SELECT rid, max(share) AS share FROM m GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(b.n, 0) AS n_base, CAST(lo AS BIGINT) AS first_word, CAST(hi AS BIGINT) AS last_word, coalesce(b.labels, '') AS base_labels, coalesce(a.labels, '') AS labels,
+  CASE WHEN b.n > 0 THEN 1.0 ELSE coalesce(s.share, 0.0) END AS score
+FROM d LEFT JOIN b USING (rid) LEFT JOIN a USING (rid) LEFT JOIN s USING (rid)
+"""
+
+
+LICENSES_SQL = _licenses_sql()

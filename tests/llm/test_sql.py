@@ -18,12 +18,12 @@ def duck():
     return c
 
 
-def rows(pdf):
-    return sorted(map(repr, pdf.astype(object).where(pdf.notna(), None).itertuples(index=False, name=None)))
+def rows(values):
+    return sorted(map(repr, map(tuple, values)))
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_against_sql(spark, duck, name):
     df = queries.queries()[name](spark, SF)
     cols = sorted(df.columns)
-    assert rows(df.select(*cols).toPandas()) == rows(duck.sql(f"SELECT {', '.join(cols)} FROM ({queries.oracle_sql()[name]})").df())
+    assert rows(df.select(*cols).collect()) == rows(duck.sql(f"SELECT {', '.join(cols)} FROM ({queries.oracle_sql()[name]})").fetchall())
