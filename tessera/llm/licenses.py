@@ -8,8 +8,8 @@ Words are ordered by how often they occur in all documents, rarest first. A bloc
 words holds one of its first ``n - c + 1`` (prefix filter), so documents are joined with templates on those words alone;
 they must hold ``c`` words of the templates (length filter), and the places of the first common word in both orders
 must leave room for ``c`` (positional filter). What is left is intersected. Every occurrence carries the words around it,
-so candidates are checked where they are found: texts are never shuffled, and rows travel only for blocks that were
-found. Words outside of all templates cannot count and have no place in the order.
+so candidates are checked where they are found: texts are never shuffled; a document's counts and what was found in it
+meet in one narrow row. Words outside of all templates cannot count and have no place in the order.
 
 Cases: a null or empty text has no words; repeated rows get equal results, null ids too; very long texts are scanned
 whole; a phrase or template that stands many times is counted at each place, labels once; extra columns are ignored; an
@@ -61,45 +61,49 @@ TEMPLATES = [
 ]
 #: Distinct words of all templates together, which plans hold; more raise an error.
 MAX_WORDS = 20_000
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_WORD = r"[0-9A-Za-z\x80-\x{10FFFF}]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words_of(text: Column) -> Column:
-    """Words of a text with A-Z lower-cased; none of a null."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit(f"({_WORD})"), F.lit(1))
+    """Words of a text as they stand; none of a null. ``folded`` lower-cases their A-Z where it matters."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_WORD), F.lit(0))
+
+
+def folded(word: Column) -> Column:
+    return F.translate(word, _UPPER, _LOWER)
 
 
 def template_words(text: str) -> list[str]:
-    return re.findall(_WORD, text.translate(str.maketrans(_UPPER, _LOWER)))
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(str.maketrans(_UPPER, _LOWER)))
 
 
-def places_of(words: Column, wanted: Sequence[str]) -> Column:
-    """Places, from 0, of the words that are among ``wanted``."""
-    return F.filter(F.transform(words, lambda w, i: F.when(w.isin(*wanted), i)), lambda i: i.isNotNull())
+def maybe(word: Column, wanted: Sequence[str]) -> Column:
+    """Whether a word may fold to one of ``wanted``: quicker than folding it, and true for a few others too."""
+    return F.lower(word).isin(*wanted)
 
 
-def phrase_places(words: Column, phrases: Sequence[tuple[str, str]] = PHRASES) -> Column:
-    """Array of (label, start): every place where a phrase's words stand one after another."""
-    split = [(template_words(p), label) for p, label in phrases]
-    heads = places_of(words, sorted({p[0] for p, _ in split}))
+def phrase_places(words: Column, places: Column, phrases: Sequence[tuple[str, str]] = PHRASES) -> Column:
+    """Array of (label, start): every place among ``places`` where a phrase's words stand one after another."""
 
     def stands(i: Column, phrase: list[str]) -> Column:
         whole = F.lit(True)
         for k, w in enumerate(phrase):
-            whole = whole & F.get(words, i + k).eqNullSafe(F.lit(w))
+            whole = whole & folded(F.get(words, i + k)).eqNullSafe(F.lit(w))
         return whole
 
     def found(phrase: list[str], label: str) -> Column:
-        return F.transform(F.filter(heads, lambda i: stands(i, phrase)), lambda i: F.struct(F.lit(label).alias("label"), i.cast("long").alias("start")))
+        return F.transform(F.filter(places, lambda i: stands(i, phrase)), lambda i: F.struct(F.lit(label).alias("label"), i.cast("long").alias("start")))
 
-    return F.concat(*(found(p, label) for p, label in split))
+    none = F.array().cast("array<struct<label:string,start:bigint>>")
+    return F.concat(none, *(found(template_words(p), label) for p, label in phrases))
 
 
 def occurrences(documents: DataFrame, vocabulary: Sequence[str]) -> dict[str, int]:
     """How often each word of a bounded ``vocabulary`` occurs in all documents."""
-    each = documents.select(F.explode(F.filter(words_of(F.col("text")), lambda w: w.isin(*vocabulary))).alias("word"))
-    return {r.word: r.n for r in each.groupBy("word").agg(F.count("*").alias("n")).collect()}  # one row a word
+    each = documents.select(F.explode(F.filter(words_of(F.col("text")), lambda w: maybe(w, vocabulary))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    each = each.groupBy(folded(F.col("word")).alias("word")).agg(F.sum("n").alias("n")).where(F.col("word").isin(*vocabulary))
+    return {r.word: r.n for r in each.collect()}  # one row a word
 
 
 def order_templates(documents: DataFrame, templates: Sequence[tuple[str, str]], threshold: float) -> tuple[list[str], list[tuple]]:
@@ -129,52 +133,52 @@ def text_of(words: Sequence[str]) -> Column:
     return F.split(F.lit(" ".join(words)), " ")
 
 
-def find_blocks(documents: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = 0.9, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """(``keep``..., label, start, shared, n): every block that holds the threshold of a template; start is its first word.
-
-    Rows that agree in all columns of ``keep`` must have equal texts; they are reported once.
-    """
-    vocabulary, ordered = order_templates(documents, templates, threshold)
-    spark = documents.sparkSession
-    shape = "label string, words array<string>, need int, step int"
-    if not ordered:
-        return documents.select(*keep, F.lit("").alias("label"), F.lit(0).cast("long").alias("start"), F.lit(0).alias("shared"), F.lit(1).alias("n")).where("false")
+def prefix_table(documents: DataFrame, ordered: list[tuple]) -> DataFrame:
+    """(label, words, need, step, word): the first words of each template, by which blocks are looked up."""
     rows = [F.struct(F.lit(label).alias("label"), text_of(own).alias("words"), F.lit(need).alias("need"), F.lit(step).alias("step")) for label, own, need, step in ordered]
-    prefix = spark.range(1).select(F.inline(F.array(*rows).cast(f"array<struct<{shape.replace(' ', ':').replace(',:', ',')}>>")))
-    prefix = prefix.select("*", F.explode(F.slice("words", F.lit(1), F.size("words") - F.col("need") + 1)).alias("word"))
-    first_words = sorted({w for _, own, need, _ in ordered for w in own[: len(own) - need + 1]})
-    reach = 2 * max(step for *_, step in ordered)
-    docs = documents.select(*keep, words_of(F.col("text")).alias("_words"))
-    # Each place of a prefix word, with the words around it: ``_from`` is the place of the first of them.
-    near = F.transform(
-        places_of(F.col("_words"), first_words),
-        lambda i: F.struct(F.get("_words", i).alias("word"), i.cast("long").alias("at"), F.greatest(i - reach, F.lit(0)).cast("long").alias("from"), F.slice("_words", F.greatest(i - reach, F.lit(0)) + 1, F.lit(2 * reach)).alias("around")),
-    )
-    hits = docs.select(*keep, F.explode(near).alias("_hit")).select(*keep, F.col("_hit.word").alias("word"), F.col("_hit.at").alias("_at"), F.col("_hit.from").alias("_from"), F.col("_hit.around").alias("_around"))
-    hits = hits.join(F.broadcast(prefix), "word")  # one row for each prefix word of a template: MAX_WORDS bounds it
-    k = F.floor(F.col("_at") / F.col("step"))
-    hits = hits.withColumn("_block", F.explode(F.when(k > 0, F.array(k - 1, k)).otherwise(F.array(k)))).withColumn("start", F.col("_block") * F.col("step"))
-    # Those of the templates' words that the block holds, rarest first.
-    block = F.slice("_around", (F.col("start") - F.col("_from")).cast("int") + 1, 2 * F.col("step"))
-    hits = hits.withColumn("_own", F.array_intersect(text_of(vocabulary), block)).where(F.size("_own") >= F.col("need"))
-    p, j = F.array_position("words", F.col("word")) - 1, F.array_position("_own", F.col("word")) - 1
-    room = F.least(p, j) + F.least(F.size("words") - p, F.size("_own") - j)
-    hits = hits.where(room >= F.col("need")).withColumn("_shared", F.array_intersect("words", "_own"))
-    found = hits.where((F.size("_shared") >= F.col("need")) & (F.get("_shared", F.lit(0)) == F.col("word")))
-    return found.select(*keep, "label", "start", F.size("_shared").alias("shared"), F.size("words").alias("n")).distinct()
+    templates = documents.sparkSession.range(1).select(F.inline(F.array(*rows)))
+    return templates.select("*", F.explode(F.slice("words", F.lit(1), F.size("words") - F.col("need") + 1)).alias("word"))
 
 
 def scan_licenses(documents: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, phrases: Sequence[tuple[str, str]] = PHRASES, threshold: float = 0.9) -> DataFrame:
-    """(doc_id, n_words, base, found) of every row of ``documents`` (doc_id, text).
+    """(doc_id, n_words, base, found) of every row of ``documents`` (doc_id, text), each in order.
 
-    ``base`` is the array of (label, start) of phrases, ``found`` that of (label, start, shared, n) of blocks, both in order.
+    ``base`` is the array of (label, start) of phrases, ``found`` that of (label, start, shared, n) of blocks: which
+    template, the block's first word, and how many of the template's n distinct words it holds.
     """
-    # Equal rows have equal results: a row is told by its id and two hashes of its text.
-    rows = documents.select("doc_id", "text", F.xxhash64("text").alias("_h"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("_c"))
-    key = ["doc_id", "_h", "_c"]
-    blocks = find_blocks(rows, templates, threshold, key).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("label", "start", "shared", "n"))).alias("found"))
-    words = rows.select(*key, words_of(F.col("text")).alias("_words"))
-    own = words.select(*key, F.size("_words").cast("long").alias("n_words"), F.array_sort(phrase_places(F.col("_words"), phrases)).alias("base"))
-    a, b = own.alias("a"), blocks.alias("b")
-    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a._h") == F.col("b._h")) & (F.col("a._c") == F.col("b._c"))
-    return a.join(b, same, "left").select("a.doc_id", "n_words", "base", F.coalesce("found", F.array().cast("array<struct<label:string,start:bigint,shared:int,n:int>>")).alias("found"))
+    vocabulary, ordered = order_templates(documents, templates, threshold)
+    lookup = sorted({w for _, own, need, _ in ordered for w in own[: len(own) - need + 1]})
+    heads = sorted({template_words(p)[0] for p, _ in phrases})
+    rows = documents.select("doc_id", F.monotonically_increasing_id().alias("_row"), words_of(F.col("text")).alias("_words"))
+    marks = F.filter(F.transform("_words", lambda w, i: F.when(maybe(w, [*lookup, *heads]), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("_places", marks)
+    kind = "array<struct<word:string,at:bigint,from:bigint,around:array<string>>>"
+    if ordered:
+        # Each place of a word of the lookup, with the words around it; ``from`` is the place of the first of them.
+        reach = 2 * max(step for *_, step in ordered)
+        places = F.filter("_places", lambda i: folded(F.get("_words", i)).isin(*lookup))
+        first = lambda i: F.greatest(i - reach, F.lit(0))
+        near = F.transform(places, lambda i: F.struct(folded(F.get("_words", i)).alias("word"), i.cast("long").alias("at"), first(i).cast("long").alias("from"), F.transform(F.slice("_words", first(i) + 1, F.lit(2 * reach)), folded).alias("around")))
+    else:
+        near = F.array().cast(kind)
+    # The first row of a document carries what needs no template; it stays, whatever is found.
+    rows = rows.select("doc_id", "_row", F.size("_words").cast("long").alias("n_words"), F.array_sort(phrase_places(F.col("_words"), F.col("_places"), phrases)).alias("base"), near.alias("_near"))
+    hits = rows.select("*", F.explode(F.concat(F.array(F.lit(None)).cast(kind), "_near")).alias("_hit")).drop("_near")
+    alone = F.col("_hit").isNull()
+    hits = hits.withColumn("base", F.when(alone, F.col("base"))).select("doc_id", "_row", "n_words", "base", F.col("_hit.word").alias("word"), "_hit.at", "_hit.from", "_hit.around")
+    if ordered:
+        hits = hits.join(F.broadcast(prefix_table(documents, ordered)), "word", "left")  # a row for each word of a prefix: MAX_WORDS bounds it
+        k = F.floor(F.col("at") / F.col("step"))
+        hits = hits.withColumn("_block", F.explode(F.when(k > 0, F.array(k - 1, k)).otherwise(F.array(k)))).withColumn("start", F.col("_block") * F.col("step"))
+        # Those of the templates' words that the block holds, rarest first.
+        block = F.slice("around", (F.col("start") - F.col("from")).cast("int") + 1, 2 * F.col("step"))
+        hits = hits.withColumn("_own", F.array_intersect(text_of(vocabulary), block)).where(F.col("word").isNull() | (F.size("_own") >= F.col("need")))
+        p, j = F.array_position("words", F.col("word")) - 1, F.array_position("_own", F.col("word")) - 1
+        room = F.least(p, j) + F.least(F.size("words") - p, F.size("_own") - j)
+        hits = hits.where(F.col("word").isNull() | (room >= F.col("need"))).withColumn("_shared", F.array_intersect("words", "_own"))
+        hits = hits.where(F.col("word").isNull() | (F.size("_shared") >= F.col("need")) & (F.get("_shared", F.lit(0)) == F.col("word")))
+        found = F.struct("label", "start", F.size("_shared").alias("shared"), F.size("words").alias("n"))
+    else:
+        found = F.lit(None).cast("struct<label:string,start:bigint,shared:int,n:int>")
+    per = hits.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.first("base", ignorenulls=True).alias("base"), F.array_sort(F.collect_set(F.when(F.col("word").isNotNull(), found))).alias("found"))
+    return per.select("doc_id", "n_words", "base", "found")
