@@ -34,10 +34,18 @@ def bm25_postings(texts: DataFrame, key: str = "chunk_id", text: str = "embed_te
 def tfidf_model(texts: DataFrame, key: str = "chunk_id", text: str = "embed_text") -> tuple[DataFrame, DataFrame]:
     """(postings, idf): unit-length weights (1 + ln tf) * idf over character n-grams, idf = ln((1+N)/(1+df)) + 1."""
     tf = term_counts(texts, key, char_ngrams(F.col(text)))
+    idf = tfidf_idf(tf, texts)
+    return tfidf_postings(tf, idf, key), idf
+
+
+def tfidf_idf(tf: DataFrame, texts: DataFrame) -> DataFrame:
+    """(term, idf) of the counts ``tf`` (key, term, tf) of ``texts``."""
     n = texts.agg(F.count("*").alias("n"))
-    idf = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = tf.join(idf, "term").select(key, "term", ((1 + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("w"))
-    return unit_rows(raw, key), idf
+    return tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def tfidf_postings(tf: DataFrame, idf: DataFrame, key: str) -> DataFrame:
+    return unit_rows(tf.join(idf, "term").select(key, "term", ((1 + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("w")), key)
 
 
 def tfidf_queries(queries: DataFrame, idf: DataFrame, key: str, text: str) -> DataFrame:

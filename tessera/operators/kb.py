@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import arabic_ratio, clean_text, domain_of, duplicate_keys, missing, nfc, official_domain, valid_url
-from ..storage import cut
+from ..storage import stored
+from .ordering import numbered
 
 TEXT = [*fixed.PLAIN, *(f"{f}_{lang}" for f in fixed.BILINGUAL for lang in ("en", "ar"))]
 
@@ -65,29 +68,88 @@ def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
     return validated.where(F.size("errors") == 0), validated.where(F.size("errors") > 0)
 
 
+#: Rounds in which rows that come first under both keys win at once, and rows of a component that one task decides.
+PARALLEL_ROUNDS = 3
+COMPONENT_ROWS = 1_000_000
+
+
+def key_components(rows: DataFrame) -> DataFrame:
+    """``rows`` (o, ka, kb) with ``comp``: a number shared by all rows that are linked through equal keys.
+
+    Keys point at the smallest key of the rows around them and then at what that one points at, so a chain shrinks to
+    half in every round; rounds grow with the logarithm of the longest chain. Hubs meet by shuffle.
+    """
+    point = stored(rows.select(F.explode(F.array("ka", "kb")).alias("k"), F.least("ka", "kb").alias("m")).groupBy("k").agg(F.min("m").alias("m")), "points")
+    edges, seen = stored(rows.select("ka", "kb").distinct(), "edges"), None
+    while True:
+        # Both keys of a row, and what they point at, get the smaller of the two pointers.
+        a, b = point.select(F.col("k").alias("ka"), F.col("m").alias("ma")), point.select(F.col("k").alias("kb"), F.col("m").alias("mb"))
+        both = edges.join(a, "ka").join(b, "kb").withColumn("low", F.least("ma", "mb"))
+        offers = both.select(F.explode(F.array("ka", "kb", "ma", "mb")).alias("k"), "low").groupBy("k").agg(F.min("low").alias("low"))
+        moved = point.join(offers, "k", "left").select("k", F.least("m", "low").alias("m"))
+        jump = moved.select(F.col("k").alias("m"), F.col("m").alias("mm"))
+        point = stored(moved.join(jump, "m", "left").select("k", F.least("m", "mm").alias("m")), "points")
+        now = point.agg(F.sum(F.xxhash64("k", "m").cast("decimal(38,0)"))).first()[0]
+        if now == seen:
+            return rows.join(point.select(F.col("k").alias("ka"), F.col("m").alias("comp")), "ka")
+        seen = now
+
+
+def _first_wins(batches):
+    """Rows in order (comp, o) that win: no earlier winner of their component has one of their keys."""
+    import pyarrow as pa
+
+    comp, keys = None, set()
+    for batch in batches:
+        won = []
+        for i, (c, a, b) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
+            if c != comp:
+                comp, keys = c, set()
+            if a not in keys and b not in keys:
+                keys.update((a, b))
+                won.append(i)
+        yield batch.take(pa.array(won, pa.int64())).select([1, 2, 3])
+
+
 def greedy_first_wins(rows: DataFrame, order: str, key_a: str, key_b: str, name: str) -> DataFrame:
     """``rows`` with ``kept_by``: null for kept rows, else the name of the kept row that shares a key (``key_a`` first).
 
-    A dropped row registers no keys. Each round keeps every undecided row that comes first under both its keys and
-    drops the rows that share a key with a kept one; undecided rows shrink every round. Keys meet by shuffle, so no
-    group has to fit one task.
+    A dropped row registers no keys; keys are never null. A few rounds decide what is first under both its keys and what
+    shares a key with it: that settles hot keys, in which one row wins. What is left depends on each other in chains; its
+    rows are split into components of linked keys, and each is decided in one ordered pass. Of a component of more than
+    ``COMPONENT_ROWS`` rows a first range of about as many is decided at a time, so no task holds more.
     """
-    start = cut(rows.select(F.col(order).alias("o"), F.col(key_a).alias("a"), F.col(key_b).alias("b"), F.col(name).cast("string").alias("n")))
-    todo, won = start, start.where("false")
+    start = stored(numbered(rows.select(F.col(order).alias("_order"), F.col(key_a).alias("a"), F.col(key_b).alias("b"), F.col(name).cast("string").alias("n")), [F.col("_order")], "o").select("_order", "o", "n", "a", "b"), "rows")
+    # Keys as numbers: those of either kind are told apart.
+    todo = start.select("o", F.xxhash64(F.lit(0), "a").alias("ka"), F.xxhash64(F.lit(1), "b").alias("kb"))
+    won, rounds = [], 0
     while not todo.isEmpty():
-        first_a = todo.groupBy("a").agg(F.min("o").alias("fa"))
-        first_b = todo.groupBy("b").agg(F.min("o").alias("fb"))
-        ranked = todo.join(first_a, "a").join(first_b, "b")
-        kept = cut(ranked.where((F.col("o") == F.col("fa")) & (F.col("o") == F.col("fb"))).select("o", "a", "b", "n"))
-        won = won.unionByName(kept)
-        todo = cut(todo.join(kept.select("a"), "a", "left_anti").join(kept.select("b"), "b", "left_anti").select("o", "a", "b", "n"))
+        if rounds < PARALLEL_ROUNDS:
+            first_a, first_b = todo.groupBy("ka").agg(F.min("o").alias("fa")), todo.groupBy("kb").agg(F.min("o").alias("fb"))
+            kept = todo.join(first_a, "ka").join(first_b, "kb").where((F.col("o") == F.col("fa")) & (F.col("o") == F.col("fb"))).select("o", "ka", "kb")
+            decided = None
+        else:
+            linked = stored(key_components(todo), "linked")
+            size = linked.groupBy("comp").agg(F.count("*").alias("c"), F.percentile_approx("o", F.lit([k / 64 for k in range(1, 64)]), 10_000).alias("cuts"))
+            large = size.where(F.col("c") > COMPONENT_ROWS)
+            # The largest of 63 quantiles below which a task's number of rows lies; the first one at least.
+            upto = F.get("cuts", F.greatest(F.floor(F.lit(64.0) * COMPONENT_ROWS / F.col("c")).cast("int") - 1, F.lit(0)))
+            now = linked.join(large.select("comp", upto.alias("upto")), "comp", "left").where(F.col("upto").isNull() | (F.col("o") <= F.col("upto")))
+            now = stored(now.select("comp", "ka", "kb", "o"), "range")
+            kept = now.select("comp", "ka", "kb", "o").repartition("comp").sortWithinPartitions("comp", "o").mapInArrow(_first_wins, "ka long, kb long, o long").select("o", "ka", "kb")
+            decided = now.select("o")
+        kept, rounds = stored(kept, "kept"), rounds + 1
+        won.append(kept)
+        todo = todo.join(kept.select("ka"), "ka", "left_anti").join(kept.select("kb"), "kb", "left_anti")
+        todo = stored((todo if decided is None else todo.join(decided, "o", "left_anti")).select("o", "ka", "kb"), "todo")
+    kept = start.limit(0).select("o") if not won else reduce(DataFrame.unionByName, (w.select("o") for w in won))
+    kept = stored(kept, "won")
     # The row that dropped another one is named once all are decided: kept, earlier, and at most one for each key.
-    won = cut(won)
-    rest = start.join(won.select("o"), "o", "left_anti")
-    earlier = lambda key: won.select(F.col(key).alias(f"k{key}"), F.col("o").alias(f"o{key}"), F.col("n").alias(f"n{key}"))
+    keepers, rest = start.join(kept, "o"), start.join(kept, "o", "left_anti")
+    earlier = lambda key: keepers.select(F.col(key).alias(f"k{key}"), F.col("o").alias(f"o{key}"), F.col("n").alias(f"n{key}"))
     named = rest.join(earlier("a"), (F.col("a") == F.col("ka")) & (F.col("oa") < F.col("o")), "left").join(earlier("b"), (F.col("b") == F.col("kb")) & (F.col("ob") < F.col("o")), "left")
-    decided = named.select("o", F.coalesce("na", "nb").alias("by")).unionByName(won.select("o", F.lit(None).cast("string").alias("by")))
-    return rows.join(decided.select(F.col("o").alias(order), F.col("by").alias("kept_by")), order)
+    by = named.select("_order", F.coalesce("na", "nb").alias("kept_by")).unionByName(keepers.select("_order", F.lit(None).cast("string").alias("kept_by")))
+    return rows.join(by.withColumnRenamed("_order", order), order)
 
 
 def deduplicate(records: DataFrame, order: str = "_order") -> tuple[DataFrame, DataFrame]:

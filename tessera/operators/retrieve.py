@@ -14,6 +14,7 @@ from ..functions.rules import action_adjustment, expand_query, looks_like_follow
 from ..functions.text import missing, tokenize
 from ..functions.vectors import dot
 from ..storage import small
+from . import scan
 from .index import tfidf_queries
 
 #: Bytes of query vectors up to which they are broadcast; beyond, they are dealt in blocks.
@@ -116,35 +117,80 @@ def evidence(scored: DataFrame, hits: DataFrame, n: int = 3, service: str = "ser
     return best.groupBy("query_id", service).agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "chunk_id", "section", "lang", "text", F.col("combined").alias("score")))), lambda e: e.dropFields("r")).alias("evidence"))
 
 
-def search(queries: DataFrame, index: dict[str, DataFrame], config: dict, k: int = 5, langs: list[str] | None = None, titles: bool = True) -> DataFrame:
+def bm25_queries(queries: DataFrame, text: str = "query") -> DataFrame:
+    """(query_id, term, w) of the distinct terms of each question."""
+    return queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col(text)))).alias("term"), F.lit(1.0).alias("w"))
+
+
+def entries(vectors: DataFrame, key: str, vec: str) -> DataFrame:
+    """(key, term, w): the components of dense vectors by their place."""
+    return vectors.select(key, F.posexplode(vec).alias("term", "w")).where("w is not null")
+
+
+def index_rows(index: dict[str, DataFrame], signals: list[str] | None = None) -> DataFrame:
+    """The chunks of an index with the vectors of its signals, as searches scan them; write it once where many follow."""
+    have = {"char": "tfidf", "bm25": "bm25", "dense": "vectors" if "vectors" in index else "trigrams"}
+    parts = {}
+    for name in signals or have:
+        if have[name] in index:
+            df = index[have[name]]
+            parts[name] = entries(df, "chunk_id", "vec") if have[name] == "vectors" else df.select("chunk_id", F.col("bucket" if have[name] == "trigrams" else "term").alias("term"), "w")
+    named = index["chunks"].where("section = 'title'").select("service_id", "title")
+    return scan.signal_rows(index["chunks"].select("chunk_id", "service_id", "lang", "section"), parts, named)
+
+
+def query_signals(queries: DataFrame, index: dict[str, DataFrame], wanted: list[str], text: str = "query") -> dict[str, DataFrame]:
+    """The questions' vectors (query_id, term, w) of each wanted signal that the index has."""
+    out = {}
+    if "dense" in wanted and "vectors" in index:
+        out["dense"] = entries(queries, "query_id", "qvec")
+    elif "dense" in wanted and "query_trigrams" in index:
+        out["dense"] = index["query_trigrams"].select("query_id", F.col("bucket").alias("term"), "w")
+    if "char" in wanted and "idf" in index:
+        out["char"] = tfidf_queries(queries, index["idf"], "query_id", text)
+    if "bm25" in wanted:
+        out["bm25"] = bm25_queries(queries, text)
+    return out
+
+
+def weighting(config: dict) -> dict[str, float]:
+    """Weights by signal, and ``w_tcov``, of a configuration's method."""
+    method = config["method"]
+    if method == "v2":
+        w = fixed.V2_DEFAULT | config
+        return {"dense": w["w_dense"], "char": w["w_char"], "bm25": w["w_bm25"], "w_tcov": w["w_tcov"]}
+    alpha = {"dense": 1.0, "lexical": 0.0, "hybrid": config.get("alpha", 0.7)}[method]
+    return {"dense": alpha, "char": 1 - alpha, "bm25": 0.0, "w_tcov": 0.0}
+
+
+def search(queries: DataFrame, index: dict[str, DataFrame], config: dict, k: int = 5, langs: list[str] | None = None, titles: bool = True, n: int = 3, digits: tuple = (None, None, None)) -> DataFrame:
     """Hits (query_id, service_id, score, rank, dense, char, evidence) of a batch of questions (query_id, query[, qvec]).
 
-    ``index`` holds chunks, bm25, tfidf, idf and optionally vectors (chunk_id, vec). ``config`` names method and weights.
+    ``index`` holds chunks, bm25, tfidf, idf and optionally vectors (chunk_id, vec) or trigrams, and ``rows`` where they
+    have been made. ``config`` names method and weights. Chunks are scanned once for the hits and once for their
+    evidence (the n best chunks); tasks return k rows for each question, so what is shuffled does not grow with the
+    chunks. Signals of weight 0 are left out. ``digits`` rounds signals, sums
+    and scores before they are compared.
     """
-    method = config["method"]
-    v2 = method == "v2"
-    w = fixed.V2_DEFAULT | config
-    q = queries.withColumn("lexical", expand_query(F.col("query")) if v2 and w["expand"] else F.col("query"))
-    use = index["chunks"]
+    w = weighting(config)
+    expand = config["method"] == "v2" and (fixed.V2_DEFAULT | config)["expand"]
+    q = queries.withColumn("query", expand_query(F.col("query"))) if expand else queries
+    wanted = [s for s in ("dense", "char", "bm25") if w[s]]
+    asked = query_signals(q, index, wanted)
+    use = index["rows"] if "rows" in index else index_rows(index, wanted)
     if langs:
         use = use.where(F.col("lang").isin(*langs))
     if not titles:
         use = use.where("section <> 'title'")
-    char = char_scores(q, index["tfidf"], index["idf"], "lexical") if method in ("lexical", "hybrid") or v2 and w["w_char"] else None
-    bm25 = bm25_scores(q, index["bm25"], "lexical") if v2 and w["w_bm25"] else None
-    dense = None
-    if "vectors" in index and (method in ("dense", "hybrid") or v2 and w["w_dense"]):
-        dense = dense_scores(q, index["vectors"])
-    elif "trigrams" in index and (method in ("dense", "hybrid") or v2 and w["w_dense"]):
-        dense = sparse_scores(index["query_trigrams"], index["trigrams"], on="bucket")
-    scored = signals(dense, char, bm25).join(use.select("chunk_id", "service_id", "lang", "section", "text"), "chunk_id")
-    scored = scored.withColumn("combined", combine(**({"method": method} | {x: y for x, y in config.items() if x == "alpha" or x.startswith("w_")})))
-    cover = None
-    if v2 and w["w_tcov"]:
-        named = index["chunks"].where("section = 'title'").select("service_id", "title")
-        cover = title_coverage(q, named, "lexical")
-    hits = rank_hits(pool(scored), cover, w["w_tcov"] if v2 else 0.0, k)
-    return hits.join(evidence(scored, hits), ["query_id", "service_id"], "left")
+    found = scan.hits(use, q, asked, [w], k, n, digits=digits)
+    for s in ("dense", "char"):
+        found = found if s in found.columns else found.withColumn(s, F.lit(0.0))
+    if not n:
+        return found.select("query_id", "service_id", "score", "rank", "best", "dense", "char")
+    named = found.select("query_id", "service_id", F.posexplode("evidence").alias("r", "e")).select("query_id", "service_id", "r", "e.*")
+    texts = index["chunks"].select("chunk_id", "section", "lang", "text").join(F.broadcast(named), "chunk_id") if found.count() <= 10_000 else named.join(index["chunks"].select("chunk_id", "section", "lang", "text"), "chunk_id")
+    rows = texts.groupBy("query_id", "service_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "chunk_id", "section", "lang", "text", F.col("combined").alias("score")))), lambda e: e.dropFields("r")).alias("evidence"))
+    return found.drop("evidence").join(rows, ["query_id", "service_id"], "left").select("query_id", "service_id", "score", "rank", "best", "dense", "char", "evidence")
 
 
 def margins(hits: DataFrame) -> DataFrame:

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import fixed, rules, text
-from .functions.vectors import dot, norm, trigram_encoder
-from .operators import answer, catalog, chunks, claims, evaluate, index, kb, retrieve
+from .functions.text import char_ngrams
+from .functions.vectors import trigram_encoder
+from .operators import answer, catalog, chunks, claims, evaluate, index, kb, retrieve, scan
 from .sources import pages as page_sources
 from .sources.html import title_and_text
 from .sources.records import FIELDS
@@ -127,7 +128,7 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 def doc_scores(spark: SparkSession, d: str) -> DataFrame:
     """(query_id, doc_id, source, score) of all questions against all documents by BM25."""
     docs = table(spark, d, "documents").select("doc_id", "text", "source")
-    postings = built(spark, d, "documents-bm25", lambda: index.bm25_postings(docs, "doc_id", "text").sortWithinPartitions("term"))
+    postings = built(spark, f"{d}/documents.parquet", "documents-bm25", lambda: index.bm25_postings(docs, "doc_id", "text").sortWithinPartitions("term"))
     scored = retrieve.bm25_scores(questions(spark, d), postings, key="doc_id")
     return scored.withColumn("score", F.round("score", 6)).join(docs.select("doc_id", "source"), "doc_id")
 
@@ -151,17 +152,30 @@ def chunk_rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("chunk_id"), F.col("conv_id").alias("service_id"), "turn", "role", "text")
 
 
-def chunk_index(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """Postings, idf and trigram vectors of the chunks, built once for a session's queries."""
+def chunk_index(spark: SparkSession, d: str, *parts: str) -> dict[str, DataFrame]:
+    """The named parts (idf, tfidf, bm25, trigrams) of the index of the chunks, each built once from its files."""
     c = chunk_rows(spark, d)
-    postings, idf = index.tfidf_model(c, "chunk_id", "text")
-    make = {"tfidf": lambda: postings, "idf": lambda: idf, "bm25": lambda: index.bm25_postings(c, "chunk_id", "text"), "trigrams": lambda: trigram_encoder(c, "chunk_id", "text")}
-    return {name: built(spark, d, f"chunks-{name}", f) for name, f in make.items()}
+    keep = lambda name, make: built(spark, f"{d}/conversations.parquet", f"chunks-{name}", make)
+    counts = lambda: keep("counts", lambda: index.term_counts(c, "chunk_id", char_ngrams(F.col("text"))))
+    idf = lambda: keep("idf", lambda: index.tfidf_idf(counts(), c))
+    make = {
+        "idf": idf, "tfidf": lambda: keep("tfidf", lambda: index.tfidf_postings(counts(), idf(), "chunk_id")),
+        "bm25": lambda: keep("bm25", lambda: index.bm25_postings(c, "chunk_id", "text")), "trigrams": lambda: keep("trigrams", lambda: trigram_encoder(c, "chunk_id", "text")),
+    }
+    return {name: make[name]() for name in parts}
+
+
+def searchable(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The index of the chunks as searches take it: the first turn of a conversation is its title."""
+    have = chunk_index(spark, d, "tfidf", "idf", "bm25", "trigrams")
+    c = chunk_rows(spark, d).withColumn("lang", F.lit("en")).withColumn("section", F.when(F.col("turn") == 0, "title").otherwise("overview")).withColumn("title", F.col("text"))
+    have |= {"chunks": c.select("chunk_id", "service_id", "lang", "section", "title", "text"), "query_trigrams": trigram_encoder(questions(spark, d), "query_id", "query")}
+    return have | {"rows": built(spark, f"{d}/conversations.parquet", "chunks-rows", lambda: retrieve.index_rows(have))}
 
 
 def chunk_signals(spark: SparkSession, d: str) -> DataFrame:
     q = questions(spark, d)
-    have = chunk_index(spark, d)
+    have = chunk_index(spark, d, "tfidf", "idf", "bm25", "trigrams")
     char = retrieve.char_scores(q, have["tfidf"], have["idf"])
     bm25 = retrieve.bm25_scores(q, have["bm25"])
     tq = trigram_encoder(q, "query_id", "query")
@@ -445,7 +459,7 @@ def bm25_topk(spark, d):
 
 @query(f"WITH {TFIDF} SELECT query_id, chunk_id, s AS score, rank FROM (SELECT query_id, chunk_id, round(score, 6) AS s, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM chars) WHERE rank <= 5")
 def char_tfidf_topk(spark, d):
-    have = chunk_index(spark, d)
+    have = chunk_index(spark, d, "tfidf", "idf")
     postings, idf = have["tfidf"], have["idf"]
     s = retrieve.char_scores(questions(spark, d), postings, idf).withColumn("score", F.round("score", 6))
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")).cast("long")).where("rank <= 5")
@@ -456,9 +470,9 @@ def dense_topk(spark, d):
     """Five nearest vectors of every hundredth one, against all."""
     v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec").alias("qvec"))
-    cosine = lambda a, b: dot(a, b) / (norm(a) * norm(b))
-    s = retrieve.dense_scores(q, v, key="vec_id", similarity=cosine).where("query_id <> vec_id").withColumn("score", F.round("score", 6))
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("long")).where("rank <= 5")
+    near = scan.nearest(q, v, 6, key="vec_id", cosine=True, digits=6).where("query_id <> vec_id").drop("rank")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return near.withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 5")
 
 
 @query(f"SELECT k AS item_id, CAST(bucket AS INTEGER) AS bucket, round(w, 6) AS w FROM ({trigrams('benchmark', 'item_id')})")
@@ -473,8 +487,12 @@ def signals_bundle(spark, d):
 
 @query(f"WITH {SIGNALS}, x AS (SELECT query_id, chunk_id, round(CAST(0.4 AS DOUBLE) * dense + CAST(0.6 AS DOUBLE) * char, 7) AS score FROM sig) SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM x) WHERE rank <= 5")
 def hybrid_blend(spark, d):
-    s = chunk_signals(spark, d).select("query_id", "chunk_id", F.round(retrieve.combine("hybrid", 0.4), 7).alias("score"))
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")).cast("long")).where("rank <= 5")
+    """Every chunk is a service of its own here."""
+    have = searchable(spark, d)
+    rows = have["rows"].withColumn("service_id", F.col("chunk_id"))
+    asked = retrieve.query_signals(questions(spark, d), have, ["dense", "char"])
+    best = scan.hits(rows, questions(spark, d), asked, [retrieve.weighting({"method": "hybrid", "alpha": 0.4})], 5, digits=(6, 7, 7))
+    return best.select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 COVER = f"""tt AS (SELECT conv_id AS service_id, list_distinct({tok("text")}) AS t FROM conversations WHERE turn = 0),
@@ -497,15 +515,8 @@ e AS (SELECT query_id, service_id, string_agg(CAST(chunk_id AS VARCHAR), ',' ORD
 SELECT query_id, service_id, score, rank, evidence FROM k JOIN e USING (query_id, service_id) WHERE rank <= 5""")
 def search_v3(spark, d):
     """Weighted signals, best chunk per service, title bonus, five hits with their three best chunks."""
-    scored = chunk_signals(spark, d).join(chunk_rows(spark, d).withColumns({"section": F.lit("overview"), "lang": F.lit("en")}), "chunk_id")
-    cfg = fixed.CONFIGS["v3"]
-    scored = scored.withColumn("combined", F.round(retrieve.combine("v2", **{k: v for k, v in cfg.items() if k.startswith("w_")}), 8))
-    cover = retrieve.title_coverage(questions(spark, d), chunk_rows(spark, d).where("turn = 0").select("service_id", F.col("text").alias("title")))
-    pooled = retrieve.pool(scored).join(cover, ["query_id", "service_id"], "left")
-    pooled = pooled.withColumn("best", F.round(F.col("best") + cfg["w_tcov"] * F.coalesce("cov", F.lit(0.0)), 8)).drop("cov")
-    hits = retrieve.rank_hits(pooled, k=5)
-    ev = retrieve.evidence(scored, hits)
-    return hits.join(ev, ["query_id", "service_id"]).select("query_id", "service_id", "score", F.col("rank").cast("long").alias("rank"), F.array_join(F.transform("evidence", lambda e: e["chunk_id"].cast("string")), ",").alias("evidence"))
+    hits = retrieve.search(questions(spark, d), searchable(spark, d), fixed.CONFIGS["v3"] | {"expand": False}, digits=(6, 8, 8))
+    return hits.select("query_id", "service_id", "score", F.col("rank").cast("long").alias("rank"), F.array_join(F.transform("evidence", lambda e: e["chunk_id"].cast("string")), ",").alias("evidence"))
 
 
 @query(f"WITH {BM25} SELECT query_id, source AS service_id, max(score) AS best, arg_max(doc_id, {{'s': score, 'd': doc_id}}) AS best_doc FROM bm GROUP BY ALL")
@@ -750,15 +761,13 @@ k AS (SELECT *, row_number() OVER (PARTITION BY config_id, query_id ORDER BY sco
 m AS (SELECT config_id, count(*) AS n, round(avg(CASE WHEN r = 1 THEN 1.0 ELSE 0.0 END), 9) AS top1, round(avg(coalesce(1.0 / r, 0.0)), 9) AS mrr FROM (SELECT config_id, item_id, (SELECT min(rank) FROM k WHERE k.config_id = g.config_id AND k.query_id = item_id AND k.service_id % 10 = item_id % 10 AND rank <= 10) AS r FROM g, benchmark) GROUP BY config_id)
 SELECT config_id, n, top1, mrr FROM m""")
 def grid_cross_select(spark, d):
-    """Sixteen weightings scored on one set of signals; a conversation is relevant where its number ends like the item's."""
-    cover = retrieve.title_coverage(questions(spark, d), chunk_rows(spark, d).where("turn = 0").select("service_id", F.col("text").alias("title")))
-    sig = chunk_signals(spark, d).join(chunk_rows(spark, d).select("chunk_id", "service_id"), "chunk_id").join(cover, ["query_id", "service_id"], "left").withColumn("cov", F.coalesce("cov", F.lit(0.0)))
-    grid = evaluate.config_grid(spark, (0.3, 0.6), (0.0, 0.3), (0.0, 0.45), (0.0, 0.2))
-    best = evaluate.score_grid(sig, grid).withColumn("score", F.round("score", 8))
-    order = Window.partitionBy("config_id", "query_id").orderBy(F.desc("score"), "service_id")
-    hits = best.withColumn("rank", F.row_number().over(order))
+    """Sixteen weightings in one scan of the chunks; a conversation is relevant where its number ends like the item's."""
+    grid, have, q = evaluate.config_grid(spark, (0.3, 0.6), (0.0, 0.3), (0.0, 0.45), (0.0, 0.2)), searchable(spark, d), questions(spark, d)
+    weights = grid.orderBy("config_id").collect()
+    hits = scan.hits(have["rows"], q, retrieve.query_signals(q, have, ["dense", "char", "bm25"]), [{"dense": r.w_dense, "char": r.w_char, "bm25": r.w_bm25, "w_tcov": r.w_tcov} for r in weights], 10, digits=(6, None, 8))
+    hits = hits.withColumn("config_id", F.get(F.array(*(F.lit(r.config_id) for r in weights)), F.col("config")))
     found = hits.where("service_id % 10 = query_id % 10").groupBy("config_id", "query_id").agg(F.min("rank").alias("rank"))
-    rows = grid.select("config_id").join(F.broadcast(questions(spark, d).select("query_id")), F.lit(True)).join(found, ["config_id", "query_id"], "left")
+    rows = grid.select("config_id").join(F.broadcast(q.select("query_id")), F.lit(True)).join(found, ["config_id", "query_id"], "left")
     return _rounded(rows.groupBy("config_id").agg(*evaluate.summary_columns((1,))))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions.vectors import trigram_encoder
 from .operators import answer, catalog, chunks, claims, evaluate, kb, retrieve
 from .plans import assist, engine
-from .queries import BM25, DOCS, EVAL, PAGES, TFIDF, chunk_index, chunk_rows, doc_records, doc_scores, eval_rows, page_records, query, questions, table
+from .queries import BM25, DOCS, EVAL, PAGES, TFIDF, chunk_rows, doc_records, doc_scores, eval_rows, page_records, query, questions, searchable, table
 from .sources import pages as page_sources
 from .sources import records as readers
 from .sources import sinks
@@ -386,13 +386,8 @@ def variant_merge(spark, d):
 @query(f"WITH {TFIDF}, s AS (SELECT query_id, c.service_id, chunk_id, score FROM chars JOIN c USING (chunk_id)), b AS (SELECT query_id, service_id, round(max(score), 6) AS score FROM s GROUP BY ALL) SELECT query_id, service_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, service_id) AS rank FROM b) WHERE rank <= 5 AND score >= 0.000001")
 def search_lexical(spark, d):
     """The search itself, by its lexical method, over conversations as services."""
-    have = chunk_index(spark, d)
-    c = chunk_rows(spark, d).select("chunk_id", "service_id", F.lit("en").alias("lang"), F.lit("overview").alias("section"), "text", F.lit("t").alias("title"))
-    rounded = {k: have[k] for k in ("tfidf", "idf", "bm25")} | {"chunks": c}
-    hits = retrieve.search(questions(spark, d), rounded, {"method": "lexical"}, k=40)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "service_id")
-    hits = hits.select("query_id", "service_id", F.round("score", 6).alias("score")).withColumn("rank", F.row_number().over(order).cast("long"))
-    return hits.where("rank <= 5 and score >= 0.000001")
+    hits = retrieve.search(questions(spark, d), searchable(spark, d), {"method": "lexical"}, digits=(6, 6, 6), n=0)
+    return hits.where("score >= 0.000001").select("query_id", "service_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("SELECT CAST(item_id AS BIGINT) AS query_id, CASE WHEN item_id % 4 = 0 THEN 'insufficient_evidence' WHEN item_id % 4 = 1 THEN CASE WHEN item_id % 2 = 0 THEN 'related_services' ELSE 'insufficient_evidence' END WHEN item_id % 4 = 2 THEN 'partial_answer' ELSE 'grounded_answer' END AS mode FROM benchmark")

@@ -102,3 +102,32 @@ def test_report_and_catalog(spark):
     with pytest.raises(ValueError):
         catalog.service_detail(rec, "../x")
     assert [x.service_id for x in catalog.explore(rec, "recalled product").collect()] == ["mc-30"]
+
+
+def loop_first_wins(rows):
+    by_a, by_b, want = {}, {}, {}
+    for _, a, b, n in rows:
+        want[n] = by_a.get(a) or by_b.get(b)
+        if not want[n]:
+            by_a[a] = by_b[b] = n
+    return want
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 700])
+def test_greedy_on_a_long_chain(spark, monkeypatch, limit):
+    """Each row shares a key with the one before: a round for each link would be thousands of jobs."""
+    monkeypatch.setattr(kb, "COMPONENT_ROWS", limit)
+    rows = [(k, f"a{(k + 1) // 2}", f"b{k // 2}", f"n{k}") for k in range(2000)]
+    spark.sparkContext.setJobGroup("chain", "chain")
+    got = kb.greedy_first_wins(spark.createDataFrame(rows, "o long, a string, b string, n string"), "o", "a", "b", "n").collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.n: r.kept_by for r in got} == loop_first_wins(rows)
+    assert jobs < (250 if limit > 2000 else 900)
+
+
+def test_greedy_with_a_hot_key_and_a_struct_order(spark):
+    rows = [(k, "hot" if k % 3 else f"a{k}", f"b{k % 50}", f"n{k}") for k in range(600)]
+    df = spark.createDataFrame(rows, "o long, a string, b string, n string").withColumn("o", F.struct(F.lit(0).alias("x"), F.col("o").alias("y")))
+    assert {r.n: r.kept_by for r in kb.greedy_first_wins(df, "o", "a", "b", "n").collect()} == loop_first_wins(rows)
+    assert kb.greedy_first_wins(df.limit(0), "o", "a", "b", "n").count() == 0
