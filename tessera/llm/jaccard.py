@@ -25,7 +25,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
@@ -40,6 +40,12 @@ SCREEN = 0.2  # candidates have an estimated similarity of at least threshold -
 BLOCK = 1024
 EXACT_BLOCK = 2048
 EXACT_BYTES = 8 << 20
+#: Sets, and tokens of all of them, from which the order of a large component's tokens is taken; splits in a row.
+ORDER_SETS = 512
+ORDER_TOKENS = 1 << 18
+SPLIT_ROUNDS = 4
+#: Hash classes by which a component tells its common tokens (a power of two).
+KINDS = 4096
 #: A counted table of ids or hashes up to so many bytes is broadcast; beyond that it is joined by a shuffle.
 BROADCAST_BYTES = 4 << 20
 #: Rows that one task of a block comparison takes on average.
@@ -182,15 +188,6 @@ def spanning_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return nodes[on], nodes[label[on]]
 
 
-def pair_ranges(group: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First partner and number of partners of each row: later rows of its group for side 0, side 2 rows for side 1."""
-    new = np.concatenate(([True], group[1:] != group[:-1]))
-    end = np.append(np.flatnonzero(new)[1:], len(group))[np.cumsum(new) - 1]
-    two = np.concatenate(([0], np.cumsum(side == 2)))
-    first = np.where(side == 0, np.arange(len(group)) + 1, end - (two[end] - two[np.flatnonzero(new)[np.cumsum(new) - 1]]))
-    return first, np.where(side == 2, 0, end - first)
-
-
 def blocked(df: DataFrame, key: Column, blocks: Column, member: Column) -> DataFrame:
     """``df`` with group ``g`` and ``side``: groups of one block whole, others once for each pair of their blocks."""
     own = F.pmod(F.xxhash64(member, F.lit(17)), blocks).cast("int")
@@ -203,10 +200,10 @@ def exploded(df: DataFrame, groups: Column) -> DataFrame:
     return df.withColumn("gs", F.explode(groups)).withColumn("g", F.col("gs.g")).withColumn("side", F.col("gs.side")).drop("gs")
 
 
-def arranged(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with whole groups in tasks, as many as the expected number of rows asks for."""
+def arranged(df: DataFrame, rows: int, *order: str) -> DataFrame:
+    """``df`` with whole groups in tasks, as many as the expected number of rows asks for, and in order."""
     least = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return df.repartition(max(least, rows // ROWS_A_TASK), "g").sortWithinPartitions("g", "side")
+    return df.repartition(max(least, rows // ROWS_A_TASK), "g").sortWithinPartitions("g", *order)
 
 
 def join_ids(df: DataFrame, ids: DataFrame, on: str | list[str], how: str) -> DataFrame:
@@ -214,21 +211,20 @@ def join_ids(df: DataFrame, ids: DataFrame, on: str | list[str], how: str) -> Da
     return df.join(F.broadcast(ids) if ids.count() * (16 + 8 * len(ids.columns)) <= BROADCAST_BYTES else ids, on, how)
 
 
-def screen(threshold: float, leaders: int | None = None):
-    """Spanning links (a, b) of the pairs whose sketches and sizes allow the threshold.
+def screen(threshold: float):
+    """Spanning links (a, b) of the pairs of a group whose sketches and sizes allow the threshold.
 
-    A whole group (side 0) is compared with its first row, then the rows that this one does not reach with all others:
-    the others need no second way to each other. With ``leaders``, the rows of a block, also one row of each
-    group's largest component where its bucket has further blocks, as (a, null, node, n, sketch).
+    A group is compared with its first row, then the rows that this one does not reach with all others: the others need
+    no second way to each other.
     """
     need = math.ceil((threshold - SCREEN) * SKETCH)
 
     def run(batches):
         for t in groups_of(batches):
-            g, side, ids, n = (t.column(c).to_numpy() for c in range(4))
-            sk = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint16).reshape(-1, SKETCH)
+            g, ids, n = (t.column(c).to_numpy() for c in range(3))
+            sk = np.frombuffer(b"".join(t.column(3).to_pylist()), np.uint16).reshape(-1, SKETCH)
             cuts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-            got, first = [], []
+            got = []
 
             def near(i, j):
                 ok = np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9
@@ -241,7 +237,7 @@ def screen(threshold: float, leaders: int | None = None):
                 step = max(1, 100_000 // max(len(right), 1))
                 for a in range(0, len(left), step):
                     i, j = np.repeat(left[a : a + step], len(right)), np.tile(right, len(left[a : a + step]))
-                    on = i < j if later is None else (i != j) & ((i < j) | ~later[j - lo])
+                    on = (i != j) & ((i < j) | ~later[j - lo])
                     i, j = near(i[on], j[on])
                     if len(i):
                         got.append(spanning_pairs(ids[i], ids[j]))
@@ -250,22 +246,18 @@ def screen(threshold: float, leaders: int | None = None):
             ends = np.append(cuts[1:], len(g))
             wide = ends - cuts > 32
             small = np.repeat(~wide, ends - cuts)
-            first_j, many = pair_ranges(g, side)
-            many = np.where(small, many, 0)
+            many = np.where(small, np.repeat(ends, ends - cuts) - np.arange(len(g)) - 1, 0)
             upto = np.cumsum(many)
             at = 0
             while at < len(g):
                 base = upto[at - 1] if at else 0
                 to = max(at + 1, int(np.searchsorted(upto, base + 200_000, side="right")))
-                i, j = near(np.repeat(np.arange(at, to), many[at:to]), ragged(first_j[at:to], many[at:to]))
+                i, j = near(np.repeat(np.arange(at, to), many[at:to]), ragged(np.arange(at, to) + 1, many[at:to]))
                 at = to
                 if len(i):
                     got.append(spanning_pairs(ids[i], ids[j]))
             for lo, hi in zip(cuts[wide].tolist(), ends[wide].tolist(), strict=True):
                 rows = np.arange(lo, hi)
-                if side[lo] != 0:
-                    product(rows[side[lo:hi] == 1], rows[side[lo:hi] == 2], np.zeros(hi - lo, bool))
-                    continue
                 i, j = near(np.full(hi - lo - 1, lo), rows[1:])
                 if len(i):
                     got.append(spanning_pairs(ids[i], ids[j]))
@@ -273,27 +265,8 @@ def screen(threshold: float, leaders: int | None = None):
                 rest[j - lo] = rest[0] = False
                 product(rows[rest], rows, rest)
             a, b = spanning_pairs(np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])) if got else (ids[:0], ids[:0])
-            if leaders is None:
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-                continue
-            c = t.column(6).to_numpy()
-            roots, links = np.unique(b, return_counts=True)
-            for lo, hi in zip(cuts.tolist(), ends.tolist(), strict=True):
-                if c[lo] > leaders:
-                    at = np.minimum(np.searchsorted(roots, ids[lo:hi]), max(len(roots) - 1, 0))
-                    first.append(lo + int(np.argmax(np.where(roots[at] == ids[lo:hi], links[at], 0))) if len(roots) else lo)
-            node = t.column(5).to_numpy()
-            m = len(a)
-            if m or first:
-                first = np.array(first, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([a, ids[first]])), pa.array(np.concatenate([b, ids[first]]), mask=np.arange(m + len(first)) >= m), pa.array(np.concatenate([a, node[first]]), mask=np.arange(m + len(first)) < m),
-                        pa.array(np.concatenate([np.zeros(m, np.int32), n[first]])), pa.array([None] * m + [sk[k].tobytes() for k in first.tolist()], pa.binary()),
-                    ],
-                    names=["a", "b", "node", "n", "sketch"],
-                )
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
 
@@ -387,51 +360,113 @@ def with_sets(documents: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def candidates(reps: DataFrame, threshold: float) -> DataFrame:
-    """(key, comp): components of the sets (key, n, sketch, nodes) whose sketches allow the threshold in some bucket."""
+    """(key, comp): components of the sets (key, n, sketch, nodes) that some bucket allows to be near.
+
+    Pairs of a bucket of at most ``BLOCK`` sets are screened by their sketches; larger ones are linked whole, at one row
+    a set, and left to ``split_large``.
+    """
     here, light = reps.select("key", F.explode("nodes").alias("node")), reps.select("key", "n", "sketch")
-    counts = written(here.groupBy("node").agg(F.count("*").alias("c")).where("c > 1"), "jaccardbuckets")
-    rows = counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    counts = written(here.groupBy("node").agg(F.count("*").alias("c"), F.min("key").alias("head")).where("c > 1"), "jaccardbuckets")
+    rows = counts.where(F.col("c") <= BLOCK).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    met = here.join(counts, "node")
     # Paths travel as two numbers each; only those that meet others get their sketch.
-    leaf = here.join(counts, "node").join(light, "key")
-    shape = "a long, b long, node long, n int, sketch binary"
-
-    def split(df, count):
-        """Groups of at most about BLOCK rows of each bucket, every row in one."""
-        n = F.ceil(count / F.lit(BLOCK))
-        g = F.when(n <= 1, F.col("node")).otherwise(F.xxhash64("node", F.pmod(F.xxhash64("key", F.lit(17)), n)))
-        return df.select(g.alias("g"), F.lit(0).cast("byte").alias("side"), "key", "n", "sketch", "node", count.alias("c"))
-
-    one = written(arranged(split(leaf, F.col("c")), rows).mapInArrow(screen(threshold, BLOCK), shape), "jaccardscreened")
-    edges = one.where("node is null").select("a", "b")
-    large = counts.where(F.col("c") > BLOCK)
-    if large.isEmpty():
-        comps = connected_components(edges)
-        erase(counts, one)
-        return comps.select(F.col("node").alias("key"), F.col("component").alias("comp"))
-    heads = one.where("node is not null").select(F.col("a").alias("key"), "n", "sketch", "node")
-    heads = heads.join(heads.groupBy("node").agg(F.count("*").alias("c")), "node")
-    two = written(arranged(split(heads, F.col("c")).select("g", "side", "key", "n", "sketch"), rows // BLOCK).mapInArrow(screen(threshold), "a long, b long"), "jaccardheads")
-    comps = connected_components(edges.unionByName(two)).select(F.col("node").alias("key"), F.col("component").alias("comp"))
-    inside = join_ids(here, large, "node", "left_semi").join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    per = inside.groupBy("node", "comp").agg(F.count("*").alias("m"))
-    rest = per.groupBy("node").agg(F.max_by("comp", F.struct("m", "comp")).alias("top"), F.max("m").alias("d"), (F.sum("m") - F.max("m")).alias("o")).where("o > 0")
-    rest = written(rest, "jaccardrest")
-    left = rest.agg(F.coalesce(F.sum((F.ceil(F.col("o") / BLOCK) * F.col("d") + F.ceil((F.col("d") + F.col("o")) / BLOCK) * F.col("o")).cast("long")), F.lit(0))).first()[0]
-    if left:
-        # Of each large bucket, all that is outside of its largest component meets all else of the bucket.
-        n_o, n_d = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("o", "d"))
-        out = F.col("comp") != F.col("top")
-        own = F.pmod(F.xxhash64("key", F.lit(17)), F.when(out, n_o).otherwise(n_d)).cast("int")
-        group = lambda kind, i, j, side: F.struct(F.xxhash64("node", F.lit(kind), i, j).alias("g"), side.cast("byte").alias("side"))
-        across = F.transform(F.sequence(F.lit(0), F.when(out, n_d).otherwise(n_o) - 1), lambda x: group("across", F.when(out, x).otherwise(own), F.when(out, own).otherwise(x), F.when(out, 2).otherwise(1)))
-        among = F.transform(F.sequence(F.lit(0), n_o - 1), lambda x: group("among", F.least(own, x), F.greatest(own, x), F.when(own == x, 0).when(own < x, 1).otherwise(2)))
-        met = exploded(join_ids(inside, rest.select("node", "top", "d", "o"), "node", "inner").join(light, "key"), F.when(out, F.concat(across, among)).otherwise(across))
-        three = written(arranged(met.select("g", "side", "key", "n", "sketch"), left).mapInArrow(screen(threshold), "a long, b long"), "jaccardrests")
-        if not three.isEmpty():
-            comps = connected_components(comps.select(F.col("key").alias("a"), F.col("comp").alias("b")).unionByName(three)).select(F.col("node").alias("key"), F.col("component").alias("comp"))
-        erase(three)
-    erase(counts, one, two, rest)
-    return comps
+    small = met.where(F.col("c") <= BLOCK).join(light, "key").select(F.col("node").alias("g"), "key", "n", "sketch")
+    edges = arranged(small, rows).mapInArrow(screen(threshold), "a long, b long")
+    wide = met.where((F.col("c") > BLOCK) & (F.col("key") != F.col("head"))).select(F.col("key").alias("a"), F.col("head").alias("b")).distinct()
+    comps = connected_components(edges.unionByName(wide))
+    erase(counts)
+    return comps.select(F.col("node").alias("key"), F.col("component").alias("comp"))
+
+
+def rare_first(threshold: float):
+    """(key, node, inner) of the rarest tokens of each set (key, comp, tokens, common): its prefix filter.
+
+    ``common`` tells how common the tokens of each of ``KINDS`` hash classes are in the component. Two sets of sizes
+    n <= m with a similarity of the threshold t share one of the n - ceil(2 t n / (1 + t)) + 1 rarest tokens of the
+    smaller (``inner``) that is also among the m - ceil(t m) + 1 rarest of the larger, whatever the order is, as long as
+    both use one.
+    """
+
+    def run(batches):
+        for batch in batches:
+            keys, nodes, inner = [], [], []
+            for key, comp, raw, common in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                tokens = np.frombuffer(raw, U64)
+                n = len(tokens)
+                rank = np.frombuffer(common, np.uint8)[(tokens & U64(KINDS - 1)).astype(np.int64)] if common else np.zeros(n, np.uint8)
+                first = tokens[np.lexsort((tokens, rank))[: n - math.ceil(threshold * n - 1e-9) + 1]]
+                nodes.append(mix(first ^ mix(np.array([comp], np.int64).view(U64))).view(np.int64))
+                keys.append(np.full(len(first), key))
+                inner.append(np.arange(len(first)) < n - math.ceil(2 * threshold * n / (1 + threshold) - 1e-9) + 1)
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(inner))], names=["key", "node", "inner"])
+
+    return run
+
+
+def as_table(batches):
+    """(comp, common): the counts by class (comp, kinds, counts) as one byte for each class."""
+    for batch in batches:
+        raw = []
+        for kinds, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            table = np.zeros(KINDS, np.uint8)
+            table[kinds] = np.minimum(counts, 255)
+            raw.append(table.tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["comp", "common"])
+
+
+def component_sizes(members: DataFrame) -> DataFrame:
+    """(comp, blocks, c): how many blocks the exact comparison of each component of members (key, n, comp) takes."""
+    return members.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / EXACT_BLOCK), F.ceil(F.sum(F.col("n").cast("long")) * 8 / EXACT_BYTES)).cast("int").alias("blocks"), F.count("*").alias("c"))
+
+
+def split_large(members: DataFrame, tokens: DataFrame, large: DataFrame, threshold: float) -> DataFrame:
+    """(key, comp) of the sets in ``large`` components that may still be near others, in components anew.
+
+    ``tokens`` is (key, comp, n, tokens) of their members. Rows of a component that shares a template are told apart by
+    what is theirs: sets are linked where they share a token of their prefixes, one row for each prefix token, never in
+    pairs. The order of tokens comes from some sets of each component, which costs nothing but how well it separates;
+    a component that falls apart is ordered and split again, one that does not is compared as it is.
+    """
+    out, rounds = None, 0
+    todo, sizes = tokens, large
+    while True:
+        n_sets = F.greatest(F.lit(2), F.least(F.lit(ORDER_SETS), F.lit(ORDER_TOKENS) / F.col("mean"))).cast("int")
+        mean = todo.groupBy("comp").agg(F.avg("n").alias("mean"))
+        place = F.row_number().over(Window.partitionBy("comp").orderBy(F.xxhash64("key"), "key"))
+        some = todo.select("comp", "key").withColumn("place", place).where(F.col("place") <= ORDER_SETS).join(mean, "comp").where(F.col("place") <= n_sets).select("key")
+        seen = join_ids(todo, some, "key", "left_semi").mapInArrow(as_rows, "comp long, token long")
+        kinds = seen.groupBy("comp", "token").agg(F.count("*").alias("c")).where("c > 1").groupBy("comp", F.col("token").bitwiseAND(KINDS - 1).cast("int").alias("kind")).agg(F.max("c").cast("int").alias("c"))
+        both = kinds.groupBy("comp").agg(F.array_sort(F.collect_list(F.struct("kind", "c"))).alias("k")).select("comp", F.col("k.kind").alias("kinds"), F.col("k.c").alias("counts"))
+        common = written(both.mapInArrow(as_table, "comp long, common binary"), "jaccardcommon")
+        ordered = todo.join(F.broadcast(common) if common.count() * KINDS <= BROADCAST_BYTES else common, "comp", "left")
+        prefixes = written(ordered.select("key", "comp", "tokens", "common").mapInArrow(rare_first(threshold), "key long, node long, inner boolean"), "jaccardprefixes")
+        heads = prefixes.groupBy("node").agg(F.min("key").alias("head"), F.max("key").alias("last"), F.bool_or("inner").alias("inner")).where("inner and head <> last").select("node", "head")
+        links = prefixes.join(heads, "node").where(F.col("key") != F.col("head")).select(F.col("key").alias("a"), F.col("head").alias("b")).distinct()
+        again = connected_components(links).select(F.col("node").alias("key"), F.col("component").alias("new"))
+        found = written(todo.select("key", "comp", "n").join(again, "key"), "jaccardsplit")
+        erase(common, prefixes)
+        rounds += 1
+        done = found.select("key", F.col("new").alias("comp"))
+        out = done if out is None else out.unionByName(done)
+        per = component_sizes(found.select("key", "n", F.col("new").alias("comp"))).where("blocks > 1")
+        was = found.groupBy("new").agg(F.first("comp").alias("comp")).join(sizes.select("comp", F.col("c").alias("was")), "comp").select(F.col("new").alias("comp"), "was")
+        next_ = written(per.join(was, "comp").where(F.col("c") < 0.9 * F.col("was")).select("comp", "blocks", "c"), "jaccardagain")
+        if rounds == SPLIT_ROUNDS or next_.isEmpty():
+            return out
+        ids = join_ids(found, next_.select(F.col("comp").alias("new")), "new", "left_semi").select("key", F.col("new").alias("comp"))
+        out = join_ids(out, ids.select("key"), "key", "left_anti")
+        todo = join_ids(todo.drop("comp"), ids, "key", "inner").select("key", "comp", "n", "tokens")
+        sizes = next_
+
+
+def as_rows(batches):
+    """(comp, token) of every token of the sets (key, comp, n, tokens)."""
+    for batch in batches:
+        sets = [np.frombuffer(x, np.int64) for x in batch.column(batch.schema.get_field_index("tokens")).to_pylist()]
+        if sets:
+            comp = np.repeat(batch.column(batch.schema.get_field_index("comp")).to_numpy(), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(comp), pa.array(np.concatenate(sets))], names=["comp", "token"])
 
 
 def near_documents(documents: DataFrame, threshold: float = 0.8, recall: float = 0.995, words: int = WORDS, sets: bool = False) -> DataFrame:
@@ -472,10 +507,6 @@ def near_documents(documents: DataFrame, threshold: float = 0.8, recall: float =
     reps = written(reps.withColumn("key", F.xxhash64("f1", "f2", "n")), "jaccardsets")
     members = candidates(reps, threshold).join(reps.select("key", "id", "mult", "f1", "f2", "n"), "key")
     members = written(members, "jaccardmembers")
-    # Components of more than one block are few: their number of blocks is counted, all others have one.
-    sizes = members.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / EXACT_BLOCK), F.ceil(F.sum(F.col("n").cast("long")) * 8 / EXACT_BYTES)).cast("int").alias("blocks"), F.count("*").alias("c"))
-    large = written(sizes.where("blocks > 1"), "jaccardlarge")
-    rows = members.count() + large.agg(F.coalesce(F.sum(F.col("c") * (F.col("blocks") - 1)), F.lit(0))).first()[0]
 
     def tokenised(batches):
         seen: set[tuple[int, int, int]] = set()
@@ -493,12 +524,28 @@ def near_documents(documents: DataFrame, threshold: float = 0.8, recall: float =
             raw = [tokens[bounds[k] : bounds[k + 1]].tobytes() for k in fresh]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(fresh, pa.int64())), pa.array(f1[fresh]), pa.array(f2[fresh]), pa.array(raw, pa.binary())], names=["id", "f1", "f2", "tokens"])
 
-    tokens = join_ids(docs, members.select("id").distinct(), "id", "left_semi").mapInArrow(tokenised, "id long, f1 long, f2 long, tokens binary")
-    tokens = join_ids(tokens, members.select("id", "f1", "f2", "key", "mult", "comp"), ["id", "f1", "f2"], "inner")
-    tokens = join_ids(tokens, large.select("comp", "blocks"), "comp", "left")
+    def sets_of(some: DataFrame) -> DataFrame:
+        """(key, n, mult, comp, tokens) of the members ``some``, read from the texts again."""
+        raw = join_ids(docs, some.select("id").distinct(), "id", "left_semi").mapInArrow(tokenised, "id long, f1 long, f2 long, tokens binary")
+        return join_ids(raw, some.select("id", "f1", "f2", "n", "key", "mult", "comp"), ["id", "f1", "f2"], "inner").select("key", "n", "mult", "comp", "tokens")
+
+    large = written(component_sizes(members).where("blocks > 1"), "jaccardlarge")
+    tokens, held = sets_of(members), []
+    if not large.isEmpty():
+        # The sets of large components are kept until they have been split and compared.
+        own = written(sets_of(join_ids(members, large.select("comp"), "comp", "left_semi")), "jaccardlargesets")
+        again = written(split_large(members, own, large, threshold), "jaccardparts")
+        rest = sets_of(join_ids(members, large.select("comp"), "comp", "left_anti"))
+        tokens = rest.unionByName(join_ids(own.drop("comp"), again, "key", "inner").select("key", "n", "mult", "comp", "tokens"))
+        members = members.join(large.select("comp"), "comp", "left_anti").select("key", "n", "comp").unionByName(members.select("key", "n").join(again, "key").select("key", "n", "comp"))
+        held = [own, again]
+    # Components of more than one block are few: their number of blocks is counted, all others have one.
+    sizes = written(component_sizes(members).where("blocks > 1"), "jaccardblocks")
+    rows = members.count() + sizes.agg(F.coalesce(F.sum(F.col("c") * (F.col("blocks") - 1)), F.lit(0))).first()[0]
+    tokens = join_ids(tokens, sizes.select("comp", "blocks"), "comp", "left")
     pairs = blocked(tokens, F.col("comp"), F.coalesce("blocks", F.lit(1)), F.col("key")).select("g", "side", "key", "mult", "tokens")
-    found = written(arranged(pairs, 20 * rows).mapInArrow(verify(threshold), "id long, links long, root long"), "jaccardlinks")
-    erase(members, large)
+    found = written(arranged(pairs, 20 * rows, "side").mapInArrow(verify(threshold), "id long, links long, root long"), "jaccardlinks")
+    erase(large, sizes, *held)
     links = found.where("root is null").groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "key")
     comp = connected_components(found.where("root is not null").select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "key")
     joined = reps.select("key", "f1", "f2", "n", "id", "mult").join(links, "key", "left").join(comp, "key", "left")

@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordering import numbered
 from .shared import written
 
 BUCKETS = 1024
@@ -45,7 +46,10 @@ def exponential_key(doc_id: Column, weight: Column, seed: str) -> Column:
 
 
 def targets(sizes: dict[str | None, int], weights: list[float], share: float, cap: float) -> dict[str | None, float]:
-    """Target of each source: budget ``share`` of all sizes by repeating ``weights`` in code point order, null last."""
+    """Target of each source: budget ``share`` of all sizes by repeating ``weights`` in code point order, null last.
+
+    The rule in plain terms; ``goals`` computes it for any number of sources.
+    """
     order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
     w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
     left, open_, out = share * sum(sizes.values()), set(order), {}
@@ -61,51 +65,77 @@ def targets(sizes: dict[str | None, int], weights: list[float], share: float, ca
     return out
 
 
+def goals(sources: DataFrame, weights: list[float], share: float, cap: float) -> DataFrame:
+    """(key, source_size, target, epochs, rest) of each source (key, source, source_size), by the rule of ``targets``.
+
+    Sources are numbered by ranges; what a unit of weight gets is found from sums alone, as it only grows while sources
+    reach their limit.
+    """
+    order = [F.asc_nulls_last("source")]
+    weight = F.get(F.array(*(F.lit(float(w)) for w in weights)), (F.col("i") % len(weights)).cast("int"))
+    rows = written(numbered(sources, order, "i").select("key", "source_size", weight.alias("w")), "mixsources")
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0))).first()
+    unit, full = None, 0
+    limit = F.lit(float(cap)) * F.col("source_size")
+    while n:
+        over = F.lit(False) if unit is None else F.lit(unit) * F.col("w") > limit
+        count, used, left = rows.agg(F.count_if(over), F.coalesce(F.sum(F.when(over, limit)), F.lit(0.0)), F.coalesce(F.sum(F.when(~over, F.col("w"))), F.lit(0.0))).first()
+        if unit is not None and count == full or not left:
+            break
+        unit, full = max(share * total - used, 0.0) / left, count
+    over = F.lit(unit or 0.0) * F.col("w") > limit
+    target = F.when(over, limit).otherwise(F.lit(unit or 0.0) * F.col("w"))
+    out = rows.select("key", "source_size", target.alias("target"))
+    out = out.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
+    return out.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+
+
 def mix(documents: DataFrame, weights: list[float], share: float = 1.5, cap: float = 2.0, seed: str = "mix", keep: list[str] | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, copies, taken) of every document, and the columns named in ``keep``.
 
-    A few rows per source are collected to the driver to set the targets and their edges; nothing else is.
+    Targets, edges and cuts are tables with a row for each source; only sums come to the driver.
     """
     keep = keep or []
     key = exponential_key(F.col("doc_id"), quality_weight(F.col("text")), seed)
-    base = documents.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), words_in(F.col("text")).alias("__size"), key.alias("__key"), *keep)
+    # A source's key is never null: those of names begin with a sign.
+    base = documents.select(F.col("doc_id").alias("__id"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("__source"), words_in(F.col("text")).alias("__size"), key.alias("__key"), *keep)
     base = base.withColumn("__bucket", F.least(F.floor(F.lit(float(BUCKETS)) * (1 - F.exp(F.col("__key") * -0.5))), F.lit(BUCKETS - 1)).cast("int"))
     base = written(base, "mix")
     sums = written(base.groupBy("__source", "__bucket").agg(F.sum("__size").alias("n")), "mixsums")
-    sizes = {r[0]: int(r[1]) for r in sums.groupBy("__source").agg(F.sum("n")).collect()}
-    goals = []
-    for s, t in targets(sizes, weights, share, cap).items():
-        epochs = int(t // sizes[s]) if sizes[s] else 0
-        goals.append((s, sizes[s], float(t), epochs, float(t - epochs * sizes[s])))
-    spark = documents.sparkSession
-    fit = (lambda d: F.broadcast(d)) if len(goals) <= BROADCAST_SOURCES else (lambda d: d)
-    mine = F.col("__source").eqNullSafe(F.col("__s"))
-
-    def edges(sums: DataFrame, by: str, goal: DataFrame) -> dict[str | None, tuple[int, int]]:
-        """Of each source, the group in which the prefix sum of words passes its limit, and the sum before it."""
+    sources = sums.groupBy("__source").agg(F.sum("n").alias("source_size"))
+    sources = sources.select(F.col("__source").alias("key"), F.when(F.col("__source") != "", F.substring("__source", 2, 1 << 30)).alias("source"), "source_size")
+    goal = written(goals(sources, weights, share, cap).withColumnRenamed("key", "__source"), "mixgoals")
+    few = goal.count() <= BROADCAST_SOURCES
+
+    def fit(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if few else df
+
+    def edges(sums: DataFrame, by: str, limits: DataFrame, edge: str, start: str) -> DataFrame:
+        """(__source, edge, start): the group in which the prefix sum of words passes the rest, and the sum before it."""
         upto = F.col("base") + F.sum("n").over(Window.partitionBy("__source").orderBy(by))
-        over = sums.join(fit(goal), mine).withColumn("upto", upto).where("upto > rest")
-        return {r[0]: (r.e[0], r.e[1]) for r in over.groupBy("__source").agg(F.min_by(F.struct(by, F.col("upto") - F.col("n")), by).alias("e")).collect()}
+        over = sums.join(fit(limits), "__source").withColumn("upto", upto).where("upto > rest")
+        return over.groupBy("__source").agg(F.min_by(F.struct(by, (F.col("upto") - F.col("n")).alias("s")), by).alias("e")).select("__source", F.col(f"e.{by}").alias(edge), F.col("e.s").alias(start))
 
-    limit = spark.createDataFrame([(g[0], g[4], 0) for g in goals], "__s string, rest double, base long")
-    edge = edges(sums, "__bucket", limit)
+    edge = written(edges(sums, "__bucket", goal.select("__source", "rest", F.lit(0).cast("long").alias("base")), "b", "base"), "mixedges")
     # The edge bucket of a source may be large: quantiles of its keys cut it into parts of like size.
-    limit = spark.createDataFrame([(g[0], g[4], *edge[g[0]]) for g in goals if g[0] in edge], "__s string, rest double, b int, base long")
-    inside = base.join(fit(limit), mine).where("__bucket = b")
-    cuts = {r[0]: r[1] for r in inside.groupBy("__source").agg(F.percentile_approx("__key", [k / PARTS for k in range(1, PARTS)], 100 * PARTS)).collect()}
+    inside = base.select("__source", "__bucket", "__key", "__size").join(fit(edge.select("__source", "b")), "__source").where("__bucket = b")
+    cuts = written(inside.groupBy("__source").agg(F.percentile_approx("__key", [k / PARTS for k in range(1, PARTS)], 100 * PARTS).alias("cuts")), "mixcuts")
     part = F.size(F.filter("cuts", lambda c: c < F.col("__key"))).alias("part")
-    limit = spark.createDataFrame([(g[0], g[4], *edge[g[0]], cuts[g[0]]) for g in goals if g[0] in edge], "__s string, rest double, b int, base long, cuts array<double>")
-    parts = base.join(fit(limit), mine).where("__bucket = b").groupBy("__source", part).agg(F.sum("__size").alias("n"))
-    last = edges(parts, "part", limit)
-    none = (BUCKETS, 0)
-    limit = [(*g, edge.get(g[0], none)[0], cuts.get(g[0], []), *last.get(g[0], (PARTS, 0))) for g in goals]
-    limit = spark.createDataFrame(limit, "__s string, source_size long, target double, epochs long, rest double, b int, cuts array<double>, cut int, start long")
-    rows = base.join(fit(limit), mine).withColumn("part", F.when(F.col("__bucket") == F.col("b"), part))
-    place = F.when(F.col("__bucket") != F.col("b"), F.col("__bucket") < F.col("b")).when(F.col("part") != F.col("cut"), F.col("part") < F.col("cut"))
-    rows = rows.withColumn("more", place.cast("long"))
+    parts = inside.join(fit(cuts), "__source").groupBy("__source", part).agg(F.sum("__size").alias("n"))
+    last = edges(parts, "part", goal.join(edge, "__source").select("__source", "rest", "base"), "cut", "start")
+    limit = goal.join(edge.select("__source", "b"), "__source", "left").join(cuts, "__source", "left").join(last, "__source", "left")
+    none = F.array().cast("array<double>")
+    limit = limit.withColumns({"b": F.coalesce("b", F.lit(BUCKETS)), "cuts": F.coalesce("cuts", none), "cut": F.coalesce("cut", F.lit(PARTS)), "start": F.coalesce("start", F.lit(0))})
+    limit = written(limit.select("__source", "source_size", "target", "epochs", "rest", "b", "cuts", "cut", "start"), "mixlimits")
+    # Names of the result stay clear of those of ``keep``.
+    limit = limit.select("__source", *(F.col(c).alias(f"__{c}") for c in limit.columns[1:]))
+    part = F.size(F.filter("__cuts", lambda c: c < F.col("__key")))
+    rows = base.join(fit(limit), "__source").withColumn("__part", F.when(F.col("__bucket") == F.col("__b"), part))
+    place = F.when(F.col("__bucket") != F.col("__b"), F.col("__bucket") < F.col("__b")).when(F.col("__part") != F.col("__cut"), F.col("__part") < F.col("__cut"))
+    rows = rows.withColumn("__more", place.cast("long"))
     ranked = Window.partitionBy("__source").orderBy("__key", "__id", "__size").rowsBetween(Window.unboundedPreceding, 0)
-    end = rows.where("more is null").withColumn("upto", F.sum("__size").over(ranked))
-    end = end.withColumn("more", (F.col("start") + F.col("upto") - F.col("__size") / 2 <= F.col("rest")).cast("long")).drop("upto")
-    out = rows.where("more is not null").unionByName(end)
-    copies = F.col("epochs") + F.col("more")
-    return out.select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target", copies.alias("copies"), (copies * F.col("__size")).alias("taken"), *keep)
+    end = rows.where("__more is null").withColumn("__upto", F.sum("__size").over(ranked))
+    end = end.withColumn("__more", (F.col("__start") + F.col("__upto") - F.col("__size") / 2 <= F.col("__rest")).cast("long")).drop("__upto")
+    out = rows.where("__more is not null").unionByName(end)
+    copies = F.col("__epochs") + F.col("__more")
+    return out.select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), copies.alias("copies"), (copies * F.col("__size")).alias("taken"), *keep)

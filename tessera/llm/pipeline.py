@@ -1,8 +1,11 @@
 """A training-data pipeline over ``documents`` of five stages, each an operator of this subpackage.
 
 Each stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet and read again as the next
-stage's documents; all but the last keep the columns of ``documents``. A stage may begin once the result of the one
-before is written: it deletes what that stage of the same session wrote on its way, and nothing else.
+stage's documents; all but the last keep the columns of ``documents``. What a stage writes on its way is deleted by
+``run`` once the stage's result is written, or when the application ends where stages are called on their own.
+
+Cases common to all stages: very long texts are taken whole; columns with other names are kept as they are; of ties,
+each operator's docstring says which row stands first.
 """
 
 from __future__ import annotations
@@ -16,19 +19,14 @@ from .shared import bound_batches, erase, noting, release_driver, remove, writte
 TOXIC_FROM = 0.3
 SIMILAR = 0.8
 WEIGHTS = [3.0, 1.0, 2.0]
-#: Tables that the last stage of each session wrote on its way.
-_left: dict[str, list[str]] = {}
 
 
 def _stage(stage):
-    """A stage whose written tables go when the next stage of the session begins."""
+    """A stage with Arrow batches of bounded size, which leaves the driver's memory as it found it."""
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        paths = _left.setdefault(spark._jsparkSession.sessionUUID(), [])
-        remove(spark, paths)
         bound_batches(spark)
-        with noting(paths):
-            out = stage(spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
         release_driver()
         return out
 
@@ -52,7 +50,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group of near copies: one with the smallest id.
 
     Where an id repeats, its rows are told apart by their shingle sets: rows of one group are one, rows of other groups
-    stay. Documents without words or without an id link with nothing and stay; without words, rows of one id are one.
+    stay. Documents without words or without an id link with nothing and stay; without words, rows of one id are one. Of
+    rows of one id and group any one stays; an empty table stays empty.
     """
     found = jaccard.near_documents(docs.select("doc_id", "text"), SIMILAR, sets=True)
     gone = written(found.where("not kept").select("doc_id").distinct(), "gone")
@@ -70,7 +69,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with personal data replaced by its kind.
 
-    Null texts stay null; rows without personal data, repeated ones too, stay as they are.
+    Null texts stay null; rows without personal data, repeated ones too, stay as they are; an empty table stays empty.
     """
     return pii.redact_pii(docs, pii.train_pii(docs))
 
@@ -79,7 +78,8 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it.
 
-    A null source is a source; null and empty texts have no words, cost nothing and stay with their source's epochs.
+    A null source is a source; null and empty texts have no words, cost nothing and stay with their source's epochs;
+    repeated rows are taken alike but for a tie at the end of a target; an empty table stays empty.
     """
     rows = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("row"))
     mixed = mixing.mix(rows, WEIGHTS, keep=["row"]).where("copies > 0")
@@ -88,7 +88,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its sequence and offset; a null or empty text is the end id alone."""
+    """Every piece of every document with its sequence and offset; a null or empty text is the end id alone.
+
+    Repeated rows are packed each; an empty table gives no rows.
+    """
     return packing.pack_documents(docs, tokens.vocabulary())
 
 
@@ -99,11 +102,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result but the last is deleted once the next one is written."""
+    """All stages over ``documents``; what a stage read and wrote on its way is deleted once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with noting([]) as paths:
+            out = stage(spark, docs, sf_dir)
+        docs = written(out, name)
+        remove(spark, paths)
         if before is not None:
             erase(before)
         before = docs

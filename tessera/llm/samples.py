@@ -29,9 +29,11 @@ def sampled(documents: DataFrame, ids: DataFrame, max_bytes: int = SAMPLE_BYTES)
     """
     rows = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids.select("doc_id")), "doc_id")
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"))
-    upto = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
-    rows = rows.where(F.octet_length("text") <= max_bytes).withColumn("__upto", upto).where(F.col("__upto") <= max_bytes).drop("__upto")
-    return rows.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id")
+    # Ids and lengths alone meet in one order; texts join what is taken of them.
+    light = rows.select("doc_id", F.octet_length("text").cast("long").alias("__size"))
+    upto = F.sum("__size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    taken = light.where(F.col("__size") <= max_bytes).withColumn("__upto", upto).where(F.col("__upto") <= max_bytes).select("doc_id")
+    return rows.join(F.broadcast(taken), "doc_id").join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id")
 
 
 def labelled(documents: DataFrame, labels: DataFrame, label: str, limit: int, mod: int = 4, hold: int = 2) -> DataFrame:

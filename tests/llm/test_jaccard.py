@@ -81,3 +81,30 @@ def test_very_long_text_and_sketch():
     assert bounds.tolist() == [0, 59_996, 119_993]
     s = jaccard.sketches(tokens, bounds)
     assert (s[0] == s[1]).mean() > 0.95
+
+
+@pytest.mark.parametrize("own", [22, 60])
+def test_shared_templates_are_not_compared_in_pairs(spark, monkeypatch, own):
+    """Texts that share a template below the threshold: what is sent to the exact comparison does not grow with them."""
+    rnd = random.Random(own)
+    monkeypatch.setattr(jaccard, "EXACT_BLOCK", 32)
+    monkeypatch.setattr(jaccard, "BLOCK", 64)
+    seen, verify = spark.sparkContext.accumulator(0), jaccard.verify
+
+    def counted(threshold):
+        run = verify(threshold)
+
+        def watched(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return lambda batches: run(watched(batches))
+
+    monkeypatch.setattr(jaccard, "verify", counted)
+    template = " ".join(f"t{k}" for k in range(100))
+    rows = [(k, template + " " + " ".join(f"x{rnd.randrange(10**9)}" for _ in range(own))) for k in range(420)]
+    rows += [(2000 + k, rows[k][1] + " end") for k in range(0, 60, 3)] + [(3000 + k, template.replace("t", "u") + f" same same same {k} {k}") for k in range(40)]
+    got = jaccard.near_documents(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_links", "class_id", "kept").collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+    assert seen.value < 300  # the copies and, as pairs of blocks, the 40 rows that share nearly all

@@ -49,15 +49,27 @@ def test_empty_and_extra_columns(spark, tmp_path):
         assert cp.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
 
 
-def test_a_stage_deletes_only_tables_of_the_stage_before(spark):
-    from tessera.llm import mixing
+def test_stages_of_two_pipelines_may_alternate(spark):
     from tessera.llm import pipeline as cp
 
     docs = spark.createDataFrame([(k, f"w{k} x y", "a", 5) for k in range(20)], "doc_id long, text string, source string, n_chars int")
-    other = mixing.mix(docs, [1.0])
-    cp.mix_sources(spark, docs, "")
+    one = cp.mix_sources(spark, docs, "")
     cp.redact(spark, docs, "")
-    assert other.count() == 20
+    assert one.select("doc_id").distinct().count() == 20
+
+
+def test_very_long_texts(spark, tmp_path):
+    """Texts beyond any batch go through every stage whole."""
+    from tessera.llm import pipeline as cp
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    long = " ".join(f"w{k % 9973}q{k}" for k in range(60_000))
+    docs = spark.createDataFrame([(1, long, "a"), (2, long + " end", "a"), (3, "short text of six words here", "b")], "doc_id long, text string, source string")
+    for name, stage in cp.STAGES[1:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert {r.doc_id for r in docs.select("doc_id").collect()} == {1, 3}, name
+    packed = cp.pack(spark, docs, "")
+    assert packed.groupBy("doc_id").agg({"piece": "max"}).count() == 2 and packed.where("length > 2048").count() == 0
 
 
 def test_rest_stands_without_this_part():
