@@ -3,8 +3,10 @@
 A configuration says how many pieces of each length share a sequence. The program over the length histogram (minimise
 sequences, cover every length) is solved by multiplicative weights: each round prices a configuration by a bounded
 knapsack over the capacity, gives it its share of the sequences, and lowers the weights of the lengths it covers. Each
-round's weights also prove a lower bound. The fractional counts are rounded down and applied; what is left goes, longest
-first, to the fullest sequence that still fits it, which may be one of the configurations. Where plain best fit over
+round's weights also prove a lower bound. Where the sequences do not meet it, the weights go on as those of a basis of
+configurations, with the same pricing, to the program's optimum. The fractional counts are rounded down and applied;
+what is left goes, longest first, to the fullest sequence that still fits it, which may be one of the configurations,
+or is packed by fullest sequences, or by search where it is little: the best of these stands. Where plain best fit over
 the whole histogram needs fewer sequences than that, its plan is taken. All of it works on runs of equal sequences, at
 any size alike, so its work depends on the histogram's lengths (at most ``size``) and not on the corpus; pieces find
 their place by their rank within their length.
@@ -125,34 +127,162 @@ def best_fit(left: dict[int, int], size: int, opened: Sequences | None = None) -
     return out
 
 
+def converge(lengths: np.ndarray, need: np.ndarray, size: int, work: float = 4e9) -> tuple[list[tuple[np.ndarray, float]], float]:
+    """Configurations with fractional counts of the program's optimum, and the lower bound that its weights prove.
+
+    The weights go on from a basis of one configuration a length: each step prices a configuration by the same knapsack
+    and exchanges it for one of the basis, until no configuration is worth more than a sequence. ``work`` bounds the
+    numbers that are touched; where it ends the steps, the bound still holds and the counts still cover every piece.
+    """
+    m, most = len(lengths), np.minimum(need, size // lengths)
+    basis = [np.where(np.arange(m) == k, most[k], 0) for k in range(m)]
+    inverse, x, bound = np.diag(1.0 / most), need / most, 0.0
+    steps = int(min(20_000, max(20, work // (m * m + 8 * m * size))))
+    for step in range(steps):
+        if step % 200 == 199:  # rounding errors do not pile up
+            inverse = np.linalg.inv(np.array(basis, float).T)
+            x = np.maximum(inverse @ need, 0.0)
+        y = inverse.sum(0)
+        config = price(lengths, y, most, size)
+        value = float(y @ config)
+        bound = max(bound, float(y @ need) / max(value, 1.0))
+        if value <= 1 + 1e-9:
+            break
+        d = inverse @ config
+        rows = np.flatnonzero(d > 1e-9)
+        out = rows[np.argmin(x[rows] / d[rows])]
+        theta = x[out] / d[out]
+        x = np.maximum(x - theta * d, 0.0)
+        x[out], basis[out] = theta, config
+        inverse[out] /= d[out]
+        d[out] = 0.0
+        inverse -= np.outer(d, inverse[out])
+    return [(c, float(t)) for c, t in zip(basis, x, strict=True) if t > 1e-9], bound
+
+
+#: Pieces that are placed by search, and the nodes that it opens.
+SEARCHED, NODES = 40, 20_000
+
+
+def search(left: dict[int, int], size: int, fewer_than: int) -> Sequences | None:
+    """Sequences of a few pieces, fewer than the given number, by depth-first search; None where it finds none."""
+    pieces = [n for n in sorted(left, reverse=True) for _ in range(left[n])]
+    rest = np.concatenate((np.cumsum(pieces[::-1])[::-1], [0])) if pieces else np.zeros(1)
+    bins: list[list[int]] = []
+    best: list[list[int]] | None = None
+    limit, nodes = fewer_than, 0
+
+    def place(k: int, free: int) -> None:
+        """Place the pieces from ``k`` on; ``free`` is the room in all opened sequences."""
+        nonlocal best, limit, nodes
+        nodes += 1
+        if nodes > NODES or len(bins) + max(0, -(-int(rest[k] - free) // size)) >= limit:
+            return
+        if k == len(pieces):
+            best, limit = [list(b) for b in bins], len(bins)
+            return
+        n, seen = pieces[k], set()
+        for b in sorted(bins, key=sum, reverse=True):
+            room = size - sum(b)
+            if room >= n and room not in seen:
+                seen.add(room)
+                b.append(n)
+                place(k + 1, free - n)
+                b.pop()
+        if len(bins) + 1 < limit:
+            bins.append([n])
+            place(k + 1, free + size - n)
+            bins.pop()
+
+    place(0, 0)
+    if best is None:
+        return None
+    out: Sequences = {}
+    for b in best:
+        key = tuple((n, b.count(n)) for n in sorted(set(b), reverse=True))
+        out[key] = out.get(key, 0) + 1
+    return out
+
+
+def merged(*parts: Sequences) -> Sequences:
+    out: Sequences = {}
+    for part in parts:
+        for config, times in part.items():
+            out[config] = out.get(config, 0) + times
+    return out
+
+
+def fullest(left: dict[int, int], size: int, most: int = 400) -> Sequences:
+    """Sequences filled one after another as far as the pieces allow, by the knapsack; best fit beyond ``most`` steps."""
+    left, out = dict(left), {}
+    for _ in range(most):
+        if not left:
+            return out
+        lengths = np.array(sorted(left, reverse=True))
+        counts = price(lengths, lengths.astype(float), np.array([left[n] for n in lengths.tolist()]), size)
+        key = tuple((int(n), int(c)) for n, c in zip(lengths, counts, strict=True) if c)
+        times = min(left[n] // c for n, c in key)
+        out[key] = out.get(key, 0) + times
+        left = {n: r for n, c in left.items() if (r := c - dict(key).get(n, 0) * times) > 0}
+    return merged(out, best_fit(left, size))
+
+
+def rounded(configs: list[tuple[np.ndarray, float]], lengths: np.ndarray, need: np.ndarray, size: int, share: float) -> list[Sequences]:
+    """Ways to round: whole counts of each configuration, and the rest by best fit into them, by fullest sequences or by search."""
+    opened: Sequences = {}
+    rest = need.copy()
+    for counts, x in configs:
+        on = counts > 0
+        times = min(int(share * x + 1e-6), int((rest[on] // counts[on]).min())) if on.any() else 0
+        if times > 0:
+            key = tuple((int(n), int(c)) for n, c in zip(lengths[on], counts[on], strict=True))
+            opened[key] = opened.get(key, 0) + times
+            rest = rest - times * counts
+    left = {int(n): int(c) for n, c in zip(lengths, rest, strict=True) if c > 0}
+    out = [best_fit(left, size, opened)]
+    if sum(left.values()) <= 4 * size:
+        out.append(merged(opened, fullest(left, size)))
+    if sum(left.values()) <= SEARCHED:
+        found = search(left, size, min(sum(o.values()) for o in out) - sum(opened.values()))
+        out += [merged(opened, found)] if found is not None else []
+    return out
+
+
 def by_program(histogram: dict[int, int], size: int, rounds: int, gap: float) -> tuple[Sequences, float]:
     """Sequences from the rounded program and best fit for the rest, and a lower bound.
 
-    Rounds double from 32 to ``rounds`` until the sequences are within ``gap`` of the bound. Less of each configuration
-    leaves more short pieces for the gaps; of three shares the best one stands.
+    Rounds of multiplicative weights double from 32 to ``rounds`` until the sequences are within ``gap`` of the bound.
+    Where they are not, the program is carried on to its optimum. Less of each configuration leaves more short pieces
+    for the gaps; of all ways to round, the best one stands.
     """
     lengths = np.array(sorted(histogram, reverse=True))
     need = np.array([histogram[n] for n in lengths.tolist()])
     best, bound, many = None, 0.0, 32
+
+    def near() -> bool:
+        return sum(best.values()) <= np.ceil((1 + gap) * bound - 1e-6)
+
+    def take(configs: list[tuple[np.ndarray, float]], shares: tuple[float, ...]) -> None:
+        nonlocal best
+        for share in shares:
+            for found in rounded(configs, lengths, need, size, share):
+                if best is None or sum(found.values()) < sum(best.values()):
+                    best = found
+            if near():
+                return
+
     while True:
         configs, proved = solve_lp(lengths, need, size, many)
         bound = max(bound, proved)
-        for share in (1.0, 0.9, 0.6):
-            opened: Sequences = {}
-            rest = need.copy()
-            for counts, x in configs:
-                on = counts > 0
-                times = min(int(share * x), int((rest[on] // counts[on]).min())) if on.any() else 0
-                if times > 0:
-                    key = tuple((int(n), int(c)) for n, c in zip(lengths[on], counts[on], strict=True))
-                    opened[key] = opened.get(key, 0) + times
-                    rest = rest - times * counts
-            found = best_fit({int(n): int(c) for n, c in zip(lengths, rest, strict=True) if c > 0}, size, opened)
-            if best is None or sum(found.values()) < sum(best.values()):
-                best = found
-        if many >= rounds or sum(best.values()) <= np.ceil((1 + gap) * bound):
-            return best, bound
+        take(configs, (1.0, 0.9, 0.6))
+        if many >= rounds or near():
+            break
         many *= 2
+    if not near():
+        configs, proved = converge(lengths, need, size)
+        bound = max(bound, proved)
+        take(configs, (1.0, 0.98, 0.9, 0.75, 0.5, 0.0))
+    return best, bound
 
 
 @dataclass

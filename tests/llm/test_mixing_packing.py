@@ -147,3 +147,49 @@ def test_op9(spark, tmp_path, tokenizer):
     assert packing.pack(packing.pieces(spark.createDataFrame([], "doc_id long, text string"), vocabulary())).count() == 0
     whole = packing.pieces(spark.createDataFrame([(1, "Hello world")], "doc_id long, text string"), vocabulary(), ids=True).first()
     assert whole.ids == [*tokenizer.encode("Hello world", add_special_tokens=False).ids, 0]
+
+
+def optimum(hist, size):
+    """Fewest sequences, by exhaustive search over what is left."""
+    from functools import cache
+
+    lengths = sorted(hist, reverse=True)
+
+    @cache
+    def fewest(left):
+        if not any(left):
+            return 0
+        first = next(i for i, c in enumerate(left) if c)
+        best = 10**9
+
+        def fill(i, room, now):
+            nonlocal best
+            if i == len(lengths):
+                best = min(best, 1 + fewest(tuple(now)))
+                return
+            for c in range(min(now[i], room // lengths[i]), -1 if i != first else 0, -1):
+                now[i] -= c
+                fill(i + 1, room - c * lengths[i], now)
+                now[i] += c
+
+        fill(first, size, list(left))
+        return best
+
+    return fewest(tuple(hist[n] for n in lengths))
+
+
+def test_small_histograms_take_the_optimum():
+    rnd = random.Random(11)
+    for _ in range(120):
+        size = rnd.choice([20, 100, 2048])
+        hist = {rnd.randrange(max(1, size // 6), size): rnd.randrange(1, 4) for _ in range(rnd.randrange(1, 6))}
+        got = packing.plan(hist, size)
+        check(hist, size, got.runs)
+        assert got.sequences == optimum(hist, size) and got.bound <= got.sequences + 1e-6
+
+
+@pytest.mark.parametrize("hist, most", [({683: 1000, 684: 500, 682: 800, 341: 333}, 852), ({n: 40 for n in range(600, 1200, 7)}, None), ({n: 3 for n in range(1, 2048)}, None), ({700: 10**6, 650: 10**6, 698: 3}, None)])
+def test_sequences_are_near_the_bound(hist, most):
+    got = packing.plan(hist, 2048)
+    check(hist, 2048, got.runs)
+    assert got.sequences <= (most or max(np.ceil(got.bound) + 1, 1.001 * got.bound))
