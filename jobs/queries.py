@@ -77,8 +77,9 @@ b AS (SELECT *, regexp_extract(split_part(host, ':', 1), '([^.]*\.)?[^.]*$') AS
   {_cleaned(_plain("nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '')"))} AS title, {_cleaned(_plain("nullif(regexp_extract(html, '<p>([^<]*)</p>', 1), '')"))} AS descr FROM h),
 r AS (SELECT *, CASE base {_DOMAINS} ELSE host END AS domain, length(regexp_replace(coalesce(descr, ''), '[^\p{{L}}]', '', 'g')) >= 15 AS content FROM b),
 v AS (SELECT *, list_filter([CASE WHEN title IS NULL THEN 'missing title (en and ar)' END, CASE WHEN NOT content THEN 'no official content (description/steps/requirements/documents)' END,
-    CASE WHEN NOT (scheme = 'https' AND host <> '') THEN 'invalid official_url_en: ''' || url || '''' END,
-    CASE WHEN NOT (domain IN ('my.gov.sa', 'absher.sa') OR ends_with(domain, '.gov.sa') OR ends_with(domain, '.edu.sa')) THEN 'source_domain not an official Saudi domain: ''' || domain || '''' END], lambda x: x IS NOT NULL) AS errors FROM r),
+    CASE WHEN nullif(trim(url), '') IS NULL THEN 'missing official_url' END, CASE WHEN nullif(trim(url), '') IS NOT NULL AND NOT (scheme = 'https' AND host <> '') THEN 'invalid official_url_en: ''' || url || '''' END,
+    CASE WHEN coalesce(domain, '') NOT IN ('my.gov.sa', 'absher.sa') AND NOT ends_with(coalesce(domain, ''), '.gov.sa') AND NOT ends_with(coalesce(domain, ''), '.edu.sa') THEN 'source_domain not an official Saudi domain: ' || coalesce('''' || domain || '''', 'None') END,
+    CASE WHEN html IS NULL THEN 'verified record without source_sha256' END], lambda x: x IS NOT NULL) AS errors FROM r),
 o AS (SELECT *, row_number() OVER (ORDER BY page_id) AS i, replace(regexp_replace(lower(url), '/+$', ''), '://www.', '://') AS u, {normed("base || '|' || title")} AS t FROM v WHERE len(errors) = 0),
 g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS us, CAST([] AS VARCHAR[]) AS ts, CAST([] AS VARCHAR[]) AS names, CAST(NULL AS VARCHAR) AS by_, CAST(NULL AS VARCHAR) AS id
   UNION ALL SELECT o.i, CASE WHEN k IS NULL THEN list_append(us, u) ELSE us END, CASE WHEN k IS NULL THEN list_append(ts, t) ELSE ts END, CASE WHEN k IS NULL THEN list_append(names, service_id) ELSE names END, k, service_id

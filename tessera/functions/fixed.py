@@ -171,3 +171,12 @@ UI = {
 }
 REFERENTIAL = r"(?i)\b(it|this|that|these|those|the service|same|there)\b|هذه|هذا|ذلك|تلك|نفس|الخدمه|لها|له|فيها|عليها"
 FOLLOWUP_WORDS = 9
+
+# --- fixed values: the field that answers an intent, how notes call it, and the note where no evidence backs it ---------------
+INTENT_FIELDS = {
+    "fees": ("fees", "the current fee", "الرسوم الحالية"),
+    "documents": ("required_documents", "the required documents", "المستندات المطلوبة"),
+    "time": ("processing_time", "the processing time", "مدة التنفيذ"),
+    "requirements": ("requirements", "the eligibility requirements", "الشروط والمتطلبات"),
+}
+NOT_VERIFIED = {"en": "Not verified from the available official evidence: ", "ar": "لم يتم التحقق من المصادر الرسمية المتاحة: "}

@@ -56,10 +56,34 @@ def rejection_summary(checked: DataFrame) -> DataFrame:
     return checked.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
 
 
-def response_mode(status: Column, related: Column, answerable: Column, in_scope: Column) -> Column:
-    """Mode after downgrades: out of scope or unanswerable proposals fall back, partial ones are marked."""
+def unverified_note(intent: Column, verified: Column, lang: Column) -> Column:
+    """The note that what a question asks for stands in no verified field; null where it does, or asks for none."""
+    out = F.when(F.lit(False), "")
+    for name, (field, en, ar) in fixed.INTENT_FIELDS.items():
+        missing_ = (intent == name) & ~F.array_contains(F.coalesce(verified, F.array().cast("array<string>")), field)
+        out = out.when(missing_, F.when(lang == "ar", fixed.NOT_VERIFIED["ar"] + ar).otherwise(fixed.NOT_VERIFIED["en"] + en))
+    return out
+
+
+def unverified_notes(notes: Column, note: Column) -> Column:
+    """A reply's own notes with the intent's note before them, once."""
+    notes = F.coalesce(notes, F.array().cast("array<string>"))
+    return F.when(note.isNull() | F.array_contains(notes, note), notes).otherwise(F.concat(F.array(note), notes))
+
+
+def response_mode(status: Column, related: Column, answerable: Column, in_scope: Column, notes: Column | None = None) -> Column:
+    """Mode after downgrades.
+
+    A question out of scope has no evidence. Where an answer or a possible match was proposed and the reply says that the
+    evidence does not answer, its sources are shown as related services. A grounded answer, and only that, is partial
+    where the reply says so or where ``notes`` (what is not verified) stand. Without a reply (null) nothing changes.
+    """
     base = F.when(status == "answered", "grounded_answer").when(status == "tentative", "possible_match").when(related, "related_services").otherwise("insufficient_evidence")
-    return F.when(~in_scope, "insufficient_evidence").when(answerable == "none", F.when(related, "related_services").otherwise("insufficient_evidence")).when(answerable == "partial", "partial_answer").otherwise(base)
+    partial = F.coalesce(answerable == "partial", F.lit(False))
+    if notes is not None:
+        partial = partial | (answerable.isNotNull() & (F.coalesce(F.size(notes), F.lit(0)) > 0))
+    out = F.when(~in_scope, "insufficient_evidence").when(base.isin("grounded_answer", "possible_match") & (answerable == "none"), "related_services")
+    return out.when((base == "grounded_answer") & partial, "partial_answer").otherwise(base)
 
 
 REPLY = "answerable string, direct_answer struct<text:string,evidence:array<string>>, sections array<struct<key:string,points:array<struct<text:string,evidence:array<string>>>>>, not_verified array<string>, follow_ups array<string>"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import percentiles, running_sums, with_next
+
 
 def _rank() -> Column:
     return F.col("rank")
@@ -86,8 +88,7 @@ def decision_columns(score: Column, supported: Column, rank: Column, t_answer: f
 def candidate_thresholds(scores: DataFrame, score: str = "top_score") -> DataFrame:
     """(t, gap): midpoints between consecutive distinct scores, and one threshold beyond either end."""
     d = scores.select(_score(F.col(score)).alias("s")).distinct()
-    order = Window.orderBy("s")  # distinct scores of an evaluation set: as many as it has questions
-    mids = d.withColumn("next", F.lead("s").over(order)).where("next is not null").select(((F.col("s") + F.col("next")) / 2).alias("t"), (F.col("next") - F.col("s")).alias("gap"))
+    mids = with_next(d, "s", "next").where("next is not null").select(((F.col("s") + F.col("next")) / 2).alias("t"), (F.col("next") - F.col("s")).alias("gap"))
     ends = d.agg(F.min("s").alias("lo"), F.max("s").alias("hi")).select(F.explode(F.array(F.col("lo") - 1e-3, F.col("hi") + 1e-3)).alias("t"), F.lit(0.0).alias("gap")).where("t is not null")
     return mids.unionByName(ends)
 
@@ -95,16 +96,15 @@ def candidate_thresholds(scores: DataFrame, score: str = "top_score") -> DataFra
 def cumulative(rows: DataFrame, score: str = "top_score") -> DataFrame:
     """Candidates (t, gap) with counts of scores at or above each: all, supported, supported and right, and totals.
 
-    One sort with running sums instead of a pass for each candidate.
+    One deal into ranges with running sums instead of a pass for each candidate; no task sees all scores.
     """
     sup, good = F.col("supported") == 1, (F.col("supported") == 1) & F.coalesce(_rank() == 1, F.lit(False))
     facts = rows.groupBy(_score(F.col(score)).alias("at")).agg(F.count("*").alias("n"), F.count_if(sup).alias("sup"), F.count_if(good).alias("good"))
     cands = candidate_thresholds(rows, score)
     both = facts.select("at", "n", "sup", "good", F.lit(None).cast("double").alias("gap")).unionByName(cands.select(F.col("t").alias("at"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("sup"), F.lit(0).cast("long").alias("good"), "gap"))
-    above = Window.orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy()
-    run = both.select("at", "gap", *(F.sum(c).over(above).alias(f"{c}_above") for c in ("n", "sup", "good")), *(F.sum(c).over(whole).alias(f"{c}_all") for c in ("n", "sup")))
-    return run.where("gap is not null").withColumnRenamed("at", "t")
+    whole = facts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_all"), F.coalesce(F.sum("sup"), F.lit(0)).alias("sup_all"))  # one row
+    run = running_sums(both, [F.desc("at")], {f"{c}_above": c for c in ("n", "sup", "good")}).crossJoin(F.broadcast(whole))
+    return run.where("gap is not null").select(F.col("at").alias("t"), "gap", "n_above", "sup_above", "good_above", "n_all", "sup_all")
 
 
 def fit_threshold(rows: DataFrame, score: str = "top_score") -> DataFrame:
@@ -144,8 +144,8 @@ def robustness(rows: DataFrame) -> DataFrame:
 
 
 def latency(rows: DataFrame, value: str, *by: str) -> DataFrame:
-    """Mean, median and 95th percentile (linear interpolation)."""
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("p50"), F.percentile(value, F.lit(0.95)).alias("p95"))
+    """Number, mean, median and 95th percentile (linear interpolation); a group holds a few numbers, whatever its size."""
+    return percentiles(rows, value, list(by), {"p50": 0.5, "p95": 0.95})
 
 
 def config_grid(spark, dense=(0.3, 0.4, 0.5, 0.6), char=(0.0, 0.15, 0.3), bm25=(0.0, 0.15, 0.3, 0.45), tcov=(0.0, 0.1, 0.2)) -> DataFrame:

@@ -43,6 +43,15 @@ def running_sums(df: DataFrame, order: list[Column], sums: dict[str, str], parts
     return own.join(F.broadcast(start), "_part").withColumns(added).drop("_part", *(f"_{name}" for name in sums))
 
 
+def with_next(df: DataFrame, column: str, name: str, parts: int | None = None) -> DataFrame:
+    """``df`` of distinct values with the next larger one of ``column``; null for the largest."""
+    rows = dealt(df, [F.col(column)], parts)
+    later = Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
+    after = rows.groupBy("_part").agg(F.min(column).alias("_least")).select("_part", F.min("_least").over(later).alias("_after"))  # one row a range
+    own = F.lead(column).over(Window.partitionBy("_part").orderBy(column))
+    return rows.withColumn("_own", own).join(F.broadcast(after), "_part").withColumn(name, F.coalesce("_own", "_after")).drop("_part", "_own", "_after")
+
+
 def percentiles(df: DataFrame, value: str, by: list[str], points: dict[str, float], rounds: int = 8, bins: int = 256) -> DataFrame:
     """(``by``, n, mean, a column for each of ``points``): exact percentiles with linear interpolation, by selection.
 

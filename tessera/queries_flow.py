@@ -8,10 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .functions import rules
 from .functions.vectors import trigram_encoder
 from .operators import answer, catalog, chunks, claims, evaluate, kb, retrieve
 from .plans import assist, engine
-from .queries import BM25, DOCS, EVAL, PAGES, TFIDF, chunk_rows, doc_records, doc_scores, eval_rows, page_records, query, questions, searchable, table
+from .queries import _INTENT, BM25, DOCS, EVAL, PAGES, TFIDF, chunk_rows, doc_records, doc_scores, eval_rows, normed, page_records, query, questions, searchable, table
 from .sources import pages as page_sources
 from .sources import records as readers
 from .sources import sinks
@@ -390,9 +391,24 @@ def search_lexical(spark, d):
     return hits.where("score >= 0.000001").select("query_id", "service_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query("SELECT CAST(item_id AS BIGINT) AS query_id, CASE WHEN item_id % 4 = 0 THEN 'insufficient_evidence' WHEN item_id % 4 = 1 THEN CASE WHEN item_id % 2 = 0 THEN 'related_services' ELSE 'insufficient_evidence' END WHEN item_id % 4 = 2 THEN 'partial_answer' ELSE 'grounded_answer' END AS mode FROM benchmark")
+_ASKED = "text || CASE item_id % 3 WHEN 0 THEN ' how much is the fee' WHEN 1 THEN ' how long does it take' ELSE '' END"
+
+
+@query(f"""WITH b AS (SELECT item_id, CASE WHEN item_id % 5 = 0 THEN 'tentative' WHEN item_id % 5 = 1 THEN 'insufficient' ELSE 'answered' END AS status, CASE item_id % 4 WHEN 1 THEN 'none' WHEN 2 THEN 'partial' WHEN 3 THEN 'full' END AS ans,
+  item_id % 2 = 0 AS related, item_id % 7 <> 0 AS scope, {normed(_ASKED)} AS n FROM benchmark),
+i AS (SELECT *, CASE {_INTENT} ELSE 'general' END AS intent FROM b),
+v AS (SELECT *, CASE WHEN intent = 'fees' AND item_id % 2 = 1 THEN 'Not verified from the available official evidence: the current fee' WHEN intent = 'time' THEN 'Not verified from the available official evidence: the processing time'
+  WHEN intent = 'documents' THEN 'Not verified from the available official evidence: the required documents' WHEN intent = 'requirements' THEN 'Not verified from the available official evidence: the eligibility requirements' END AS note,
+  CASE status WHEN 'answered' THEN 'grounded_answer' WHEN 'tentative' THEN 'possible_match' ELSE CASE WHEN related THEN 'related_services' ELSE 'insufficient_evidence' END END AS base FROM i)
+SELECT CAST(item_id AS BIGINT) AS query_id, coalesce(note, '') AS note, CASE WHEN NOT scope THEN 'insufficient_evidence' WHEN base IN ('grounded_answer', 'possible_match') AND ans = 'none' THEN 'related_services'
+  WHEN base = 'grounded_answer' AND (ans = 'partial' OR (ans IS NOT NULL AND note IS NOT NULL)) THEN 'partial_answer' ELSE base END AS mode FROM v""")
 def response_modes(spark, d):
-    """Modes after downgrades: out of scope, not answerable, partly answerable, answered."""
+    """Modes of all questions after downgrades; what a question asks for comes from its text, fees are verified for even ones."""
     i = F.col("item_id")
-    answerable = F.when(i % 4 == 1, "none").when(i % 4 == 2, "partial").otherwise("full")
-    return table(spark, d, "benchmark").select(i.cast("long").alias("query_id"), claims.response_mode(F.lit("answered"), i % 2 == 0, answerable, i % 4 != 0).alias("mode"))
+    asked = table(spark, d, "benchmark").select(i, F.concat("text", F.when(i % 3 == 0, " how much is the fee").when(i % 3 == 1, " how long does it take").otherwise("")).alias("q"))
+    status = F.when(i % 5 == 0, "tentative").when(i % 5 == 1, "insufficient").otherwise("answered")
+    answerable = F.when(i % 4 == 1, "none").when(i % 4 == 2, "partial").when(i % 4 == 3, "full")
+    verified = F.when(i % 2 == 0, F.array(F.lit("fees"))).otherwise(F.array(F.lit("steps")))
+    note = claims.unverified_note(rules.detect_intent(F.col("q")), verified, F.lit("en"))
+    notes = claims.unverified_notes(F.array().cast("array<string>"), note)
+    return asked.select(i.cast("long").alias("query_id"), F.coalesce(note, F.lit("")).alias("note"), claims.response_mode(status, i % 2 == 0, answerable, i % 7 != 0, notes).alias("mode"))

@@ -125,3 +125,11 @@ def test_index_sink(spark, tmp_path):
         sinks.read_index(spark, f"{tmp_path}/i", ["chunks"], "other")
     sinks.write_csv(c.selectExpr("service_id", "array(text) as a"), f"{tmp_path}/csv")
     assert spark.read.csv(f"{tmp_path}/csv", header=True, escape="\"").first().a == '["t"]'
+
+
+def test_frames_are_told_by_exact_case():
+    """SharePoint's own classes hold "Share" and wrap whole pages; only lower-case parts mark a frame."""
+    page = "<div class='SharePointZone Related'><main><h1>T</h1><h2>Fees</h2><p>20 riyals</p><div class='social-share'><h2>Steps</h2><p>Click</p></div><div id='Related1'><h2>Duration</h2><p>3 days</p></div><div id='unrelated'><h2>Notes</h2><p>Other</p></div></main></div>"
+    assert pages.parse_labelled_page(page) == {"title": "T", "fees": "20 riyals", "processing_time": "3 days"}
+    whole = "<main class='SharePointZone'><div class='SharePointZone'><h1>T</h1><h2>Fees</h2><p>20 riyals</p></div></main>"
+    assert pages.parse_labelled_page(whole)["fees"] == "20 riyals"
