@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import regex
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,10 +33,41 @@ def expansion_rules() -> list[tuple[str, str]]:
     return [(_bounded(a, False), t) for a, t in fixed.EXPAND_EN] + [(_bounded(a, True), fold(t)) for a, t in fixed.EXPAND_AR]
 
 
+_EDGE = r"[\p{L}\p{N}_؀-ۿ]"
+
+
+def phrase_table() -> tuple[dict[str, list[int]], list[str], int]:
+    """(rules by phrase, official terms by rule, most words of a phrase); a phrase begins and ends within a word."""
+    rows = [(a, t) for a, t in fixed.EXPAND_EN] + [([fold(x) for x in a], fold(t)) for a, t in fixed.EXPAND_AR]
+    table: dict[str, list[int]] = {}
+    for k, (alternatives, _) in enumerate(rows):
+        for phrase in alternatives:
+            table.setdefault(phrase, []).append(k)
+    words = lambda x: len(regex.findall(_EDGE + "+", x))
+    if odd := [x for x in table if not regex.fullmatch(f"{_EDGE}(.*{_EDGE})?", x)]:
+        raise ValueError(f"phrases must begin and end within a word: {odd}")
+    return table, [t for _, t in rows], max(map(words, table))
+
+
 def expansions(q: Column) -> Column:
-    """Official terms to append, in rule order, each once."""
-    rules = expansion_rules()
-    return once(F.lower(normalize_arabic(q)), lambda t: F.array_distinct(F.array_compact(F.array(*(F.when(F.rlike(t, F.lit(p)), F.lit(a)) for p, a in rules)))))
+    """Official terms to append, in rule order, each once.
+
+    A text is cut into words and what stands between them; every run of words up to the longest phrase is looked up in
+    one set. The cost depends on the text's words, not on the number of rules.
+    """
+    table, official, most = phrase_table()
+    rule = F.create_map(*(x for p, ks in table.items() for x in (F.lit(p), F.array(*(F.lit(k) for k in ks)))))
+    terms = F.array(*(F.lit(t) for t in official))
+
+    def runs_of(parts: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(parts)), lambda i: F.coalesce(F.rlike(F.get(parts, i), F.lit("^" + _EDGE)), F.lit(False)))
+        each = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.lit(2 * most - 1), F.lit(2)), lambda k: F.array_join(F.slice(parts, i + 1, k), ""))))
+        found = F.filter(each, lambda g: g.isin(*table))
+        rules = F.array_sort(F.array_distinct(F.flatten(F.transform(found, lambda g: rule[g]))))
+        return F.array_distinct(F.transform(rules, lambda k: F.get(terms, k)))
+
+    text = F.coalesce(F.lower(normalize_arabic(q)), F.lit(""))
+    return once(F.regexp_extract_all(text, F.lit(f"{_EDGE}+|[^{_EDGE[1:]}+"), F.lit(0)), runs_of)
 
 
 def expand_query(q: Column) -> Column:

@@ -55,6 +55,14 @@ def agencies(records: DataFrame) -> DataFrame:
     return out.select("code", F.col("agency_en").alias("name_en"), F.col("agency_ar").alias("name_ar"), "domain", "services").orderBy(F.desc("services"), "code")
 
 
+def corpus_coverage(records: DataFrame) -> DataFrame:
+    """(agency, records, with_arabic, with_english): by agency, and the total as the row without one."""
+    agency = F.coalesce(*(F.when(~missing(F.col(c)), F.col(c)) for c in ("agency_en", "agency_ar")), F.lit(""))
+    filled = lambda c: F.count_if(~missing(F.col(c)))
+    rows = records.select(agency.alias("agency"), "title_ar", "title_en")
+    return rows.rollup("agency").agg(F.count("*").alias("records"), filled("title_ar").alias("with_arabic"), filled("title_en").alias("with_english"))
+
+
 def coverage_chart(coverage: DataFrame) -> DataFrame:
     """(field, n) as (field, lang, n): the language is the suffix of the name."""
     return coverage.select(F.regexp_replace("field", "_(en|ar)$", "").alias("field"), F.right("field", F.lit(2)).alias("lang"), "n")

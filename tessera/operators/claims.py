@@ -56,6 +56,22 @@ def rejection_summary(checked: DataFrame) -> DataFrame:
     return checked.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
 
 
+def run_summary(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One row of totals of a run, and (reason, n) of its rejections.
+
+    ``rows`` has a row for each question: kind, mode, text_origin, calls, tokens_in, tokens_out, seconds, proposed,
+    rejected, language_ok, error and rejections (map of reason to number). Nulls count as nothing.
+    """
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    one = rows.agg(
+        F.count("*").alias("questions"), *(total(c) for c in ("calls", "tokens_in", "tokens_out", "proposed", "rejected")), F.count_if(F.col("text_origin") != "official_verbatim").alias("written_answers"),
+        F.count_if(F.col("error").isNotNull()).alias("fallbacks"), F.count_if("language_ok").alias("language_ok"), F.count_if(F.col("mode") == "partial_answer").alias("partial_answers"),
+        F.count_if((F.col("kind") == "unsupported") & F.col("mode").isin("grounded_answer", "partial_answer")).alias("unsupported_answered"), F.avg("seconds").alias("mean_seconds"),
+    )
+    reasons = rows.select(F.explode("rejections").alias("reason", "k")).groupBy("reason").agg(F.sum("k").alias("n"))
+    return one, reasons
+
+
 def unverified_note(intent: Column, verified: Column, lang: Column) -> Column:
     """The note that what a question asks for stands in no verified field; null where it does, or asks for none."""
     out = F.when(F.lit(False), "")

@@ -106,3 +106,20 @@ def lexicon_words(spark) -> DataFrame:
     """Distinct words of the expansion rules, to be united with a corpus vocabulary."""
     rows = [(t,) for phrases, official in (*fixed.EXPAND_EN, *fixed.EXPAND_AR) for t in (*phrases, official)]
     return spark.createDataFrame(rows, "t string").select(F.explode(words(F.col("t"))).alias("word")).distinct()
+
+
+def encoded(questions: DataFrame, path: str, encode, text: str = "query") -> DataFrame:
+    """``questions`` with ``qvec``: texts are encoded once and kept at ``path`` (digest, qvec) for later batches.
+
+    ``encode`` makes (digest, qvec) from (digest, text) of the texts that are not there yet, each once. Several runs may
+    add the same text; one of its vectors is taken. A null text has no vector.
+    """
+    spark = questions.sparkSession
+    shape = "digest string, qvec array<double>"
+    spark.createDataFrame([], shape).write.mode("ignore").parquet(path)
+    asked = questions.withColumn("digest", F.sha2(text, 256))
+    stored_ = spark.read.schema(shape).parquet(path)
+    new = asked.where("digest is not null").select("digest", F.col(text).alias("text")).dropDuplicates(["digest"]).join(stored_.select("digest"), "digest", "left_anti")
+    encode(new).select("digest", F.col("qvec").cast("array<double>").alias("qvec")).write.mode("append").parquet(path)
+    every = spark.read.schema(shape).parquet(path).groupBy("digest").agg(F.any_value("qvec").alias("qvec"))
+    return asked.join(every, "digest", "left").drop("digest")

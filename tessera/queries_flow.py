@@ -12,7 +12,7 @@ from .functions import rules
 from .functions.vectors import trigram_encoder
 from .operators import answer, catalog, chunks, claims, evaluate, kb, retrieve
 from .plans import assist, engine
-from .queries import _INTENT, BM25, DOCS, EVAL, PAGES, TFIDF, chunk_rows, doc_records, doc_scores, eval_rows, normed, page_records, query, questions, searchable, table
+from .queries import _INTENT, BM25, DOCS, EVAL, PAGES, TFIDF, _sql_expansions, chunk_rows, doc_records, doc_scores, eval_rows, lit, normed, page_records, query, questions, searchable, table
 from .sources import pages as page_sources
 from .sources import records as readers
 from .sources import sinks
@@ -146,13 +146,12 @@ def capture_stats(spark, d):
     return page_sources.page_stats(page_sources.with_supplement(*_capture(spark, d)))
 
 
-@query(f"WITH {_CAPTURE} SELECT id, lang FROM p WHERE NOT good")
+@query(f"WITH {_CAPTURE} SELECT DISTINCT id, lang FROM p WHERE NOT good")
 def capture_pending(spark, d):
     """What is still to be captured: pages without a good capture."""
     main, _ = _capture(spark, d)
-    key = ["id", "lang"]
     rows = main.withColumn("id", F.lower("id"))
-    return rows.select(*key).join(rows.where("http_status = '200'").select(*key), key, "left_anti")
+    return page_sources.still_to_capture(rows, rows, "id", "lang")
 
 
 @query(r"SELECT page_id, regexp_replace(trim(replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), '[ \t]+', ' ', 'g') AS title FROM pages")
@@ -412,3 +411,98 @@ def response_modes(spark, d):
     note = claims.unverified_note(rules.detect_intent(F.col("q")), verified, F.lit("en"))
     notes = claims.unverified_notes(F.array().cast("array<string>"), note)
     return asked.select(i.cast("long").alias("query_id"), F.coalesce(note, F.lit("")).alias("note"), claims.response_mode(status, i % 2 == 0, answerable, i % 7 != 0, notes).alias("mode"))
+
+
+_INJECTED = ["Start", "Service level agreement", "Service Fees", "Duration of service", "Pay Methods", "Beneficiary Group", "To contact us", "Last Modified 2026"]
+
+
+@query(rf"""WITH raw AS (SELECT page_id, list_filter(list_transform(string_split(regexp_replace(html, '<[^>]+>', chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: x <> '') AS ls FROM pages),
+l AS (SELECT page_id, pos, CASE WHEN pos % 5 = 0 THEN {_INJECTED!r}[1 + CAST((pos // 5) % {len(_INJECTED)} AS INTEGER)] ELSE ls[pos + 1] END AS line FROM (SELECT page_id, ls, unnest(range(len(ls))) AS pos FROM raw)),
+k AS (SELECT *, CASE WHEN line IN ('Start', 'ابدأ الخدمة') THEN 'start' WHEN regexp_matches(line, {lit(page_sources.CATALOGUE_SLA)}) OR line IN ({', '.join(lit(x) for x in sorted(page_sources.CATALOGUE_TABS))}) THEN 'opens'
+  WHEN line IN ({', '.join(lit(x) for x in page_sources.CATALOGUE_LABELS)}) THEN 'label' WHEN regexp_matches(line, '^(Related Services|خدمات ذات صلة)') THEN 'others' WHEN regexp_matches(line, {lit(page_sources.CATALOGUE_STOP)}) THEN 'closes' ELSE 'text' END AS kind FROM l),
+p AS (SELECT *, min(pos) FILTER (kind = 'start') OVER (PARTITION BY page_id) AS s, min(pos) FILTER (kind = 'opens') OVER (PARTITION BY page_id) AS o, lag(line) OVER (PARTITION BY page_id ORDER BY pos) AS prev FROM k),
+q AS (SELECT *, min(pos) FILTER (kind = 'others' AND pos >= coalesce(o, 0)) OVER (PARTITION BY page_id) AS e, min(pos) FILTER (pos > s AND pos < o AND length(line) > 60) OVER (PARTITION BY page_id) AS pr FROM p),
+r AS (SELECT *, pos >= coalesce(o, 0) AND (e IS NULL OR pos < e) AS live FROM q),
+t AS (SELECT *, last_value(CASE WHEN live AND kind IN ('label', 'closes') THEN CASE kind WHEN 'label' THEN line ELSE '' END END IGNORE NULLS) OVER w AS lab, last_value(CASE WHEN live AND kind IN ('label', 'closes') THEN pos END IGNORE NULLS) OVER w AS lab_at FROM r WINDOW w AS (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+u AS (SELECT *, max(CASE WHEN live AND kind = 'label' THEN pos END) OVER (PARTITION BY page_id, lab) AS last_at FROM t),
+h AS (SELECT *, live AND kind NOT IN ('label', 'closes') AND lab <> '' AND lab_at = last_at AND line NOT IN ({', '.join(lit(x) for x in sorted(page_sources.CATALOGUE_TABS))}) AS held FROM u)
+SELECT page_id, md5(concat_ws('|', coalesce(min_by(line, pos) FILTER (line = prev AND length(line) > 3), ''), coalesce(string_agg(line, ' · ' ORDER BY pos) FILTER (pos > s AND pos < o AND pos < coalesce(pr, 1e18)), ''), coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (pos > s AND pos < o AND pos >= pr), ''),
+  {", ".join(f"coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (held AND lab = {lit(x)}), '')" for x in ("Beneficiary Group", "Duration of service", "Service Fees"))},
+  coalesce(max_by(trim(regexp_extract(line, '^Last Modified\s*(.+)$', 1)), pos) FILTER (starts_with(line, 'Last Modified')), ''))) AS digest, count(*) FILTER (held AND lab <> 'Pay Methods') AS held FROM h GROUP BY page_id""")
+def catalogue_lines(spark, d):
+    """Fields of all pages' lines by the state machine of catalogue articles; every fifth line is one of its marks here."""
+    texts = F.filter(F.transform(F.split(F.regexp_replace("html", "<[^>]+>", "\n"), "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " "))), lambda x: x != "")
+    rows = table(spark, d, "pages").select("page_id", F.posexplode(texts).alias("pos", "line")).withColumn("pos", F.col("pos").cast("long"))
+    mark = F.get(F.array(*(F.lit(x) for x in _INJECTED)), F.floor(F.col("pos") / 5).cast("int") % len(_INJECTED))
+    got = page_sources.catalogue_fields(rows.withColumn("line", F.when(F.col("pos") % 5 == 0, mark).otherwise(F.col("line"))), "page_id")
+    parts = [F.coalesce(c, F.lit("")) for c in ("title", "category", "description", "target_audience", "processing_time", "fees", "source_last_modified")]
+    lines = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(F.split(c, "\n")))
+    return got.select("page_id", F.md5(F.concat_ws("|", *parts).cast("binary")).alias("digest"), (lines("target_audience") + lines("processing_time") + lines("fees")).cast("long").alias("held"))
+
+
+@query("WITH r AS (SELECT source AS agency, CASE WHEN doc_id % 3 = 0 THEN text END AS ar, 'Document ' || doc_id AS en FROM documents) SELECT agency, count(*) AS records, count(nullif(trim(ar), '')) AS with_arabic, count(en) AS with_english FROM r GROUP BY ROLLUP (agency)")
+def corpus_coverage(spark, d):
+    """Records and languages by agency; every third document has a title in the second language here."""
+    return catalog.corpus_coverage(doc_records(spark, d).withColumn("title_ar", F.when(F.col("_order") % 3 == 0, F.col("description_en"))))
+
+
+_RUN = """b AS (SELECT conv_id, turn, length(text) AS n, conv_id % 5 AS k, CASE WHEN conv_id % 7 = 0 THEN 'timeout' END AS error FROM conversations WHERE role = 'user')"""
+
+
+@query(f"""WITH {_RUN}, u AS (SELECT 'questions' AS measure, CAST(count(*) AS DOUBLE) AS value FROM b UNION ALL SELECT 'calls', sum(1 + k % 2) FROM b UNION ALL SELECT 'tokens_in', sum(n) FROM b UNION ALL SELECT 'rejected', sum(k) FROM b UNION ALL SELECT 'fallbacks', count(error) FROM b
+  UNION ALL SELECT 'partial_answers', count(*) FILTER (n % 3 = 1) FROM b UNION ALL SELECT 'mean_seconds', round(avg(n / 10.0), 6) FROM b UNION ALL SELECT 'reason:numbers', sum(k) FROM b UNION ALL SELECT 'reason:address', sum(1) FROM b WHERE n % 2 = 0)
+SELECT measure, CAST(value AS DOUBLE) AS value FROM u""")
+def run_summary(spark, d):
+    """Totals of a run over all user turns, whose lengths stand for tokens and seconds."""
+    n, k = F.length("text"), (F.col("conv_id") % 5).cast("int")
+    reasons = F.map_filter(F.create_map(F.lit("numbers"), k, F.lit("address"), F.lit(1)), lambda name, v: (name == "numbers") | (n % 2 == 0))
+    rows = table(spark, d, "conversations").where("role = 'user'").select(
+        F.lit("answer").alias("kind"), F.when(n % 3 == 1, "partial_answer").otherwise("grounded_answer").alias("mode"), F.lit("official_verbatim").alias("text_origin"), (1 + k % 2).alias("calls"), n.alias("tokens_in"), F.lit(0).alias("tokens_out"),
+        (n / 10).alias("seconds"), F.lit(1).alias("proposed"), k.alias("rejected"), F.lit(True).alias("language_ok"), F.when(F.col("conv_id") % 7 == 0, "timeout").alias("error"), reasons.alias("rejections"),
+    )
+    one, why = claims.run_summary(rows)
+    wide = one.select(*(F.col(c).cast("double").alias(c) for c in ("questions", "calls", "tokens_in", "rejected", "fallbacks", "partial_answers")), F.round("mean_seconds", 6).alias("mean_seconds"))
+    return wide.unpivot([], wide.columns, "measure", "value").unionByName(why.select(F.concat(F.lit("reason:"), "reason").alias("measure"), F.col("n").cast("double").alias("value")))
+
+
+def _lexical_sql(where: str) -> str:
+    return f"WITH {TFIDF}, s AS (SELECT query_id, c.service_id, chunk_id, score FROM chars JOIN c USING (chunk_id) WHERE {where}), b AS (SELECT query_id, service_id, round(max(score), 6) AS score FROM s GROUP BY ALL) SELECT query_id, service_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, service_id) AS rank FROM b) WHERE rank <= 5 AND score >= 0.000001"
+
+
+def _lexical(spark, d, **more):
+    have = searchable(spark, d)
+    rows = have["rows"].withColumn("lang", F.when(F.col("chunk_id") % 2 == 0, "en").otherwise("ar"))
+    hits = retrieve.search(questions(spark, d), have | {"rows": rows}, {"method": "lexical"}, digits=(6, 6, 6), n=0, **more)
+    return hits.where("score >= 0.000001").select("query_id", "service_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(_lexical_sql("c.turn % 2 = 1"))
+def search_one_language(spark, d):
+    """Search among the chunks of one language only, here the odd turns."""
+    return _lexical(spark, d, langs=["ar"])
+
+
+@query(_lexical_sql("c.turn <> 0"))
+def search_without_titles(spark, d):
+    """Search that leaves title chunks out, here the first turns."""
+    return _lexical(spark, d, titles=False)
+
+
+_WORDED = "item_id, text || CASE item_id % 3 WHEN 0 THEN ' business name' WHEN 1 THEN ' shop name booking' ELSE '' END AS text"
+_EXPANDED = "SELECT item_id, CASE WHEN len(adds) > 0 THEN text || ' ' || array_to_string(adds, ' ') ELSE text END AS text FROM (SELECT item_id, text, " + _sql_expansions() + f" AS adds FROM (SELECT *, lower(text) AS q FROM (SELECT {_WORDED} FROM benchmark)))"
+
+
+def _top_sql(name: str, source: str) -> str:
+    block = TFIDF.replace("FROM benchmark", f"FROM ({source})")
+    return f"{name} AS (WITH {block} SELECT query_id, arg_min(service_id, rank) AS top, max(score) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, service_id) AS rank FROM (SELECT query_id, c.service_id, round(max(score), 6) AS score FROM chars JOIN c USING (chunk_id) GROUP BY ALL)) WHERE rank = 1 GROUP BY query_id)"
+
+
+@query(f"WITH {_top_sql('a', _EXPANDED)}, {_top_sql('b', f'SELECT {_WORDED} FROM benchmark')} SELECT query_id, a.top AS with_expansion, b.top AS without_expansion, a.score AS score_with, b.score AS score_without FROM a JOIN b USING (query_id)")
+def expansion_ablation(spark, d):
+    """The best service with the lexicon's terms appended and without, by the lexical signal."""
+    i = F.col("query_id")
+    q = questions(spark, d).withColumn("query", F.concat("query", F.when(i % 3 == 0, " business name").when(i % 3 == 1, " shop name booking").otherwise("")))
+    have = searchable(spark, d)
+    top = lambda on: retrieve.search(q, have, {"method": "v2", "w_dense": 0.0, "w_char": 1.0, "w_bm25": 0.0, "w_tcov": 0.0, "expand": on}, k=1, n=0, digits=(6, 6, 6)).select("query_id", "service_id", "score")
+    a, b = top(True).withColumnsRenamed({"service_id": "with_expansion", "score": "score_with"}), top(False).withColumnsRenamed({"service_id": "without_expansion", "score": "score_without"})
+    return a.join(b, "query_id")

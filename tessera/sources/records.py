@@ -9,7 +9,6 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +16,7 @@ from pyspark.sql import types as T
 from ..functions import fixed
 from ..functions.text import clean_text, domain_of
 from .html import title_and_text
+from .xlsx import read_sheet
 
 FIELDS = [*fixed.PLAIN, *(f"{f}_{lang}" for f in fixed.BILINGUAL for lang in ("en", "ar"))]
 SCHEMA = T.StructType([*(T.StructField(f, T.StringType()) for f in FIELDS), T.StructField("extra", T.StringType())])
@@ -92,7 +92,8 @@ def read_open_data(spark: SparkSession, path: str, mapping: str | dict | None =
         df = spark.read.json(path, multiLine=True)
         df = df.select(F.explode("records").alias("r")).select("r.*") if df.columns == ["records"] else df
     else:
-        df = spark.createDataFrame(pd.read_excel(path.removeprefix("file://"), dtype=str).astype(object).where(lambda x: x.notna(), None))
+        cells = read_sheet(spark, path)
+        df = cells.select(*(F.col("cells")[name].alias(name) for name in dict.fromkeys([spec["id_column"], *spec["columns"]])))
     digest = F.lit(None).cast("string")
     raw = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()
     if raw:

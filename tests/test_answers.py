@@ -108,3 +108,48 @@ def test_thresholds(spark):
     assert sum(s < t.t_tentative for s in uns) / 4 >= 0.75 and all(s >= t.t_tentative for s, sup, _ in rows if sup) and t.t_answer >= t.t_tentative
     assert evaluate.fit_threshold(df).first().t == pytest.approx(0.55)
     assert evaluate.threshold_curve(df).count() == 60
+
+
+def test_modes_and_notes_after_a_reply(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import claims
+
+    rows = [  # status, related, answerable, in scope, notes: mode
+        ("answered", False, "full", True, [], "grounded_answer"), ("answered", False, "full", True, ["x"], "partial_answer"), ("answered", False, "partial", True, [], "partial_answer"),
+        ("answered", False, None, True, ["x"], "grounded_answer"), ("answered", False, "none", True, [], "related_services"), ("tentative", False, "partial", True, ["x"], "possible_match"),
+        ("tentative", False, "none", True, [], "related_services"), ("answered", True, "full", False, [], "insufficient_evidence"), ("insufficient", True, None, True, [], "related_services"), ("insufficient", False, None, True, [], "insufficient_evidence"),
+    ]
+    df = spark.createDataFrame(rows, "s string, r boolean, a string, i boolean, n array<string>, want string")
+    got = df.select("want", claims.response_mode(F.col("s"), F.col("r"), F.col("a"), F.col("i"), F.col("n")).alias("mode")).collect()
+    assert [r["mode"] for r in got] == [r.want for r in got]
+    notes = spark.createDataFrame([("fees", ["fees"], "en"), ("fees", ["steps"], "en"), ("time", None, "ar"), ("general", [], "en"), (None, [], "en")], "intent string, verified array<string>, lang string")
+    got = [r[0] for r in notes.select(claims.unverified_note(F.col("intent"), F.col("verified"), F.col("lang"))).collect()]
+    assert got[0] is None and got[1].endswith("the current fee") and got[2].endswith("مدة التنفيذ") and got[3:] == [None, None]
+    once = notes.limit(1).select(claims.unverified_notes(F.array(F.lit("a"), F.lit("b")), F.lit("b")), claims.unverified_notes(F.array(F.lit("a")), F.lit("b")), claims.unverified_notes(F.lit(None).cast("array<string>"), F.lit(None).cast("string"))).first()
+    assert [list(x) for x in once] == [["a", "b"], ["b", "a"], []]
+
+
+def test_run_summary_and_encoded_questions(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import claims, index
+
+    shape = "kind string, mode string, text_origin string, calls int, tokens_in int, tokens_out int, seconds double, proposed int, rejected int, language_ok boolean, error string, rejections map<string,int>"
+    rows = [("gap", "partial_answer", "ai", 2, 10, None, 1.0, 3, 1, True, None, {"numbers": 1}), ("unsupported", "grounded_answer", "official_verbatim", None, 5, 1, 2.0, 0, 0, False, "timeout", None)]
+    one, why = claims.run_summary(spark.createDataFrame(rows, shape))
+    r = one.first()
+    assert (r.questions, r.calls, r.tokens_in, r.tokens_out, r.written_answers, r.fallbacks, r.language_ok, r.partial_answers, r.unsupported_answered, r.mean_seconds) == (2, 2, 15, 1, 1, 1, 1, 1, 1, 1.5)
+    assert [tuple(x) for x in why.collect()] == [("numbers", 1)]
+
+    asked = []
+
+    def encode(new):
+        asked.append(new.count())
+        return new.select("digest", F.array(F.length("text").cast("double")).alias("qvec"))
+
+    q = spark.createDataFrame([(1, "ab"), (2, "ab"), (3, None), (4, "abc")], "query_id int, query string")
+    for _ in range(2):
+        got = {r.query_id: r.qvec for r in index.encoded(q, f"file://{tmp_path}/store", encode).collect()}
+        assert got == {1: [2.0], 2: [2.0], 3: None, 4: [3.0]}
+    assert asked == [2, 0]

@@ -133,3 +133,106 @@ def test_frames_are_told_by_exact_case():
     assert pages.parse_labelled_page(page) == {"title": "T", "fees": "20 riyals", "processing_time": "3 days"}
     whole = "<main class='SharePointZone'><div class='SharePointZone'><h1>T</h1><h2>Fees</h2><p>20 riyals</p></div></main>"
     assert pages.parse_labelled_page(whole)["fees"] == "20 riyals"
+
+
+ARTICLE = """Home
+Trade Name Reservation
+Trade Name Reservation
+Start
+Commerce
+Permits
+This service lets the owner of a business reserve a name for it before it is registered with the ministry.
+More about it.
+Service level agreement
+Steps
+Service Fees
+first value that a later label replaces
+Beneficiary Group
+Companies
+Individuals
+Service Fees
+200 riyals
+Steps
+a year
+Pay Methods
+Card
+Duration of service
+To contact us call the unified number
+199099 or 8001
+info@mc.gov.sa
+Last Modified 12/01/2026
+The service is provided in
+Arabic
+Related Services
+Service Fees
+not ours"""
+
+
+def test_catalogue_lines_as_windows(spark):
+    """The plan over lines gives what the page parser gives, for every article of a table at once."""
+    variants = [ARTICLE, ARTICLE.replace("Trade Name Reservation\n", "", 1), ARTICLE.replace("Service level agreement\n", "").replace("Steps\n", ""), ARTICLE.replace("Start\n", ""), "one line", "Service Fees\nFree\nDownload\nService Fees\nLast Modified x\nLast Modified y", "Related Services\nService Fees\nFree"]
+    rows = [(k, None if k % 2 else "Page | Site name", i, x) for k, v in enumerate(variants) for i, x in enumerate(v.split("\n"))]
+    df = spark.createDataFrame(rows, "id int, own string, pos long, line string").repartition(3)
+    got = {r.id: r.asDict() for r in pages.catalogue_fields(df, "id", title="own").collect()}
+    for k, v in enumerate(variants):
+        want = pages.parse_catalogue_page("".join(f"<p>{x}</p>" for x in v.split("\n")), None if k % 2 else "Page | Site name")
+        assert {f: got[k][f] for f in got[k] if f not in ("id",)} == {f: want.get(f) for f in got[k] if f != "id"}, k
+    assert pages.catalogue_fields(df.limit(0), "id").count() == 0
+
+
+def test_still_to_capture(spark):
+    wanted = spark.createDataFrame([("a", "en"), ("a", "ar"), ("b", "en"), ("b", "en")], "id string, lang string")
+    captured = spark.createDataFrame([("a", "en", 200), ("a", "ar", 404), (None, "en", 200)], "id string, lang string, http_status int")
+    assert sorted(map(tuple, pages.still_to_capture(wanted, captured, "id", "lang").collect())) == [("a", "ar"), ("b", "en")]
+
+
+def workbook(path, rows, shared=True, sheet="xl/worksheets/sheet1.xml"):
+    """A workbook of one sheet; texts as shared or inline strings, numbers as they are."""
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    strings, body = [], []
+    for i, row in enumerate(rows, 1):
+        cells = []
+        for ref, v in row.items():
+            if isinstance(v, str) and shared:
+                cells.append(f'<c r="{ref}{i}" t="s"><v>{len(strings)}</v></c>')
+                strings.append(f"<si><r><t>{escape(v[:1])}</t></r><r><t>{escape(v[1:])}</t></r><rPh><t>no</t></rPh></si>" if len(v) % 2 else f"<si><t>{escape(v)}</t></si>")
+            elif isinstance(v, str):
+                cells.append(f'<c r="{ref}{i}" t="inlineStr"><is><t>{escape(v)}</t></is></c>')
+            else:
+                cells.append(f'<c r="{ref}{i}"><f>1+1</f><v>{v}</v></c>')
+        body.append(f'<row r="{i}">{"".join(cells)}</row>')
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="Data" sheetId="1" r:id="rId7"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId7" Target="{sheet.removeprefix("xl/")}"/></Relationships>')
+        z.writestr(sheet, f'<worksheet xmlns="{main}"><sheetData>{"".join(body)}</sheetData></worksheet>')
+        if shared:
+            z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}">{"".join(strings)}</sst>')
+
+
+@pytest.mark.parametrize("shared", [True, False])
+def test_workbooks(spark, tmp_path, shared):
+    from tessera.sources import xlsx
+
+    rows = [{"A": "nr", "B": "name", "AA": "name", "AB": "fee"}, {"A": 5, "B": "Open & free", "AB": 12.5}, {}, {"A": 6, "AA": "second", "AC": "beyond"}, {"B": ""}, {"A": 7, "B": "خدمة"}]
+    workbook(f"{tmp_path}/od.xlsx", rows, shared)
+    got = xlsx.read_sheet(spark, f"file://{tmp_path}/od.xlsx", "Data").orderBy("row").collect()
+    assert [r.cells for r in got] == [{"nr": "5", "name": "Open & free", "fee": "12.5"}, {"nr": "6", "name_2": "second"}, {"nr": "7", "name": "خدمة"}]
+    (tmp_path / "od.map.json").write_text(json.dumps({"columns": {"name": "title_en"}, "id_column": "nr", "dataset_url": "https://data.gov.sa/d", "downloaded_at": "2026-01-01", "license": "open"}))
+    o = {r.service_id: r for r in records.read_open_data(spark, f"{tmp_path}/od.xlsx").collect()}
+    assert {k: r.title_en for k, r in o.items()} == {"od-od-5": "Open & free", "od-od-6": None, "od-od-7": "خدمة"} and len(o["od-od-5"].source_sha256) == 64
+    workbook(f"{tmp_path}/none.xlsx", [], shared)
+    assert xlsx.read_sheet(spark, f"file://{tmp_path}/none.xlsx").count() == 0
+    with pytest.raises(Exception, match="no sheet"):
+        xlsx.read_sheet(spark, f"file://{tmp_path}/od.xlsx", "Other").collect()
+
+
+def test_large_workbook(spark, tmp_path):
+    from tessera.sources import xlsx
+
+    workbook(f"{tmp_path}/large.xlsx", [{"A": "id", "B": "text"}] + [{"A": k, "B": f"row {k} " + "x" * 40} for k in range(30_000)])
+    got = xlsx.read_sheet(spark, f"file://{tmp_path}/large.xlsx").selectExpr("count(*) AS n", "sum(CAST(cells['id'] AS long)) AS s", "max(row) AS last").first()
+    assert (got.n, got.s, got.last) == (30_000, 30_000 * 29_999 // 2, 29_999)

@@ -107,3 +107,25 @@ def test_vectors(spark):
 def test_trigram_encoder(spark):
     rows = vectors.trigram_encoder(spark.createDataFrame([(1, "visa visa"), (2, "")], "k int, t string"), "k", "t").collect()
     assert sum(r.w**2 for r in rows if r.k == 1) == pytest.approx(1)
+
+
+def test_expansions_are_those_of_the_patterns(spark):
+    """Phrases looked up word by word give what the rules' patterns give."""
+    import random
+
+    import regex
+    from pyspark.sql import functions as F
+
+    from tessera.functions import rules
+    from tessera.functions.text import normalize_arabic
+
+    rnd = random.Random(5)
+    table, _, _ = rules.phrase_table()
+    phrases = sorted(table)
+    bits = [*phrases, "x", "business", " name", "the", "_", "é", "ة", "-", "  ", "'", "9"]
+    texts = ["", None, "Business Name?", "businessname", "shop  name", "a shop name9", "(booking)"] + ["".join(rnd.choice(bits) + rnd.choice([" ", " ", "", "-", "? ", "\n"]) for _ in range(rnd.choice([1, 3, 8]))) for _ in range(250)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = {r.k: (r.n, r.e) for r in df.select("k", F.lower(normalize_arabic(F.col("t"))).alias("n"), rules.expansions(F.col("t")).alias("e")).collect()}
+    for k in range(len(texts)):
+        n, e = got[k]
+        assert e == list(dict.fromkeys(add for p, add in rules.expansion_rules() if regex.search(p, n or ""))), texts[k]
