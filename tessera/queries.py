@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import fixed, rules, text
 from .functions.text import char_ngrams
 from .functions.vectors import trigram_encoder
-from .operators import answer, catalog, chunks, claims, evaluate, index, kb, retrieve, scan
+from .operators import answer, catalog, chunks, claims, evaluate, index, kb, postings, retrieve, scan
 from .sources import pages as page_sources
 from .sources.html import title_and_text
 from .sources.records import FIELDS
@@ -125,11 +125,16 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+def document_postings(spark: SparkSession, d: str) -> DataFrame:
+    """BM25 postings of all documents, in the order of documents as they are read by key."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return built(spark, f"{d}/documents.parquet", "documents-bm25", lambda: index.bm25_postings(docs, "doc_id", "text").sortWithinPartitions("term"))
+
+
 def doc_scores(spark: SparkSession, d: str) -> DataFrame:
     """(query_id, doc_id, source, score) of all questions against all documents by BM25."""
     docs = table(spark, d, "documents").select("doc_id", "text", "source")
-    postings = built(spark, f"{d}/documents.parquet", "documents-bm25", lambda: index.bm25_postings(docs, "doc_id", "text").sortWithinPartitions("term"))
-    scored = retrieve.bm25_scores(questions(spark, d), postings, key="doc_id")
+    scored = retrieve.bm25_scores(questions(spark, d), document_postings(spark, d), key="doc_id")
     return scored.withColumn("score", F.round("score", 6)).join(docs.select("doc_id", "source"), "doc_id")
 
 
@@ -453,16 +458,19 @@ def bm25_idf(spark, d):
 
 @query(f"WITH {BM25} SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm) WHERE rank <= 5")
 def bm25_topk(spark, d):
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return doc_scores(spark, d).select("query_id", "doc_id", "score", F.row_number().over(order).cast("long").alias("rank")).where("rank <= 5")
+    docs, have = f"{d}/documents.parquet", document_postings(spark, d)
+    blocks = built(spark, docs, "documents-blocks", lambda: postings.impact_blocks(have, "doc_id"))
+    best = postings.top_k(retrieve.bm25_queries(questions(spark, d)), blocks, have, 5, "doc_id", digits=6)
+    return best.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {TFIDF} SELECT query_id, chunk_id, s AS score, rank FROM (SELECT query_id, chunk_id, round(score, 6) AS s, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM chars) WHERE rank <= 5")
 def char_tfidf_topk(spark, d):
     have = chunk_index(spark, d, "tfidf", "idf")
-    postings, idf = have["tfidf"], have["idf"]
-    s = retrieve.char_scores(questions(spark, d), postings, idf).withColumn("score", F.round("score", 6))
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")).cast("long")).where("rank <= 5")
+    blocks = built(spark, f"{d}/conversations.parquet", "chunks-blocks", lambda: postings.impact_blocks(have["tfidf"]))
+    asked = index.tfidf_queries(questions(spark, d), have["idf"], "query_id", "query")
+    best = postings.top_k(asked, blocks, have["tfidf"], 5, digits=6)
+    return best.select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))), 6) AS score FROM v, v q WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id) SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5")
