@@ -16,6 +16,8 @@ from .textarrays import SOLID, Texts, ragged
 
 SEPARATOR = "\x01"
 CACHE_WORDS = 1_200_000
+#: New words that are tokenised at a time: each is an object until its ids are stored.
+LEARN = 1 << 14
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -37,7 +39,7 @@ class WordTokenizer:
     def _clear(self) -> None:
         self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
-        self.tiers = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in range(2)]
+        self.tiers = [(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)) for _ in range(2)]
 
     def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start, size = np.full(len(h), -1), np.zeros(len(h), np.int64)
@@ -67,7 +69,7 @@ class WordTokenizer:
         self.ids[self.used : self.used + total] = np.concatenate(lists)
         start = self.used + np.cumsum(size) - size
         self.used += total
-        recent = tuple(np.concatenate([x, y]) for x, y in zip(self.tiers[1], (h, start, size), strict=True))
+        recent = tuple(np.concatenate([x, y]) for x, y in zip(self.tiers[1], (h, start.astype(np.int32), size.astype(np.int32)), strict=True))
         if len(recent[0]) * 4 > len(self.tiers[0][0]):
             recent = tuple(np.concatenate([x, y]) for x, y in zip(self.tiers[0], recent, strict=True))
             self.tiers[0], recent = self._sorted(recent), tuple(x[:0] for x in recent)
@@ -91,7 +93,9 @@ class WordTokenizer:
         if len(new):
             raw = texts.buf.tobytes()
             a, b = s[first[new]].tolist(), e[first[new]].tolist()
-            self._learn(h[new], [raw[x:y].decode() for x, y in zip(a, b, strict=True)])
+            for k in range(0, len(new), LEARN):
+                self._learn(h[new[k : k + LEARN]], [raw[x:y].decode() for x, y in zip(a[k : k + LEARN], b[k : k + LEARN], strict=True)])
+            del raw, a, b
             start, size = self._find(h)
         n = size[back]
         ids = self.ids[ragged(start[back], n)]
