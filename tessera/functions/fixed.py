@@ -17,8 +17,8 @@ LABELS = {
 }
 
 # --- fixed values: tokens -----------------------------------------------------------------------------------------
-STOP_EN = "the a an of to for in on and or is are be my i me do does how can what where who which with by at it this that from as your you want need get please about should would will am if there any we".split()
-STOP_AR = "كيف ما ماذا هل من في على الى عن او ان انا ابغي ابي ودي وش ايش هذا هذه التي الذي مع لي كم متي اين وين".split()
+STOP_EN = ["the", "a", "an", "of", "to", "for", "in", "on", "and", "or", "is", "are", "be", "my", "i", "me", "do", "does", "how", "can", "what", "where", "who", "which", "with", "by", "at", "it", "this", "that", "from", "as", "your", "you", "want", "need", "get", "please", "about", "should", "would", "will", "am", "if", "there", "any", "we"]
+STOP_AR = ["كيف", "ما", "ماذا", "هل", "من", "في", "على", "الى", "عن", "او", "ان", "انا", "ابغي", "ابي", "ودي", "وش", "ايش", "هذا", "هذه", "التي", "الذي", "مع", "لي", "كم", "متي", "اين", "وين"]
 SUFFIXES_EN = ["ing", "ed", "es", "s"]
 PREFIX_AR = "^(?:وال|فال|بال|كال|لل|ال|و|ف|ب|ل|ك)(?=[ء-ي]{3,})"
 SUFFIX_AR = "(?:ات|ين|ون|ها|هم|ه)$"

@@ -388,9 +388,13 @@ def field_coverage(spark, d):
     return catalog.coverage_chart(kb.field_coverage(doc_records(spark, d)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PAGES}, o AS (SELECT row_number() OVER (ORDER BY page_id) AS i, service_id, host AS a, coalesce(title, service_id) AS b FROM pr),
+g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS xs, CAST([] AS VARCHAR[]) AS ys, CAST([] AS VARCHAR[]) AS names, CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS kept_by
+  UNION ALL SELECT i, CASE WHEN k IS NULL THEN list_append(xs, a) ELSE xs END, CASE WHEN k IS NULL THEN list_append(ys, b) ELSE ys END, CASE WHEN k IS NULL THEN list_append(names, service_id) ELSE names END, service_id, k
+  FROM (SELECT o.i, xs, ys, names, a, b, service_id, coalesce(names[list_position(xs, a)], names[list_position(ys, b)]) AS k FROM g JOIN o ON o.i = g.i + 1))
+SELECT id AS service_id, kept_by FROM g WHERE i > 0""")
 def dedup_first_wins(spark, d):
-    """Greedy first-wins over pages by host and title (tested against a loop)."""
+    """Greedy first-wins over pages by host and title."""
     keyed = page_records(spark, d).select("_order", "service_id", text.domain_of(F.col("official_url_en")).alias("a"), F.coalesce("title_en", "service_id").alias("b"))
     return kb.greedy_first_wins(keyed, "_order", "a", "b", "service_id").select("service_id", "kept_by")
 
