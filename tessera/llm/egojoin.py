@@ -8,8 +8,8 @@ product of its lengths) are skipped too; the others are compared by cosine in do
 vector with a multiplicity first, so a vector that is very common costs one row.
 
 Vectors without structure in their leading directions leave few blocks to skip: their work grows with the square of
-the distinct vectors. A block goes to a task once for each block that it meets; blocks are as large as memory allows,
-so that few copies travel.
+the distinct vectors. A block travels once for each tile of blocks that it meets; tiles are as large as memory allows, so
+that few copies travel.
 
 Cases: vectors that are null, zero or hold null or non-finite components link with nothing and are components of their
 own; vectors of different lengths never link; each row is a vector of its own, so repeated rows link with each other
@@ -36,6 +36,9 @@ BOUND = 24
 BLOCK = 8192
 BLOCK_BYTES = 4 << 20
 LEAF = 512
+#: Most blocks of a tile, which a task holds at once, and the most tasks that tiles are dealt to.
+TILE = 4
+MOST_TASKS = 100_000
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -184,36 +187,46 @@ def near_vectors(embeddings: DataFrame, least: float = 0.9, sample: int = 2000,
     pairs = left.join(right, "cell").where((F.col("a") <= F.col("b")) & (F.col("da") == F.col("db"))).where(dist <= eps * eps + 1e-9).select("a", "b").distinct()
 
     pairs = written(pairs, "egopairs")
-    sides = pairs.select("a", "b", F.explode(F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))).alias("block"))
-    # Each pair of blocks is a group of its own, so no block is a hot key; a pair is more work than it is bytes.
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pairs.count() // 4, 1)
-    tasks = sides.join(cut.select("block", "d", "keys", "mult", "vectors"), "block").select("a", "b", "block", "d", "keys", "mult", "vectors")
-    tasks = tasks.repartition(parts, "a", "b").sortWithinPartitions("a", "b", "block")
+    # Blocks that follow one another form a tile; a pair of tiles is a group, in which each block stands once. So a block
+    # travels once for each tile that it meets, and the number of groups falls with the square of the tile.
+    least_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    side = max(1, min(TILE, int(cut.count() / (4 * least_tasks) ** 0.5)))  # few blocks are not put together, or cores would idle
+    tile = lambda c: F.shiftleft(F.shiftright(c, 24), 20) + F.floor(F.col(c).bitwiseAND((1 << 24) - 1) / side)
+    tiled = pairs.select(tile("a").alias("ta"), tile("b").alias("tb"), "a", "b")
+    first = tiled.select("ta", "tb", F.lit(0).alias("side"), F.col("a").alias("block"), F.lit(None).cast("array<bigint>").alias("mates")).dropDuplicates(["ta", "tb", "block"])
+    second = tiled.groupBy("ta", "tb", "b").agg(F.sort_array(F.collect_list("a")).alias("mates")).select("ta", "tb", F.lit(1).alias("side"), F.col("b").alias("block"), "mates")
+    groups = tiled.select("ta", "tb").distinct().count()
+    parts = max(least_tasks, min(groups, MOST_TASKS))
+    tasks = first.unionByName(second).join(cut.select("block", "d", "keys", "mult", "vectors"), "block").select("ta", "tb", "side", "block", "d", "mates", "keys", "mult", "vectors")
+    tasks = tasks.repartition(parts, "ta", "tb").sortWithinPartitions("ta", "tb", "side", "block")
 
     def link(batches):
-        first = None
+        group, held = None, {}
         for batch in batches:
             for r in range(batch.num_rows):
-                a, b, at, d = (batch.column(c)[r].as_py() for c in range(4))
-                keys, mult = (np.frombuffer(batch.column(c)[r].as_py(), np.int64) for c in (4, 5))
-                v = unit(np.frombuffer(batch.column(6)[r].as_py(), stored).reshape(-1, d).astype(float))
+                ta, tb, side, at, d = (batch.column(c)[r].as_py() for c in range(5))
+                if (ta, tb) != group:
+                    group, held = (ta, tb), {}
+                keys, mult = (np.frombuffer(batch.column(c)[r].as_py(), np.int64) for c in (6, 7))
+                v = unit(np.frombuffer(batch.column(8)[r].as_py(), stored).reshape(-1, d).astype(float))
                 y = (keys, mult.astype(float), v, project(v))
-                if a != b and at == a:
-                    first = y
+                if side == 0:
+                    held[at] = y
                     continue
-                x = y if a == b else first
-                near_x, near_y = np.zeros(len(x[0])), np.zeros(len(keys))
-                ends = []
-                for i, j in join_intervals(x[2], x[3], y[2], y[3], least, a == b, leaf):
-                    near_x += np.bincount(i, weights=y[1][j], minlength=len(near_x))
-                    near_y += np.bincount(j, weights=x[1][i], minlength=len(near_y))
-                    ends.append(spanning_pairs(x[0][i], keys[j]))
-                if ends:
-                    who, links = np.concatenate([x[0], keys]), np.concatenate([near_x, near_y]).astype(np.int64)
-                    on = links > 0
-                    s, t = spanning_pairs(np.concatenate([e[0] for e in ends]), np.concatenate([e[1] for e in ends]))
-                    null = np.concatenate([np.ones(int(on.sum()), bool), np.zeros(len(s), bool)])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([who[on], s])), pa.array(np.concatenate([links[on], np.zeros(len(s), np.int64)])), pa.array(np.concatenate([who[on], t]), mask=null)], names=["key", "links", "root"])
+                for mate in batch.column(5)[r].as_py():
+                    x = held[mate]
+                    near_x, near_y = np.zeros(len(x[0])), np.zeros(len(keys))
+                    ends = []
+                    for i, j in join_intervals(x[2], x[3], y[2], y[3], least, mate == at, leaf):
+                        near_x += np.bincount(i, weights=y[1][j], minlength=len(near_x))
+                        near_y += np.bincount(j, weights=x[1][i], minlength=len(near_y))
+                        ends.append(spanning_pairs(x[0][i], keys[j]))
+                    if ends:
+                        who, links = np.concatenate([x[0], keys]), np.concatenate([near_x, near_y]).astype(np.int64)
+                        on = links > 0
+                        s, t = spanning_pairs(np.concatenate([e[0] for e in ends]), np.concatenate([e[1] for e in ends]))
+                        null = np.concatenate([np.ones(int(on.sum()), bool), np.zeros(len(s), bool)])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([who[on], s])), pa.array(np.concatenate([links[on], np.zeros(len(s), np.int64)])), pa.array(np.concatenate([who[on], t]), mask=null)], names=["key", "links", "root"])
 
     found = written(tasks.mapInArrow(link, "key long, links long, root long"), "egolinks")
     links = found.where("root is null").groupBy("key").agg(F.sum("links").alias("links"))

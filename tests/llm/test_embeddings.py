@@ -45,3 +45,18 @@ def test_empty_and_null_ids(spark):
 def test_provably_distant_blocks_are_skipped():
     x = np.eye(4)
     assert not list(egojoin.join_intervals(x[:1], x[:1], x[1:2], x[1:2], 0.9, False)) and not egojoin.close(np.zeros(2), np.zeros(2), np.ones(2), np.ones(2), 0.2)
+
+
+def test_tiles_of_blocks(spark, monkeypatch):
+    """Blocks that are put together in tiles are joined as one by one; each travels once for every tile that it meets."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(900, 12))
+    x[450:] = x[:450] + rng.normal(size=(450, 12)) * 0.12
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = []
+    for tile in (1, 4):
+        monkeypatch.setattr(egojoin, "TILE", tile)
+        got.append(sorted(map(tuple, egojoin.near_vectors(df, block=16, leaf=8).collect())))
+    u = x / np.sqrt((x * x).sum(1, keepdims=True))
+    links = (u @ u.T >= 0.9).sum(1) - 1
+    assert got[0] == got[1] and [r[1] for r in got[0]] == links.tolist() and links.sum() > 300
