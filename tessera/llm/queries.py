@@ -19,19 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def op1_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all rows of ``embeddings``; vectors that cannot be compared stand alone, an empty table gives no rows."""
     return egojoin.near_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), 0.9)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of all documents: weights 3, 1, 2 by source, 150 % of all words, twice a source at most."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     return mixing.mix(docs, [3.0, 1.0, 2.0], 1.5, 2.0).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and classes of all documents by shingles of five words at 0.8; texts without words and rows without an id stand alone."""
     return jaccard.near_documents(table(spark, sf_dir, "documents", "doc_id", "text"), 0.8)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every whole text: counts and digest of the base spans, and all spans; a null text has none."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     found = pii.detect_pii(docs, pii.train_pii(docs))
     order = F.array(*(F.lit(k) for k in pii.KINDS))
@@ -48,6 +52,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every whole text by a model of the rows that are not held out; a null text scores as an empty one."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     model = toxicity.train_toxicity(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
     out = toxicity.score_toxicity(docs, model)
@@ -94,12 +99,14 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payload, stored form and frame table of every whole text; a null text is an empty one, equal texts have equal values."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     out = audio.media_features(audio.encode_texts(docs))
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "n_samples", "sample_rate", "seek_offsets")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every whole text by a model of the labelled rows that are not held out; a null text scores as an empty one."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     model = quality.train_quality(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
     out = quality.score_quality(docs, model)
@@ -107,10 +114,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of at most 2048 ids; a null or empty text is the end alone."""
     return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), tokens.vocabulary())
 
 
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base and score of the model for every whole text; a null or empty text is the end alone."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     path = tokens.vocabulary()
     return lmscore.score_documents(docs, lmscore.train_lm(docs, path), path)

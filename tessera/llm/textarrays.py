@@ -113,6 +113,17 @@ def ngrams(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, n
     return mix(out[whole]), owner[:m][whole]
 
 
+def return_large(size: int = 4 << 20) -> None:
+    """From now on, arrays of ``size`` bytes and more go back to the system as they are freed.
+
+    The C library otherwise raises this limit with every large array that it frees, and holes in its heap stay.
+    """
+    try:
+        ctypes.CDLL(None).mallopt(-3, size)
+    except (AttributeError, OSError):  # not a GNU C library
+        pass
+
+
 def release() -> None:
     """Give freed memory of this worker back to the system; idle workers then hold little."""
     pa.default_memory_pool().release_unused()
