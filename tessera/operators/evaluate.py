@@ -154,17 +154,6 @@ def config_grid(spark, dense=(0.3, 0.4, 0.5, 0.6), char=(0.0, 0.15, 0.3), bm25=(
     return spark.createDataFrame(rows, "config_id string, w_dense double, w_char double, w_bm25 double, w_tcov double")
 
 
-def score_grid(pooled_signals: DataFrame, grid: DataFrame) -> DataFrame:
-    """(config_id, query_id, service_id, score, rank): signals are computed once and only reweighted.
-
-    ``pooled_signals`` is (query_id, service_id, chunk_id, dense, char, bm25, cov); the grid is a bounded literal table.
-    """
-    s = F.col("w_dense") * F.col("dense") + F.col("w_char") * F.col("char") + F.col("w_bm25") * F.col("bm25")
-    best = pooled_signals.join(F.broadcast(grid), F.lit(True)).groupBy("config_id", "query_id", "service_id").agg((F.max(s) + F.first(F.col("w_tcov") * F.col("cov"))).alias("score"))
-    order = Window.partitionBy("config_id", "query_id").orderBy(F.desc("score"), "service_id")
-    return best.withColumn("rank", F.row_number().over(order)).where("rank <= 10")
-
-
 def select_config(summaries: DataFrame, *tie_break: Column) -> DataFrame:
     """The row with the best mean reciprocal rank, then the best top-1 rate, then ``tie_break``, then its name."""
     return summaries.orderBy(F.desc("mrr"), F.desc("top1"), *tie_break, "config_id").limit(1)

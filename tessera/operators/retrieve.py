@@ -1,7 +1,8 @@
 """Batch retrieval: three signals per chunk, a weighted sum, one hit per service, best evidence, reranking and merging.
 
-Questions are a DataFrame, so a batch is one plan. Lexical signals are equi-joins on terms; all signals meet in one
-aggregation by (query, chunk) instead of a chain of joins; chunks without any signal score 0 and are absent.
+Questions are a DataFrame, so a batch is one plan. ``search`` finds the k best services inside the scan of the chunks
+(``scan``). The signals of all pairs of questions and chunks are equi-joins on terms that meet in one aggregation by
+(query, chunk): a diagnostic, whose size is that of the pairs. Chunks without any signal score 0 and are absent.
 """
 
 from __future__ import annotations
@@ -12,14 +13,10 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.rules import action_adjustment, expand_query, looks_like_followup, query_actions
 from ..functions.text import missing, tokenize
-from ..functions.vectors import dot
 from ..storage import small
 from . import scan
 from .index import tfidf_queries
 
-#: Bytes of query vectors up to which they are broadcast; beyond, they are dealt in blocks.
-BROADCAST_BYTES = 16 << 20
-
 
 def bm25_scores(queries: DataFrame, postings: DataFrame, text: str = "query", key: str = "chunk_id") -> DataFrame:
     """(query_id, key, score): sums over the distinct query terms that the index knows."""
@@ -37,23 +34,6 @@ def char_scores(queries: DataFrame, postings: DataFrame, idf: DataFrame, text: s
     return sparse_scores(tfidf_queries(queries, idf, "query_id", text), postings, key=key)
 
 
-def dense_scores(queries: DataFrame, vectors: DataFrame, key: str = "chunk_id", similarity=dot) -> DataFrame:
-    """(query_id, key, score) of all queries (query_id, qvec) against all rows (key, vec).
-
-    Queries are broadcast while their counted size is bounded; beyond that they are dealt in blocks, each joined with
-    every row by block number, so neither side has to fit one task.
-    """
-    n, dims = queries.agg(F.count("*"), F.coalesce(F.max(F.size("qvec")), F.lit(0))).first()
-    blocks = -(-n * dims * 8 // BROADCAST_BYTES)
-    if blocks <= 1:
-        pairs = vectors.select(key, "vec").join(F.broadcast(queries.select("query_id", "qvec")), F.lit(True))
-    else:
-        left = queries.select("query_id", "qvec", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_b"))
-        right = vectors.select(key, "vec", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("_b"))
-        pairs = right.join(left, "_b")
-    return pairs.select("query_id", key, similarity(F.col("qvec"), F.col("vec")).alias("score"))
-
-
 def signals(dense: DataFrame | None, char: DataFrame | None, bm25: DataFrame | None, squash: float = fixed.BM25["squash"], key: str = "chunk_id") -> DataFrame:
     """(query_id, key, dense, char, bm25) from the scores at hand; bm25 is squashed to s / (s + squash)."""
     zero = F.lit(0.0)
