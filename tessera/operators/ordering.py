@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import small, stored
 
 
 def dealt(df: DataFrame, order: list[Column], parts: int | None = None) -> DataFrame:
@@ -75,16 +75,16 @@ def percentiles(df: DataFrame, value: str, by: list[str], points: dict[str, floa
         width = (F.col("_hi") - F.col("_lo")) / bins
         bin_ = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(0).cast("int")
         cond = [*same("a", "b"), F.col("_v").between(F.col("_lo"), F.col("_hi"))]
-        hits = v.alias("a").join(F.broadcast(open_.alias("b")), cond).select(*(F.col(f"b.{c}") for c in by), "name", "side", "_v", bin_.alias("_bin"))
+        hits = v.alias("a").join(small(open_).alias("b"), cond).select(*(F.col(f"b.{c}") for c in by), "name", "side", "_v", bin_.alias("_bin"))
         counts = hits.groupBy(*by, "name", "side", "_bin").agg(F.count("*").alias("_c"), F.min("_v").alias("_l"), F.max("_v").alias("_h"))
         upto = F.sum("_c").over(Window.partitionBy(*by, "name", "side").orderBy("_bin"))
         keys = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*by, "name", "side")]
-        found = counts.withColumn("_upto", upto).alias("a").join(F.broadcast(open_.alias("b")), keys)
+        found = counts.withColumn("_upto", upto).alias("a").join(small(open_).alias("b"), keys)
         rest = F.col("_at") - F.col("_before")
         found = found.where((rest < F.col("_upto")) & (rest >= F.col("_upto") - F.col("_c")))
         next_ = found.select(*(F.col(f"b.{c}") for c in by), "b.name", "b.side", "_at", F.col("_l").alias("_lo"), F.col("_h").alias("_hi"), (F.col("_before") + F.col("_upto") - F.col("_c")).alias("_before"), F.col("_c").alias("_inside"))
         todo = stored(next_.unionByName(todo.where((F.col("_lo") >= F.col("_hi")) | (F.col("_inside") <= bins))), "targets")
-    few = v.alias("a").join(F.broadcast(todo.where("_lo < _hi").alias("b")), [*same("a", "b"), F.col("_v").between(F.col("_lo"), F.col("_hi"))])
+    few = v.alias("a").join(small(todo.where("_lo < _hi")).alias("b"), [*same("a", "b"), F.col("_v").between(F.col("_lo"), F.col("_hi"))])
     ordered = few.select(*(F.col(f"b.{c}") for c in by), "name", "side", "_v", (F.row_number().over(Window.partitionBy(*(F.col(f"b.{c}") for c in by), "name", "side").orderBy("_v")) - 1 + F.col("_before")).alias("_place"), "_at")
     picked = ordered.where("_place = _at").select(*by, "name", "side", F.col("_v").alias("_x")).unionByName(todo.where("_lo >= _hi").select(*by, "name", "side", F.col("_lo").alias("_x")))
     wide = picked.groupBy(*by).agg(*(F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col("_x"))).alias(f"_{name}{side}") for name in points for side in (0, 1)))
