@@ -193,10 +193,13 @@ def near_vectors(embeddings: DataFrame, least: float = 0.9, sample: int = 2000,
     side = max(1, min(TILE, int(cut.count() / (4 * least_tasks) ** 0.5)))  # few blocks are not put together, or cores would idle
     tile = lambda c: F.shiftleft(F.shiftright(c, 24), 20) + F.floor(F.col(c).bitwiseAND((1 << 24) - 1) / side)
     tiled = pairs.select(tile("a").alias("ta"), tile("b").alias("tb"), "a", "b")
-    first = tiled.select("ta", "tb", F.lit(0).alias("side"), F.col("a").alias("block"), F.lit(None).cast("array<bigint>").alias("mates")).dropDuplicates(["ta", "tb", "block"])
-    second = tiled.groupBy("ta", "tb", "b").agg(F.sort_array(F.collect_list("a")).alias("mates")).select("ta", "tb", F.lit(1).alias("side"), F.col("b").alias("block"), "mates")
-    groups = tiled.select("ta", "tb").distinct().count()
-    parts = max(least_tasks, min(groups, MOST_TASKS))
+    first = tiled.select("ta", "tb", F.lit(0).alias("side"), F.col("a").alias("block"), F.lit(None).cast("array<bigint>").alias("mates"))
+    second = tiled.select("ta", "tb", "b", F.array("a").alias("mates"))
+    if side > 1:  # else each pair of blocks is a group of its own already
+        first = first.dropDuplicates(["ta", "tb", "block"])
+        second = tiled.groupBy("ta", "tb", "b").agg(F.sort_array(F.collect_list("a")).alias("mates"))
+    second = second.select("ta", "tb", F.lit(1).alias("side"), F.col("b").alias("block"), "mates")
+    parts = max(least_tasks, min(pairs.count() // (side * side), MOST_TASKS))
     tasks = first.unionByName(second).join(cut.select("block", "d", "keys", "mult", "vectors"), "block").select("ta", "tb", "side", "block", "d", "mates", "keys", "mult", "vectors")
     tasks = tasks.repartition(parts, "ta", "tb").sortWithinPartitions("ta", "tb", "side", "block")
 
