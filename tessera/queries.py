@@ -470,10 +470,11 @@ def bm25_topk(spark, d):
 
 @query(f"WITH {TFIDF} SELECT query_id, chunk_id, s AS score, rank FROM (SELECT query_id, chunk_id, round(score, 6) AS s, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM chars) WHERE rank <= 5")
 def char_tfidf_topk(spark, d):
-    have = chunk_index(spark, d, "tfidf", "idf")
-    blocks = built(spark, f"{d}/conversations.parquet", "chunks-blocks", lambda: postings.impact_blocks(have["tfidf"]))
-    asked = index.tfidf_queries(questions(spark, d), have["idf"], "query_id", "query")
-    best = postings.top_k(asked, blocks, have["tfidf"], 5, digits=6)
+    """The best chunks by character n-grams, of which a question has hundreds: found in one scan of the chunks."""
+    have, q = chunk_index(spark, d, "tfidf", "idf"), questions(spark, d)
+    c = chunk_rows(spark, d).select("chunk_id", "service_id", F.lit("en").alias("lang"), F.lit("overview").alias("section"), F.col("text").alias("title"))
+    rows = built(spark, f"{d}/conversations.parquet", "chunks-char-rows", lambda: retrieve.index_rows(have | {"chunks": c}, ["char"]))
+    best = scan.hits(rows.withColumn("service_id", F.col("chunk_id")), q, retrieve.query_signals(q, have, ["char"]), [{"char": 1.0}], 5, digits=(6, 6, 6))
     return best.select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
