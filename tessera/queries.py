@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from .functions import fixed, rules, text
 from .functions.text import char_ngrams
 from .functions.vectors import trigram_encoder
-from .operators import answer, catalog, chunks, claims, evaluate, index, kb, postings, retrieve, scan
+from .operators import answer, catalog, chunks, claims, evaluate, index, kb, retrieve, scan, textscan
 from .sources import pages as page_sources
 from .sources.html import title_and_text
 from .sources.records import FIELDS
-from .storage import built, spread
+from .storage import built, spread, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -131,15 +131,24 @@ def document_postings(spark: SparkSession, d: str) -> DataFrame:
     return built(spark, f"{d}/documents.parquet", "documents-bm25", lambda: index.bm25_postings(docs, "doc_id", "text").sortWithinPartitions("term"))
 
 
-def doc_scores(spark: SparkSession, d: str) -> DataFrame:
-    """(query_id, doc_id, source, score) of all questions against all documents by BM25."""
-    docs = table(spark, d, "documents").select("doc_id", "text", "source")
-    scored = retrieve.bm25_scores(questions(spark, d), document_postings(spark, d), key="doc_id")
-    return scored.withColumn("score", F.round("score", 6)).join(docs.select("doc_id", "source"), "doc_id")
+def document_terms(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, source, terms): token hashes of all documents, made once from their files."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    return built(spark, f"{d}/documents.parquet", "documents-terms", lambda: textscan.token_rows(docs, "doc_id", "source"))
+
+
+def best_documents(spark: SparkSession, d: str, k: int, last: bool = False) -> DataFrame:
+    """(query_id, source, doc_id, score, rank): the k best documents of every source by BM25; with ``last``, ties go to larger ids."""
+    rows = document_terms(spark, d)
+    if not last:
+        return textscan.best_in_groups(rows, questions(spark, d), k, "doc_id", "source", digits=6)
+    best = textscan.best_in_groups(rows.withColumn("doc_id", -F.col("doc_id")), questions(spark, d), k, "doc_id", "source", digits=6)
+    return best.withColumn("doc_id", -F.col("doc_id"))
 
 
 def source_ranking(spark: SparkSession, d: str) -> DataFrame:
-    best = doc_scores(spark, d).groupBy("query_id", "source").agg(F.max("score").alias("b"))
+    """(query_id, service_id, score, rank) of all sources by their best document; stored, since plans read it several times."""
+    best = stored(best_documents(spark, d, 1).withColumnRenamed("score", "b"), "best")
     order = Window.partitionBy("query_id").orderBy(F.desc("b"), "source")
     return best.select("query_id", F.col("source").alias("service_id"), F.round(F.col("b") / (F.col("b") + 6), 6).alias("score"), F.row_number().over(order).alias("rank"))
 
@@ -462,9 +471,9 @@ def bm25_idf(spark, d):
 
 @query(f"WITH {BM25} SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm) WHERE rank <= 5")
 def bm25_topk(spark, d):
-    docs, have = f"{d}/documents.parquet", document_postings(spark, d)
-    blocks = built(spark, docs, "documents-blocks", lambda: postings.impact_blocks(have, "doc_id"))
-    best = postings.top_k(retrieve.bm25_queries(questions(spark, d)), blocks, have, 5, "doc_id", digits=6)
+    """Five best documents of every question, found in one scan of all documents."""
+    rows = document_terms(spark, d).select("doc_id", F.lit(0).alias("all"), "terms")
+    best = textscan.best_in_groups(rows, questions(spark, d), 5, "doc_id", "all", digits=6)
     return best.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -534,13 +543,12 @@ def search_v3(spark, d):
 
 @query(f"WITH {BM25} SELECT query_id, source AS service_id, max(score) AS best, arg_max(doc_id, {{'s': score, 'd': doc_id}}) AS best_doc FROM bm GROUP BY ALL")
 def max_pool_source(spark, d):
-    return doc_scores(spark, d).groupBy("query_id", F.col("source").alias("service_id")).agg(F.max("score").alias("best"), F.max_by("doc_id", F.struct("score", "doc_id")).alias("best_doc"))
+    return best_documents(spark, d, 1, last=True).select("query_id", F.col("source").alias("service_id"), F.col("score").alias("best"), F.col("doc_id").alias("best_doc"))
 
 
 @query(f"WITH {BM25} SELECT query_id, source, doc_id, score, r FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, doc_id) AS r FROM bm) WHERE r <= 3")
 def evidence_top3(spark, d):
-    order = Window.partitionBy("query_id", "source").orderBy(F.desc("score"), "doc_id")
-    return doc_scores(spark, d).select("query_id", "source", "doc_id", "score", F.row_number().over(order).cast("long").alias("r")).where("r <= 3")
+    return best_documents(spark, d, 3).select("query_id", "source", "doc_id", "score", F.col("rank").cast("long").alias("r"))
 
 
 @query(f"WITH {EVAL} SELECT query_id, max(CASE WHEN rank = 1 THEN score END) AS top_score, max(CASE WHEN rank = 2 THEN score END) AS second_score, round(max(CASE WHEN rank = 1 THEN score END) - max(CASE WHEN rank = 2 THEN score END), 6) AS margin FROM ranked GROUP BY query_id")
@@ -661,8 +669,8 @@ def fee_conflict(spark, d):
 @query()
 def answers_batch(spark, d):
     """Answers to all benchmark questions from the documents as records (tested on fixtures)."""
-    hits = doc_scores(spark, d).withColumn("service_id", F.concat("source", F.lit("-"), F.col("doc_id").cast("string")))
-    hits = hits.withColumn("score", F.col("score") / (F.col("score") + 6)).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "service_id"))).where("rank <= 5")
+    rows = document_terms(spark, d).select(F.concat("source", F.lit("-"), F.col("doc_id").cast("string")).alias("service_id"), F.lit(0).alias("all"), "terms")
+    hits = textscan.best_in_groups(rows, questions(spark, d), 5, "service_id", "all", digits=6).withColumn("score", F.col("score") / (F.col("score") + 6))
     out = answer.answers(questions(spark, d), hits.select("query_id", "service_id", "score", "rank"), doc_records(spark, d), _CFG)
     return out.select("query_id", "status", "intent", "lead", F.size("citations").alias("n_citations"), F.size("points").alias("n_points"), F.coalesce(F.size("related"), F.lit(0)).alias("n_related"))
 
@@ -795,6 +803,6 @@ def label_resolution(spark, d):
 def changed_answers(spark, d):
     """Questions whose first source differs between the best document and the sum over documents."""
     a = eval_rows(spark, d).select("query_id", "top1_service_id")
-    total = doc_scores(spark, d).groupBy("query_id", "source").agg(F.round(F.sum("score"), 4).alias("total"))
+    total = textscan.sums_in_groups(document_terms(spark, d), questions(spark, d), "source", digits=6).withColumn("total", F.round("total", 4))
     b = total.groupBy("query_id").agg(F.max_by("source", F.struct("total", "source")).alias("top1_service_id"))
     return evaluate.changed_answers(a, b)
