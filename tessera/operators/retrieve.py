@@ -12,10 +12,15 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.rules import action_adjustment, expand_query, looks_like_followup, query_actions
-from ..functions.text import missing, tokenize
+from ..functions.text import char_ngrams, missing, tokenize
+from ..functions.vectors import trigram_buckets
 from ..storage import small
 from . import scan
-from .index import tfidf_queries
+from .index import term_counts, tfidf_idf, tfidf_queries, unit_rows
+
+
+#: Rows up to which the n-grams of a language are broadcast: two numbers each.
+LEXICON_ROWS = 1_000_000
 
 
 def bm25_scores(queries: DataFrame, postings: DataFrame, text: str = "query", key: str = "chunk_id") -> DataFrame:
@@ -119,8 +124,72 @@ def index_rows(index: dict[str, DataFrame], signals: list[str] | None = None) ->
     return scan.signal_rows(index["chunks"].select("chunk_id", "service_id", "lang", "section"), parts, named)
 
 
+def _hashed(terms: Column) -> Column:
+    return F.transform(terms, lambda t: F.xxhash64(t.cast("string")))
+
+
+def text_rows(chunks: DataFrame, keep=lambda name, make: make()) -> dict:
+    """An index for ``search`` of ``chunks`` (chunk_id, service_id, lang, section, title, text), without postings.
+
+    A row holds the counts of its own terms; what a term weighs in all chunks is put on the side of the questions
+    (``folded``), and of each chunk only the length of its n-gram vector is joined to it. Terms are never shuffled one by
+    one. ``keep(name, make)`` may store a table. Rows with one chunk id share their terms, as in postings; ``first`` marks
+    one of them, and ``several`` holds the tokens of each of their texts. A null text has no terms.
+    """
+    each_of = lambda f: F.flatten(F.transform("texts", lambda t: _hashed(f(t))))
+
+    def count() -> DataFrame:
+        same = chunks.groupBy("chunk_id").agg(F.collect_list("text").alias("texts"), F.collect_list(F.struct("service_id", "lang", "section")).alias("owners"))
+        rows = same.select("chunk_id", "texts", F.size("owners").alias("shared"), F.posexplode("owners").alias("pos", "o"))
+        rows = rows.select("chunk_id", "o.*", "texts", "shared", (F.col("pos") == 0).alias("first")).join(scan.title_tokens(chunks.where("section = 'title'").select("service_id", "title")), "service_id", "left")
+        several = F.when(F.size("texts") > 1, F.transform("texts", lambda t: _hashed(tokenize(t))))
+        rows = rows.withColumns({"several": several, "char": each_of(char_ngrams), "bm25": each_of(tokenize), "dense": each_of(trigram_buckets)}).drop("texts")
+        return scan.counted(rows, "char", "bm25", "dense")
+
+    own = keep("counted", count)
+    each = own.where("first").select("chunk_id", F.explode(F.arrays_zip("char_t", "char_n")).alias("e")).select("chunk_id", F.col("e.char_t").alias("term"), F.col("e.char_n").alias("tf"))
+    idf = keep("gram-idf", lambda: tfidf_idf(each, own))
+
+    def measured() -> DataFrame:
+        w = (1 + F.log(F.col("tf").cast("double"))) * F.col("idf")
+        return own.join(each.join(small(idf, LEXICON_ROWS), "term").groupBy("chunk_id").agg(F.sqrt(F.sum(w * w)).alias("length")), "chunk_id", "left")
+
+    rows = keep("measured", measured).withColumn("terms", F.aggregate("bm25_n", F.lit(0).cast("long"), lambda s, x: s + x))
+    total = rows.agg(F.count("*").alias("n"), F.avg(F.col("terms") / F.col("shared")).alias("mean")).first()
+    k1, b, mean = fixed.BM25["k1"], fixed.BM25["b"], total.mean or 1.0
+
+    def length_at(t: Column) -> Column:
+        return F.when(F.col("several").isNull(), F.col("terms")).otherwise(F.size(F.get(F.filter("several", lambda a: F.array_contains(a, t)), F.lit(0))))
+
+    norm = F.sqrt(F.aggregate("dense_n", F.lit(0.0), lambda s, x: s + x * x))
+    weights = {
+        "char_w": F.transform("char_n", lambda n: (1 + F.log(n.cast("double"))) / F.col("length")), "dense_w": F.transform("dense_n", lambda n: n / F.col("norm")),
+        "bm25_w": F.zip_with("bm25_t", "bm25_n", lambda t, n: n * (k1 + 1) / (n + k1 * (1 - b + b * length_at(t) / mean))),
+    }
+    return {"chunks": chunks, "rows": rows.withColumn("norm", norm).withColumns(weights), "folded": {"idf": idf, "bm25": rows.where("first").select("bm25_t"), "n": total.n}}
+
+
+def folded_signals(queries: DataFrame, index: dict, wanted: list[str], text: str = "query") -> dict[str, DataFrame]:
+    """(query_id, t, w) by signal for the rows of ``text_rows``: a question's weight times what the term weighs in all chunks."""
+    out, folded = {}, index["folded"]
+    if "dense" in wanted and "query_trigrams" in index:
+        out["dense"] = index["query_trigrams"].select("query_id", F.xxhash64(F.col("bucket").cast("string")).alias("t"), "w")
+    if "char" in wanted:
+        tf = term_counts(queries, "query_id", _hashed(char_ngrams(F.col(text))))
+        idf = folded["idf"].join(small(tf.select("term").distinct()), "term")
+        own = unit_rows(tf.join(idf, "term").select("query_id", "term", ((1 + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("w")), "query_id")
+        out["char"] = own.join(idf, "term").select("query_id", F.col("term").alias("t"), (F.col("w") * F.col("idf")).alias("w"))
+    if "bm25" in wanted:
+        asked = bm25_queries(queries, text).select("query_id", F.xxhash64("term").alias("t"))
+        df = folded["bm25"].select(F.explode("bm25_t").alias("t")).join(small(asked.select("t").distinct()), "t").groupBy("t").agg(F.count("*").alias("df"))
+        out["bm25"] = asked.join(df, "t").select("query_id", "t", F.log(1 + (folded["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("w"))
+    return out
+
+
 def query_signals(queries: DataFrame, index: dict[str, DataFrame], wanted: list[str], text: str = "query") -> dict[str, DataFrame]:
     """The questions' vectors (query_id, term, w) of each wanted signal that the index has."""
+    if "folded" in index:
+        return folded_signals(queries, index, wanted, text)
     out = {}
     if "dense" in wanted and "vectors" in index:
         out["dense"] = entries(queries, "query_id", "qvec")

@@ -26,6 +26,8 @@ PLAN_QUESTIONS = 2048
 PLAN_BYTES = 32 << 20
 TOGETHER = 64
 STEP = 1 << 21
+#: Cells of a whole matrix for each entry up to which it is multiplied as such.
+DENSE = 8
 
 
 # --- the k best of each question -------------------------------------------------------------------------------------------
@@ -158,9 +160,42 @@ def signal_rows(chunks: DataFrame, signals: dict[str, DataFrame], titles: DataFr
     out = chunks.join(per.drop("all"), "chunk_id", "left")
     if titles is None:
         return out.withColumn("titles", F.array().cast("array<array<bigint>>"))
+    return out.join(title_tokens(titles), "service_id", "left")
+
+
+def title_tokens(titles: DataFrame) -> DataFrame:
+    """(service_id, titles): the token hashes of each title variant (service_id, title) of a service."""
     tokens = titles.select("service_id", F.array_sort(F.array_distinct(tokenize(F.col("title")))).alias("t")).where(F.size("t") > 0).distinct()
-    tokens = tokens.groupBy("service_id").agg(F.collect_list(F.transform("t", lambda x: F.xxhash64(x))).alias("titles"))
-    return out.join(tokens, "service_id", "left")
+    return tokens.groupBy("service_id").agg(F.collect_list(F.transform("t", lambda x: F.xxhash64(x))).alias("titles"))
+
+
+#: Rows whose terms are counted together.
+COUNTED = 512
+
+
+def counted(rows: DataFrame, *lists: str) -> DataFrame:
+    """``rows`` with ``{list}_t``, the distinct values in order, and ``{list}_n``, how often each stands there, for every array<long> named.
+
+    Terms are counted within their row: nothing is exploded or shuffled.
+    """
+    kept = [c for c in rows.columns if c not in lists]
+    shape = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept] + [f"`{x}_t` array<long>, `{x}_n` array<int>" for x in lists])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, COUNTED):
+                part = batch.slice(lo, COUNTED)
+                columns = [part.column(i) for i in range(len(kept))]
+                for i in range(len(kept), part.num_columns):
+                    row, term = _lists(part.column(i))
+                    order = np.lexsort((term, row))
+                    row, term = row[order], term[order]
+                    first = np.flatnonzero(np.concatenate(([True], (np.diff(row) != 0) | (np.diff(term) != 0)))) if len(row) else np.zeros(0, np.int64)
+                    at = pa.array(np.searchsorted(row[first], np.arange(part.num_rows + 1)).astype(np.int32))
+                    columns += [pa.ListArray.from_arrays(at, pa.array(term[first])), pa.ListArray.from_arrays(at, pa.array(np.diff(np.append(first, len(row))).astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, *(f"{x}_{y}" for x in lists for y in "tn")])
+
+    return rows.select(*kept, *lists).mapInArrow(run, shape)
 
 
 class Sparse:
@@ -193,6 +228,14 @@ def _product(row: np.ndarray, term: np.ndarray, w: np.ndarray, rows: int, terms:
         return out
     at = np.minimum(np.searchsorted(terms, term), len(terms) - 1)
     on = np.flatnonzero(terms[at] == term)
+    if rows * len(terms) <= DENSE * len(on):  # most terms stand in most rows, as buckets do
+        step = max(1, STEP // len(terms))
+        for lo in range(0, rows, step):
+            i = on[np.searchsorted(row[on], lo) : np.searchsorted(row[on], lo + step)]
+            held = np.zeros((min(step, rows - lo), len(terms)))
+            held[row[i] - lo, at[i]] = w[i]
+            out[lo : lo + step] = held @ weights
+        return out
     step = max(1, STEP // max(weights.shape[1], 1))
     for lo in range(0, len(on), step):
         i = on[lo : lo + step]
@@ -246,12 +289,12 @@ class Questions:
 
 
 def _questions(part: DataFrame, signals: dict[str, DataFrame], squash: float, digits: tuple) -> Questions:
-    """The questions of a block (query_id, query) on the driver; ``signals`` holds (query_id, term, w) of all questions."""
+    """The questions of a block (query_id, query) on the driver; ``signals`` holds (query_id, term or its hash t, w) of all questions."""
     ids = [r.query_id for r in part.select("query_id").distinct().orderBy("query_id").collect()]
     place = {i: k for k, i in enumerate(ids)}
 
     def sparse(df: DataFrame) -> Sparse:
-        rows = df.join(F.broadcast(part.select("query_id").distinct()), "query_id", "left_semi").select("query_id", F.xxhash64(F.col("term").cast("string")).alias("t"), F.col("w").cast("double").alias("w")).collect()
+        rows = df.join(F.broadcast(part.select("query_id").distinct()), "query_id", "left_semi").select("query_id", F.col("t") if "t" in df.columns else F.xxhash64(F.col("term").cast("string")).alias("t"), F.col("w").cast("double").alias("w")).collect()
         return Sparse(np.array([place[r.query_id] for r in rows], np.int64), np.array([r.t for r in rows], np.int64), np.array([r.w for r in rows], float))
 
     tokens = part.select("query_id", F.explode(F.array_distinct(tokenize(F.col("query")))).alias("term"), F.lit(1.0).alias("w"))
@@ -341,6 +384,28 @@ def best_chunks(rows: DataFrame, questions: Questions, weights: dict[str, float]
     return rows.select("service_id", "chunk_id", *(f"{s}_{x}" for s in names for x in "tw")).mapInArrow(run, f"question int, service_id {id_kind['service_id']}, chunk_id {id_kind['chunk_id']}, combined double")
 
 
+def all_signals(rows: DataFrame, queries: DataFrame, signals: dict[str, DataFrame], squash: float = fixed.BM25["squash"], digits: int | None = None) -> DataFrame:
+    """(query_id, chunk_id, one column a signal) of all pairs of questions and rows that share a term: as many rows as there are such pairs."""
+    kind, names, out = _kinds(rows), list(signals), None
+    for part in _blocks(queries, "64L * length(query)"):
+        asked = _questions(part, signals, squash, (None, None, None))
+
+        def run(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
+            blocks = asked.parts()
+            for batch in batches:
+                for at in range(0, batch.num_rows, COUNTED):
+                    some = batch.slice(at, COUNTED)
+                    for lo, _, matrices, _ in blocks:
+                        scores = asked.scores(some, matrices)
+                        r, q = np.nonzero(np.logical_or.reduce([s != 0 for s in scores.values()]))
+                        yield pa.RecordBatch.from_arrays([pa.array((q + lo).astype(np.int32)), some.column(0).take(pa.array(r)), *(pa.array(_round(scores[s][r, q], digits)) for s in names)], names=["question", "chunk_id", *names])
+
+        found = rows.select("chunk_id", *(f"{s}_{x}" for s in names for x in "tw")).mapInArrow(run, f"question int, chunk_id {kind[1]['chunk_id']}" + "".join(f", `{s}` double" for s in names))
+        found = found.join(_ids(queries, asked), "question").select("query_id", "chunk_id", *names)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def _ids(queries: DataFrame, asked: Questions) -> DataFrame:
     """(question, query_id) of a block."""
     kind = T.StructType([T.StructField("question", T.IntegerType()), T.StructField("query_id", queries.schema["query_id"].dataType)])

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import fixed, rules, text
-from .functions.text import char_ngrams
 from .functions.vectors import trigram_encoder
 from .operators import answer, catalog, chunks, claims, evaluate, index, kb, retrieve, scan, textscan
 from .sources import pages as page_sources
@@ -166,36 +165,17 @@ def chunk_rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("chunk_id"), F.col("conv_id").alias("service_id"), "turn", "role", "text")
 
 
-def chunk_index(spark: SparkSession, d: str, *parts: str) -> dict[str, DataFrame]:
-    """The named parts (idf, tfidf, bm25, trigrams) of the index of the chunks, each built once from its files."""
-    c = chunk_rows(spark, d)
-    keep = lambda name, make: built(spark, f"{d}/conversations.parquet", f"chunks-{name}", make)
-    counts = lambda: keep("counts", lambda: index.term_counts(c, "chunk_id", char_ngrams(F.col("text"))))
-    idf = lambda: keep("idf", lambda: index.tfidf_idf(counts(), c))
-    make = {
-        "idf": idf, "tfidf": lambda: keep("tfidf", lambda: index.tfidf_postings(counts(), idf(), "chunk_id")),
-        "bm25": lambda: keep("bm25", lambda: index.bm25_postings(c, "chunk_id", "text")), "trigrams": lambda: keep("trigrams", lambda: trigram_encoder(c, "chunk_id", "text")),
-    }
-    return {name: make[name]() for name in parts}
-
-
 def searchable(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """The index of the chunks as searches take it: the first turn of a conversation is its title."""
-    have = chunk_index(spark, d, "tfidf", "idf", "bm25", "trigrams")
     c = chunk_rows(spark, d).withColumn("lang", F.lit("en")).withColumn("section", F.when(F.col("turn") == 0, "title").otherwise("overview")).withColumn("title", F.col("text"))
-    have |= {"chunks": c.select("chunk_id", "service_id", "lang", "section", "title", "text"), "query_trigrams": trigram_encoder(questions(spark, d), "query_id", "query")}
-    return have | {"rows": built(spark, f"{d}/conversations.parquet", "chunks-rows", lambda: retrieve.index_rows(have))}
+    c = c.select("chunk_id", "service_id", "lang", "section", "title", "text")
+    have = retrieve.text_rows(c, lambda name, make: built(spark, f"{d}/conversations.parquet", f"chunks-{name}", make))
+    return have | {"query_trigrams": trigram_encoder(questions(spark, d), "query_id", "query")}
 
 
 def chunk_signals(spark: SparkSession, d: str) -> DataFrame:
-    q = questions(spark, d)
-    have = chunk_index(spark, d, "tfidf", "idf", "bm25", "trigrams")
-    char = retrieve.char_scores(q, have["tfidf"], have["idf"])
-    bm25 = retrieve.bm25_scores(q, have["bm25"])
-    tq = trigram_encoder(q, "query_id", "query")
-    dense = retrieve.sparse_scores(tq, have["trigrams"], on="bucket")
-    out = retrieve.signals(dense, char, bm25)
-    return out.select("query_id", "chunk_id", *(F.round(x, 6).alias(x) for x in ("dense", "char", "bm25")))
+    q, have = questions(spark, d), searchable(spark, d)
+    return scan.all_signals(have["rows"].where("first"), q, retrieve.query_signals(q, have, ["dense", "char", "bm25"]), digits=6)
 
 
 def page_records(spark: SparkSession, d: str) -> DataFrame:
@@ -480,10 +460,8 @@ def bm25_topk(spark, d):
 @query(f"WITH {TFIDF} SELECT query_id, chunk_id, s AS score, rank FROM (SELECT query_id, chunk_id, round(score, 6) AS s, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM chars) WHERE rank <= 5")
 def char_tfidf_topk(spark, d):
     """The best chunks by character n-grams, of which a question has hundreds: found in one scan of the chunks."""
-    have, q = chunk_index(spark, d, "tfidf", "idf"), questions(spark, d)
-    c = chunk_rows(spark, d).select("chunk_id", "service_id", F.lit("en").alias("lang"), F.lit("overview").alias("section"), F.col("text").alias("title"))
-    rows = built(spark, f"{d}/conversations.parquet", "chunks-char-rows", lambda: retrieve.index_rows(have | {"chunks": c}, ["char"]))
-    best = scan.hits(rows.withColumn("service_id", F.col("chunk_id")), q, retrieve.query_signals(q, have, ["char"]), [{"char": 1.0}], 5, digits=(6, 6, 6))
+    have, q = searchable(spark, d), questions(spark, d)
+    best = scan.hits(have["rows"].withColumn("service_id", F.col("chunk_id")), q, retrieve.query_signals(q, have, ["char"]), [{"char": 1.0}], 5, digits=(6, 6, 6))
     return best.select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 

@@ -100,9 +100,9 @@ def built(spark: SparkSession, sources: str | list[str], name: str, make: Callab
     return spark.read.parquet(path)
 
 
-def small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint where its counted rows are few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def spread(df: DataFrame) -> DataFrame:
