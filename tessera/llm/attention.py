@@ -14,29 +14,35 @@ import numpy as np
 
 WINDOW, STRIDE = 32, 24
 CLASSES, FREQUENT, WIDTH, HIDDEN = 32, 2048, 16, 32
+#: Frequent ids whose places beside an id give its class.
+CONTEXT = 256
 #: Slots of the table of subword pairs; of pairs that meet in a slot the most frequent one is kept.
 SLOTS = 1 << 21
 ONES = np.ones((CLASSES, 1), np.float32)
 MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 
 
-def classes_of(ids: np.ndarray, vocab: int, rng: np.random.Generator, k: int = CLASSES, kept: int = 3000, context: int = 256) -> np.ndarray:
-    """Class of each id: k-means over the neighbours of the ids seen often enough; class 0 holds the rest."""
-    freq = np.bincount(ids, minlength=vocab)
+def seen_often(freq: np.ndarray, kept: int = 3000) -> np.ndarray:
+    """The ids that classes are told apart for, most frequent first."""
     top = np.argsort(-freq, kind="stable")[:kept]
-    top = top[freq[top] >= 20]
+    return top[freq[top] >= 20]
+
+
+def neighbours(before: np.ndarray, ids: np.ndarray, top: np.ndarray, vocab: int, context: int = CONTEXT) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Which pairs count, and their cell in a table of ids ``top`` by the frequent ids on their left and right."""
+    row, col = np.full(vocab, -1), np.full(vocab, context)
+    row[top], col[top[:context]] = np.arange(len(top)), np.arange(min(context, len(top)))
+    wide, left, right = 2 * (context + 1), row[ids] >= 0, row[before] >= 0
+    return [(left, row[ids[left]] * wide + col[before[left]]), (right, row[before[right]] * wide + context + 1 + col[ids[right]])]
+
+
+def grouped(top: np.ndarray, freq: np.ndarray, x: np.ndarray, vocab: int, rng: np.random.Generator, k: int = CLASSES) -> np.ndarray:
+    """Class of each id: k-means over the counts ``x`` of the neighbours of ids ``top``; class 0 holds the rest."""
     out = np.zeros(vocab, np.int64)
-    if len(top) < k or len(ids) < 2:
+    if len(top) < k:
         out[top] = 1 + np.arange(len(top)) % (k - 1)
         return out
-    row, col = np.full(vocab, -1), np.full(vocab, context)
-    row[top], col[top[:context]] = np.arange(len(top)), np.arange(min(context, len(top)))
-    x = np.zeros((len(top), 2 * (context + 1)))
-    a, b = ids[:-1], ids[1:]
-    on = row[b] >= 0
-    np.add.at(x, (row[b[on]], col[a[on]]), 1)
-    on = row[a] >= 0
-    np.add.at(x, (row[a[on]], context + 1 + col[b[on]]), 1)
+    x = x.reshape(len(top), -1).astype(float)
     x = np.sqrt(x / x.sum(1, keepdims=True))
     weight = freq[top].astype(float)
     centre = x[rng.choice(len(top), k - 1, replace=False, p=weight / weight.sum())]
@@ -50,6 +56,16 @@ def classes_of(ids: np.ndarray, vocab: int, rng: np.random.Generator, k: int = C
     return out
 
 
+def classes_of(ids: np.ndarray, vocab: int, rng: np.random.Generator, k: int = CLASSES, kept: int = 3000, context: int = CONTEXT) -> np.ndarray:
+    """Classes by the neighbours of the ids of one stream in memory."""
+    freq = np.bincount(ids, minlength=vocab)
+    top = seen_often(freq, kept)
+    x = np.zeros(len(top) * 2 * (context + 1))
+    for _, cell in neighbours(ids[:-1], ids[1:], top, vocab, context):
+        np.add.at(x, cell, 1)
+    return grouped(top, freq, x, vocab, rng, k)
+
+
 def slot_of(key: np.ndarray) -> np.ndarray:
     return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int64)
 
@@ -100,6 +116,21 @@ class Emission:
         return emission(count, self.alone[ids], self.sums[cell], self.kinds[cell])
 
 
+def steps_of(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The id before and the id of every subword and end of all texts."""
+    n = counts + 1
+    total = int(n.sum())
+    last = np.cumsum(n) - 1
+    target = np.full(total, end, np.int64)
+    inner = np.ones(total, bool)
+    inner[last] = False
+    target[inner] = ids
+    given = np.empty(total, np.int64)
+    given[1:] = target[:-1]
+    given[last - n + 1] = end
+    return given, target
+
+
 @dataclass
 class AttentionModel:
     p: dict[str, np.ndarray]
@@ -107,21 +138,12 @@ class AttentionModel:
     klass: np.ndarray  # id -> class
     emit: Emission | None
     end: int
+    trained: int = 0  # places that the weights were fitted on, each once, after their start
     _tables: dict[str, np.ndarray] | None = None
 
     def steps(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The id before and the id of every subword and end of all texts."""
-        n = counts + 1
-        total = int(n.sum())
-        last = np.cumsum(n) - 1
-        target = np.full(total, self.end, np.int64)
-        inner = np.ones(total, bool)
-        inner[last] = False
-        target[inner] = ids
-        given = np.empty(total, np.int64)
-        given[1:] = target[:-1]
-        given[last - n + 1] = self.end
-        return given, target
+        return steps_of(ids, counts, self.end)
 
     def score(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """log10 probability of each text, its end included; ``ids`` holds all texts' ids one after another."""
@@ -154,8 +176,9 @@ class AttentionModel:
             return x
 
         s = read("q", late, first) @ read("k", rows, 0).transpose(0, 2, 1)
+        np.clip(s, -60, 30, out=s)  # no row of weights vanishes
         s += MASK[first:]
-        np.exp(np.minimum(s, 30, out=s), out=s)
+        np.exp(s, out=s)
         c = s @ read("v", rows, 0)
         c = (c[:, :, :WIDTH] / c[:, :, WIDTH:]).reshape(-1, WIDTH)
         y = np.take(p["E"], late, axis=0)
@@ -205,8 +228,9 @@ def forward(p: dict[str, np.ndarray], rows: np.ndarray):
     q, k, v = x @ p["Q"], x @ p["K"], x @ p["V"]
     s = q @ k.transpose(0, 2, 1)
     s *= np.float32(WIDTH**-0.5)
+    np.clip(s, -60, 30, out=s)  # no row of weights vanishes
     s += MASK
-    np.exp(np.minimum(s, 30, out=s), out=s)
+    np.exp(s, out=s)
     s /= s.sum(2, keepdims=True)
     c = s @ v
     y = x + c @ p["O"]
@@ -236,6 +260,116 @@ def backward(p, rows, h, kept, gh) -> dict[str, np.ndarray]:
     return g
 
 
+def drawn(freq: np.ndarray, klass: np.ndarray, pairs: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Input rows of the ids, and weights before any fit; those by the class before come from the counts of class pairs."""
+    top = np.argsort(-freq, kind="stable")[:FREQUENT]
+    row = FREQUENT + klass
+    row[top] = np.arange(len(top))
+    pairs = pairs + 0.5
+    draw = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
+    return row, {"E": draw(FREQUENT + CLASSES, WIDTH), "P": draw(WINDOW, WIDTH), "Q": draw(WIDTH, WIDTH), "K": draw(WIDTH, WIDTH), "V": draw(WIDTH, WIDTH), "O": draw(WIDTH, WIDTH), "W1": draw(WIDTH, HIDDEN), "b1": np.zeros(HIDDEN, np.float32), "W2": draw(HIDDEN, WIDTH), "U": draw(WIDTH, CLASSES), "B": np.log(pairs / pairs.sum(1, keepdims=True)).astype(np.float32)}
+
+
+def gradients(p: dict[str, np.ndarray], rows: np.ndarray, before: np.ndarray, goal: np.ndarray, on: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradients of the mean loss of windows (m, WINDOW) of input rows; ``before``, ``goal`` and ``on`` are the class
+    before, the class and the weight of each place. The same as ``backward``, in single precision and fewer passes."""
+    m, n = len(rows), rows.size
+    scale = np.float32(WIDTH**-0.5)
+    w = np.concatenate([p["Q"] * scale, p["K"], p["V"]], axis=1)
+    x = np.take(p["E"], rows, axis=0)
+    x += p["P"]
+    x = x.reshape(n, WIDTH)
+    qkv = (x @ w).reshape(m, WINDOW, 3 * WIDTH)
+    q, k, v = (qkv[:, :, a : a + WIDTH] for a in (0, WIDTH, 2 * WIDTH))
+    s = q @ k.transpose(0, 2, 1)
+    np.clip(s, -60, 30, out=s)  # no row of weights vanishes
+    s += MASK
+    np.exp(s, out=s)
+    s /= (s.reshape(n, WINDOW) @ ONES).reshape(m, WINDOW, 1)
+    c = (s @ v).reshape(n, WIDTH)
+    y = c @ p["O"]
+    y += x
+    z = y @ p["W1"]
+    z += p["b1"]
+    np.maximum(z, 0, out=z)
+    h = z @ p["W2"]
+    h += y
+    e = h @ p["U"]
+    e += np.take(p["B"], before, axis=0)
+    np.exp(np.clip(e, -80, 80, out=e), out=e)
+    on = (on / on.sum()).astype(np.float32)
+    e *= (on / (e @ ONES)[:, 0])[:, None]
+    place = np.arange(n)
+    e[place, goal] -= on
+    hot = np.zeros((n, CLASSES), np.float32)
+    hot[place, before] = 1
+    g = {"U": h.T @ e, "B": hot.T @ e}
+    gh = e @ p["U"].T
+    g["W2"] = z.T @ gh
+    gz = gh @ p["W2"].T
+    gz *= z > 0
+    g["W1"], g["b1"] = y.T @ gz, np.ones(n, np.float32) @ gz
+    gy = gz @ p["W1"].T
+    gy += gh
+    g["O"] = c.T @ gy
+    gc = gy @ p["O"].T
+    mean = np.einsum("ij,ij->i", gc, c).reshape(m, WINDOW, 1)
+    gc = gc.reshape(m, WINDOW, WIDTH)
+    gs = gc @ v.transpose(0, 2, 1)
+    gs -= mean
+    gs *= s
+    back = np.concatenate([gs @ k, gs.transpose(0, 2, 1) @ q, s.transpose(0, 2, 1) @ gc], axis=2).reshape(n, 3 * WIDTH)
+    gw = x.T @ back
+    g["Q"], g["K"], g["V"] = gw[:, :WIDTH] * scale, gw[:, WIDTH : 2 * WIDTH], gw[:, 2 * WIDTH :]
+    gx = back @ w.T
+    gx += gy
+    g["P"] = gx.reshape(m, WINDOW, WIDTH).sum(0)
+    order = np.argsort(rows.reshape(-1), kind="stable")
+    at = rows.reshape(-1)[order]
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    g["E"] = np.zeros_like(p["E"])
+    g["E"][at[first]] = np.add.reduceat(gx[order], first, axis=0)
+    return g
+
+
+class Descent:
+    """Weights that take steps by gradients with running moments."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.p = {k: v.copy() for k, v in p.items()}
+        self.m, self.s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+        self.t = 0
+
+    def step(self, g: dict[str, np.ndarray], rate: float) -> None:
+        self.t += 1
+        for k, x in g.items():
+            self.m[k] = 0.9 * self.m[k] + 0.1 * x
+            self.s[k] = 0.99 * self.s[k] + 0.01 * x * x
+            self.p[k] = (self.p[k] - rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.s[k] / (1 - 0.99**self.t)) + 1e-6)).astype(np.float32)
+
+    def start(self, rows: np.ndarray, before: np.ndarray, goal: np.ndarray, rng: np.random.Generator, steps: int = 400, batch: int = 128, rate: float = 0.01) -> None:
+        """Steps on windows that start anywhere in the places given."""
+        room = len(rows) - WINDOW
+        for t in range(1, steps + 1 if room > 0 else 1):
+            at = rng.integers(0, room, batch)[:, None] + np.arange(WINDOW)
+            g = gradients(self.p, rows[at], before[at].reshape(-1), goal[at].reshape(-1), np.ones(at.size, np.float32))
+            self.step(g, rate * min(1, t / 20) * (1 - 0.9 * t / steps))
+
+    def once(self, rows: np.ndarray, before: np.ndarray, goal: np.ndarray, rng: np.random.Generator, rate: float, batch: int = 128) -> None:
+        """Steps on windows side by side that hold each of the places once; the last one is filled up with weight 0."""
+        n = len(rows)
+        if not n:
+            return
+        fill = -n % WINDOW
+        on = np.concatenate([np.ones(n, np.float32), np.zeros(fill, np.float32)]).reshape(-1, WINDOW)
+        rows, before, goal = (np.concatenate([x, np.repeat(x[-1:], fill)]).reshape(-1, WINDOW) for x in (rows, before, goal))
+        order = rng.permutation(len(rows))
+        for a in range(0, len(order), batch):
+            at = order[a : a + batch]
+            g = gradients(self.p, rows[at], before[at].reshape(-1), goal[at].reshape(-1), on[at].reshape(-1))
+            self.step(g, rate * min(1, len(at) / batch))
+
+
 def train_attention(ids: np.ndarray, counts: np.ndarray, vocab: int, end: int, steps: int = 400, batch: int = 128, rate: float = 0.01, seed: int = 5, emissions: bool = True) -> AttentionModel:
     """Fit on whole sampled texts: windows start anywhere in them; ``emissions`` of these texts only if asked for."""
     rng = np.random.default_rng(seed)
@@ -248,33 +382,9 @@ def train_attention(ids: np.ndarray, counts: np.ndarray, vocab: int, end: int, s
     klass = classes_of(stream, vocab, rng)
     freq = np.bincount(stream[1:], minlength=vocab)
     emit = Emission.of(stream, klass, vocab) if emissions else None
-    top = np.argsort(-freq, kind="stable")[:FREQUENT]
-    row = FREQUENT + klass
-    row[top] = np.arange(len(top))
-    pairs = np.full((CLASSES, CLASSES), 0.5)
+    pairs = np.zeros((CLASSES, CLASSES))
     np.add.at(pairs, (klass[stream[:-1]], klass[stream[1:]]), 1)
-    draw = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-    p = {"E": draw(FREQUENT + CLASSES, WIDTH), "P": draw(WINDOW, WIDTH), "Q": draw(WIDTH, WIDTH), "K": draw(WIDTH, WIDTH), "V": draw(WIDTH, WIDTH), "O": draw(WIDTH, WIDTH), "W1": draw(WIDTH, HIDDEN), "b1": np.zeros(HIDDEN, np.float32), "W2": draw(HIDDEN, WIDTH), "U": draw(WIDTH, CLASSES), "B": np.log(pairs / pairs.sum(1, keepdims=True)).astype(np.float32)}
-    m = {k: np.zeros_like(v) for k, v in p.items()}
-    s = {k: np.zeros_like(v) for k, v in p.items()}
-    room = len(stream) - WINDOW - 1
-    for t in range(1, steps + 1 if room > 0 else 1):
-        at = rng.integers(0, room, batch)[:, None] + np.arange(WINDOW)
-        given, goal = stream[at], klass[stream[at + 1]]
-        rows = row[given]
-        h, kept = forward(p, rows)
-        logits = h @ p["U"] + p["B"][klass[given]]
-        e = np.exp(logits - logits.max(2, keepdims=True))
-        e /= e.sum(2, keepdims=True)
-        np.subtract.at(e, (np.arange(batch)[:, None], np.arange(WINDOW)[None], goal), 1)
-        e /= batch * WINDOW
-        g = backward(p, rows, h, kept, e @ p["U"].T)
-        g["U"] = np.tensordot(h, e, axes=((0, 1), (0, 1)))
-        g["B"] = np.zeros_like(p["B"])
-        np.add.at(g["B"], klass[given].reshape(-1), e.reshape(-1, CLASSES))
-        lr = rate * min(1, t / 20) * (1 - 0.9 * t / steps)
-        for k in p:
-            m[k] = 0.9 * m[k] + 0.1 * g[k]
-            s[k] = 0.99 * s[k] + 0.01 * g[k] * g[k]
-            p[k] = (p[k] - lr * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
-    return AttentionModel(p, row, klass, emit, end)
+    row, p = drawn(freq, klass, pairs, rng)
+    fit = Descent(p)
+    fit.start(row[stream[:-1]], klass[stream[:-1]], klass[stream[1:]], rng, steps, batch, rate)
+    return AttentionModel(fit.p, row, klass, emit, end)

@@ -121,8 +121,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram base and score of the model for every whole text; a null or empty text is the end alone."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    path = tokens.vocabulary()
-    return lmscore.score_documents(docs, lmscore.train_lm(docs, path), path)
+    coded = lmscore.code_documents(docs, tokens.vocabulary())
+    return lmscore.score_coded(coded, lmscore.fit_attention(coded))
 
 
 def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,6 +124,14 @@ def return_large(size: int = 4 << 20) -> None:
         pass
 
 
+def keep_top(size: int = 128 << 10) -> None:
+    """Keep up to ``size`` freed bytes at the top of the heap: steps that use and free small arrays do not fetch them anew."""
+    try:
+        ctypes.CDLL(None).mallopt(-1, size)
+    except (AttributeError, OSError):  # not a GNU C library
+        pass
+
+
 def release() -> None:
     """Give freed memory of this worker back to the system; idle workers then hold little."""
     pa.default_memory_pool().release_unused()

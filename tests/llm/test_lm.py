@@ -133,3 +133,67 @@ def test_large_ranges_are_counted_in_parts(spark, monkeypatch):
     parts = sorted(map(tuple, lmscore.score_documents(docs, m, vocabulary(), group_bytes=2000).collect()))
     assert [r[:5] for r in whole] == [r[:5] for r in parts]
     assert np.allclose([r[5:] for r in whole], [r[5:] for r in parts])
+
+
+def test_gradients_of_single_precision_are_the_plain_ones():
+    rng = np.random.default_rng(3)
+    m, _ = model()
+    rows = rng.integers(0, 60, (5, attention.WINDOW))
+    before, goal = rng.integers(0, attention.CLASSES, (2, rows.size))
+    on = (rng.random(rows.size) < 0.7).astype(np.float32)
+    got = attention.gradients(m.p, rows, before, goal, on)
+    p = {k: v.astype(np.float64) for k, v in m.p.items()}
+    h, kept = attention.forward(p, rows)
+    e = np.exp(h.reshape(-1, attention.WIDTH) @ p["U"] + p["B"][before])
+    e /= e.sum(1, keepdims=True)
+    e[np.arange(len(e)), goal] -= 1
+    e *= (on / on.sum())[:, None]
+    want = attention.backward(p, rows, h, kept, (e @ p["U"].T).reshape(h.shape))
+    want["U"] = h.reshape(-1, attention.WIDTH).T @ e
+    want["B"] = np.zeros_like(p["B"])
+    np.add.at(want["B"], before, e)
+    assert set(got) == set(m.p)
+    for k in want:
+        assert np.allclose(got[k], want[k], rtol=1e-3, atol=1e-5), k
+
+
+def test_classes_and_weights_see_all_training_documents(spark):
+    from tessera.llm import samples
+    from tessera.llm.textarrays import Texts
+    from tessera.llm.tokens import word_tokenizer
+
+    rnd = random.Random(6)
+    ids = spark.range(2600).withColumnRenamed("id", "doc_id")
+    first = {r[0] for r in samples.training_ids(ids, 2000, 10, 0).collect()}  # what the fit was once bounded to
+    words = ["alpha", "beta", "gamma", "delta"]
+    text = lambda i: " ".join([*rnd.choices(words, k=rnd.randrange(0, 6)), *([] if i in first else ["zebra"])])
+    rows = [(i, text(i)) for i in range(2600)]
+    m = lmscore.train_lm(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), vocabulary())
+    tokenizer = word_tokenizer(vocabulary())
+
+    def encoded(t):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        return tokenizer.encode(Texts(raw, np.array([0, len(raw)])))[0].astype(np.int64).tolist()
+
+    train = [encoded(t) for i, t in rows if zlib.crc32(str(i).encode()) % 10 != 0]
+    assert len(train) > 2200
+    pairs = [p for x in train for p in zip([m.end, *x], [*x, m.end])]
+    assert all(m.klass[k] > 0 for k in encoded("zebra"))  # none of the first 2000 holds it
+    assert m.trained == len(pairs)
+    freq = np.bincount([b for _, b in pairs], minlength=len(m.klass))
+    top = attention.seen_often(freq)
+    x = np.zeros(len(top) * 2 * (attention.CONTEXT + 1))
+    for _, cell in attention.neighbours(*np.array(pairs).T, top, len(m.klass)):
+        np.add.at(x, cell, 1)
+    assert (m.klass == attention.grouped(top, freq, x, len(m.klass), np.random.default_rng(5))).all()
+
+
+def test_texts_held_out_have_no_part_in_the_fit(spark):
+    def fitted(other):
+        rows = [(k, other if zlib.crc32(str(k).encode()) % 10 == 0 else f"alpha beta w{k % 9} " * (k % 7)) for k in range(120)]
+        return lmscore.train_lm(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), vocabulary())
+
+    one, two = fitted("gamma"), fitted("gamma")
+    assert one.trained == two.trained and all((one.p[k] == two.p[k]).all() for k in one.p)  # reruns agree
+    two = fitted("gamme delta " * 9)
+    assert one.trained == two.trained and (one.klass == two.klass).all()
