@@ -18,10 +18,17 @@ CLASSES, FREQUENT, WIDTH, HIDDEN = 32, 2048, 16, 32
 CONTEXT = 256
 #: Slots of the table of subword pairs; of pairs that meet in a slot the most frequent one is kept.
 SLOTS = 1 << 21
+#: Windows that are scored together: their arrays stay in a core's cache.
+TOGETHER = 128
 ONES = np.ones((CLASSES, 1), np.float32)
 MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 
 
+def beside(x: np.ndarray, value: float) -> np.ndarray:
+    """Rows with ``value`` as one more column."""
+    return np.concatenate([x, np.full((len(x), 1), value, x.dtype)], axis=1)
+
+
 def seen_often(freq: np.ndarray, kept: int = 3000) -> np.ndarray:
     """The ids that classes are told apart for, most frequent first."""
     top = np.argsort(-freq, kind="stable")[:kept]
@@ -151,46 +158,38 @@ class AttentionModel:
         return self.summed(given, target, counts, self.emit.log(given, target))
 
     def tables(self) -> dict[str, np.ndarray]:
-        """What scoring reads of the parameters, multiplied out once: queries (scaled), keys and values of every input row
-        and every place, and the output weights."""
+        """What scoring reads of the parameters, multiplied out once: inputs, with a 1 beside them, and queries, brought
+        to where they meet the inputs, of every input row and every place; values by the output; ``b1`` as a row of ``W1``."""
         if self._tables is None:
             p = self.p
-            one = np.ones((1, 1), np.float32)  # a last value of 1: what it sums to is the weight of all places
-            scaled = p["Q"] * np.float32(WIDTH**-0.5)
-            out = {"W2U": p["W2"] @ p["U"]}
-            for name, w in (("q", scaled), ("k", p["K"]), ("v", p["V"])):
-                out[name], out[f"{name}_at"] = p["E"] @ w, p["P"] @ w
-            out["v"] = np.concatenate([out["v"], one.repeat(len(out["v"]), 0)], axis=1)
-            out["v_at"] = np.concatenate([out["v_at"], 0 * one.repeat(WINDOW, 0)], axis=1)
+            among = p["Q"] @ p["K"].T * np.float32(WIDTH**-0.5)
+            out = {"x": beside(p["E"], 1), "x_at": beside(p["P"], 0), "q": p["E"] @ among, "q_at": p["P"] @ among, "mixed": np.pad(p["V"] @ p["O"], (0, 1))}
+            out["W1"] = np.concatenate([p["W1"], p["b1"][None]])
+            out["U"] = np.concatenate([p["U"], np.zeros((1, CLASSES), np.float32), p["W2"] @ p["U"]])
             self._tables = out
         return self._tables
 
     def logits(self, rows: np.ndarray, first: int) -> np.ndarray:
         """Class scores, without the class before, at the places from ``first`` on of windows (m, WINDOW) of input rows."""
-        p, t = self.p, self.tables()
-        late = rows[:, first:]
-
-        def read(name, which, at):
-            x = np.take(t[name], which, axis=0)
-            x += t[f"{name}_at"][at:]
-            return x
-
-        s = read("q", late, first) @ read("k", rows, 0).transpose(0, 2, 1)
+        t = self.tables()
+        x = np.take(t["x"], rows, axis=0)
+        x += t["x_at"]
+        q = np.take(t["q"], rows[:, first:], axis=0)
+        q += t["q_at"][first:]
+        s = q @ x[:, :, :WIDTH].transpose(0, 2, 1)
         np.clip(s, -60, 30, out=s)  # no row of weights vanishes
         s += MASK[first:]
         np.exp(s, out=s)
-        c = s @ read("v", rows, 0)
-        c = (c[:, :, :WIDTH] / c[:, :, WIDTH:]).reshape(-1, WIDTH)
-        y = np.take(p["E"], late, axis=0)
-        y += p["P"][first:]
-        y = y.reshape(-1, WIDTH)
-        y += c @ p["O"]
-        z = y @ p["W1"]
-        z += p["b1"]
+        c = s @ x  # the last column is the weight of all places
+        c *= 1 / c[:, :, WIDTH:]
+        both = np.empty((*c.shape[:2], WIDTH + 1 + HIDDEN), np.float32)
+        np.matmul(c, t["mixed"], out=both[:, :, : WIDTH + 1])
+        both[:, :, : WIDTH + 1] += x[:, first:]
+        both = both.reshape(-1, WIDTH + 1 + HIDDEN)
+        z = both[:, WIDTH + 1 :]
+        np.matmul(both[:, : WIDTH + 1], t["W1"], out=z)
         np.maximum(z, 0, out=z)
-        out = y @ p["U"]
-        out += z @ t["W2U"]
-        return out
+        return both @ t["U"]
 
     def summed(self, given: np.ndarray, target: np.ndarray, counts: np.ndarray, got: np.ndarray) -> np.ndarray:
         """log10 probability of each text's classes, with ``got`` (natural logarithms by step) added."""
@@ -205,15 +204,16 @@ class AttentionModel:
         # The first window of a text scores all of its places, later ones only those that no window before them has scored.
         for some, first in ((k == 0, 0), (k > 0, WINDOW - STRIDE)):
             begin, end = start[some], stop[some]
-            for a in range(0, len(begin), 512):
-                at = begin[a : a + 512, None] + np.arange(WINDOW)
-                need = at[:, first:] < end[a : a + 512, None]
+            for a in range(0, len(begin), TOGETHER):
+                at = begin[a : a + TOGETHER, None] + np.arange(WINDOW)
+                need = at[:, first:] < end[a : a + TOGETHER, None]
                 flat = at[:, first:][need]
                 logits = self.logits(inputs[np.minimum(at, total - 1)], first)
                 logits = logits if need.all() else logits[need.ravel()]
                 logits += np.take(self.p["B"], before[flat], axis=0)
                 own = logits[np.arange(len(flat)), klass[flat]]
-                weight = (np.exp(np.minimum(logits, 80)) @ ONES)[:, 0]
+                with np.errstate(over="ignore"):
+                    weight = (np.exp(logits) @ ONES)[:, 0]
                 if weight.min(initial=1.0) < 1e-30 or weight.max(initial=1.0) > 1e34:  # beyond what single precision holds as it is
                     top = logits.max(1)
                     got[flat] += own - top - np.log(np.exp(logits - top[:, None]).sum(1))
@@ -270,65 +270,78 @@ def drawn(freq: np.ndarray, klass: np.ndarray, pairs: np.ndarray, rng: np.random
     return row, {"E": draw(FREQUENT + CLASSES, WIDTH), "P": draw(WINDOW, WIDTH), "Q": draw(WIDTH, WIDTH), "K": draw(WIDTH, WIDTH), "V": draw(WIDTH, WIDTH), "O": draw(WIDTH, WIDTH), "W1": draw(WIDTH, HIDDEN), "b1": np.zeros(HIDDEN, np.float32), "W2": draw(HIDDEN, WIDTH), "U": draw(WIDTH, CLASSES), "B": np.log(pairs / pairs.sum(1, keepdims=True)).astype(np.float32)}
 
 
+def by_row(x: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``x`` by row of a table of ``n``."""
+    order = np.argsort(rows, kind="stable")
+    at = rows[order]
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    out = np.zeros((n, x.shape[1]), x.dtype)
+    out[at[first]] = np.add.reduceat(np.take(x, order, axis=0), first, axis=0)
+    return out
+
+
 def gradients(p: dict[str, np.ndarray], rows: np.ndarray, before: np.ndarray, goal: np.ndarray, on: np.ndarray) -> dict[str, np.ndarray]:
     """Gradients of the mean loss of windows (m, WINDOW) of input rows; ``before``, ``goal`` and ``on`` are the class
-    before, the class and the weight of each place. The same as ``backward``, in single precision and fewer passes."""
+    before, the class and the weight of each place. The same as ``backward``, in single precision and fewer passes: queries
+    meet keys, and values the output, through products of their weights; a last column of 1 stands beside the inputs, so
+    that weights of places are summed with the values and ``b1`` is a row of ``W1``."""
     m, n = len(rows), rows.size
     scale = np.float32(WIDTH**-0.5)
-    w = np.concatenate([p["Q"] * scale, p["K"], p["V"]], axis=1)
-    x = np.take(p["E"], rows, axis=0)
-    x += p["P"]
-    x = x.reshape(n, WIDTH)
-    qkv = (x @ w).reshape(m, WINDOW, 3 * WIDTH)
-    q, k, v = (qkv[:, :, a : a + WIDTH] for a in (0, WIDTH, 2 * WIDTH))
-    s = q @ k.transpose(0, 2, 1)
+    among, mixed = p["Q"] @ p["K"].T * scale, p["V"] @ p["O"]
+    rows = rows.reshape(-1)
+    x = np.take(beside(p["E"], 1), rows, axis=0)
+    inputs = x.reshape(m, WINDOW, WIDTH + 1)
+    inputs += beside(p["P"], 0)
+    plain = inputs[:, :, :WIDTH]
+    s = (x[:, :WIDTH] @ among).reshape(m, WINDOW, WIDTH) @ plain.transpose(0, 2, 1)
     np.clip(s, -60, 30, out=s)  # no row of weights vanishes
     s += MASK
     np.exp(s, out=s)
-    s /= (s.reshape(n, WINDOW) @ ONES).reshape(m, WINDOW, 1)
-    c = (s @ v).reshape(n, WIDTH)
-    y = c @ p["O"]
+    c = (s @ inputs).reshape(n, WIDTH + 1)
+    share = 1 / c[:, WIDTH:]
+    c *= share
+    y = c @ np.pad(mixed, (0, 1))
     y += x
-    z = y @ p["W1"]
-    z += p["b1"]
+    z = y @ np.concatenate([p["W1"], p["b1"][None]])
     np.maximum(z, 0, out=z)
     h = z @ p["W2"]
-    h += y
+    h += y[:, :WIDTH]
     e = h @ p["U"]
     e += np.take(p["B"], before, axis=0)
-    np.exp(np.clip(e, -80, 80, out=e), out=e)
+    np.clip(e, -80, 80, out=e)
+    np.exp(e, out=e)
     on = (on / on.sum()).astype(np.float32)
     e *= (on / (e @ ONES)[:, 0])[:, None]
-    place = np.arange(n)
-    e[place, goal] -= on
-    hot = np.zeros((n, CLASSES), np.float32)
-    hot[place, before] = 1
-    g = {"U": h.T @ e, "B": hot.T @ e}
+    e.reshape(-1)[np.arange(0, n * CLASSES, CLASSES) + goal] -= on
+    g = {"U": h.T @ e, "B": by_row(e, before, CLASSES)}
     gh = e @ p["U"].T
     g["W2"] = z.T @ gh
     gz = gh @ p["W2"].T
     gz *= z > 0
-    g["W1"], g["b1"] = y.T @ gz, np.ones(n, np.float32) @ gz
+    gw = y.T @ gz
+    g["W1"], g["b1"] = gw[:WIDTH], gw[WIDTH]
     gy = gz @ p["W1"].T
     gy += gh
-    g["O"] = c.T @ gy
-    gc = gy @ p["O"].T
-    mean = np.einsum("ij,ij->i", gc, c).reshape(m, WINDOW, 1)
-    gc = gc.reshape(m, WINDOW, WIDTH)
-    gs = gc @ v.transpose(0, 2, 1)
-    gs -= mean
+    gm = (c.T @ gy)[:WIDTH]
+    g["V"], g["O"] = gm @ p["O"].T, p["V"].T @ gm
+    gc = np.empty_like(c)
+    np.matmul(gy, mixed.T, out=gc[:, :WIDTH])
+    np.negative(np.einsum("ij,ij->i", gc[:, :WIDTH], c[:, :WIDTH]), out=gc[:, WIDTH])
+    gc *= share
+    gc = gc.reshape(m, WINDOW, WIDTH + 1)
+    gs = gc @ inputs.transpose(0, 2, 1)
     gs *= s
-    back = np.concatenate([gs @ k, gs.transpose(0, 2, 1) @ q, s.transpose(0, 2, 1) @ gc], axis=2).reshape(n, 3 * WIDTH)
-    gw = x.T @ back
-    g["Q"], g["K"], g["V"] = gw[:, :WIDTH] * scale, gw[:, WIDTH : 2 * WIDTH], gw[:, 2 * WIDTH :]
-    gx = back @ w.T
+    met = np.empty((m, WINDOW, 2 * WIDTH), np.float32)
+    np.matmul(gs, plain, out=met[:, :, :WIDTH])
+    np.matmul(gs.transpose(0, 2, 1), plain, out=met[:, :, WIDTH:])
+    met = met.reshape(n, 2 * WIDTH)
+    ga = x[:, :WIDTH].T @ met[:, :WIDTH] * scale
+    g["Q"], g["K"] = ga @ p["K"], ga.T @ p["Q"]
+    gx = met @ np.concatenate([among.T, among])
     gx += gy
+    gx.reshape(m, WINDOW, WIDTH)[:] += s.transpose(0, 2, 1) @ gc[:, :, :WIDTH]
     g["P"] = gx.reshape(m, WINDOW, WIDTH).sum(0)
-    order = np.argsort(rows.reshape(-1), kind="stable")
-    at = rows.reshape(-1)[order]
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    g["E"] = np.zeros_like(p["E"])
-    g["E"][at[first]] = np.add.reduceat(gx[order], first, axis=0)
+    g["E"] = by_row(gx, rows, len(p["E"]))
     return g
 
 
@@ -336,16 +349,29 @@ class Descent:
     """Weights that take steps by gradients with running moments."""
 
     def __init__(self, p: dict[str, np.ndarray]):
-        self.p = {k: v.copy() for k, v in p.items()}
-        self.m, self.s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+        self.cuts = np.cumsum([0, *(v.size for v in p.values())])
+        self.flat = np.concatenate([v.reshape(-1) for v in p.values()])
+        self.p = {k: self.flat[a:b].reshape(v.shape) for (k, v), a, b in zip(p.items(), self.cuts, self.cuts[1:])}
+        self.m, self.s, self.g, self.room = (np.zeros_like(self.flat) for _ in range(4))
         self.t = 0
 
     def step(self, g: dict[str, np.ndarray], rate: float) -> None:
         self.t += 1
-        for k, x in g.items():
-            self.m[k] = 0.9 * self.m[k] + 0.1 * x
-            self.s[k] = 0.99 * self.s[k] + 0.01 * x * x
-            self.p[k] = (self.p[k] - rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.s[k] / (1 - 0.99**self.t)) + 1e-6)).astype(np.float32)
+        for k, a, b in zip(self.p, self.cuts, self.cuts[1:]):
+            self.g[a:b] = g[k].reshape(-1)
+        m, s, x, room = self.m, self.s, self.g, self.room
+        m *= 0.9
+        m += np.multiply(x, 0.1, out=room)
+        s *= 0.99
+        x *= x
+        x *= 0.01
+        s += x
+        np.multiply(s, 1 / (1 - 0.99**self.t), out=x)
+        np.sqrt(x, out=x)
+        x += 1e-6
+        np.multiply(m, rate / (1 - 0.9**self.t), out=room)
+        room /= x
+        self.flat -= room
 
     def start(self, rows: np.ndarray, before: np.ndarray, goal: np.ndarray, rng: np.random.Generator, steps: int = 400, batch: int = 128, rate: float = 0.01) -> None:
         """Steps on windows that start anywhere in the places given."""

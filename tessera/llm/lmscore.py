@@ -117,6 +117,13 @@ class Coded:
     pairs: Pairs
     partitions: int
     idt: str
+    seen: np.ndarray | None = None
+
+    def freq(self) -> np.ndarray:
+        """How often each subword stands in the training documents."""
+        if self.seen is None:
+            self.seen = gathered(self, all_of(lambda before, ids: ids), self.pairs.vocab)[0]
+        return self.seen
 
 
 def code_documents(documents: DataFrame, path: str, mod: int = 10, hold: int = 0) -> Coded:
@@ -139,7 +146,7 @@ def code_documents(documents: DataFrame, path: str, mod: int = 10, hold: int = 0
         for batch, texts in passes(batches, size=PASS):
             s, e, owner = texts.words(SOLID)
             hashes = texts.hashes(s, e, LOWER)
-            flat, counts = tokenizer.encode(texts)
+            flat, counts = tokenizer.encode(texts, (s, e, owner))
             del s, e
             starts = np.concatenate(([0], np.cumsum(counts)))
             words = np.bincount(owner, minlength=len(texts))[: len(texts)]
@@ -267,7 +274,7 @@ def fit_attention(coded: Coded, seed: int = 5) -> AttentionModel:
     spark = coded.base.sparkSession
     vocab, end = coded.pairs.vocab, coded.pairs.vocab - 1
     rng = np.random.default_rng(seed)
-    freq = gathered(coded, all_of(lambda before, ids: ids), vocab)[0]
+    freq = coded.freq()
     top = seen_often(freq)
     x = gathered(coded, lambda before, ids: neighbours(before, ids, top, vocab), len(top) * 2 * (CONTEXT + 1))[0] if len(top) else np.zeros(0)
     klass = grouped(top, freq, x, vocab, rng)
@@ -287,6 +294,7 @@ def fit_attention(coded: Coded, seed: int = 5) -> AttentionModel:
             return rows[given[on]], klasses[given[on]], klasses[target[on]]
 
         def descend(batches):
+            return_large()
             keep_top(64 << 20)
             fit, n, kept = Descent(held.value[0]), 0, []
             for batch in batches:
@@ -468,7 +476,7 @@ def score_coded(coded: Coded, model: AttentionModel, group_bytes: int = GROUP_BY
 
     cells = vocab * CLASSES
     klass = model.klass
-    freq = gathered(coded, all_of(lambda before, ids: ids), vocab)[0]
+    freq = coded.freq()
     sums, kinds = (x.astype(np.float32) for x in gathered(coded, all_of(lambda before, ids: before * CLASSES + klass[ids]), cells))
     model.tables()
     held_model = spark.sparkContext.broadcast(model)
@@ -482,6 +490,7 @@ def score_coded(coded: Coded, model: AttentionModel, group_bytes: int = GROUP_BY
 
     def finish(batches):
         return_large()
+        keep_top(64 << 20)  # the windows' arrays are used and freed hundreds of times a chunk
         alone, sums, kinds = held_tables.value
         lm = held_model.value
         for t in groups_of(batches):
@@ -516,6 +525,8 @@ def score_coded(coded: Coded, model: AttentionModel, group_bytes: int = GROUP_BY
                 del given, target, pair, uses, where, before, ids_, count, cell, value
                 release()  # what the windows took goes back before the next chunk
                 yield pa.RecordBatch.from_arrays([ids, pa.array(flags), pa.array(n), pa.array((zero + known).astype(np.int64) + (train_docs > 0)), pa.array(np.full(len(n), total)), pa.array(zero + share + end - n * norm), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        keep_top()
+        release()
 
     kept = {"chunk": "long", "range": "long", "counts": "binary", "share": "binary", "known": "binary", "held": "binary", "ids": f"array<{idt}>", "n_words": "array<long>", "subwords": "binary", "lengths": "binary"}
     take = lambda df, *have: df.select(*(c if c in have else F.lit(None).cast(kind).alias(c) for c, kind in kept.items()))
