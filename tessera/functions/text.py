@@ -41,8 +41,19 @@ def clean_unicode(c: Column) -> Column:
     return F.translate(c, " ", " ")
 
 
+#: What ``normalize_arabic`` may change: Arabic, zero-width and direction marks, no-break spaces.
+FOLDED = "[\\u00A0\\u0600-\\u06FF\\u200B-\\u200F\\uFEFF]"
+
+
 def normalize_arabic(c: Column) -> Column:
-    """Orthographic folding for matching: tanween alef, marks, tatweel, letter variants and digits, in this order."""
+    """Orthographic folding for matching: tanween alef, marks, tatweel, letter variants and digits, in this order.
+
+    A text without any of them is looked through once and stays as it is.
+    """
+    return once(c, lambda x: F.when(F.rlike(x, F.lit(FOLDED)), _fold_arabic(x)).otherwise(F.coalesce(x, F.lit(""))))
+
+
+def _fold_arabic(c: Column) -> Column:
     c = clean_unicode(c)
     c = F.regexp_replace(c, "(\\u064B\\u0627|\\u0627\\u064B)(?![\\u0621-\\u064A])", "")
     c = F.regexp_replace(c, "[\\u0610-\\u061A\\u064B-\\u065F\\u0670\\u06D6-\\u06ED\\u0640]", "")

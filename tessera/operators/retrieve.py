@@ -12,14 +12,13 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.rules import action_adjustment, expand_query, looks_like_followup, query_actions
-from ..functions.text import char_ngrams, missing, tokenize
-from ..functions.vectors import trigram_buckets
+from ..functions.text import missing, normalize_for_matching, once, tokenize
 from ..storage import small
 from . import scan
-from .index import term_counts, tfidf_idf, tfidf_queries, unit_rows
+from .index import tfidf_queries, unit_rows
 
 
-#: Rows up to which the n-grams of a language are broadcast: two numbers each.
+#: Rows up to which the n-grams of a language travel with a plan: two numbers each.
 LEXICON_ROWS = 1_000_000
 
 
@@ -136,46 +135,54 @@ def text_rows(chunks: DataFrame, keep=lambda name, make: make()) -> dict:
     one. ``keep(name, make)`` may store a table. Rows with one chunk id share their terms, as in postings; ``first`` marks
     one of them, and ``several`` holds the tokens of each of their texts. A null text has no terms.
     """
-    each_of = lambda f: F.flatten(F.transform("texts", lambda t: _hashed(f(t))))
+    same = chunks.groupBy("chunk_id").agg(F.collect_list("text").alias("texts"), F.collect_list(F.struct("service_id", "lang", "section")).alias("owners"))
+    plain = F.transform("texts", normalize_for_matching).alias("plain")
 
-    def count() -> DataFrame:
-        same = chunks.groupBy("chunk_id").agg(F.collect_list("text").alias("texts"), F.collect_list(F.struct("service_id", "lang", "section")).alias("owners"))
+    def known() -> DataFrame:
+        n = chunks.agg(F.count("*").alias("n"))
+        return scan.gram_rows(same.select(plain), "plain").crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
+
+    def count(idf: DataFrame | None = None) -> DataFrame:
         rows = same.select("chunk_id", "texts", F.size("owners").alias("shared"), F.posexplode("owners").alias("pos", "o"))
         rows = rows.select("chunk_id", "o.*", "texts", "shared", (F.col("pos") == 0).alias("first")).join(scan.title_tokens(chunks.where("section = 'title'").select("service_id", "title")), "service_id", "left")
-        several = F.when(F.size("texts") > 1, F.transform("texts", lambda t: _hashed(tokenize(t))))
-        rows = rows.withColumns({"several": several, "char": each_of(char_ngrams), "bm25": each_of(tokenize), "dense": each_of(trigram_buckets)}).drop("texts")
-        return scan.counted(rows, "char", "bm25", "dense")
+        tokens = F.transform("texts", lambda t: _hashed(tokenize(t)))
+        rows = rows.withColumns({"several": F.when(F.size("texts") > 1, tokens), "bm25": F.flatten(tokens), "plain": plain}).drop("texts")
+        return scan.counted(rows, "bm25", texts="plain", idf=idf)
 
-    own = keep("counted", count)
-    each = own.where("first").select("chunk_id", F.explode(F.arrays_zip("char_t", "char_n")).alias("e")).select("chunk_id", F.col("e.char_t").alias("term"), F.col("e.char_n").alias("tf"))
-    idf = keep("gram-idf", lambda: tfidf_idf(each, own))
+    idf = keep("gram-idf", known)
 
     def measured() -> DataFrame:
+        if idf.count() <= LEXICON_ROWS:
+            return count(idf)
+        own = keep("counted", count)
+        each = own.where("first").select("chunk_id", F.explode(F.arrays_zip("char_t", "char_n")).alias("e")).select("chunk_id", F.col("e.char_t").alias("term"), F.col("e.char_n").alias("tf"))
         w = (1 + F.log(F.col("tf").cast("double"))) * F.col("idf")
-        return own.join(each.join(small(idf, LEXICON_ROWS), "term").groupBy("chunk_id").agg(F.sqrt(F.sum(w * w)).alias("length")), "chunk_id", "left")
+        return own.join(each.join(idf, "term").groupBy("chunk_id").agg(F.sqrt(F.sum(w * w)).alias("length")), "chunk_id", "left")
 
     rows = keep("measured", measured).withColumn("terms", F.aggregate("bm25_n", F.lit(0).cast("long"), lambda s, x: s + x))
     total = rows.agg(F.count("*").alias("n"), F.avg(F.col("terms") / F.col("shared")).alias("mean")).first()
     k1, b, mean = fixed.BM25["k1"], fixed.BM25["b"], total.mean or 1.0
 
-    def length_at(t: Column) -> Column:
-        return F.when(F.col("several").isNull(), F.col("terms")).otherwise(F.size(F.get(F.filter("several", lambda a: F.array_contains(a, t)), F.lit(0))))
+    def length_at(t: Column, whole: Column) -> Column:
+        return F.when(F.col("several").isNull(), whole).otherwise(F.size(F.get(F.filter("several", lambda a: F.array_contains(a, t)), F.lit(0))))
 
+    # Sums over a row are bound once: the optimizer would put their expressions where they are used, which is for every term.
     norm = F.sqrt(F.aggregate("dense_n", F.lit(0.0), lambda s, x: s + x * x))
     weights = {
-        "char_w": F.transform("char_n", lambda n: (1 + F.log(n.cast("double"))) / F.col("length")), "dense_w": F.transform("dense_n", lambda n: n / F.col("norm")),
-        "bm25_w": F.zip_with("bm25_t", "bm25_n", lambda t, n: n * (k1 + 1) / (n + k1 * (1 - b + b * length_at(t) / mean))),
+        "char_w": F.transform("char_n", lambda n: (1 + F.log(n.cast("double"))) / F.col("length")), "dense_w": once(norm, lambda whole: F.transform("dense_n", lambda n: n / whole)),
+        "bm25_w": once(F.col("terms"), lambda whole: F.zip_with("bm25_t", "bm25_n", lambda t, n: n * (k1 + 1) / (n + k1 * (1 - b + b * length_at(t, whole) / mean)))),
     }
-    return {"chunks": chunks, "rows": rows.withColumn("norm", norm).withColumns(weights), "folded": {"idf": idf, "bm25": rows.where("first").select("bm25_t"), "n": total.n}}
+    return {"chunks": chunks, "rows": rows.withColumns(weights), "folded": {"idf": idf, "bm25": rows.where("first").select("bm25_t"), "n": total.n}}
 
 
 def folded_signals(queries: DataFrame, index: dict, wanted: list[str], text: str = "query") -> dict[str, DataFrame]:
     """(query_id, t, w) by signal for the rows of ``text_rows``: a question's weight times what the term weighs in all chunks."""
     out, folded = {}, index["folded"]
     if "dense" in wanted and "query_trigrams" in index:
-        out["dense"] = index["query_trigrams"].select("query_id", F.xxhash64(F.col("bucket").cast("string")).alias("t"), "w")
+        out["dense"] = index["query_trigrams"].select("query_id", F.col("bucket").cast("long").alias("t"), "w")
     if "char" in wanted:
-        tf = term_counts(queries, "query_id", _hashed(char_ngrams(F.col(text))))
+        own = scan.counted(queries.select("query_id", F.array(normalize_for_matching(F.col(text))).alias("plain")), texts="plain")
+        tf = own.select("query_id", F.explode(F.arrays_zip("char_t", "char_n")).alias("e")).groupBy("query_id", F.col("e.char_t").alias("term")).agg(F.sum("e.char_n").alias("tf"))
         idf = folded["idf"].join(small(tf.select("term").distinct()), "term")
         own = unit_rows(tf.join(idf, "term").select("query_id", "term", ((1 + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("w")), "query_id")
         out["char"] = own.join(idf, "term").select("query_id", F.col("term").alias("t"), (F.col("w") * F.col("idf")).alias("w"))

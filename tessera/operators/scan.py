@@ -8,6 +8,7 @@ blocks of bounded size. Rows carry what the signals need: sparse vectors (``{sig
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,10 @@ from ..storage import stored
 #: Questions whose vectors travel with one plan, those that are multiplied together, and products that one step holds.
 PLAN_QUESTIONS = 2048
 PLAN_BYTES = 32 << 20
-TOGETHER = 64
+TOGETHER = 256
 STEP = 1 << 21
+#: Rows that are multiplied together with them.
+ROWS = 2048
 #: Cells of a whole matrix for each entry up to which it is multiplied as such.
 DENSE = 8
 
@@ -171,31 +174,144 @@ def title_tokens(titles: DataFrame) -> DataFrame:
 
 #: Rows whose terms are counted together.
 COUNTED = 512
+#: N-grams whose rows a task counts before it passes them on.
+GRAMS_HELD = 2_000_000
 
 
-def counted(rows: DataFrame, *lists: str) -> DataFrame:
+def _mixed(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """A 64-bit hash carried on by one more character (splitmix)."""
+    h = h + c + np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+class Grams:
+    """Character n-grams (as 64-bit hashes) and trigram buckets of normalised texts, the same as ``char_ngrams`` and ``trigram_buckets`` cut.
+
+    The words of a normalised text have one space between them, so the n-grams of its padded words are those stretches
+    of the padded text that hold no space inside. All texts of a batch are cut together.
+    """
+
+    def __init__(self):
+        self.known, self.bucket = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # trigrams seen and their buckets
+
+    def cut(self, rows: list, buckets: bool = True) -> tuple[np.ndarray, ...]:
+        """(row, hash) of the n-grams in order, one after another for each place, and (row, bucket) of the trigrams."""
+        each = [(r, f" {t} ") for r, texts in enumerate(rows) for t in texts or ()]
+        whole = "".join(t for _, t in each)
+        sizes = np.array([len(t) for _, t in each], np.int64)
+        owner = np.array([r for r, _ in each], np.int64)
+        row = np.repeat(owner, sizes)
+        c = np.frombuffer(whole.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(c))  # characters up to the end of the text
+        h, inside, found = np.zeros(len(c), np.uint64), np.ones(len(c), bool), []
+        for n in range(1, 6):
+            h = _mixed(h[: max(len(c) - n + 1, 0)], c[n - 1 :])
+            if n >= 3:
+                inside = inside[: len(h)] & (c[n - 2 : n - 2 + len(h)] != 32)
+                on = np.flatnonzero(inside & (left[: len(h)] >= n))
+                found.append((row[on], h[on]))
+            if n == 3 and buckets:
+                on = np.flatnonzero(left[: len(h)] >= 3)
+                tri = row[on], self._buckets(h[on], on, whole)
+        gram_row, gram = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(gram_row.astype(np.uint32), kind="stable")
+        gram_row, gram = gram_row[order], gram[order].view(np.int64)
+        if not buckets:
+            return gram_row, gram
+        empty = owner[sizes < 3]  # nothing but the padding: one short trigram
+        return gram_row, gram, np.concatenate((tri[0], empty)), np.concatenate((tri[1], np.full(len(empty), hashlib.md5(b"  ").digest()[-1], np.int64)))
+
+    def _buckets(self, h: np.ndarray, at: np.ndarray, whole: str) -> np.ndarray:
+        """The last byte of the md5 of the trigrams at some places; each trigram is digested once a task."""
+        seen = np.minimum(np.searchsorted(self.known, h), max(len(self.known) - 1, 0))
+        new = np.flatnonzero(self.known[seen] != h) if len(self.known) else np.arange(len(h))
+        if len(new):
+            more, first = np.unique(h[new], return_index=True)
+            made = [hashlib.md5(whole[i : i + 3].encode()).digest()[-1] for i in at[new[first]].tolist()]
+            known, bucket = np.concatenate((self.known, more)), np.concatenate((self.bucket, np.array(made, np.int64)))
+            order = np.argsort(known)
+            self.known, self.bucket = known[order], bucket[order]
+            seen = np.searchsorted(self.known, h)
+        return self.bucket[seen]
+
+
+def _distinct(row: np.ndarray, value: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets by row, distinct values of each row in order, how often each stands there); ``row`` is in order."""
+    ends = np.searchsorted(row, np.arange(rows + 1))
+    value = value.copy()
+    for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        value[lo:hi].sort()
+    first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (value[1:] != value[:-1])))) if len(row) else np.zeros(0, np.int64)
+    return np.searchsorted(row[first], np.arange(rows + 1)).astype(np.int32), value[first], np.diff(np.append(first, len(row))).astype(np.int32)
+
+
+def counted(rows: DataFrame, *lists: str, texts: str | None = None, idf: DataFrame | None = None) -> DataFrame:
     """``rows`` with ``{list}_t``, the distinct values in order, and ``{list}_n``, how often each stands there, for every array<long> named.
 
-    Terms are counted within their row: nothing is exploded or shuffled.
+    With ``texts``, an array of normalised texts, also ``char`` of their character n-grams (hashes) and ``dense`` of their
+    trigrams (buckets); with ``idf`` (term, idf), which travels with the plan, also ``length``, that of the vector of
+    (1 + ln ``char_n``) times idf, null without n-grams. Terms are counted within their row: nothing is exploded or shuffled.
     """
-    kept = [c for c in rows.columns if c not in lists]
-    shape = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept] + [f"`{x}_t` array<long>, `{x}_n` array<int>" for x in lists])
+    kept = [c for c in rows.columns if c not in (*lists, texts)]
+    names = [f"{x}_{y}" for x in (*lists, *(("char", "dense") if texts else ())) for y in "tn"]
+    shape = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept] + [f"`{x}` array<{'int' if x.endswith('_n') else 'long'}>" for x in names] + (["length double"] if idf is not None else []))
+    terms, weights = _sorted_idf(idf) if idf is not None else (None, None)
+
+    def length(at: np.ndarray, term: np.ndarray, n: np.ndarray) -> pa.Array:
+        here = np.minimum(np.searchsorted(terms, term), max(len(terms) - 1, 0))
+        w = np.where(terms[here] == term, (1 + np.log(n)) * weights[here], 0.0) if len(terms) else np.zeros(len(term))
+        sizes = np.diff(at)
+        return pa.array(np.sqrt(np.bincount(np.repeat(np.arange(len(sizes)), sizes), w * w, len(sizes))), mask=sizes == 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = Grams()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, COUNTED):
+                part = batch.slice(lo, COUNTED)
+                size = part.num_rows
+                found = [_distinct(*_lists(part.column(i)), size) for i in range(len(kept), len(kept) + len(lists))]
+                more = []
+                if texts:
+                    row, gram, tri, bucket = grams.cut(part.column(part.num_columns - 1).to_pylist())
+                    n = np.bincount(tri * 256 + bucket, minlength=size * 256)
+                    key = np.flatnonzero(n)
+                    found += [_distinct(row, gram, size), (np.searchsorted(key, np.arange(size + 1) * 256).astype(np.int32), key % 256, n[key].astype(np.int32))]
+                    more = [length(*found[-2])] if terms is not None else []
+                arrays = [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for at, *both in found for x in both]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), *arrays, *more], names=[*kept, *names, *(["length"] if more else [])])
+
+    return rows.select(*kept, *lists, *([texts] if texts else [])).mapInArrow(run, shape)
+
+
+def _sorted_idf(idf: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    known = idf.select("term", "idf").toArrow()
+    terms, weights = (known.column(i).to_numpy() for i in (0, 1))
+    order = np.argsort(terms)
+    return terms[order], weights[order]
+
+
+def gram_rows(rows: DataFrame, texts: str) -> DataFrame:
+    """(term, df): in how many rows of ``texts``, arrays of normalised texts, each n-gram stands; summed up within tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, held = Grams(), (np.zeros(0, np.int64), np.zeros(0, np.int64))
         for batch in batches:
             for lo in range(0, batch.num_rows, COUNTED):
                 part = batch.slice(lo, COUNTED)
-                columns = [part.column(i) for i in range(len(kept))]
-                for i in range(len(kept), part.num_columns):
-                    row, term = _lists(part.column(i))
-                    order = np.lexsort((term, row))
-                    row, term = row[order], term[order]
-                    first = np.flatnonzero(np.concatenate(([True], (np.diff(row) != 0) | (np.diff(term) != 0)))) if len(row) else np.zeros(0, np.int64)
-                    at = pa.array(np.searchsorted(row[first], np.arange(part.num_rows + 1)).astype(np.int32))
-                    columns += [pa.ListArray.from_arrays(at, pa.array(term[first])), pa.ListArray.from_arrays(at, pa.array(np.diff(np.append(first, len(row))).astype(np.int32)))]
-                yield pa.RecordBatch.from_arrays(columns, names=[*kept, *(f"{x}_{y}" for x in lists for y in "tn")])
+                one = np.unique(_distinct(*grams.cut(part.column(0).to_pylist(), buckets=False), part.num_rows)[1], return_counts=True)
+                term, n = (np.concatenate(x) for x in zip(held, one, strict=True))
+                order = np.argsort(term, kind="stable")
+                term, n = term[order], n[order]
+                first = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1]))) if len(term) else np.zeros(0, np.int64)
+                held = term[first], np.add.reduceat(n, first) if len(first) else n
+                if len(first) > GRAMS_HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["term", "n"])
+                    held = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["term", "n"])
 
-    return rows.select(*kept, *lists).mapInArrow(run, shape)
+    return rows.select(texts).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
 
 class Sparse:
@@ -205,13 +321,17 @@ class Sparse:
         self.terms, place = np.unique(term, return_inverse=True)
         self.place, self.question, self.w = place.astype(np.int32), question.astype(np.int32), w
 
-    def matrix(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-        """(terms, weights by term and question) of the questions lo..hi."""
-        on = (self.question >= lo) & (self.question < hi)
-        used, at = np.unique(self.place[on], return_inverse=True)
-        out = np.zeros((len(used), hi - lo))
-        out[at, self.question[on] - lo] = self.w[on]
-        return self.terms[used], out
+    def matrix(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray | None, tuple]:
+        """(terms, weights by term and question where that is a small matrix, its entries as lists by term) of the questions lo..hi."""
+        on = np.flatnonzero((self.question >= lo) & (self.question < hi))
+        on = on[np.argsort(self.place[on], kind="stable")]
+        used, first, at = np.unique(self.place[on], return_index=True, return_inverse=True)
+        lists = np.append(first, len(on)), self.question[on] - lo, self.w[on], hi - lo
+        whole = None
+        if len(used) * (hi - lo) <= STEP:
+            whole = np.zeros((len(used), hi - lo))
+            whole[at, lists[1]] = lists[2]
+        return self.terms[used], whole, lists
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -221,14 +341,21 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(column)), np.diff(start)), column.values.to_numpy(zero_copy_only=False)[start[0] : start[-1]]
 
 
-def _product(row: np.ndarray, term: np.ndarray, w: np.ndarray, rows: int, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """(rows x questions) sparse dot products; a term of a row stands once."""
-    out = np.zeros((rows, weights.shape[1]))
+def _product(row: np.ndarray, term: np.ndarray, w: np.ndarray, rows: int, terms: np.ndarray, weights: np.ndarray | None, lists: tuple | None = None) -> np.ndarray:
+    """(rows x questions) sparse dot products; a term of a row stands once, rows are in order.
+
+    ``lists`` holds the weights as lists by term: where each begins, its questions and their weights, and how many questions there are.
+    """
+    if lists is None:
+        place, question = np.nonzero(weights)
+        lists = np.searchsorted(place, np.arange(len(weights) + 1)), question, weights[place, question], weights.shape[1]
+    start, question, value, many = lists
+    out = np.zeros((rows, many))
     if not len(terms) or not len(term):
         return out
     at = np.minimum(np.searchsorted(terms, term), len(terms) - 1)
     on = np.flatnonzero(terms[at] == term)
-    if rows * len(terms) <= DENSE * len(on):  # most terms stand in most rows, as buckets do
+    if weights is not None and rows * len(terms) <= DENSE * len(on):  # most terms stand in most rows, as buckets do
         step = max(1, STEP // len(terms))
         for lo in range(0, rows, step):
             i = on[np.searchsorted(row[on], lo) : np.searchsorted(row[on], lo + step)]
@@ -236,11 +363,20 @@ def _product(row: np.ndarray, term: np.ndarray, w: np.ndarray, rows: int, terms:
             held[row[i] - lo, at[i]] = w[i]
             out[lo : lo + step] = held @ weights
         return out
-    step = max(1, STEP // max(weights.shape[1], 1))
-    for lo in range(0, len(on), step):
-        i = on[lo : lo + step]
-        first = np.flatnonzero(np.concatenate(([True], row[i][1:] != row[i][:-1])))
-        out[row[i][first]] += np.add.reduceat(weights[at[i]] * w[i][:, None], first, axis=0)
+    row, w, at = row[on], w[on], at[on]
+    long = np.diff(start)[at]
+    ends = np.cumsum(long)
+    lo = 0
+    while lo < len(on):  # pairs of an entry and a question that asks for its term, so many at once
+        hi = max(int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + STEP, "right")), lo + 1)
+        size = long[lo:hi]
+        before = np.cumsum(size) - size
+        entry = np.repeat(start[at[lo:hi]] - before, size) + np.arange(size.sum())
+        first = row[lo]
+        cell = np.repeat((row[lo:hi] - first) * many, size) + question[entry]
+        span = row[hi - 1] - first + 1
+        out[first : first + span] += np.bincount(cell, np.repeat(w[lo:hi], size) * value[entry], span * many).reshape(span, many)
+        lo = hi
     return out
 
 
@@ -264,10 +400,10 @@ class Questions:
 
     def scores(self, batch: pa.RecordBatch, matrices: dict) -> dict[str, np.ndarray]:
         out = {}
-        for name, (terms, weights) in matrices.items():
+        for name, block in matrices.items():
             row, term = _lists(batch.column(batch.schema.get_field_index(f"{name}_t")))
             w = _lists(batch.column(batch.schema.get_field_index(f"{name}_w")))[1]
-            s = _product(row, term, w, batch.num_rows, terms, weights)
+            s = _product(row, term, w, batch.num_rows, *block)
             out[name] = _round(s / (s + self.squash) if name == "bm25" else s, self.digits[0])
         return out
 
@@ -278,12 +414,11 @@ class Questions:
 
     def coverage(self, titles: list, matrix: tuple) -> np.ndarray:
         """(services x questions): the best share of a title's tokens that a question holds."""
-        terms, weights = matrix
         flat = [(i, np.array(t, np.int64)) for i, variants in enumerate(titles) for t in variants or ()]
-        out = np.zeros((len(titles), weights.shape[1]))
+        out = np.zeros((len(titles), matrix[2][3]))
         if flat:
             row = np.repeat(np.arange(len(flat)), [len(t) for _, t in flat])
-            held = _product(row, np.concatenate([t for _, t in flat]), np.ones(len(row)), len(flat), terms, weights)
+            held = _product(row, np.concatenate([t for _, t in flat]), np.ones(len(row)), len(flat), *matrix)
             np.maximum.at(out, [i for i, _ in flat], held / np.array([[len(t)] for _, t in flat]))
         return out
 
@@ -332,10 +467,8 @@ def best_services(rows: DataFrame, questions: Questions, grid: list[dict[str, fl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = questions.parts()
         best = {(c, lo): Best(k, 1 + len(names), once=True) for lo, *_ in parts for c in range(len(grid))}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            at = Services(batch)
+        for part in (batch.slice(lo, ROWS) for batch in batches for lo in range(0, batch.num_rows, ROWS)):
+            at = Services(part)
             titles = at.batch.column(2).take(pa.array(at.first)).to_pylist()
             for lo, _, matrices, title in parts:
                 scores, cover = questions.scores(at.batch, matrices), questions.coverage(titles, title)
@@ -431,7 +564,9 @@ def hits(rows: DataFrame, queries: DataFrame, signals: dict[str, DataFrame], gri
             found = stored(found, "hits")
             pairs = [(r.question, r.service_id) for r in found.select("question", "service_id").collect()]  # k for each question of a block
             best = Window.partitionBy("question", "service_id").orderBy(F.desc("combined"), "chunk_id")
-            chunks = best_chunks(rows, asked, grid[0], pairs, n).withColumn("r", F.row_number().over(best)).where(F.col("r") <= n)
+            named = F.broadcast(found.select(F.col("service_id").alias("hit")).distinct())  # rows of other services are left in the scan
+            own = rows.join(named, rows["service_id"].eqNullSafe(named["hit"]), "left_semi")
+            chunks = best_chunks(own, asked, grid[0], pairs, n).withColumn("r", F.row_number().over(best)).where(F.col("r") <= n)
             chunks = chunks.groupBy("question", "service_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "chunk_id", "combined"))), lambda e: e.dropFields("r")).alias("evidence"))
             found = found.join(chunks, ["question", "service_id"], "left")
         found = found.join(_ids(queries, asked), "question").drop("question")
