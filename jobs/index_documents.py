@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobs.common import log, main, read_config, table
-from tessera.functions.text import detect_language, tokenize
+from tessera.functions.text import detect_language, has_terms
+from tessera.operators.index import row_postings
 from tessera.storage import small
 
 DEFAULTS = {"buckets": 16, "files_a_batch": 1000}
@@ -49,26 +50,47 @@ def current(documents: DataFrame) -> DataFrame:
     return documents.groupBy("doc_id").agg(F.max_by(F.struct(*(c for c in documents.columns if c != "doc_id")), "batch").alias("v")).select("doc_id", "v.*")
 
 
+def read_rows(rows: DataFrame) -> DataFrame:
+    """What a batch's rows are, without their texts; ``reason`` tells why a row is rejected."""
+    reason = F.when(F.col("doc_id").isNull(), "no id").when(~has_terms(F.col("text")), "no terms")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.sha2("text", 256).alias("digest"), detect_language(F.col("text")).alias("language"), reason.alias("reason"))
+
+
+def count_terms(rows: DataFrame, new: DataFrame) -> DataFrame:
+    """(term, doc_id, tf) of the texts that ``new`` (doc_id, digest, copies) names, one of each: texts may travel, postings never do."""
+    texts = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2("text", 256).alias("digest"), "text")
+    named = texts.join(small(new.select("doc_id", "digest", "copies")), ["doc_id", "digest"])
+    if not new.where("copies > 1").isEmpty():
+        again = named.where("copies > 1").groupBy("doc_id", "digest").agg(F.first("text").alias("text"))
+        named = named.where("copies = 1").select("doc_id", "text").unionByName(again.select("doc_id", "text"))
+    return row_postings(named, "doc_id")
+
+
 def take_batch(rows: DataFrame, number: int, output: str, buckets: int) -> dict[str, int]:
     """Write a batch's partitions of all tables; returns how many rows each got."""
+    read = read_rows(rows).persist()
+    try:
+        return write_batch(rows, read, number, output, buckets)
+    finally:
+        read.unpersist()
+
+
+def write_batch(rows: DataFrame, read: DataFrame, number: int, output: str, buckets: int) -> dict[str, int]:
     spark, batch = rows.sparkSession, F.lit(number).alias("batch")
-    read = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.sha2("text", 256).alias("digest"), detect_language(F.col("text")).alias("language"), tokenize(F.col("text")).alias("terms"))
-    read = read.withColumn("reason", F.when(F.col("doc_id").isNull(), "no id").when(F.coalesce(F.size("terms"), F.lit(0)) <= 0, "no terms"))
     put(read.where("reason is not null").groupBy("doc_id", "reason").agg(F.count("*").alias("rows")).select("*", batch), f"{output}/rejected", "batch")
 
     # One version of each id, with the number of rows that repeat it; texts do not travel for this.
-    light = read.where("reason is null").groupBy("doc_id", "digest").agg(F.min("source").alias("source"), F.first("language").alias("language"), F.first(F.size("terms").cast("long")).alias("tokens"), F.count("*").alias("copies"))
+    light = read.where("reason is null").groupBy("doc_id", "digest").agg(F.min("source").alias("source"), F.first("language").alias("language"), F.count("*").alias("copies"))
     light = light.groupBy("doc_id").agg(F.min_by(F.struct(*(c for c in light.columns if c != "doc_id")), "digest").alias("v")).select("doc_id", "v.*")
     before = current(spark.read.schema(f"{DOCUMENTS}, batch long").parquet(f"{output}/documents").where(F.col("batch") < number))
     old = before.select("doc_id", F.col("digest").alias("was"), F.col("batch").alias("was_batch"))
     new = light.join(old, "doc_id", "left").where(~F.col("digest").eqNullSafe(F.col("was")))
-    put(new.select("doc_id", "source", "language", "digest", "tokens", batch), f"{output}/documents", "batch")
 
+    put(count_terms(rows, new).select("*", batch, bucket("term", buckets)), f"{output}/postings", "batch", "bucket")
+    posted = spark.read.schema(f"{POSTINGS}, batch long, bucket int").parquet(f"{output}/postings").where(F.col("batch") == number)
+    long = posted.groupBy("doc_id").agg(F.sum("tf").alias("tokens"))
+    put(new.join(long, "doc_id").select("doc_id", "source", "language", "digest", "tokens", batch), f"{output}/documents", "batch")
     written = spark.read.schema(f"{DOCUMENTS}, batch long").parquet(f"{output}/documents").where(F.col("batch") == number)
-    counted = read.where("reason is null").select("doc_id", "digest", F.explode("terms").alias("term")).groupBy("doc_id", "digest", "term").agg(F.count("*").alias("n"))
-    fresh = written.select("doc_id", "digest").join(light.select("doc_id", "digest", "copies"), ["doc_id", "digest"])
-    postings = counted.join(small(fresh), ["doc_id", "digest"]).select("term", "doc_id", (F.col("n") / F.col("copies")).cast("long").alias("tf"))
-    put(postings.select("*", batch, bucket("term", buckets)), f"{output}/postings", "batch", "bucket")
 
     stored = spark.read.schema(f"{POSTINGS}, batch long, bucket int").parquet(f"{output}/postings")
     change = stored.where(F.col("batch") == number).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))

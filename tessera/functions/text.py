@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from . import fixed
 
 LETTER_AR = "[\\u0600-\\u06FF\\u0750-\\u077F\\u08A0-\\u08FF]"
-TOKEN = "([a-z0-9]+|[\\u0621-\\u064A]+)"
+RUN = "[a-z0-9]+|[\\u0621-\\u064A]+"
+TOKEN = f"({RUN})"
 
 
 def nfc(c: Column) -> Column:
@@ -67,13 +68,12 @@ def normalize_for_matching(c: Column) -> Column:
 
 def arabic_ratio(c: Column) -> Column:
     """Arabic letters over Arabic and Latin letters; 0 without any."""
-    ar, la = (F.regexp_count(F.coalesce(c, F.lit("")), F.lit(p)).cast("double") for p in (LETTER_AR, "[A-Za-z]"))
-    return F.when(ar + la > 0, ar / (ar + la)).otherwise(F.lit(0.0))
+    ar, la = (F.length(F.regexp_replace(c, f"[^{p[1:]}", "")) for p in (LETTER_AR, "[A-Za-z]"))  # what is left without all else
+    return F.when(F.rlike(c, F.lit(LETTER_AR)), once(F.array(ar, la), lambda n: F.get(n, F.lit(0)) / (F.get(n, F.lit(0)) + F.get(n, F.lit(1))))).otherwise(F.lit(0.0))
 
 
 def detect_language(c: Column) -> Column:
-    r = arabic_ratio(c)
-    return F.when(r >= 0.7, "ar").when(r <= 0.3, "en").otherwise("mixed")
+    return once(arabic_ratio(c), lambda r: F.when(r >= 0.7, "ar").when(r <= 0.3, "en").otherwise("mixed"))
 
 
 def query_language(c: Column) -> Column:
@@ -112,17 +112,36 @@ def _strip_en(t: Column) -> Column:
     return out.otherwise(t)
 
 
+def lowered(c: Column) -> Column:
+    """A text as its runs are cut from it."""
+    return F.lower(normalize_arabic(c))
+
+
+def runs(c: Column) -> Column:
+    """Latin or Arabic runs of a text, of which ``is_term`` keeps some."""
+    return F.regexp_extract_all(lowered(c), F.lit(TOKEN), F.lit(1))
+
+
+def is_term(t: Column) -> Column:
+    return ~t.isin(*fixed.STOP_EN, *fixed.STOP_AR)
+
+
+def stem(t: Column) -> Column:
+    """A run lightly stemmed; Latin letters and digits stand before Arabic ones."""
+    ar = F.regexp_replace(t, fixed.PREFIX_AR, "")
+    ar = F.when(F.length(ar) > 4, F.regexp_replace(ar, fixed.SUFFIX_AR, "")).otherwise(ar)
+    return F.when(t < "\u0600", _strip_en(t)).otherwise(ar)
+
+
 def tokenize(c: Column) -> Column:
     """Search tokens: Latin or Arabic runs, without stop words, lightly stemmed; repeats are kept."""
-    found = F.regexp_extract_all(F.lower(normalize_arabic(c)), F.lit(TOKEN), F.lit(1))
-    kept = F.filter(found, lambda t: ~t.isin(*fixed.STOP_EN, *fixed.STOP_AR))
+    return F.transform(F.filter(runs(c), is_term), stem)
 
-    def stem(t: Column) -> Column:
-        ar = F.regexp_replace(t, fixed.PREFIX_AR, "")
-        ar = F.when(F.length(ar) > 4, F.regexp_replace(ar, fixed.SUFFIX_AR, "")).otherwise(ar)
-        return F.when(F.rlike(t, F.lit("^[a-z0-9]")), _strip_en(t)).otherwise(ar)
 
-    return F.transform(kept, stem)
+def has_terms(c: Column) -> Column:
+    """Whether a text has a search token; most texts show one in what is whole of their first words."""
+    begin = F.regexp_replace(F.left(c, F.lit(200)), r"\S+$", "")
+    return F.coalesce(F.when(F.exists(runs(begin), is_term), True).otherwise(F.exists(runs(c), is_term)), F.lit(False))
 
 
 def words(c: Column) -> Column:

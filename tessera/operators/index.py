@@ -6,11 +6,18 @@ sum. Terms are hash-partitioned; the totals that weights need (documents, mean l
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import fixed
-from ..functions.text import char_ngrams, light_stem, tokenize, words
+from ..functions.text import RUN, char_ngrams, light_stem, lowered, tokenize, words
 from ..functions.vectors import unit
 
 
@@ -19,6 +26,59 @@ def term_counts(texts: DataFrame, key: str, terms) -> DataFrame:
     return texts.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
+#: Runs whose terms a task remembers at most, and postings that it hands on together.
+REMEMBERED = 500_000
+TOGETHER = 100_000
+
+
+class Terms(dict):
+    """The term of each run of letters, as ``text.tokenize`` makes it, or None for a stop word; made once a task."""
+
+    stops = frozenset((*fixed.STOP_EN, *fixed.STOP_AR))
+
+    def __missing__(self, run: str) -> str | None:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[run] = None if run in self.stops else self.stem(run)
+        return self[run]
+
+    @staticmethod
+    def stem(run: str) -> str:
+        if run < "\u0600":
+            return next((run[: -len(s)] for s in fixed.SUFFIXES_EN if len(run) > len(s) + 2 and run.endswith(s)), run)
+        out = re.sub(fixed.PREFIX_AR, "", run)
+        return re.sub(fixed.SUFFIX_AR, "", out) if len(out) > 4 else out
+
+
+def row_postings(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(term, key, tf) of every row, counted within the row: nothing is shuffled. A null text has no terms."""
+    kind = texts.schema[key].dataType
+    key_type = to_arrow_type(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, of = re.compile(RUN).findall, Terms()
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), keys.slice(first, len(sizes)).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))).cast(key_type), pa.array(tfs, pa.int64())], names=["term", key, "tf"])
+
+        for batch in batches:
+            keys, first, sizes, terms, tfs = batch.column(0), 0, [], [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                own: dict[str, int] = {}
+                for word, n in Counter(find(t or "")).items():
+                    if (term := of[word]) is not None:
+                        own[term] = own.get(term, 0) + n
+                sizes.append(len(own))
+                terms.extend(own)
+                tfs.extend(own.values())
+                if len(terms) >= TOGETHER:
+                    yield made()
+                    first, sizes, terms, tfs = i + 1, [], [], []
+            yield made()
+
+    return texts.select(key, lowered(F.col(text)).alias("text")).mapInArrow(run, f"term string, `{key}` {kind.simpleString()}, tf long")
+
+
 def bm25_postings(texts: DataFrame, key: str = "chunk_id", text: str = "embed_text", k1: float = fixed.BM25["k1"], b: float = fixed.BM25["b"]) -> DataFrame:
     """(key, term, w): idf times saturated tf. The mean length is over all texts, empty ones included."""
     tokens = texts.select(key, tokenize(F.col(text)).alias("toks"))
